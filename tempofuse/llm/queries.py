@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from tempofuse.llm import line_dedup
+import corpus_pipeline  # noqa: F401  (goes with this subpackage)
+from tempofuse.llm import line_dedup, quality, sharding, toxicity
 
 QUERIES = {
+    "op4_sharding": sharding.query,
     "op6_line_dedup": line_dedup.query,
+    "op8_toxicity": toxicity.query,
+    "op9_quality": quality.query,
 }
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
