@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline  # noqa: F401  (goes with this subpackage)
-from tempofuse.llm import line_dedup, quality, sharding, toxicity
+from tempofuse.llm import line_dedup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op4_sharding": sharding.query,
+    "op5_packing": packing.query,
     "op6_line_dedup": line_dedup.query,
     "op8_toxicity": toxicity.query,
     "op9_quality": quality.query,
