@@ -93,20 +93,28 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 60, l2: float = 3e-5,
     n = len(y)
     if n < 8 or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), -40.0, 0.0)
-    t = Texts(texts)
-    bucket, sentence, row, _, _ = sentence_words(t)
-    pair = np.unique(row[sentence] * BUCKETS + bucket)
-    doc, word = pair // BUCKETS, pair % BUCKETS
-    df = np.bincount(word, minlength=BUCKETS)
+    parts, first = [], 0
+    for batch in chunks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t"):
+        parts.append((batch.column(0), first))
+        first += batch.num_rows
+    df, share = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for column, first in parts:
+        bucket, sentence, row, _, _ = sentence_words(Texts(column))
+        pair = np.unique(row[sentence] * BUCKETS + bucket)
+        df += np.bincount(pair % BUCKETS, minlength=BUCKETS)
+        share += np.bincount(pair % BUCKETS, weights=y[first + pair // BUCKETS], minlength=BUCKETS)
     rate = y.mean()
-    share = np.bincount(word, weights=y[doc], minlength=BUCKETS)
     log_odds = np.log((share + 20 * rate) / (df - share + 20 * (1 - rate))) - np.log(rate / (1 - rate))
     live = (df >= rare) & (log_odds > least)
-    use = live[bucket]
-    pair = np.unique(sentence[use] * BUCKETS + bucket[use])
-    bucket, sentence = pair % BUCKETS, pair // BUCKETS
-    ids = np.cumsum(live) - 1
-    k, code = int(live.sum()), ids[bucket]
+    ids, k = np.cumsum(live) - 1, int(live.sum())
+    rows, sentences, codes, before = [], [], [], 0
+    for column, first in parts:
+        bucket, sentence, row, _, _ = sentence_words(Texts(column))
+        use = live[bucket]
+        pair = np.unique(sentence[use] * BUCKETS + bucket[use])
+        rows.append(first + row), codes.append(ids[pair % BUCKETS]), sentences.append(before + pair // BUCKETS)
+        before += len(row)
+    row, code, sentence = np.concatenate(rows), np.concatenate(codes), np.concatenate(sentences)
     w, b = 2 * log_odds[live], -7.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
