@@ -16,7 +16,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 KEEP_AT = 0.3
 #: Labelled rows that the model is fitted on, at most: those of the least hash of doc_id.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 BITS = 16
 FEATURES = 1 << BITS
 SCALE = 20.0
@@ -113,11 +113,14 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 60, l2: float = 1e-3)
     n = len(labels)
     if n < 8 or labels.min() == labels.max():  # nothing to learn from: the base rules decide alone
         return Model(np.zeros(FEATURES, np.float32), 0.0, 0.0, 40.0)
-    bucket, row, weight = features(Texts(texts))
-    # one entry for each row and bucket
-    key, inverse = np.unique(row * FEATURES + bucket, return_inverse=True)
-    weight = np.bincount(inverse, weights=weight)
-    row, bucket = key // FEATURES, key % FEATURES
+    # one entry for each row and bucket, made in chunks
+    parts, first = [], 0
+    for batch in chunks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", 1 << 19):
+        bucket, row, weight = features(Texts(batch.column(0)))
+        key, inverse = np.unique(row * FEATURES + bucket, return_inverse=True)
+        parts.append(((first + key // FEATURES).astype(np.int32), (key % FEATURES).astype(np.int32), np.bincount(inverse, weights=weight).astype(np.float32)))
+        first += batch.num_rows
+    row, bucket, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     held = np.arange(n) % 4 == 3
     use = ~held[row]
     row_u, bucket_u, weight_u = row[use], bucket[use], weight[use]
