@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline  # noqa: F401  (goes with this subpackage)
-from tempofuse.llm import line_dedup, packing, pii, quality, sharding, toxicity
+from tempofuse.llm import html_text, line_dedup, packing, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op2_pii": pii.query,
+    "op3_html_text": html_text.query,
     "op4_sharding": sharding.query,
     "op5_packing": packing.query,
     "op6_line_dedup": line_dedup.query,
