@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline  # noqa: F401  (goes with this subpackage)
-from tempofuse.llm import html_text, line_dedup, packing, pii, quality, sharding, toxicity
+from tempofuse.llm import html_text, line_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_pii": pii.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op8_toxicity": toxicity.query,
     "op9_quality": quality.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
