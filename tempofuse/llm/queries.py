@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline  # noqa: F401  (goes with this subpackage)
-from tempofuse.llm import html_text, line_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
+from tempofuse.llm import decontam, html_text, line_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_pii": pii.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.query,
     "op5_packing": packing.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_decontam": decontam.query,
     "op8_toxicity": toxicity.query,
     "op9_quality": quality.query,
     "op10_suffix_dedup": suffix_dedup.query,
