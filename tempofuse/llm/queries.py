@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline  # noqa: F401  (goes with this subpackage)
-from tempofuse.llm import decontam, html_text, line_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
+import corpus_pipeline
+from tempofuse.llm import decontam, html_text, line_dedup, near_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_near_dedup": near_dedup.query,
     "op2_pii": pii.query,
     "op3_html_text": html_text.query,
     "op4_sharding": sharding.query,
