@@ -1,20 +1,51 @@
 """A corpus cleaned in five stages: toxicity, line dedup, near-dedup, benchmark decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet to the
-shared folder and reads it again as the next one's docs.
+shared folder and reads it again as the next one's docs. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tempofuse.llm import decontam, line_dedup, near_dedup, packing, toxicity
+from tempofuse.llm.common import stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model learnt from the labels does not reject."""
+    model = toxicity.fit_on(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that many have; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.selectExpr(*[f"cast(char_length(text) as {dict(docs.dtypes)[c]}) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by similarity of five-word shingles."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.find_benchmark(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents left, in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_duplicates), ("decontamination", drop_leaks), ("packing", pack)]
 #: The stages are models, signatures and searches that SQL cannot express; the tests hold them against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    from tempofuse.llm.common import stored
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
