@@ -1,4 +1,4 @@
 """Queries of the library by name, and their SQL."""
 
-from tempofuse.plans import alignment, quality_queries  # noqa: F401
+from tempofuse.plans import alignment, geometry_queries, quality_queries  # noqa: F401
 from tempofuse.plans.base import QUERIES, SQL  # noqa: F401
