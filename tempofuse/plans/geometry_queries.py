@@ -106,11 +106,11 @@ def lever_arm(spark, d):
     return _rounded(vectors(spark, d), dict(zip("xyz", V.lever_acceleration(tuple(c[:3]), tuple(c[3:6]), tuple(c[6:9]), tuple(c[9:])), strict=True)))
 
 
-@query(f"WITH {FRAMES}, k AS (SELECT frame, marker, x * 100 AS ul, x * 100 - (y - 1) * 10 AS ur, z AS v FROM f) SELECT frame, marker, round(CASE WHEN ul > ur THEN (ul - 480) * (84e0 / (ul - ur)) / 700 END, 7) AS px, round(CASE WHEN ul > ur THEN (v - 300) * (84e0 / (ul - ur)) / 700 END, 7) AS py, round(CASE WHEN ul > ur THEN 84e0 / (ul - ur) END, 7) AS pz FROM k")
+@query(f"WITH {FRAMES}, k AS (SELECT frame, marker, x * 100 AS ul, x * 100 - (y - 1) * 10 AS ur, z AS v FROM f) SELECT frame, marker, round(CASE WHEN ul > ur THEN (ul - 480) * (84e0 / (ul - ur)) / 700 END, 10) AS px, round(CASE WHEN ul > ur THEN (v - 300) * (84e0 / (ul - ur)) / 700 END, 10) AS py, round(CASE WHEN ul > ur THEN 84e0 / (ul - ur) END, 10) AS pz FROM k")
 def triangulate(spark, d):
     ul = F.col("x") * 100
     p = C.triangulate(ul, ul - (F.col("y") - 1) * 10, F.col("z"), 700.0, 700.0, 480.0, 300.0, 0.12)
-    return _rounded(frames(spark, d), dict(zip(("px", "py", "pz"), p, strict=True)), 7, "frame", "marker")
+    return _rounded(frames(spark, d), dict(zip(("px", "py", "pz"), p, strict=True)), 10, "frame", "marker")
 
 
 @query(f"WITH {FRAMES}, z AS (SELECT DISTINCT marker + 1e0 AS z FROM f), k AS (SELECT unnest([0.25e0, 0.5e0, 1e0]) AS error) SELECT z, error, round(z * z / 84e0 * error, 6) AS depth_error FROM z, k")
