@@ -25,7 +25,7 @@ def batch_ring_windows(spark, d):
 _CLOSED = "(SELECT max(epoch_us(ts)) - 3600000000 AS mark FROM events)"
 
 
-@query(f"SELECT user_id AS session, ((epoch_us(ts) // 21600000000) * 21600000000)::BIGINT AS start_us, count(*) AS n, max(value) AS peak FROM events GROUP BY ALL HAVING start_us + 21600000000 <= (SELECT mark FROM {_CLOSED})")
+@query(f"WITH w AS (SELECT user_id AS session, ((epoch_us(ts) // 21600000000) * 21600000000)::BIGINT AS start_us, value FROM events) SELECT session, start_us, count(*) AS n, max(value) AS peak FROM w WHERE start_us + 21600000000 <= (SELECT mark FROM {_CLOSED}) GROUP BY session, start_us")
 def stream_rolling_counts(spark, d):
     return flows.drained(flows.rolling_counts(flows.event_stream(spark, d)))
 
