@@ -6,8 +6,10 @@ and passes its rows to one child for each position and value. Small nodes are co
 pairs that may be similar enough are confirmed on full sets. Nodes are dealt to tasks by path; a node with too many
 rows for a task is branched across the cluster, and within its task a node is branched on until it is small or dense.
 
-Pairs of one node that are surely linked to each other need no confirmation of each pair: a first round confirms a
-spanning set of the pairs, and a second round all candidate pairs between what is then still apart.
+A node gives a spanning forest of its candidate pairs, the most similar first, and not all of them: these are enough to
+tell which documents any chain of candidates holds together (a cluster), and confirming them links most of a group
+(parts). What a cluster has outside its largest part is then held against all its other parts, in blocks of bounded
+size and on full sets, so that no link is lost and no pair of a group is a row.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ MATRIX_NODE = 400
 NODE_ROWS = 50_000
 MOST_DEPTH = 9
 FILTER_BITS = 1 << 26
+#: Rows of a cluster that meet as many others in one task.
+BLOCK = 256
 
 _A = seeds(POSITIONS, 31) | np.uint64(1)
 _B = seeds(POSITIONS, 37)
@@ -119,7 +123,7 @@ def _child(path, position: int, value):
 
 
 def _branch(rows: DataFrame, depth: int) -> DataFrame:
-    """rows (path, key, n, sig, ...) passed to the children of their nodes, which are depth deep."""
+    """rows (path, key, n, sig) passed to the children of their nodes, which are depth deep."""
 
     def run(batches):
         np.seterr(over="ignore")
@@ -138,78 +142,46 @@ def _branch(rows: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _candidates(sig: np.ndarray, n: np.ndarray, one: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Equal positions of row i with each row of one, and whether each is a candidate."""
-    equal = (sig[one] == sig[i]).sum(axis=1)
-    low, high = np.minimum(n[one], n[i]), np.maximum(n[one], n[i])
-    return equal, (equal >= CANDIDATE) & (100 * low >= PERCENT * high) & (one != i)
-
-
-def _matrix(sig: np.ndarray, n: np.ndarray):
-    equal = (sig[:, None, :] == sig[None]).sum(axis=2, dtype=np.int16)
-    low, high = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
-    near = (equal >= CANDIDATE) & (100 * low >= PERCENT * high)
-    np.fill_diagonal(near, False)
-    return equal, near
-
-
-def _spanning(key, n, sig, out):
-    """Pairs of a node that span its sure groups, and the best between any two groups that have candidates."""
-    m = len(key)
-    group = np.full(m, -1)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if m <= MATRIX_NODE:
-        equal, near = _matrix(sig, n)
-        if not near.any():
+def _near(sig: np.ndarray, n: np.ndarray, i: int) -> np.ndarray:
+    """Equal positions of row i with each row, or 0 where the pair is no candidate."""
+    equal = (sig == sig[i]).sum(axis=1)
+    equal[(equal < CANDIDATE) | (100 * np.minimum(n, n[i]) < PERCENT * np.maximum(n, n[i]))] = 0
+    equal[i] = 0
+    return equal
+
+
+def _forest(key: np.ndarray, n: np.ndarray, sig: np.ndarray, out: list) -> None:
+    """Candidate pairs of a node that span it, the most similar first (Prim). In a large node the rows that are surely
+    similar to an earlier one hang on it, and the others are spanned."""
+    rows = np.arange(len(key))
+    if len(key) > MATRIX_NODE:
+        free = np.ones(len(key), dtype=bool)
+        heads = []
+        for i in range(len(key)):
+            if free[i]:
+                free[i] = False
+                heads.append(i)
+                mine = np.flatnonzero((_near(sig, n, i) >= SURE) & free)
+                free[mine] = False
+                out.extend((key[i], k) for k in key[mine])
+        rows = np.array(heads)
+    key, n, sig = key[rows], n[rows], sig[rows]
+    left = np.ones(len(key), dtype=bool)
+    best, parent = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+    i = 0
+    while True:
+        left[i] = False
+        equal = _near(sig, n, i)
+        better = left & (equal > best)
+        best[better], parent[better] = equal[better], i
+        i = int(np.argmax(np.where(left, best, -1)))
+        if not left[i]:
             return
-        for i in np.flatnonzero(near.any(axis=1)):
-            if group[i] >= 0:
-                continue
-            group[i], todo = i, [i]
-            while todo:
-                x = todo.pop()
-                for y in np.flatnonzero(near[x] & (equal[x] >= SURE) & (group < 0)):
-                    group[y] = i
-                    todo.append(y)
-                    out.append((key[x], key[y]))
-        for x, y in zip(*np.nonzero(np.triu(near)), strict=True):
-            if group[x] != group[y]:
-                pair = (min(group[x], group[y]), max(group[x], group[y]))
-                if equal[x, y] > best.get(pair, (0,))[0]:
-                    best[pair] = int(equal[x, y]), x, y
-    else:
-        every = np.arange(m)
-        for i in range(m):
-            if group[i] >= 0:
-                continue
-            group[i] = i
-            equal, near = _candidates(sig, n, every, i)
-            mine = np.flatnonzero(near & (equal >= SURE) & (group < 0))
-            group[mine] = i
-            out.extend((key[i], k) for k in key[mine])
-            other = np.flatnonzero(near & (group >= 0) & (group != i))
-            for y in other[np.argsort(-equal[other], kind="stable")]:
-                best.setdefault((group[y], i), (0, i, y))
-    out.extend((key[x], key[y]) for _, x, y in best.values())
-
-
-def _between(key, n, sig, part, out):
-    """All candidate pairs of a node between different parts."""
-    values, counts = np.unique(part, return_counts=True)
-    if len(values) < 2:
-        return
-    if len(key) <= MATRIX_NODE:
-        _, near = _matrix(sig, n)
-        for x, y in zip(*np.nonzero(np.triu(near & (part[:, None] != part))), strict=True):
-            out.append((key[x], key[y]))
-        return
-    every = np.arange(len(key))
-    for i in np.flatnonzero(part != values[counts.argmax()]):
-        _, near = _candidates(sig, n, every, i)
-        out.extend((key[i], k) for k in key[near & (part != part[i])])
+        if best[i]:
+            out.append((key[parent[i]], key[i]))
 
 
-def _walk(path: int, depth: int, key, n, sig, part, out) -> None:
+def _walk(path: int, depth: int, key, n, sig, out) -> None:
     """Compare the node's rows, or branch them on: small nodes, and those in which rows hardly part, are compared."""
     m = len(key)
     if m < 2:
@@ -224,14 +196,12 @@ def _walk(path: int, depth: int, key, n, sig, part, out) -> None:
                     continue
                 mine = order[a:b]
                 deeper = depth + 1 if len(mine) < 0.9 * m else MOST_DEPTH
-                _walk(int(_child(path, c, value[a])), deeper, key[mine], n[mine], sig[mine], part[mine] if part is not None else None, out)
-    elif part is None:
-        _spanning(key, n, sig, out)
+                _walk(int(_child(path, c, value[a])), deeper, key[mine], n[mine], sig[mine], out)
     else:
-        _between(key, n, sig, part, out)
+        _forest(key, n, sig, out)
 
 
-def _node(depth: int, second: bool):
+def _node(depth: int):
     """The function of one node's rows that gives its pairs."""
 
     def node(group: pd.DataFrame) -> pd.DataFrame:
@@ -241,7 +211,7 @@ def _node(depth: int, second: bool):
             sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, POSITIONS)
             path = int(group["path"].iloc[0]) % (1 << 64)
             with np.errstate(over="ignore"):
-                _walk(path, depth, group["key"].to_numpy(), group["n"].to_numpy(), sig, group["part"].to_numpy() if second else None, out)
+                _walk(path, depth, group["key"].to_numpy(), group["n"].to_numpy(), sig, out)
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -250,11 +220,9 @@ def _node(depth: int, second: bool):
 
 
 def candidate_pairs(classes: DataFrame, trees: int = TREES, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Distinct (a, b), a < b, of classes (key, n, sig[, part]) that may be similar enough."""
-    second = "part" in classes.columns
+    """Distinct (a, b), a < b, of classes (key, n, sig) that may be similar enough, and that span all such pairs."""
     roots = F.explode(F.array(*[F.lit(int(x)) for x in _signed(seeds(trees, 41))]))
-    columns = ["path", "key", "n", "sig"] + ["part"] * second
-    rows, depth, leaves = _branch(classes.withColumn("path", roots).select(columns), 0), 1, []
+    rows, depth, leaves = _branch(classes.withColumn("path", roots).select("path", "key", "n", "sig"), 0), 1, []
     while True:
         if depth >= MOST_DEPTH:
             break
@@ -267,7 +235,7 @@ def candidate_pairs(classes: DataFrame, trees: int = TREES, node_rows: int = NOD
     leaves.append((rows, depth))
     found = None
     for part, at in leaves:
-        here = part.groupBy("path").applyInPandas(_node(at, second), "a long, b long")
+        here = part.groupBy("path").applyInPandas(_node(at), "a long, b long")
         found = here if found is None else found.unionByName(here)
     return found.distinct()
 
@@ -330,6 +298,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
+def links_between(close: DataFrame, sets: DataFrame, parts: DataFrame, clusters: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): parts of one cluster that some link joins. close has key, n and sig of all that is in a cluster.
+
+    Rows outside their cluster's largest part (minor rows) meet all rows of the cluster, in blocks of about `block` of
+    either; the blocks that a row goes to are its cluster's size over block, and never its number of partners.
+    """
+    rows = close.select("key", "n", "sig").join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sig", F.coalesce("root", "key").alias("part"))
+    rows = stored(rows.join(clusters.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sig", "part", F.coalesce("root", "key").alias("cluster")))
+    sizes = rows.groupBy("cluster", "part").agg(F.count("*").alias("c"))
+    shape = sizes.groupBy("cluster").agg(F.sum("c").alias("all"), F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("p")).where("p > 1")
+    shape = shape.select("cluster", F.col("top.part").alias("largest"), F.ceil(F.col("all") / block).alias("blocks"), F.ceil((F.col("all") - F.col("top.c")) / block).alias("minors"))
+    met = rows.join(shape, "cluster").join(sets, "key")
+    turn = F.xxhash64("key")
+    every = met.withColumn("x", F.pmod(turn, F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1))).withColumn("minor", F.lit(False))
+    minor = met.where("part <> largest").withColumn("y", F.pmod(turn, F.col("minors"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("minor", F.lit(True))
+    columns = ["cluster", "x", "y", "minor", "key", "n", "sig", "part", "grams"]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, POSITIONS)
+        n, part, minor_ = group["n"].to_numpy(), group["part"].to_numpy(), group["minor"].to_numpy()
+        grams = [np.frombuffer(g, dtype=np.uint64) for g in group["grams"]]
+        found: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(minor_):
+            near = _near(sig, n, int(i))
+            for j in np.flatnonzero((near > 0) & ~minor_ & (part != part[i])):
+                pair = min(part[i], part[j]), max(part[i], part[j])
+                if pair in found:
+                    continue
+                both = np.intersect1d(grams[i], grams[j], assume_unique=True).size
+                if 100 * both >= percent * (grams[i].size + grams[j].size - both):
+                    found.add(pair)
+        out = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    return every.select(columns).unionByName(minor.select(columns)).groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash), one row for each row of docs.
 
@@ -348,11 +353,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = stored(full_sets(keyed, close.select("id", "key"), words))
     links = stored(confirmed(pairs, sets, percent))
     parts = connected_components(links)
-    # what is still apart: every candidate pair between different parts that has not been looked at
-    labelled = close.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sig", F.coalesce("root", "key").alias("part"))
-    more = stored(candidate_pairs(labelled, trees, node_rows).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        parts = connected_components(links.unionByName(confirmed(more, sets, percent)))
+    between = stored(links_between(close, sets, parts, connected_components(pairs), percent))
+    if not between.isEmpty():  # parts are named by their least key, so that links of parts are links
+        parts = connected_components(links.unionByName(between))
     roots = classes.select("key", "id").join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     least = roots.groupBy("root").agg(F.min("id").alias("least"))
     of_class = roots.join(least, "root").select("key", "least")
