@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,22 @@ def bridged(df: DataFrame, by: str = "session", t: str = "t", place: str = "x",
     draw = miss * u * u * (3 - 2 * u) + slip * u * u * (u - 1)
     value = F.when(F.col(supported), F.col(place)).when(F.col("__p").isNull(), back).when(F.col("__n").isNull(), ahead).otherwise(ahead + draw)
     return df.withColumn("bridge", value).withColumn("estimated", ~F.col(supported)).drop("__a", "__dt", "__step", "__dv", "__move", "__dx", "__p", "__n")
+
+
+def plane_tilt(path: DataFrame, by: tuple[str, ...] = ("session", "event"), axes: tuple[str, str, str] = ("x", "y", "z"), up: tuple[float, float, float] = (0.0, -1.0, 0.0), least: int = 3) -> DataFrame:
+    """by, tilt_deg: the angle between up and the normal of the plane that lies closest to a path's points; null for fewer
+    points. The second moments are an aggregate; only these reach Python, many groups at once."""
+    moments = {f"m{i}{j}": F.covar_pop(axes[i], axes[j]) for i in range(3) for j in range(i, 3)}
+    sums = path.groupBy(*by).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in moments.items()])
+    up_ = np.array(up) / np.linalg.norm(up)
+
+    @F.pandas_udf("double")
+    def angle(m: pd.DataFrame) -> pd.Series:
+        s = np.zeros((len(m), 3, 3))
+        for i in range(3):
+            for j in range(i, 3):
+                s[:, i, j] = s[:, j, i] = m[f"m{i}{j}"]
+        normal = np.linalg.eigh(s)[1][:, :, 0]
+        return pd.Series(np.degrees(np.arccos(np.clip(np.abs(normal @ up_), 0, 1))))
+
+    return sums.withColumn("tilt_deg", F.when(F.col("n") >= least, angle(F.struct(*moments)))).select(*by, "tilt_deg")
