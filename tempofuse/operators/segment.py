@@ -59,12 +59,24 @@ def overlapping(left: DataFrame, right: DataFrame, by: str, a: tuple[str, str],
     return met.where((F.col(b[1]) >= F.col(a[0])) & (F.col(b[0]) <= F.col(a[1])) & (F.col("__k") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / bucket))).drop("__k")
 
 
-def nearest_event(triggers: DataFrame, events: DataFrame, by: str, at: str, span: tuple[str, str], slack: float, key: list[str]) -> DataFrame:
-    """For each trigger the event of its session that holds it (slack before its start counts), else that of the nearest
-    end; of equal ones the earliest."""
-    inside = (F.col(at) >= F.col(span[0]) - slack) & (F.col(at) <= F.col(span[1]))
-    cost = F.when(inside, 0.0).otherwise(F.least(F.abs(F.col(at) - F.col(span[0])), F.abs(F.col(at) - F.col(span[1]))))
-    return triggers.join(events, by).groupBy(by, *key).agg(F.min(F.struct(cost.alias("cost"), F.col(span[0]).alias("t0"), F.col(span[1]).alias("t1"))).alias("__e")).select(by, *key, "__e.cost", "__e.t0", "__e.t1")
+def nearest_event(triggers: DataFrame, events: DataFrame, by: str, at: str, span: tuple[str, str], slack: float, key: list[str], bucket: float) -> DataFrame:
+    """For each trigger (by, key, at) the event of its session that holds it (slack before its start counts), else that of
+    the nearest end; of equal ones the earliest: cost, t0, t1.
+
+    Events that hold a trigger are met by time buckets, and the nearest ends are the neighbours of an as-of join; no
+    trigger meets all events of its session.
+    """
+    from tempofuse.operators.align import asof
+
+    e = events.select(by, F.col(span[0]).alias("t0"), F.col(span[1]).alias("t1"))
+    around = overlapping(triggers.withColumns({"__a": F.col(at), "__b": F.col(at)}), e.withColumns({"__c": F.col("t0") - slack, "__d": F.col("t1")}), by, ("__a", "__b"), ("__c", "__d"), bucket)
+    inside = around.groupBy(by, *key).agg(F.min(F.struct("t0", "t1")).alias("__in"))
+    ends = e.select(by, "t0", "t1", F.explode(F.array("t0", "t1")).alias(at))
+    near = asof(triggers.select(by, *key, at), ends, by, at, ("t0", "t1")).join(inside, [by, *key], "left")
+    side = lambda p, d: F.when(F.col(p + at).isNotNull(), F.struct(d.alias("cost"), F.col(p + "t0").alias("t0"), F.col(p + "t1").alias("t1")))
+    held = F.when(F.col("__in").isNotNull(), F.struct(F.lit(0.0).alias("cost"), F.col("__in.t0").alias("t0"), F.col("__in.t1").alias("t1")))
+    best = F.coalesce(held, F.least(side("prev_", F.col(at) - F.col("prev_" + at)), side("next_", F.col("next_" + at) - F.col(at))))
+    return near.withColumn("__e", best).where("__e is not null").select(by, *key, "__e.cost", "__e.t0", "__e.t1")
 
 
 def detect_events(df: DataFrame, trigger: float, onset: float, quiet: float, hold: float, most: float, min_gap: float, by: str = "session", t: str = "t", v: str = "v") -> DataFrame:

@@ -142,7 +142,7 @@ def segment_overlap(spark, d):
 def window_pick(spark, d):
     s = samples(spark, d)
     w = s.where("v > 120").select("session", (F.col("t") - 24).alias("t0"), (F.col("t") + 2).alias("t1"))
-    out = S.nearest_event(s.where("marker = 'signup'").select("session", "seq", "t"), w, "session", "t", ("t0", "t1"), 0.05, ["seq"])
+    out = S.nearest_event(s.where("marker = 'signup'").select("session", "seq", "t"), w, "session", "t", ("t0", "t1"), 0.05, ["seq"], 24.0)
     return out.select("session", "seq", F.round("cost", 6).alias("cost"), F.round("t0", 6).alias("t0"))
 
 

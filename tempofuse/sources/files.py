@@ -125,3 +125,34 @@ def resync_frames(chunks: DataFrame, by: str = "session", order: str = "seq", da
         return pd.DataFrame(out, columns=[by, "number", "frame", "skipped"])
 
     return chunks.groupBy(by).applyInPandas(run, f"{by} {dict(chunks.dtypes)[by]}, number long, frame binary, skipped long")
+
+
+def crc16_bytes(data: bytes) -> int:
+    """The check sum of functions.codec.crc16, of bytes in a kernel."""
+    crc = 0xFFFF
+    for byte in data:
+        crc ^= byte << 8
+        for _ in range(8):
+            crc = ((crc << 1) ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc
+
+
+def checked_frames(chunks: DataFrame, by: str = "session", order: str = "seq", data: str = "data", header: bytes = b"\xa5\x5a", size: int = 42) -> DataFrame:
+    """Frames with a header and a big-endian check sum at their end: session, number, payload (between the two), skipped.
+
+    Where the header or the sum is wrong the reader moves on by a byte. Payloads are handed on as they are: their layout
+    is the sensor's own.
+    """
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        buffer, out, at, skipped = b"".join(bytes(x) for x in group.sort_values(order)[data]), [], 0, 0
+        while at + size <= len(buffer):
+            frame = buffer[at : at + size]
+            if frame.startswith(header) and crc16_bytes(frame[:-2]) == int.from_bytes(frame[-2:], "big"):
+                out.append((key[0], len(out), frame[len(header) : -2], skipped))
+                skipped, at = 0, at + size
+            else:
+                at, skipped = at + 1, skipped + 1
+        return pd.DataFrame(out, columns=[by, "number", "payload", "skipped"])
+
+    return chunks.groupBy(by).applyInPandas(run, f"{by} {dict(chunks.dtypes)[by]}, number long, payload binary, skipped long")

@@ -91,3 +91,17 @@ def test_exports(spark, tmp_path):
     assert (e.t_s, e.qw, e.speed_valid) == (0.75, 0.123457, 1)
     m = sinks.marker_export(spark.createDataFrame([(True, True), (False, True), (False, False)], "seen boolean, supported boolean"))
     assert [r.source for r in m.collect()] == ["camera", "imu_fill", "unsupported"]
+
+
+def test_checked_frames(spark):
+    def frame(k):
+        body = b"\xa5\x5a" + bytes([k]) * 38
+        return body + files.crc16_bytes(body).to_bytes(2, "big")
+
+    assert files.crc16_bytes(b"123456789") == 0x29B1
+    broken = bytearray(frame(2))
+    broken[10] ^= 1
+    data = b"??" + frame(0) + frame(1) + bytes(broken) + frame(3) + frame(4)[:20]
+    chunks = spark.createDataFrame([("s", k, data[17 * k : 17 * k + 17]) for k in range(-(-len(data) // 17))], "session string, seq long, data binary")
+    got = files.checked_frames(chunks).orderBy("number").collect()
+    assert [bytes(r.payload)[0] for r in got] == [0, 1, 3] and [r.skipped for r in got] == [2, 0, 42]
