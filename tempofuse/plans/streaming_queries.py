@@ -22,6 +22,12 @@ def batch_ring_windows(spark, d):
     return rings.ring_windows(samples(spark, d).withColumnRenamed("v", "signal"), 24.0, 24.0, 60.0, 12.0, 1e9)
 
 
+@query()
+def stream_count_windows(spark, d):
+    """Windows of so many rows about a trigger; held against the state machine in the tests."""
+    return flows.drained(rings.ring_windows(flows.event_stream(spark, d), 3, 4, 60.0, 48.0, rows=True))
+
+
 _CLOSED = "(SELECT max(epoch_us(ts)) - 3600000000 AS mark FROM events)"
 
 

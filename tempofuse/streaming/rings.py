@@ -68,6 +68,55 @@ class Ring:
         return out
 
 
+@dataclass
+class CountRing:
+    """State of one session of a ring that counts rows: `before` rows before the trigger and `after` from it on.
+
+    A step over most_gap, or a signal that is not a number, empties the ring, and a quiet row is needed before the next
+    edge. The last rows of a window are the first of what comes before the next; a window that ends above the threshold
+    waits for a quiet row.
+    """
+
+    before: int
+    after: int
+    threshold: float
+    most_gap: float
+    started: float | None = None
+    last: float | None = None
+    below: bool = False
+    trigger: float | None = None
+    gaps: int = 0
+    ts: list[float] = field(default_factory=list)
+    xs: list[float] = field(default_factory=list)
+
+    def push(self, t: float, x: float) -> tuple | None:
+        if self.last is not None and t <= self.last:
+            return None
+        if x != x or (self.last is not None and t - self.last > self.most_gap):
+            self.gaps += 1
+            self.trigger, self.below, self.ts, self.xs = None, False, [], []
+            if x != x:
+                self.last = t
+                return None
+        self.last = t
+        if self.trigger is None and x > self.threshold and self.below and len(self.ts) >= self.before:
+            self.trigger = t
+            del self.ts[: len(self.ts) - self.before], self.xs[: len(self.xs) - self.before]
+        self.ts.append(t), self.xs.append(x)
+        self.below = x <= self.threshold
+        if self.trigger is None:
+            del self.ts[: -self.before], self.xs[: -self.before]
+        elif len(self.ts) == self.before + self.after:
+            return self.close(True)
+        return None
+
+    def close(self, complete: bool) -> tuple:
+        out = self.trigger, self.ts[0], self.ts[-1], self.before, len(self.ts) - self.before, self.gaps, max(self.xs), complete
+        self.trigger = None
+        del self.ts[: -self.before], self.xs[: -self.before]
+        return out
+
+
 def _frame(session, found: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in OUTPUT.split(", ")][1:]
     out = pd.DataFrame(found, columns=names)
@@ -75,15 +124,15 @@ def _frame(session, found: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def ring_windows(df: DataFrame, before: float, after: float, threshold: float, most_gap: float, reboot: float = 0.5, silence_ms: int = 0) -> DataFrame:
-    """Windows of each session, one row each, of a batch or a stream.
+def ring_windows(df: DataFrame, before: float, after: float, threshold: float, most_gap: float, reboot: float = 0.5, silence_ms: int = 0, rows: bool = False) -> DataFrame:
+    """Windows of each session, one row each, of a batch or a stream. With rows, before and after are numbers of rows.
 
     On a stream the state of a session is its ring alone. With silence_ms, a window whose session falls silent for so
     long is closed with what it has (complete is false); no rows are made up.
     """
 
-    def fresh() -> Ring:
-        return Ring(before, after, threshold, most_gap, reboot)
+    def fresh() -> Ring | CountRing:
+        return CountRing(int(before), int(after), threshold, most_gap) if rows else Ring(before, after, threshold, most_gap, reboot)
 
     if not df.isStreaming:
 

@@ -137,3 +137,25 @@ def test_angle_to_horizontal_of_nothing_is_null(spark):
     z = F.lit(0.0)
     assert spark.range(1).select(V.angle_to_horizontal((z, z, z), (z, F.lit(1.0), z))).first()[0] is None
     assert math.isclose(spark.range(1).select(V.angle_to_horizontal((z, F.lit(2.0), z), (z, F.lit(1.0), z))).first()[0], 90.0)
+
+
+def test_ring_of_rows():
+    ring = rings.CountRing(50, 40, 10.0, 0.004)
+    out = [ring.push(0.0025 * k, 20.0 if k >= 80 else 0.0) for k in range(200)]
+    found = [w for w in out if w]
+    assert len(found) == 1 and found[0][0] == pytest.approx(0.2) and found[0][3:5] == (50, 40)
+    ring = rings.CountRing(5, 2, 10.0, 0.004)
+    for k in range(60):
+        ring.push(0.0025 * k, 0.0)
+    ring.push(0.0025 * 59 + 0.01, 20.0)  # after a gap: no edge without a quiet row before
+    assert ring.gaps == 1 and ring.trigger is None and len(ring.ts) == 1
+    ring = rings.CountRing(2, 2, 10.0, 1.0)
+    assert [bool(ring.push(t, x)) for t, x in [(0, 0), (0.1, 0), (0.1, 99), (0.2, 20), (0.3, float("nan")), (0.4, 20)]] == [False] * 6
+
+
+def test_stream_of_row_rings_equals_batch(spark):
+    live = QUERIES["stream_count_windows"](spark, SF).toPandas().sort_values(["session", "trigger_t"]).reset_index(drop=True)
+    from tempofuse.sources.tables import samples
+
+    batch = rings.ring_windows(samples(spark, SF).withColumnRenamed("v", "signal"), 3, 4, 60.0, 48.0, rows=True).toPandas().sort_values(["session", "trigger_t"]).reset_index(drop=True)
+    assert live.equals(batch)
