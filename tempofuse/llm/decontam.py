@@ -243,4 +243,5 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")
+    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "contaminated", (~F.col("contaminated")).alias("kept"), "n_items", "item_ids", "max_similarity")

@@ -20,11 +20,16 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROP = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas video audio dialog menu label input".split())
 _MAIN = frozenset(("article", "main"))
+_CONTAINERS = frozenset("article body div main section td".split())
+#: Share of the high cluster's text that the region's container holds at least.
+HELD = 0.7
 #: Names of parts that are not the article, as whole words of a class, id or role.
 _PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline-share|comments?|commentlist|complementary|consent|contentinfo|cookies?|disqus|discussion|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|teaser|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ads[a-z]\w*|advert\w*|breadcrumbs?|byline-share|comments?|commentlist|complementary|consent|cookies?|disqus|discussion|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|teaser|toolbar|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names that are a page's head or foot outside an article, and a part of it inside.
+_OUTER = re.compile(r"(?:^|[\s_-])(?:banner|contentinfo|header|masthead|top-?bar)(?:$|[\s_-])", re.IGNORECASE)
 _PARAGRAPH_ENDS = _BLOCK - {"body", "html", "head"}
 #: A start tag that ends an open element of the same family.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -36,6 +41,7 @@ class Block:
     tags: int = 0
     linked: int = 0
     main: int = 0
+    inside: tuple[int, ...] = ()
 
 
 class _Reader(HTMLParser):
@@ -43,8 +49,9 @@ class _Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it drops, main container that it opened
-        self.drops = self.links = self.mains = 0
+        #: element, whether it drops, main container that it opened, container that it is
+        self.open: list[tuple[str, bool, int, int]] = []
+        self.drops = self.links = self.mains = self.containers = 0
         self.now = Block()
         self.blocks: list[Block] = []
 
@@ -54,10 +61,11 @@ class _Reader(HTMLParser):
             self.now = Block()
         else:  # tags between blocks weigh on the next
             self.now.text = []
-        self.now.main = next((m for _, _, m in reversed(self.open) if m), 0)
+        self.now.main = next((x[2] for x in reversed(self.open) if x[2]), 0)
+        self.now.inside = tuple(x[3] for x in self.open if x[3])
 
     def _pop(self, k: int) -> None:
-        for tag, drop, _ in self.open[k:]:
+        for tag, drop, _, _ in self.open[k:]:
             self.drops -= drop
             self.links -= tag == "a"
         del self.open[k:]
@@ -82,14 +90,17 @@ class _Reader(HTMLParser):
                 self._break()
             return
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        inside = any(m for _, _, m in self.open)
-        drop = tag in _DROP or (tag == "header" and not inside) or (tag not in ("body", "html", "main", "h1", "b", "i", "em", "strong") and bool(named) and bool(_PARTS.search(named)) and not (tag == "header" and inside))
+        inside = any(x[2] for x in self.open)
+        nameless = tag in ("body", "html", "main", "h1", "b", "i", "em", "strong")
+        drop = tag in _DROP or (tag == "header" and not inside) or (not nameless and bool(named) and bool(_PARTS.search(named) or (not inside and _OUTER.search(named))))
         drop = drop or any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "")) or (k == "aria-hidden" and v == "true") for k, v in attrs)
         main = 0
         if not drop and (tag in _MAIN or any(k == "role" and v == "main" for k, v in attrs)):
             self.mains += 1
             main = self.mains
-        self.open.append((tag, drop, main))
+        container = tag in _CONTAINERS
+        self.containers += container
+        self.open.append((tag, drop, main, self.containers * container))
         self.drops += drop
         self.links += tag == "a"
         if tag in _BLOCK:
@@ -136,8 +147,8 @@ def extract(html: str) -> str:
 
     The ratio of text to tags of each block is smoothed and parted in two clusters. Where the page has an article or
     main element, all the blocks of each such element in which the high cluster has a block are the text (of each
-    one, if it has none); elsewhere the region from the first to the last block of the high cluster is, without
-    blocks that are mostly links.
+    one, if it has none); elsewhere the blocks of the innermost container that holds most of the high cluster's text
+    are (without any container, the region from its first to its last block), but for those that are mostly links.
     """
     reader = _Reader()
     reader.feed(html)
@@ -152,8 +163,21 @@ def extract(html: str) -> str:
     mains = {b.main for (_, b), h in zip(blocks, high, strict=True) if h and b.main} or {b.main for _, b in blocks if b.main}
     if mains:
         return "\n".join(t for t, b in blocks if b.main in mains)
-    at = np.flatnonzero(high)
-    return "\n".join(t for t, b in blocks[at[0] : at[-1] + 1] if b.linked <= LINK_SHARE * len(t))
+    weight = {}
+    for (t, b), h in zip(blocks, high, strict=True):
+        for depth, c in enumerate(b.inside, 1):
+            if h:
+                have = weight.get(c, (0, depth))[0]
+                weight[c] = have + len(t), depth
+    whole = sum(len(t) for (t, _), h in zip(blocks, high, strict=True) if h)
+    held = [(depth, c) for c, (n, depth) in weight.items() if n >= HELD * whole]
+    if held:
+        region = max(held)[1]
+        chosen = [(t, b) for t, b in blocks if region in b.inside]
+    else:
+        at = np.flatnonzero(high)
+        chosen = blocks[at[0] : at[-1] + 1]
+    return "\n".join(t for t, b in chosen if b.linked <= LINK_SHARE * len(t))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
