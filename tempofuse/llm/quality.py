@@ -148,6 +148,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, where=N
         ids = ids.where(where)
     ids = ids.groupBy(id_col).agg(F.max(column).cast("int").alias("__tf_y")).orderBy(F.xxhash64(F.lit(7), id_col), id_col).limit(rows)
     got = docs.select(F.col(id_col), F.col(text_col).alias("__tf_t")).join(F.broadcast(ids), id_col).orderBy(F.xxhash64(F.lit(7), id_col), id_col).select("__tf_t", "__tf_y").limit(rows).toArrow()
+    pa.default_memory_pool().release_unused()
     return got.column(0).combine_chunks(), got.column(1).to_numpy()
 
 

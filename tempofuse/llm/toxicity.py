@@ -16,7 +16,7 @@ from tempofuse.llm.quality import labelled
 BITS = 20
 BUCKETS = 1 << BITS
 #: Labelled rows that the model is fitted on, at most: those of the least hash of doc_id outside the held-out fifth.
-TRAIN_ROWS = 12000
+TRAIN_ROWS = 6000
 REJECT_AT = 0.5
 #: Bytes of a longer word's beginnings that count as features beside it.
 STEMS = (4, 5)
@@ -94,7 +94,7 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 60, l2: float = 3e-5,
     if n < 8 or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), -40.0, 0.0)
     parts, first = [], 0
-    for batch in chunks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t"):
+    for batch in chunks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", 1 << 19):
         parts.append((batch.column(0), first))
         first += batch.num_rows
     df, share = np.zeros(BUCKETS), np.zeros(BUCKETS)
