@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -22,7 +21,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs; a longer table is packed in as many groups, whose emptiest bins meet in later rounds.
 GROUP_PIECES = 40_000
 #: Words whose ids a worker keeps, twice.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 #: Bins that one local search looks at, and its steps at most.
 SEARCH_BINS = 48
 SEARCH_STEPS = 400
@@ -73,20 +72,29 @@ class _Words:
             for (w, _), ids in zip(some, self._encode([s for _, s in some]), strict=True):
                 self.young[w] = ids.tobytes()
 
+    def _recall(self, words: set[bytes]) -> None:
+        """Take over what the old generation knows, and leave the rest in words."""
+        known = words & self.old.keys()
+        for w in known:
+            self.young[w] = self.old[w]
+        words -= known
+
     def ids(self, texts: list[list[bytes]]) -> list[bytes]:
         if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
         new = set().union(*texts).difference(self.young)
-        for w in new & self.old.keys():
-            self.young[w] = self.old[w]
-        self.learn(new - self.old.keys())
+        self._recall(new)
+        # a full stop or comma after a letter or digit is a token of its own: such words are made of two
+        ended = {w for w in new if w[-1] in b".," and w[-2:-1].isalnum()}
+        base = {w[:-1] for w in ended} | {w[-1:] for w in ended}
+        base -= self.young.keys()
+        self._recall(base)
+        self.learn((new - ended) | base)
+        for w in ended:
+            self.young[w] = self.young[w[:-1]] + self.young[w[-1:]]
         return [b"".join(map(self.young.__getitem__, words)) for words in texts]
 
 
-#: A full stop or comma between a letter or digit and white space is a token of its own.
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \t-\r]|\Z)")
-
-
 def token_bytes(texts: list[bytes], path: str | None = None) -> list[bytes]:
     """Ids of each text, as little-endian uint32, without the end id.
 
@@ -96,7 +104,7 @@ def token_bytes(texts: list[bytes], path: str | None = None) -> list[bytes]:
     if path not in _loaded:
         _loaded[path] = _Words(path)
     # split() parts at ASCII white space only; other space stays inside words, and so do the strings of special tokens
-    return _loaded[path].ids([(t if b"<|" in t else _STOP.sub(rb" \1", t.lower())).split() for t in texts])
+    return _loaded[path].ids([(t if b"<|" in t else t.lower()).split() for t in texts])
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
