@@ -150,35 +150,80 @@ def _near(sig: np.ndarray, n: np.ndarray, i: int) -> np.ndarray:
     return equal
 
 
+def _met(n, sig, mine: np.ndarray, others: np.ndarray) -> tuple[int, int] | None:
+    """Some candidate pair of a row of mine and one of others."""
+    if len(mine) > len(others):
+        mine, others = others, mine
+    for i in mine:
+        equal = (sig[others] == sig[i]).sum(axis=1)
+        at = np.flatnonzero((equal >= CANDIDATE) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i])))
+        if len(at):
+            return int(i), int(others[at[0]])
+    return None
+
+
+def _span_hung(key, n, sig, heads: np.ndarray, head: np.ndarray, tree: np.ndarray, out: list) -> None:
+    """Join the trees of heads (tree, by head) that only rows hung on heads (head, by row) hold together.
+
+    A row is as far from others as its head, give or take the positions in which the two differ; so that groups of a
+    head and its rows meet row by row only where their heads, sizes and these positions leave a candidate possible.
+    """
+    far = POSITIONS - (sig == sig[heads[head]]).sum(axis=1)
+    order = np.argsort(head, kind="stable")
+    groups = np.split(order, np.cumsum(np.bincount(head, minlength=len(heads)))[:-1])
+    most, small, big = (np.array([f(x[g]) for g in groups]) for f, x in ((np.max, far), (np.min, n), (np.max, n)))
+    count = np.array([len(g) for g in groups])
+    own = sig[heads]
+    tree = tree.copy()
+    largest = np.argmax(np.bincount(tree, weights=count))
+    for i in np.flatnonzero(tree != largest):
+        others = np.flatnonzero((count > 1) | (count[i] > 1))  # single rows have met each other as heads
+        reach = (own[others] == own[i]).sum(axis=1) + most[others] + most[i]
+        others = others[(reach >= CANDIDATE) & (100 * big[i] >= PERCENT * small[others]) & (100 * big[others] >= PERCENT * small[i])]
+        for j in others:
+            if tree[i] == tree[j]:
+                continue
+            mine = groups[i][(sig[groups[i]] == own[j]).sum(axis=1) + most[j] >= CANDIDATE]
+            pair = _met(n, sig, mine, groups[j][(sig[groups[j]] == own[i]).sum(axis=1) + most[i] >= CANDIDATE])
+            if pair is not None:
+                out.append((key[pair[0]], key[pair[1]]))
+                tree[tree == tree[j]] = tree[i]
+
+
 def _forest(key: np.ndarray, n: np.ndarray, sig: np.ndarray, out: list) -> None:
     """Candidate pairs of a node that span it, the most similar first (Prim). In a large node the rows that are surely
-    similar to an earlier one hang on it, and the others are spanned."""
+    similar to an earlier one hang on it, the others are spanned, and what is still apart is joined by hung rows."""
     rows = np.arange(len(key))
-    if len(key) > MATRIX_NODE:
-        free = np.ones(len(key), dtype=bool)
+    large = len(key) > MATRIX_NODE
+    if large:
+        head = np.full(len(key), -1)
         heads = []
         for i in range(len(key)):
-            if free[i]:
-                free[i] = False
+            if head[i] < 0:
+                mine = np.flatnonzero((_near(sig, n, i) >= SURE) & (head < 0))
+                head[mine] = head[i] = len(heads)
                 heads.append(i)
-                mine = np.flatnonzero((_near(sig, n, i) >= SURE) & free)
-                free[mine] = False
                 out.extend((key[i], k) for k in key[mine])
         rows = np.array(heads)
-    key, n, sig = key[rows], n[rows], sig[rows]
-    left = np.ones(len(key), dtype=bool)
-    best, parent = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
-    i = 0
+    keys, sizes, sigs = key[rows], n[rows], sig[rows]
+    left = np.ones(len(rows), dtype=bool)
+    best, parent = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+    tree = np.zeros(len(rows), dtype=np.int64)
+    i = trees = 0
     while True:
-        left[i] = False
-        equal = _near(sig, n, i)
+        left[i], tree[i] = False, trees
+        equal = _near(sigs, sizes, i)
         better = left & (equal > best)
         best[better], parent[better] = equal[better], i
         i = int(np.argmax(np.where(left, best, -1)))
         if not left[i]:
-            return
+            break
         if best[i]:
-            out.append((key[parent[i]], key[i]))
+            out.append((keys[parent[i]], keys[i]))
+        else:
+            trees += 1
+    if large and trees and len(rows) < len(key):
+        _span_hung(key, n, sig, rows, head, tree, out)
 
 
 def _walk(path: int, depth: int, key, n, sig, out) -> None:

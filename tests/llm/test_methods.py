@@ -81,6 +81,48 @@ def test_links_between_parts_are_found_in_blocks(spark, docs):
     assert parts == want or {frozenset(p) for p in parts} >= {frozenset(p) for p in want if least not in p}
 
 
+def test_rows_near_hung_rows_only_are_spanned():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 256, near_dedup.POSITIONS, dtype=np.uint8)
+
+    def changed(sig, k):
+        out = sig.copy()
+        out[r.choice(near_dedup.POSITIONS, k, replace=False)] ^= 255
+        return out
+
+    # r (100) hangs on the head h (103); x (81) is near r and too small for h, as are those that hang on x
+    sig = np.array([base] + [changed(base, 2) for _ in range(450)] + [changed(base, 10)] * 3 + [r.integers(0, 256, near_dedup.POSITIONS, dtype=np.uint8)])
+    n = np.array([103] * 450 + [100] + [81] * 3 + [103])
+    out = []
+    near_dedup._forest(np.arange(len(n)), n, sig, out)
+    assert groups_of(out, len(n)) == [0] * 454 + [454]
+    # any node: its trees are those of all candidate pairs
+    for m in (500, 900):
+        roots = r.integers(0, 256, (6, near_dedup.POSITIONS), dtype=np.uint8)
+        roots[1:4] = [changed(roots[0], k) for k in (24, 27, 30)]
+        sig = np.array([changed(roots[r.integers(6)], r.integers(0, 6)) for _ in range(m)])
+        n = r.choice([64, 66, 80, 82, 100, 103], m)
+        out = []
+        near_dedup._forest(np.arange(m), n, sig, out)
+        every = [(i, int(j)) for i in range(m) for j in np.flatnonzero(near_dedup._near(sig, n, i))]
+        assert {tuple(p) for p in out} <= set(every)
+        assert groups_of(out, m) == groups_of(every, m)
+
+
+def groups_of(pairs, m):
+    root = list(range(m))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(int(a)), find(int(b))))
+        root[y] = x
+    return [find(i) for i in range(m)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (20, 21)] + [(100 + k, 101 + k) for k in range(40)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
