@@ -4,7 +4,8 @@ Documents of equal shingle sets are one class and stand for each other. Classes
 a byte each. In each of TREES independent trees a node selects some of the minwise positions, by a hash of its path,
 and passes its rows to one child for each position and value. Small nodes are compared exhaustively by sketch, and
 pairs that may be similar enough are confirmed on full sets. Nodes are dealt to tasks by path; a node with too many
-rows for a task is branched across the cluster, and within its task a node is branched on until it is small or dense.
+rows for a task is branched across the cluster, and within its task a node is branched on until it is small or dense. A node
+that is too large even at the greatest depth, as that of a group of near copies, is compared in blocks of bounded size.
 
 A node gives a spanning forest of its candidate pairs, the most similar first, and not all of them: these are enough to
 tell which documents any chain of candidates holds together (a cluster), and confirming them links most of a group
@@ -37,6 +38,8 @@ MATRIX_NODE = 400
 #: Rows of a node that one task takes.
 NODE_ROWS = 50_000
 MOST_DEPTH = 9
+#: Rows of a node beyond MOST_DEPTH that all its blocks share.
+PIVOTS = 64
 FILTER_BITS = 1 << 26
 #: Rows of a cluster that meet as many others in one task.
 BLOCK = 256
@@ -264,21 +267,107 @@ def _node(depth: int):
     return node
 
 
+def _columns(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return group["key"].to_numpy(), group["n"].to_numpy(), np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(-1, POSITIONS)
+
+
+def _block(group: pd.DataFrame) -> pd.DataFrame:
+    """A block's pairs (a, b), and as rows (a, null, n, sig) those that it does not hold together with most pivots."""
+    group = group.sort_values("key", kind="stable")
+    key, n, sig = _columns(group)
+    pivot = group["pivot"].to_numpy()
+    out: list[tuple[int, int]] = []
+    _forest(key, n, sig, out)
+    # which pivots most pivots are tied to is the same in every block, as it follows from the pivots alone
+    ties: list[tuple[int, int]] = []
+    if pivot.any():
+        _forest(key[pivot], n[pivot], sig[pivot], ties)
+    label = _trees(key[pivot], ties)
+    main = key[pivot][label == np.argmax(np.bincount(label))] if len(label) else key[:0]
+    tree = _trees(key, out + ties)
+    minor = ~np.isin(tree, tree[np.isin(key, main)])
+    pairs = np.array(out + ties, dtype=np.int64).reshape(-1, 2)
+    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    some = group[minor]
+    found = pd.DataFrame({"a": pairs[:, 0], "b": pd.array(pairs[:, 1], dtype="Int64"), "n": 0, "sig": None})
+    rest = pd.DataFrame({"a": some["key"], "b": pd.array([None] * len(some), dtype="Int64"), "n": some["n"], "sig": some["sig"]})
+    return pd.concat([found, rest]).assign(path=group["path"].iloc[0])[["path", "a", "b", "n", "sig"]]
+
+
+def _trees(key: np.ndarray, pairs: list) -> np.ndarray:
+    """The tree of each row, by number, that pairs of keys (sorted, distinct) make."""
+    root = list(range(len(key)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    ends = np.searchsorted(key, np.array(pairs, dtype=np.int64).reshape(-1, 2))
+    for x, y in ends.tolist():
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return np.array([find(i) for i in range(len(key))], dtype=np.int64)
+
+
+def _meeting(group: pd.DataFrame) -> pd.DataFrame:
+    """The pairs with a minor row that span a block's rows and a block of minor rows; all others hold together already."""
+    group = group.sort_values("key", kind="stable").drop_duplicates("key")
+    key, n, sig = _columns(group)
+    out: list[tuple[int, int]] = []
+    _forest(key, n, sig, out)
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    minor = key[group["minor"].to_numpy()]
+    pairs = np.unique(np.sort(pairs[np.isin(pairs, minor).any(axis=1)], axis=1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _unparted(rows: DataFrame, heavy: DataFrame, node_rows: int) -> DataFrame:
+    """(a, b) that span the candidate pairs of nodes (heavy: path, count) with too many rows for a task.
+
+    A node's rows are dealt to blocks of half as many rows as a task takes, and each block has the node's pivots too.
+    Rows that a block holds together with most of the pivots are held together in the node. All others (minor rows)
+    then meet all rows of the node, block by block. In a group of near copies few rows are minor; the blocks that a row
+    goes to are the node's minor rows over the size of a block.
+    """
+    half = max(node_rows // 2, 1)
+    turn = F.xxhash64("key")
+    rows = stored(rows.join(heavy, "path").withColumn("blocks", F.ceil(F.col("count") / half)).withColumn("pivot", F.pmod(F.xxhash64("key", "path"), F.col("count")) < min(PIVOTS, half)))
+    own = rows.where("not pivot").withColumn("block", F.pmod(turn, "blocks"))
+    shared = rows.where("pivot").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["path", "block", "pivot", "key", "n", "sig"]
+    blocks = stored(own.select(columns).unionByName(shared.select(columns)).groupBy("path", "block").applyInPandas(_block, "path long, a long, b long, n long, sig binary"))
+    minors = stored(blocks.where("b is null").select("path", F.col("a").alias("key"), "n", "sig").dropDuplicates(["path", "key"]))
+    pairs = blocks.where("b is not null").select("a", "b")
+    if minors.isEmpty():
+        return pairs
+    shape = minors.groupBy("path").agg(F.ceil(F.count("*") / half).alias("minors"))
+    flagged = rows.join(minors.select("path", "key", F.lit(True).alias("minor")), ["path", "key"], "left").withColumn("minor", F.coalesce("minor", F.lit(False)))
+    every = flagged.join(shape, "path").withColumn("x", F.pmod(turn, "blocks")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)))
+    few = minors.join(shape, "path").join(heavy.select("path", F.ceil(F.col("count") / half).alias("blocks")), "path")
+    few = few.withColumn("y", F.pmod(turn, "minors")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("minor", F.lit(True))
+    columns = ["path", "x", "y", "minor", "key", "n", "sig"]
+    return pairs.unionByName(every.select(columns).unionByName(few.select(columns)).groupBy("path", "x", "y").applyInPandas(_meeting, "a long, b long"))
+
+
 def candidate_pairs(classes: DataFrame, trees: int = TREES, node_rows: int = NODE_ROWS) -> DataFrame:
     """Distinct (a, b), a < b, of classes (key, n, sig) that may be similar enough, and that span all such pairs."""
     roots = F.explode(F.array(*[F.lit(int(x)) for x in _signed(seeds(trees, 41))]))
-    rows, depth, leaves = _branch(classes.withColumn("path", roots).select("path", "key", "n", "sig"), 0), 1, []
+    rows, depth, leaves, found = _branch(classes.withColumn("path", roots).select("path", "key", "n", "sig"), 0), 1, [], None
     while True:
-        if depth >= MOST_DEPTH:
-            break
-        heavy = stored(rows.groupBy("path").count().where(F.col("count") > node_rows).select("path"))
+        heavy = stored(rows.groupBy("path").count().where(F.col("count") > node_rows))
         if heavy.isEmpty():
             break
         rows = stored(rows)
         leaves.append((rows.join(heavy, "path", "left_anti"), depth))
-        rows, depth = _branch(rows.join(heavy, "path", "left_semi"), depth), depth + 1
-    leaves.append((rows, depth))
-    found = None
+        rows = rows.join(heavy.select("path"), "path", "left_semi")
+        if depth >= MOST_DEPTH:
+            found, rows = _unparted(rows, heavy, node_rows), None
+            break
+        rows, depth = _branch(rows, depth), depth + 1
+    if rows is not None:
+        leaves.append((rows, depth))
     for part, at in leaves:
         here = part.groupBy("path").applyInPandas(_node(at), "a long, b long")
         found = here if found is None else found.unionByName(here)

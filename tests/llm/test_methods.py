@@ -109,6 +109,48 @@ def test_rows_near_hung_rows_only_are_spanned():
         assert groups_of(out, m) == groups_of(every, m)
 
 
+def test_nodes_that_do_not_part_are_compared_in_bounded_blocks(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    r = np.random.default_rng(7)
+    base = r.integers(0, 256, near_dedup.POSITIONS, dtype=np.uint8)
+
+    def changed(sig, k):
+        out = sig.copy()
+        out[r.choice(near_dedup.POSITIONS, k, replace=False)] ^= r.integers(1, 255, k, dtype=np.uint8)
+        return out
+
+    # near copies; rows near the few of 100 only; pairs that are near each other only
+    sig = [changed(base, 1) for _ in range(500)] + [changed(base, 12) for _ in range(40)]
+    n = [103] * 490 + [100] * 10 + [81] * 40
+    for _ in range(20):
+        one = changed(base, 40)
+        sig, n = [*sig, one, changed(one, 4)], [*n, 103, 103]
+    sig, n, key = np.array(sig), np.array(n), np.sort(r.integers(-(1 << 62), 1 << 62, 580))
+    frame = [(1, int(k), int(c), x.tobytes()) for k, c, x in zip(key, n, sig, strict=True)]
+    rows = spark.createDataFrame(frame, "path long, key long, n long, sig binary").repartition(4)
+    most, apply = [], GroupedData.applyInPandas
+
+    def spy(self, *args):
+        most.append(self.count().agg(F.max("count")).first()[0])
+        return apply(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", spy)
+    heavy = rows.groupBy("path").count()
+    got = [(r.a, r.b) for r in near_dedup._unparted(rows, heavy, 200).collect()]
+    every = [(i, int(j)) for i in range(580) for j in np.flatnonzero(near_dedup._near(sig, n, i))]
+    pairs = np.searchsorted(key, np.array(got))
+    assert {tuple(p) for p in pairs.tolist()} <= set(every)
+    assert groups_of(pairs, 580) == groups_of(every, 580)
+    assert len(most) == 2 and max(most) <= 1.5 * 200
+    # through all levels
+    most.clear()
+    got = near_dedup.candidate_pairs(rows.drop("path"), trees=1, node_rows=200).collect()
+    assert max(x or 0 for x in most) <= 1.5 * 200
+    pairs = np.searchsorted(key, np.array([(r.a, r.b) for r in got]))
+    assert len(set(groups_of(pairs, 580)[:490])) < 20
+
+
 def groups_of(pairs, m):
     root = list(range(m))
 
