@@ -22,9 +22,6 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES = 40_000
 #: Words whose ids a worker keeps, twice.
 MEMO_WORDS = 400_000
-#: Bins that one local search looks at, and its steps at most.
-SEARCH_BINS = 48
-SEARCH_STEPS = 400
 
 _loaded: dict[str | None, _Words] = {}
 
@@ -152,43 +149,84 @@ def best_fit(length: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], length: np.ndarray, capacity: int, steps: int = SEARCH_STEPS, width: int = SEARCH_BINS) -> list[list[int]]:
-    """Moves and one-for-one and two-for-one exchanges between underfull bins, each of which raises the sum of squared
-    fills, until the number of bins is the least possible, no step helps, or the steps are used up."""
-    fill = [int(sum(length[i] for i in b)) for b in bins]
-    least = -(-sum(fill) // capacity)
-    live = len(bins)
-    for _ in range(steps):
-        if live <= least:
-            break
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=fill.__getitem__)[:width]
-        best = None  # (gain, from, to, out, back)
-        for x, a in enumerate(under):
-            for b in reversed(under[x + 1 :]):
-                room = capacity - fill[b]
-                ones = sorted((int(length[i]), i) for i in bins[a])
-                twos = sorted((ones[p][0] + ones[q][0], (ones[p][1], ones[q][1])) for p in range(len(ones)) for q in range(p)) if len(ones) <= 40 else []
-                outs = [(n, (i,)) for n, i in ones] + twos
-                outs.sort(key=lambda o: o[0])
-                sizes = [o[0] for o in outs]
-                for n_back, back in [(0, ())] + [(int(length[j]), (j,)) for j in bins[b]]:
-                    # the largest that fits once the piece coming back has left
-                    k = bisect_left(sizes, room + n_back + 1) - 1
-                    if k < 0 or sizes[k] <= n_back:
-                        continue
-                    d = sizes[k] - n_back
-                    gain = (fill[b] + d) ** 2 + (fill[a] - d) ** 2 - fill[a] ** 2 - fill[b] ** 2
-                    if gain > 0 and (best is None or gain > best[0]):
-                        best = gain, a, b, outs[k][1], back
-            if best is not None and best[1] == a:
-                break  # the emptiest bin that can give goes first
-        if best is None:
-            break
-        _, a, b, out, back = best
-        bins[a] = [i for i in bins[a] if i not in out] + list(back)
-        bins[b] = [j for j in bins[b] if j not in back] + list(out)
-        fill[a], fill[b] = (int(sum(length[i] for i in bins[k])) for k in (a, b))
-        live -= not bins[a]
+def _gives(of: list[int], length: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """The distinct sizes of one or two pieces of a bin, sorted, and pieces of each. Distinct sizes are few (under 91 in
+    4,096 tokens), however many the pieces."""
+    by: dict[int, list[int]] = {}
+    for i in of:
+        by.setdefault(int(length[i]), []).append(i)
+    sizes = sorted(by)
+    outs = {n: (by[n][0],) for n in sizes}
+    for x, n in enumerate(sizes):
+        if len(by[n]) > 1:
+            outs.setdefault(2 * n, (by[n][0], by[n][1]))
+        for m in sizes[:x]:
+            outs.setdefault(n + m, (by[n][0], by[m][0]))
+    have = sorted(outs)
+    return np.array(have, dtype=np.int64), [outs[n] for n in have]
+
+
+def local_search(bins: list[list[int]], length: np.ndarray, capacity: int) -> list[list[int]]:
+    """Moves and one-for-one and two-for-one exchanges from a bin to any fuller one with room, each of which raises the
+    sum of squared fills, until the number of bins is the least possible or no such step helps in the whole group."""
+    bins = [list(b) for b in bins]
+    fill = np.array([sum(int(length[i]) for i in b) for b in bins], dtype=np.int64)
+    least = -(-int(fill.sum()) // capacity)
+    live = int((fill > 0).sum())
+    if live <= least:
+        return [b for b in bins if b]
+    home = np.zeros(len(length), dtype=np.int64)
+    for k, b in enumerate(bins):
+        home[b] = k
+    length = np.asarray(length, dtype=np.int64)
+    gives: dict[int, tuple[np.ndarray, list[tuple[int, ...]]]] = {}
+
+    def outs(k: int):
+        if k not in gives:
+            gives[k] = _gives(bins[k], length)
+        return gives[k]
+
+    def givers() -> list[int]:
+        """Bins that can give, the emptiest first: from the fullest on, the sizes that some fuller bin can take."""
+        takes, found = np.zeros(capacity + 1, dtype=bool), []
+        for k in np.lexsort((np.arange(len(bins)), fill))[::-1].tolist():
+            if not 0 < fill[k] < capacity:
+                continue
+            sizes = outs(k)[0]
+            if takes[sizes].any():
+                found.append(k)
+            room = capacity - int(fill[k])
+            takes[1 : room + 1] = True
+            for n in {int(length[i]) for i in bins[k]}:
+                takes[n + 1 : n + room + 1] = True
+        return found[::-1]
+
+    def step(a: int) -> bool:
+        """The step of bin a that raises the squares most."""
+        sizes, what = outs(a)
+        fuller = (fill < capacity) & ((fill > fill[a]) | ((fill == fill[a]) & (np.arange(len(bins)) > a)))
+        backs = np.flatnonzero(fuller[home])  # pieces that may come back, and after them, nothing
+        to = np.concatenate([home[backs], np.flatnonzero(fuller)])
+        back = np.concatenate([length[backs], np.zeros(len(to) - len(backs), dtype=np.int64)])
+        at = np.searchsorted(sizes, capacity - fill[to] + back, side="right") - 1
+        d = np.where(at >= 0, sizes[at], 0) - back
+        gain = np.where(d > 0, d * (fill[to] - fill[a] + d), 0)
+        if not len(gain) or gain.max() <= 0:
+            return False
+        best = int(np.argmax(gain))
+        b, out = int(to[best]), what[at[best]]
+        some = (int(backs[best]),) if best < len(backs) else ()
+        bins[a] = [i for i in bins[a] if i not in out] + list(some)
+        bins[b] = [j for j in bins[b] if j not in some] + list(out)
+        home[list(out)], home[list(some)] = b, a
+        fill[a], fill[b] = fill[a] - d[best], fill[b] + d[best]
+        gives.pop(a, None), gives.pop(b, None)
+        return True
+
+    while live > least and (able := givers()):
+        for a in able:
+            while live > least and fill[a] > 0 and step(a):
+                live -= not bins[a]
     return [b for b in bins if b]
 
 

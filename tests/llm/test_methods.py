@@ -223,6 +223,17 @@ def test_local_search_empties_bins():
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(8))
 
 
+def test_local_search_looks_at_all_bins():
+    # 60 bins that nothing can be exchanged with are emptier than the bins that can be emptied
+    length = np.array([51] * 60 + [60, 60, 40, 40] * 300)
+    bins = [[i] for i in range(60)] + [[60 + 4 * k + j] for k in range(300) for j in range(4)]
+    got = packing.local_search(bins, length, 100)
+    assert sorted(i for b in got for i in b) == list(range(len(length)))
+    assert all(length[b].sum() <= 100 for b in got) and len(got) == 660
+    # bins of over 40 pieces give two, too
+    assert packing._gives(list(range(45)), np.ones(45, dtype=int))[0].tolist() == [1, 2]
+
+
 def test_lines_dropped_but_for_the_last_document(spark):
     line = "This line is in many documents."
     docs = spark.createDataFrame([(1, f"a\n{line}\nb"), (2, f" {line.upper()} \n\nc"), (3, f"{line}\n{line}"), (4, "short\nshort"), (5, "short"), (6, "short")], "doc_id long, text string")
