@@ -1,9 +1,15 @@
-"""Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering (operator 3)."""
+"""Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering (operator 3).
+
+The standard parser's events are turned into lines of text (a line ends where a block begins or ends). Each line has a
+ratio of its own text, links not counted, to the tags met since the line before. What elements and names say of a line
+is evidence that lowers its ratio. Ratios are smoothed along the page with a Gaussian and parted into two clusters at
+the threshold that keeps both tightest. The region of content is the smallest part of the page that holds most of the
+high cluster's text; its lines are the text, but for those that evidence speaks against.
+"""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
@@ -11,121 +17,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-#: Blocks on either side that the smoothing weighs with the Gaussian.
+#: Lines on either side that the smoothing weighs with the Gaussian.
 SIGMA = 1.5
-#: Share of a page's blocks in links beyond which a block outside any article is a menu.
+#: Share of a line in links beyond which it is a menu, if its smoothed ratio is low or evidence speaks against it.
 LINK_SHARE = 0.6
+#: Share of the high cluster's text that the region holds at least.
+HELD = 0.8
+#: Share of the page's text, links not counted, that elements of page furniture may take before they count as not closed.
+FURNITURE_SHARE = 0.8
+#: What a ratio is multiplied with: not of the article; perhaps not of it; nothing known.
+NEVER, DOUBT, CLEAR = 0.0, 0.3, 1.0
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_DROP = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas video audio dialog menu label input".split())
+#: Elements without text for readers.
+_SILENT = frozenset("script style noscript template head title button select option textarea iframe object svg canvas video audio dialog".split())
+#: Elements of page furniture, and of them those that an article may have as a part of it.
+_FURNITURE = frozenset("nav footer aside form menu header".split())
+_OWN = frozenset(("header",))
 _MAIN = frozenset(("article", "main"))
-_CONTAINERS = frozenset("article body div main section td".split())
-#: Share of the high cluster's text that the region's container holds at least.
-HELD = 0.7
-#: Names of parts that are not the article, as whole words of a class, id or role.
-_PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ads[a-z]\w*|advert\w*|breadcrumbs?|byline-share|comments?|commentlist|complementary|consent|cookies?|disqus|discussion|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|teaser|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Class, id or role names, whole, of parts that are not the article, wherever they are.
+_NEVER = frozenset(
+    (
+        "ad ads ad-slot ad-container ad-wrapper adsbygoogle advert adverts advertisement advertising banner-ad sponsored sponsor promo promotion "
+        "comments comment-list commentlist comment-section comments-area comment-form reader-comments disqus disqus_thread respond "
+        "sidebar side-bar site-sidebar cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr newsletter newsletter-signup subscribe signup "
+        "breadcrumb breadcrumbs menu navbar nav navigation main-menu site-nav pagination pager skip-link toolbar modal popup overlay notice notification "
+        "share-buttons sharing social social-share share-links related-posts related-articles related-links footer site-footer page-footer contentinfo complementary search-form login"
+    ).split()
 )
-#: Names that are a page's head or foot outside an article, and a part of it inside.
-_OUTER = re.compile(r"(?:^|[\s_-])(?:banner|contentinfo|header|masthead|top-?bar)(?:$|[\s_-])", re.IGNORECASE)
+#: Words within such names that are evidence only.
+_DOUBTED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|comments?|cookies?|discussion|footer|header|login|masthead|menu|nav|newsletter|popup|promo\w*|recommended|related|replies|search|share|sidebar|social|sponsor\w*|teaser|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
 _PARAGRAPH_ENDS = _BLOCK - {"body", "html", "head"}
-#: A start tag that ends an open element of the same family.
-_SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: A start tag that ends an open element of the same family, and what such an element cannot reach out of.
+_SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_BARRIERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+
 
+class Line:
+    __slots__ = ("factor", "furniture", "heading", "linked", "main", "part", "tags", "text")
 
-@dataclass
-class Block:
-    text: list[str] = field(default_factory=list)
-    tags: int = 0
-    linked: int = 0
-    main: int = 0
-    inside: tuple[int, ...] = ()
+    def __init__(self):
+        self.text: list[str] = []
+        self.tags = self.linked = self.main = self.part = 0
+        self.factor, self.furniture, self.heading = CLEAR, False, False
 
 
 class _Reader(HTMLParser):
-    """Blocks of text in page order, without the parts that are dropped by their element or name."""
+    """Lines of text in page order. Each event takes time that does not depend on how many elements are open."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: element, whether it drops, main container that it opened, container that it is
-        self.open: list[tuple[str, bool, int, int]] = []
-        self.drops = self.links = self.mains = self.containers = 0
-        self.now = Block()
-        self.blocks: list[Block] = []
+        #: of each open element: tag, silent, factor of it and all around it, inside furniture, outermost article, part
+        self.open: list[tuple[str, bool, float, bool, int, int]] = []
+        self.at: dict[str, list[int]] = {}  # places in open, by tag
+        self.silent = self.links = 0
+        self.unclosed = False  # whether some furniture has no end tag
+        self.parents = [0]  # the part that each part is in; part 0 is the page
+        self.now = Line()
+        self.lines: list[Line] = []
 
     def _break(self) -> None:
         if any(x.strip() for x in self.now.text):
-            self.blocks.append(self.now)
-            self.now = Block()
-        else:  # tags between blocks weigh on the next
+            self.lines.append(self.now)
+            self.now = Line()
+        else:  # tags between lines weigh on the next
             self.now.text = []
-        self.now.main = next((x[2] for x in reversed(self.open) if x[2]), 0)
-        self.now.inside = tuple(x[3] for x in self.open if x[3])
+        if self.open:
+            tag, _, self.now.factor, self.now.furniture, self.now.main, self.now.part = self.open[-1]
+            self.now.heading = tag == "h1"
+        else:
+            self.now.factor, self.now.furniture, self.now.main, self.now.part, self.now.heading = CLEAR, False, 0, 0, False
 
-    def _pop(self, k: int) -> None:
-        for tag, drop, _, _ in self.open[k:]:
-            self.drops -= drop
+    def _pop(self, k: int, ended: bool = False) -> None:
+        """Close the elements from place k on; the one at k has its own end tag, or not."""
+        while len(self.open) > k:
+            tag, silent, *_ = self.open.pop()
+            self.unclosed |= tag in _FURNITURE and not (ended and len(self.open) == k)
+            self.at[tag].pop()
+            self.silent -= silent
             self.links -= tag == "a"
-        del self.open[k:]
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        k = -1
+        for t in tags:
+            if (at := self.at.get(t)) and at[-1] > k:
+                k = at[-1]
+        return k
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
-            names = [x[0] for x in self.open]
-            if tag in _PARAGRAPH_ENDS and "p" in names:
-                self._pop(len(names) - 1 - names[::-1].index("p"))
-            elif tag in _SIBLINGS:
-                for k in range(len(names) - 1, -1, -1):
-                    if names[k] in _SIBLINGS[tag]:
-                        self._pop(k)
-                        break
-                    if names[k] in ("ul", "ol", "dl", "table", "div", "section", "article"):
-                        break
+            self._break()
+            if tag in _PARAGRAPH_ENDS and (k := self._last(("p",))) >= 0:
+                self._pop(k)
+            elif tag in _SIBLINGS and (k := self._last(_SIBLINGS[tag])) > self._last(_BARRIERS[tag]):
+                self._pop(k)
+            if tag in _MAIN and (k := min((self.at[t][0] for t in ("nav", "aside", "footer", "form", "menu") if self.at.get(t)), default=-1)) >= 0:
+                self._pop(k)  # no page has its article inside these: they were not closed
         if tag == "br":
             self.now.text.append(" ")
         self.now.tags += 1
         if tag in _VOID:
-            if tag in _BLOCK:
-                self._break()
             return
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        inside = any(x[2] for x in self.open)
-        nameless = tag in ("body", "html", "main", "h1", "b", "i", "em", "strong")
-        drop = tag in _DROP or (tag == "header" and not inside) or (not nameless and bool(named) and bool(_PARTS.search(named) or (not inside and _OUTER.search(named))))
-        drop = drop or any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "")) or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        main = 0
-        if not drop and (tag in _MAIN or any(k == "role" and v == "main" for k, v in attrs)):
-            self.mains += 1
-            main = self.mains
-        container = tag in _CONTAINERS
-        self.containers += container
-        self.open.append((tag, drop, main, self.containers * container))
-        self.drops += drop
+        _, _, factor, furniture, main, part = self.open[-1] if self.open else ("", False, CLEAR, False, 0, 0)
+        silent = tag in _SILENT
+        said = dict(attrs) if attrs else {}
+        if said and ("hidden" in said or said.get("aria-hidden") == "true" or "display:none" in (said.get("style") or "").replace(" ", "").lower()):
+            silent = True
+        if tag in _FURNITURE and not (main and tag in _OWN):
+            factor, furniture = NEVER, True
+        elif said and tag not in ("html", "body", "main", "article", "h1"):
+            names = " ".join(said.get(k) or "" for k in ("class", "id", "role")).lower()
+            if names.strip():
+                if not _NEVER.isdisjoint(names.split()):
+                    factor = NEVER
+                elif _DOUBTED.search(names):
+                    factor = min(factor, DOUBT)
+        if tag in _BLOCK and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd"):
+            self.parents.append(part)
+            part = len(self.parents) - 1
+        if not main and (tag in _MAIN or said.get("role") in ("main", "article")):
+            main = part or len(self.parents)
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, silent, factor, furniture, main, part))
+        self.silent += silent
         self.links += tag == "a"
         if tag in _BLOCK:
             self._break()
 
     def handle_endtag(self, tag):
         self.now.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if tag in _BLOCK:
-                    self._break()
-                self._pop(k)
-                break
+        if tag in _BLOCK:
+            self._break()
+        k = self._last((tag,))
+        if k >= 0:
+            self._pop(k, True)
         if tag in _BLOCK:
             self._break()
 
     def handle_data(self, data):
-        if not self.drops:
-            self.now.text.append(data)
-            if self.links:
-                self.now.linked += len(data.strip())
+        if self.silent:
+            return
+        if not self.now.text and self.open and (inner := self.open[-1])[2] < self.now.factor:
+            self.now.factor = inner[2] if data.strip() else self.now.factor  # a line that begins in an inline element of a name
+        self.now.text.append(data)
+        if self.links:
+            self.now.linked += len(data.strip())
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Weighted by a Gaussian of the distance in blocks; at the edges by what there is."""
+    """Weighted by a Gaussian of the distance in lines; at the edges by what there is."""
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     return np.convolve(x, kernel)[reach : reach + len(x)] / np.convolve(np.ones(len(x)), kernel)[reach : reach + len(x)]
@@ -142,42 +184,64 @@ def threshold(x: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2)
 
 
+def _region(weight: np.ndarray, part: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Of each part, whether it is in the smallest part that holds at least HELD of the weight of all lines."""
+    held = np.bincount(part, weights=weight, minlength=len(parents))
+    for p in range(len(parents) - 1, 0, -1):  # a part comes after the one that it is in
+        held[parents[p]] += held[p]
+    root = 0
+    for p in range(1, len(parents)):  # at most one part in another holds so much
+        if parents[p] == root and held[p] >= HELD * held[0]:
+            root = p
+    inside = np.zeros(len(parents), dtype=bool)
+    inside[root] = True
+    for p in range(root + 1, len(parents)):
+        inside[p] = inside[parents[p]]
+    return inside
+
+
 def extract(html: str) -> str:
-    """The article's blocks, one to a line; empty if there are none.
+    """The article's lines, joined by line breaks; empty if there are none.
 
-    The ratio of text to tags of each block is smoothed and parted in two clusters. Where the page has an article or
-    main element, all the blocks of each such element in which the high cluster has a block are the text (of each
-    one, if it has none); elsewhere the blocks of the innermost container that holds most of the high cluster's text
-    are (without any container, the region from its first to its last block), but for those that are mostly links.
+    Elements that are not closed end where the next of their kind, or an article, begins. Where almost all text of a
+    page is within page furniture that is not closed, such as a menu without an end, that evidence is given up. The region
+    grows to the outermost article or main element around it, and to the page's first heading before it. Within the
+    region a line goes only if evidence speaks against it for certain, or perhaps and its smoothed ratio is low, or if
+    its ratio is low and it is mostly links outside any article.
     """
     reader = _Reader()
     reader.feed(html)
     reader.close()
     reader._break()
-    blocks = [(" ".join("".join(b.text).split()), b) for b in reader.blocks]
-    if not blocks:
+    reader._pop(0)
+    lines = [(" ".join("".join(b.text).split()), b) for b in reader.lines]
+    if not lines:
         return ""
-    ratio = np.array([(len(t) - min(b.linked, len(t))) / max(b.tags, 1) for t, b in blocks])
-    level = smooth(np.log1p(ratio))
-    high = level >= threshold(level)
-    mains = {b.main for (_, b), h in zip(blocks, high, strict=True) if h and b.main} or {b.main for _, b in blocks if b.main}
-    if mains:
-        return "\n".join(t for t, b in blocks if b.main in mains)
-    weight = {}
-    for (t, b), h in zip(blocks, high, strict=True):
-        for depth, c in enumerate(b.inside, 1):
-            if h:
-                have = weight.get(c, (0, depth))[0]
-                weight[c] = have + len(t), depth
-    whole = sum(len(t) for (t, _), h in zip(blocks, high, strict=True) if h)
-    held = [(depth, c) for c, (n, depth) in weight.items() if n >= HELD * whole]
-    if held:
-        region = max(held)[1]
-        chosen = [(t, b) for t, b in blocks if region in b.inside]
-    else:
-        at = np.flatnonzero(high)
-        chosen = blocks[at[0] : at[-1] + 1]
-    return "\n".join(t for t, b in chosen if b.linked <= LINK_SHARE * len(t))
+    size = np.array([len(t) for t, _ in lines])
+    linked = np.minimum([b.linked for _, b in lines], size)
+    own = size - linked
+    factor = np.array([b.factor for _, b in lines])
+    furniture = np.array([b.furniture for _, b in lines])
+    if reader.unclosed and own[furniture].sum() > FURNITURE_SHARE * own.sum():
+        factor[furniture] = np.where([b.heading for _, b in lines], CLEAR, DOUBT)[furniture]
+    level = smooth(np.log1p(factor * own / np.maximum([b.tags for _, b in lines], 1)))
+    high = (level >= threshold(level)) & (factor > NEVER)
+    if not high.any():
+        high = factor > NEVER
+    part = np.array([b.part for _, b in lines])
+    main = np.array([b.main for _, b in lines])
+    inside = _region((own * high).astype(float), part, reader.parents)[part]
+    mains = np.unique(main[inside & high & (main > 0)])
+    if len(mains):  # the region grows to the articles that it is in or holds
+        within = np.isin(main, mains)
+        inside = (inside & ~(main == 0)) | within if own[high & within].sum() >= HELD * own[high].sum() else inside | within
+    elif inside.any():
+        heads = np.flatnonzero(np.array([b.heading for _, b in lines]) & (factor > NEVER))
+        if len(heads) and heads[0] < np.flatnonzero(inside)[0]:
+            inside[heads[0]] = True
+    menu = (linked > LINK_SHARE * size) & (main == 0)
+    keep = inside & (factor > NEVER) & (high | ((factor == CLEAR) & ~menu))
+    return "\n".join(t for (t, _), k in zip(lines, keep, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
