@@ -1,10 +1,10 @@
-"""Token packing: best fit, then swap-based local search between underfull bins (operator 5)."""
+"""Token packing by swap-based local search between underfull bins (operator 5)."""
 
 from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -13,21 +13,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tempofuse.llm.common import Texts, chunks, stored
+from tempofuse.llm.common import IS_SPACE, LOWER, Texts, chunks, prefix_hash, span_hash, stored
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs; a longer table is packed in as many groups, whose emptiest bins meet in later rounds.
-GROUP_PIECES = 40_000
-#: Words whose ids a worker keeps, twice.
-MEMO_WORDS = 400_000
+GROUP_PIECES = 10_000
+#: Words whose ids a worker remembers, and as many parts of words; ids that it keeps for them before it starts anew.
+MEMO_SLOTS = 1 << 19
+MEMO_IDS = 6_000_000
 
 _loaded: dict[str | None, _Words] = {}
 
+# Classes of bytes: letters, digits and other signs make up the tokenizer's parts of words. Words with any other byte
+# (beyond the letters of Latin-1), with an apostrophe or with the beginning of a special token are left to it whole.
+_LETTER, _DIGIT, _SIGN, _ODD = 1, 2, 3, 4
+_CLASS = np.full(256, _SIGN, dtype=np.uint8)
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[128:] = _CLASS[39] = _ODD
+_CLASS[IS_SPACE] = 0
+
+
+def _alphabet() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it is seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] in all, then the same of the next."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+class _Memo:
+    """Place and number of ids by hash, each hash at one place of a table; a newer one takes an older one's place."""
+
+    def __init__(self):
+        self.key = np.zeros(MEMO_SLOTS, dtype=np.uint64)
+        self.first, self.n = np.zeros(MEMO_SLOTS, dtype=np.int64), np.zeros(MEMO_SLOTS, dtype=np.int64)
+
+    def clear(self) -> None:
+        self.key[:] = 0
+
+    def of(self, h: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each; learn(indexes) gives both for those that are not known, one of each."""
+        slot = (h & np.uint64(MEMO_SLOTS - 1)).astype(np.int64)
+        known = self.key[slot] == h
+        first, n = self.first[slot], self.n[slot]
+        miss = np.flatnonzero(~known)
+        if len(miss):
+            _, one, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            a, b = learn(miss[one])
+            first[miss], n[miss] = a[which], b[which]
+            at = slot[miss[one]]
+            self.key[at], self.first[at], self.n[at] = h[miss[one]], a, b
+        return first, n
+
 
 class _Words:
-    """Ids of words, each a text of its own to the tokenizer, remembered in two generations."""
+    """Ids of words. The tokenizer lowers case, splits at white space, and splits words into runs of letters, single
+    digits and runs of other signs, before all else; so a text's ids are those of the parts of its words, joined, and
+    each distinct part is given to the tokenizer's model once and remembered."""
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,70 +87,84 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Ids of new words. Words of letters alone go many to a call, as each ends with the one token that ends words;
-        where the count of such tokens is another, and for all other words, each is encoded alone."""
-        plain, other = [], []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            (plain if s.isalpha() else other).append((w, s))
-        groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
-        for group, ids in zip(groups, self._encode([" ".join(s for _, s in g) for g in groups]), strict=True):
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(group) or last[-1] != len(ids):
-                other += group
-                continue
-            data, at = ids.tobytes(), 0
-            for (w, _), to in zip(group, last.tolist(), strict=True):
-                self.young[w] = data[4 * at : 4 * to]
-                at = to
-        for at in range(0, len(other), 5000):
-            some = other[at : at + 5000]
-            for (w, _), ids in zip(some, self._encode([s for _, s in some]), strict=True):
-                self.young[w] = ids.tobytes()
-
-    def _recall(self, words: set[bytes]) -> None:
-        """Take over what the old generation knows, and leave the rest in words."""
-        known = words & self.old.keys()
-        for w in known:
-            self.young[w] = self.old[w]
-        words -= known
-
-    def ids(self, texts: list[list[bytes]]) -> list[bytes]:
-        if len(self.young) > MEMO_WORDS:
-            self.old, self.young = self.young, {}
-        new = set().union(*texts).difference(self.young)
-        self._recall(new)
-        # a full stop or comma after a letter or digit is a token of its own: such words are made of two
-        ended = {w for w in new if w[-1] in b".," and w[-2:-1].isalnum()}
-        base = {w[:-1] for w in ended} | {w[-1:] for w in ended}
-        base -= self.young.keys()
-        self._recall(base)
-        self.learn((new - ended) | base)
-        for w in ended:
-            self.young[w] = self.young[w[:-1]] + self.young[w[-1:]]
-        return [b"".join(map(self.young.__getitem__, words)) for words in texts]
-
-
-def token_bytes(texts: list[bytes], path: str | None = None) -> list[bytes]:
-    """Ids of each text, as little-endian uint32, without the end id.
-
-    The tokenizer lowers case and splits at white space, and between letters and punctuation, before all else; so a
-    text's ids are those of its words joined, and each distinct word is encoded once and remembered.
-    """
+        self.model = self.tokenizer.model
+        self.alphabet = _alphabet()
+        self.words, self.parts = _Memo(), _Memo()
+        self.pool, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def _add(self, ids: np.ndarray) -> int:
+        at, need = self.used, self.used + len(ids)
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(need, 2 * len(self.pool)) - len(self.pool), dtype="<u4")])
+        self.pool[at:need] = ids
+        self.used = need
+        return at
+
+    def _add_all(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(x) for x in ids], dtype=np.int64)
+        at = self._add(np.array([i for x in ids for i in x], dtype="<u4"))
+        return at + np.cumsum(n) - n, n
+
+    def ids(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin (with the end)."""
+        if self.used > MEMO_IDS:
+            self.words.clear(), self.parts.clear()
+            self.used = 0
+        start, end, row = t.words()
+        low, kind = LOWER[t.buf], _CLASS[t.buf]
+        lead = np.flatnonzero(t.buf[:-1] == 0xC3)
+        latin = lead[(t.buf[lead + 1] != 0x97) & (t.buf[lead + 1] != 0xB7)]
+        kind[latin] = kind[latin + 1] = _LETTER
+        low[latin[t.buf[latin + 1] < 0x9F] + 1] += 0x20
+        special = np.flatnonzero((t.buf[:-1] == 60) & (t.buf[1:] == 124))
+        kind[special] = _ODD
+        for w in np.unique(np.searchsorted(start, special, side="right") - 1).tolist():  # special tokens keep their case
+            low[start[w] : end[w]] = t.buf[start[w] : end[w]]
+        odd = np.zeros(len(kind) + 1, dtype=np.int32)
+        np.cumsum(kind == _ODD, out=odd[1:])
+        is_odd = odd[end] > odd[start]
+        prefix = prefix_hash(low)
+        cut = (kind == _DIGIT) | (kind != np.concatenate([[0], kind[:-1]]).astype(np.uint8))
+        cut[start] = True  # texts follow each other without white space
+        cuts = np.flatnonzero(cut & (kind > 0))
+
+        def part(indexes: np.ndarray, a: np.ndarray, b: np.ndarray):
+            data, tokens = low.tobytes(), []
+            for x, y in zip(a[indexes].tolist(), b[indexes].tolist(), strict=True):
+                tokens.append([k.id for k in self.model.tokenize(data[x:y].decode("latin-1").translate(self.alphabet))])
+            return self._add_all(tokens)
+
+        def word(indexes: np.ndarray):
+            first, n = np.zeros(len(indexes), np.int64), np.zeros(len(indexes), np.int64)
+            whole = np.flatnonzero(is_odd[indexes])
+            if len(whole):
+                texts = [low[start[w] : end[w]].tobytes().decode("utf-8", "replace") for w in indexes[whole]]
+                first[whole], n[whole] = self._add_all([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            plain = np.flatnonzero(~is_odd[indexes])
+            if len(plain):
+                s, e = start[indexes[plain]], end[indexes[plain]]
+                one, stop = np.searchsorted(cuts, s), np.searchsorted(cuts, e)
+                k = _spread(one, stop - one)  # the parts of these words; the last ends with its word
+                a, b = cuts[k], cuts[np.minimum(k + 1, len(cuts) - 1)]
+                last = np.cumsum(stop - one) - 1
+                b[last] = e
+                at, m = self.parts.of(span_hash(prefix, a, b), lambda i: part(i, a, b))
+                run = np.concatenate([[0], np.cumsum(m)])
+                base = self._add(self.pool[_spread(at, m)])
+                first[plain] = base + run[np.concatenate([[0], last[:-1] + 1])]
+                n[plain] = run[last + 1] - run[np.concatenate([[0], last[:-1] + 1])]
+            return first, n
+
+        first, n = self.words.of(span_hash(prefix, start, end), word)
+        run = np.concatenate([[0], np.cumsum(n)])
+        return self.pool[_spread(first, n)], run[np.searchsorted(row, np.arange(t.n + 1))]
+
+
+def token_ids(t: Texts, path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each text (little-endian uint32, without the end id), all in a row, and where each text's begin."""
     if path not in _loaded:
         _loaded[path] = _Words(path)
-    # split() parts at ASCII white space only; other space stays inside words, and so do the strings of special tokens
-    return _loaded[path].ids([(t if b"<|" in t else t.lower()).split() for t in texts])
+    return _loaded[path].ids(t)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,12 +180,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for batch in chunks(batches, text_col):
             ids = batch.column(batch.schema.names.index(id_col))
             t = Texts(batch.column(batch.schema.names.index(text_col)))
+            tokens, off = token_ids(t, tokenizer)
             row, piece, start, length, crc, data = [], [], [], [], [], []
-            for i, tokens in enumerate(token_bytes([t.bytes(k) for k in range(t.n)], tokenizer)):
-                tokens += end
-                for k, at in enumerate(range(0, len(tokens), 4 * capacity)):
-                    part = tokens[at : at + 4 * capacity]
-                    row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+            for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                for k, at in enumerate(range(0, b - a + 1, capacity)):
+                    part = tokens[a + at : min(a + at + capacity, b)].tobytes() + (end if at + capacity > b - a else b"")
+                    row.append(i), piece.append(k), start.append(at), length.append(len(part) // 4), crc.append(zlib.crc32(part))
                     if with_ids:
                         data.append(part)
             more = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(data, pa.binary())] if with_ids else [])
@@ -131,120 +194,116 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def best_fit(length: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best fit in falling order of length: bins as lists of indexes."""
-    bins: list[list[int]] = []
-    free: list[tuple[int, int]] = []  # (room, bin), of bins with room, sorted
-    for i in np.argsort(-length, kind="stable").tolist():
-        size = int(length[i])
-        at = bisect_left(free, (size, -1))
-        if at == len(free):
-            room, k = capacity, len(bins)
-            bins.append([])
-        else:
-            room, k = free.pop(at)
-        bins[k].append(i)
-        if room > size:
-            insort(free, (room - size, k))
-    return bins
-
-
-def _gives(of: list[int], length: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-    """The distinct sizes of one or two pieces of a bin, sorted, and pieces of each. Distinct sizes are few (under 91 in
-    4,096 tokens), however many the pieces."""
-    by: dict[int, list[int]] = {}
-    for i in of:
-        by.setdefault(int(length[i]), []).append(i)
-    sizes = sorted(by)
-    outs = {n: (by[n][0],) for n in sizes}
-    for x, n in enumerate(sizes):
-        if len(by[n]) > 1:
-            outs.setdefault(2 * n, (by[n][0], by[n][1]))
-        for m in sizes[:x]:
-            outs.setdefault(n + m, (by[n][0], by[m][0]))
-    have = sorted(outs)
-    return np.array(have, dtype=np.int64), [outs[n] for n in have]
-
-
-def local_search(bins: list[list[int]], length: np.ndarray, capacity: int) -> list[list[int]]:
-    """Moves and one-for-one and two-for-one exchanges from a bin to any fuller one with room, each of which raises the
-    sum of squared fills, until the number of bins is the least possible or no such step helps in the whole group."""
-    bins = [list(b) for b in bins]
-    fill = np.array([sum(int(length[i]) for i in b) for b in bins], dtype=np.int64)
+# --- packing ---------------------------------------------------------------------------------------------------
+
+
+def next_fit(length: np.ndarray, capacity: int) -> np.ndarray:
+    """A first placement: the bin of each piece, in the order given; a piece that does not fit begins the next bin."""
+    home, k, fill = np.zeros(len(length), dtype=np.int64), 0, 0
+    for i, size in enumerate(length.tolist()):
+        if fill + size > capacity:
+            k, fill = k + 1, 0
+        home[i], fill = k, fill + size
+    return home
+
+
+def local_search(home: np.ndarray, length: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each piece after moves and one-for-one and two-for-one exchanges, each of which takes pieces from an
+    emptier bin to a fuller one and so raises the sum of squared fills. The emptiest bin gives first, and its best step
+    is taken, until it is empty or no step of it helps. Ends when the number of bins is the least possible, or when no
+    step of any bin helps; there is no bound on steps or bins."""
+    home, length = np.array(home, dtype=np.int64), np.asarray(length, dtype=np.int64)
+    if not len(home):
+        return home
+    fill = np.bincount(home, weights=length).astype(np.int64)
+    inside: list[set[int]] = [set() for _ in fill]
+    for i, k in enumerate(home.tolist()):
+        inside[k].add(i)
     least = -(-int(fill.sum()) // capacity)
     live = int((fill > 0).sum())
-    if live <= least:
-        return [b for b in bins if b]
-    home = np.zeros(len(length), dtype=np.int64)
-    for k, b in enumerate(bins):
-        home[b] = k
-    length = np.asarray(length, dtype=np.int64)
-    gives: dict[int, tuple[np.ndarray, list[tuple[int, ...]]]] = {}
-
-    def outs(k: int):
-        if k not in gives:
-            gives[k] = _gives(bins[k], length)
-        return gives[k]
-
-    def givers() -> list[int]:
-        """Bins that can give, the emptiest first: from the fullest on, the sizes that some fuller bin can take."""
-        takes, found = np.zeros(capacity + 1, dtype=bool), []
-        for k in np.lexsort((np.arange(len(bins)), fill))[::-1].tolist():
-            if not 0 < fill[k] < capacity:
+    some: np.ndarray = np.zeros(0, dtype=np.int64)  # pieces of bins that were underfull when last looked at
+
+    def step(a: int) -> int:
+        """The step of bin a that raises the squares most: the bin that it fills, or -1."""
+        sizes, times = np.unique(length[list(inside[a])], return_counts=True)
+        two = sizes[:, None] + sizes
+        two[np.diag_indices(len(sizes))] *= times > 1
+        gives = np.zeros(capacity + 1, dtype=np.int64)  # the most that a can give, of one or two pieces, within a size
+        gives[sizes] = sizes
+        pair = two[(two > 0) & (two <= capacity)]
+        gives[pair] = pair
+        gives = np.maximum.accumulate(gives)
+        best = -1, 0, -1, 0
+        to = np.flatnonzero((fill < capacity) & (fill >= max(fill[a], 1)))
+        for bins, backs in ((to, None), (home[some], some)):
+            back = 0 if backs is None else length[backs]
+            f = fill[bins]
+            out = gives[np.minimum(capacity - f + back, capacity)]
+            d = out - back
+            gain = np.where((d > 0) & ((f > fill[a]) | ((f == fill[a]) & (bins > a))), d * (f - fill[a] + d), 0)
+            if len(gain) and (x := int(np.argmax(gain))) is not None and gain[x] > best[1]:
+                best = int(bins[x]), int(gain[x]), (-1 if backs is None else int(backs[x])), int(out[x])
+        b, gain, back, out = best
+        if not gain:
+            return -1
+        mine = sorted(inside[a], key=lambda i: (length[i], i))
+        by = {int(length[i]): i for i in mine}
+        if out in by:
+            give = [by[out]]
+        else:
+            give = next([i, j] for i in mine if (j := by.get(out - int(length[i]))) is not None and j != i)
+        for i in give:
+            inside[a].remove(i), inside[b].add(i)
+            home[i] = b
+        if back >= 0:
+            inside[b].remove(back), inside[a].add(back)
+            home[back] = a
+        d = out - (int(length[back]) if back >= 0 else 0)
+        fill[a] -= d
+        fill[b] += d
+        return b
+
+    while live > least:
+        queue = [(int(f), k) for k, f in enumerate(fill.tolist()) if 0 < f < capacity]
+        heapify(queue)
+        moved, steps = False, 0
+        while queue and live > least:
+            f, a = heappop(queue)
+            if f != fill[a]:
                 continue
-            sizes = outs(k)[0]
-            if takes[sizes].any():
-                found.append(k)
-            room = capacity - int(fill[k])
-            takes[1 : room + 1] = True
-            for n in {int(length[i]) for i in bins[k]}:
-                takes[n + 1 : n + room + 1] = True
-        return found[::-1]
-
-    def step(a: int) -> bool:
-        """The step of bin a that raises the squares most."""
-        sizes, what = outs(a)
-        fuller = (fill < capacity) & ((fill > fill[a]) | ((fill == fill[a]) & (np.arange(len(bins)) > a)))
-        backs = np.flatnonzero(fuller[home])  # pieces that may come back, and after them, nothing
-        to = np.concatenate([home[backs], np.flatnonzero(fuller)])
-        back = np.concatenate([length[backs], np.zeros(len(to) - len(backs), dtype=np.int64)])
-        at = np.searchsorted(sizes, capacity - fill[to] + back, side="right") - 1
-        d = np.where(at >= 0, sizes[at], 0) - back
-        gain = np.where(d > 0, d * (fill[to] - fill[a] + d), 0)
-        if not len(gain) or gain.max() <= 0:
-            return False
-        best = int(np.argmax(gain))
-        b, out = int(to[best]), what[at[best]]
-        some = (int(backs[best]),) if best < len(backs) else ()
-        bins[a] = [i for i in bins[a] if i not in out] + list(some)
-        bins[b] = [j for j in bins[b] if j not in some] + list(out)
-        home[list(out)], home[list(some)] = b, a
-        fill[a], fill[b] = fill[a] - d[best], fill[b] + d[best]
-        gives.pop(a, None), gives.pop(b, None)
-        return True
-
-    while live > least and (able := givers()):
-        for a in able:
-            while live > least and fill[a] > 0 and step(a):
-                live -= not bins[a]
-    return [b for b in bins if b]
+            while fill[a] > 0 and live > least:
+                if steps % 256 == 0:
+                    some = np.flatnonzero(fill[home] < capacity)
+                steps += 1
+                b = step(a)
+                if b < 0:
+                    break
+                moved = True
+                if fill[b] < capacity:
+                    heappush(queue, (int(fill[b]), b))
+            live -= fill[a] == 0
+        if not moved:
+            break
+    return np.unique(home, return_inverse=True)[1]
 
 
 def _pack_group(capacity: int, number: int, last: bool):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["ids_crc32", "doc_id", "piece", "length"], kind="stable").reset_index(drop=True)
         length = group["length"].to_numpy()
-        bins = local_search(best_fit(length, capacity), length, capacity)
-        fills = np.array([length[b].sum() for b in bins])
-        spare = len(bins) + 1 - -(-int(fills.sum()) // capacity)
-        order = np.argsort(fills)
-        emptiest = set() if last else {int(k) for k in order[: 2 + 4 * spare] if fills[k] < capacity}
-        seq, offset, is_open = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64), np.zeros(len(group), bool)
+        home = local_search(next_fit(length, capacity), length, capacity)
+        fills = np.bincount(home, weights=length).astype(np.int64)
+        spare = len(fills) + 1 - -(-int(fills.sum()) // capacity)
+        emptiest = np.zeros(len(fills), dtype=bool)
+        if not last:
+            emptiest[np.argsort(fills, kind="stable")[: 2 + 4 * spare]] = True
+            emptiest &= fills < capacity
         base = (number << 56) + (int(group["__tf_g"].iloc[0]) << 28)
-        for k, b in enumerate(bins):
-            seq[b], is_open[b] = base + k, k in emptiest
-            offset[b] = np.cumsum(length[b]) - length[b]
-        return group.drop(columns="__tf_g").assign(sequence_id=seq, offset=offset, __tf_open=is_open)
+        order = np.argsort(home, kind="stable")
+        run = np.cumsum(length[order]) - length[order]
+        offset = np.zeros(len(group), np.int64)
+        offset[order] = run - np.repeat(np.cumsum(fills) - fills, np.bincount(home))
+        return group.drop(columns="__tf_g").assign(sequence_id=base + home, offset=offset, __tf_open=emptiest[home])
 
     return pack
 
