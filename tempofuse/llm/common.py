@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 
@@ -128,6 +129,8 @@ def shared_dir(spark: SparkSession) -> str:
         at = spark.sparkContext.getCheckpointDir()
         base = at.rsplit("/", 1)[0] if at else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tempofuse-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -144,5 +147,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than one in so many rows are hot; there are at most as many.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with keys on the columns `on`, where keys (distinct, stored) has the number of rows of each as c.
+
+    The rows of hot keys stay where they are: these keys are few whatever the input, as each has a given share of all
+    rows, and are broadcast. All other rows meet their keys by a shuffle.
+    """
+    hot = keys.where(F.col("c") > max(rows.count() // HOT_KEYS, 1))
+    if hot.isEmpty():
+        return rows.join(keys, on)
+    hot = stored(hot)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

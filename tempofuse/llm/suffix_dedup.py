@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tempofuse.llm.common import Texts, chunks, prefix_hash, span_hash, splitmix, stored
+from tempofuse.llm.common import Texts, chunks, join_counted, prefix_hash, span_hash, splitmix, stored
 
 LENGTH = 400
 GRAM = 64
@@ -210,73 +210,65 @@ def common_prefixes(buf: np.ndarray, array: np.ndarray, most: int) -> np.ndarray
     return out[array[1:]]
 
 
-def _split(rows: DataFrame, low: int, high: int, length: int) -> DataFrame:
-    """Rows (core, kind, id, h, lo, n, rel, bytes) cut to the starts at low to high bytes before the anchor, under the
-    core of bytes that all such strings share."""
+def _split(rows: DataFrame, length: int) -> DataFrame:
+    """Rows (core, kind, id, h, lo, n, rel, bytes, alone, low, high) of strings that start low to high bytes before the
+    anchor, each halved by that distance; a half's core is the bytes that all its strings share."""
 
     def run(batches):
         for batch in batches:
             got = batch.to_pydict()
             out = {k: [] for k in got}
             for i in range(batch.num_rows):
-                first, last = max(got["rel"][i] - high, 0), min(got["rel"][i] - low, got["n"][i] - 1)
-                if first > last:
-                    continue
-                data = got["bytes"][i]
-                core = data[got["rel"][i] - low : got["rel"][i] - high + length]
-                cut = data[first : last + length]
-                code = [int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=f"{low}-{high}".encode()).digest(), "little", signed=True) for x in (core, cut)]
-                for k, v in (("core", code[0]), ("kind", code[1]), ("id", got["id"][i]), ("h", got["h"][i]), ("lo", got["lo"][i] + first), ("n", last - first + 1), ("rel", got["rel"][i] - first), ("bytes", cut), ("alone", got["alone"][i])):
-                    out[k].append(v)
+                middle = (got["low"][i] + got["high"][i]) // 2
+                for low, high in ((got["low"][i], middle), (middle + 1, got["high"][i])):
+                    first, last = max(got["rel"][i] - high, 0), min(got["rel"][i] - low, got["n"][i] - 1)
+                    if first > last:
+                        continue
+                    data = got["bytes"][i]
+                    core = data[got["rel"][i] - low : got["rel"][i] - high + length]
+                    cut = data[first : last + length]
+                    code = [int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=f"{low}-{high}".encode()).digest(), "little", signed=True) for x in (core, cut)]
+                    row = (code[0], code[1], got["id"][i], got["h"][i], got["lo"][i] + first, last - first + 1, got["rel"][i] - first, cut, got["alone"][i], low, high)
+                    for k, v in zip(_ROW, row, strict=True):
+                        out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
 
     return rows.mapInArrow(run, rows.schema)
 
 
+_ROW = ("core", "kind", "id", "h", "lo", "n", "rel", "bytes", "alone", "low", "high")
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, core_kinds: int = CORE_KINDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, first, last): ranges of starts in bytes, of strings that also start elsewhere; h is the text's hash."""
     keyed = _keyed(docs, id_col, text_col)
     runs = stored(_runs(keyed, length, gram))
-    grams = runs.groupBy("gram").agg(F.count("*").alias("c"), (F.min("kind") == F.max("kind")).alias("same")).where("c > 1").select("gram", "same")
-    met = stored(runs.join(grams, "gram"))
-    ranges = [met.where("same").select("id", "h", "lo", "n")]
-    mixed = met.where(~F.col("same"))
+    grams = stored(runs.groupBy("gram").agg(F.count("*").alias("c"), (F.min("kind") == F.max("kind")).alias("same")).where("c > 1"))
+    met = stored(join_counted(runs, grams, ["gram"]).drop("c"))
+    found = [met.where("same").select("id", "h", "lo", "n")]
+    mixed = met.where(~F.col("same")).drop("same")
     kinds = stored(mixed.groupBy("gram", "kind").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "lo")).alias("at")))
     if not kinds.isEmpty():
-        ranges.append(mixed.join(kinds.where("c > 1").select("gram", "kind"), ["gram", "kind"]).select("id", "h", "lo", "n"))
+        found.append(join_counted(mixed, kinds.where("c > 1").select("gram", "kind", "c"), ["gram", "kind"]).select("id", "h", "lo", "n"))
         places = kinds.select("at.id", "at.h", "at.lo", (F.col("c") == 1).alias("alone"))
         fetched = _runs(keyed, length, gram, _filter_of(places)).join(places, ["id", "h", "lo"]).dropDuplicates(["id", "h", "lo"])
-        rows = stored(fetched.select(F.col("gram").alias("core"), "kind", "id", "h", "lo", "n", "rel", "bytes", "alone"))
-        parts, level = [], [(0, length - gram)]
-        while level:
-            # cores with too many kinds are halved, all at one level together, until each fits
-            per = rows.groupBy("core").agg(F.count("*").alias("c"), (F.min("kind") == F.max("kind")).alias("same"))
-            if level == [(0, length - gram)]:
-                per = per.withColumn("same", F.lit(False))
-            if not (per.where((F.col("c") > core_kinds) & ~F.col("same")).isEmpty()):
-                told = stored(rows.join(per.where("c > 1"), "core"))
-                ranges.append(told.where("same and alone").select("id", "h", "lo", "n"))
-                parts.append(told.where((F.col("c") <= core_kinds) & ~F.col("same")).select(rows.columns))
-                heavy = told.where((F.col("c") > core_kinds) & ~F.col("same")).select(rows.columns)
-                halves = [(a, b) for low, high in level for a, b in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)) if a <= b]
-                cut = [_split(heavy, a, b, length) for a, b in halves]
-                whole = cut[0]
-                for x in cut[1:]:
-                    whole = whole.unionByName(x)
-                # a row reaches into the halves of its own range only
-                rows = stored(whole)
-                level = halves
-            else:
-                if level != [(0, length - gram)]:
-                    told = stored(rows.join(per.where("c > 1"), "core"))
-                    ranges.append(told.where("same and alone").select("id", "h", "lo", "n"))
-                    rows = told.where(~F.col("same")).select(rows.columns)
-                parts.append(rows)
-                level = []
-        leaves = parts[0]
-        for x in parts[1:]:
-            leaves = leaves.unionByName(x)
-        total = leaves.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+        rows = stored(fetched.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - gram)).withColumnRenamed("gram", "core").select(*_ROW))
+        leaves = []
+        while True:
+            # cores with too many kinds are halved, all together, until each fits; those with one kind repeat throughout
+            per = stored(rows.groupBy("core").agg(F.count("*").alias("c"), (F.min("kind") == F.max("kind")).alias("same")).where("c > 1"))
+            heavy = (F.col("c") > core_kinds) & ~F.col("same")
+            if per.where(heavy).isEmpty():
+                leaves.append(rows)
+                break
+            told = stored(join_counted(rows, per, ["core"]))
+            found.append(told.where("same and alone").select("id", "h", "lo", "n"))
+            leaves.append(told.where((F.col("c") <= core_kinds) & ~F.col("same")).select(*_ROW))
+            rows = stored(_split(told.where(heavy).select(*_ROW), length))
+        sorted_ = leaves[0]
+        for x in leaves[1:]:
+            sorted_ = sorted_.unionByName(x)
+        total = sorted_.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
         shards = max(1, total // SHARD_BYTES)
 
         def sort_shard(group: pd.DataFrame) -> pd.DataFrame:
@@ -287,22 +279,22 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cor
                     out += [(i, h, lo + a, b - a) for a, b in zip(edge[::2], edge[1::2], strict=True)]
             return pd.DataFrame(out, columns=["id", "h", "lo", "n"]).astype({"id": "int64", "h": "int64", "lo": "int64", "n": "int32"})
 
-        dealt = leaves.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards)))
-        ranges.append(dealt.groupBy("shard").applyInPandas(sort_shard, "id long, h long, lo long, n int"))
-    out = ranges[0]
-    for x in ranges[1:]:
+        dealt = sorted_.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards)))
+        found.append(dealt.groupBy("shard").applyInPandas(sort_shard, "id long, h long, lo long, n int"))
+    out = found[0]
+    for x in found[1:]:
         out = out.unionByName(x)
     return out.select("id", "h", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, core_kinds: int = CORE_KINDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kept (binary: the text's remaining bytes), n_bytes, n_removed and n_spans added.
+    """docs with kept (binary: the text's remaining bytes), n_bytes, n_removed, n_spans and repeats (n_removed > 0) added.
 
     Every byte covered by a string of length bytes that also starts elsewhere goes, whichever copy it is in. Null text
     is the empty text. Texts under length bytes stay whole. Repeated rows are copies of each other and lose all such
     bytes. Null ids are rows like any other. Columns named like the added ones are replaced.
     """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "repeats")
     ranges = repeated_ranges(docs, length, gram, core_kinds, id_col, text_col)
     by_doc = ranges.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("__tf_ranges")).select(F.col("id").alias("__tf_id"), F.col("h").alias("__tf_h"), "__tf_ranges")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -332,9 +324,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, co
                 kept.append(t.buf[t.off[i] : t.off[i + 1]][~mine].tobytes() if removed else t.bytes(i))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.binary()), *map(pa.array, sums)], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "repeats")
