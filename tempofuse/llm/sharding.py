@@ -7,107 +7,137 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempofuse.llm.common import stored
+
 SHARDS = 8
-#: Key ranges at most, before overfull ones are subdivided; the driver holds as many totals, and SAMPLES keys of each.
-MAX_RANGES = 4096
-RANGE_BYTES = 16 << 20
+#: Bytes of a key range, about, before overfull ones are subdivided. The driver holds a total and SAMPLES keys of each
+#: range: for 100 TB, 400,000 totals and 3 million keys of 16 bytes.
+RANGE_BYTES = 256 << 20
+#: Ranges for each shard at least, so that a small table has balanced tasks too.
+LEAST_RANGES = 8
 SAMPLES = 8
 #: A range of over this multiple of its share is subdivided.
 OVERFULL = 2.0
-ROUNDS = 3
 _LEAST = -(1 << 63)
 
 
-def _range_of(splitters: list[tuple[int, int]]):
-    """Column function (hash, id) -> number of splitters at or below that key."""
-    major = np.array([s[0] for s in splitters], dtype=np.int64)
-    minor = np.array([s[1] for s in splitters], dtype=np.int64)
+def _places(splitters: np.recarray, h: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Number of splitters, which are sorted, at or below each key (h, i)."""
+    low, high = np.searchsorted(splitters.h, h, "left"), np.searchsorted(splitters.h, h, "right")
+    out = high.astype(np.int32)
+    one = high - low == 1
+    out[one] = low[one] + (splitters.i[low[one]] <= i[one])
+    many = np.flatnonzero(high - low > 1)  # splitters that share this hash: a text with many copies
+    for a in np.unique(low[many]):
+        mine = many[low[many] == a]
+        out[mine] = a + np.searchsorted(splitters.i[a : high[mine[0]]], i[mine], "right")
+    return out
+
+
+def _range_of(splitters: np.recarray):
+    """Column function (hash, id) -> the range between splitters."""
 
     @F.pandas_udf("int")
     def find(h: pd.Series, i: pd.Series) -> pd.Series:
-        h, i = h.to_numpy(), i.to_numpy()
-        low, high = np.searchsorted(major, h, "left"), np.searchsorted(major, h, "right")
-        out = high.astype(np.int32)
-        for k in np.flatnonzero(high - low > 1) if (high - low > 1).any() else ():  # splitters that share this hash
-            out[k] = low[k] + np.searchsorted(minor[low[k] : high[k]], i[k], "right")
-        one = high - low == 1
-        out[one] = low[one] + (minor[low[one]] <= i[one])
-        return pd.Series(out)
+        return pd.Series(_places(splitters, h.to_numpy(), i.to_numpy()))
 
     return find
 
 
-def shard_documents(docs: DataFrame, n_shards: int = SHARDS, range_bytes: int = RANGE_BYTES, max_ranges: int = MAX_RANGES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with size, law, shard, slot and grown_shard added, under the law "bytes".
+def _sample(slim: DataFrame, where, per_range: float, share: float, salt: int) -> np.recarray:
+    """(keys, 3): hash, id and weight of rows drawn in proportion to size, in key order, about per_range of each range."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "__tf_h", "__tf_i"), 11) / float(1 << 53)
+    # a row that was sure to be drawn stands for all its bytes, and any other for one step
+    weight = F.greatest(F.lit(1.0), F.col("size") * F.lit(per_range / share))
+    got = slim.where(where & (u < F.col("size") * F.lit(per_range / share))).select("__tf_h", "__tf_i", weight.alias("w")).toArrow()
+    h, i, w = (got.column(k).to_numpy() for k in range(3))
+    order = np.lexsort((i, h))
+    return np.rec.fromarrays([h[order], i[order], w[order]], names="h,i,w")
+
+
+def _quantiles(drawn: np.recarray, n: int) -> np.recarray:
+    """n - 1 keys that part the drawn ones into stretches of equal weight."""
+    if not len(drawn) or n < 2:
+        return drawn[:0]
+    run = np.cumsum(drawn.w)
+    return drawn[np.unique(np.minimum(np.searchsorted(run, run[-1] * np.arange(1, n) / n), len(drawn) - 1))]
+
+
+def _join(parts: list[np.recarray]) -> np.recarray:
+    """All splitters, sorted, each key once."""
+    h, i = np.concatenate([x.h for x in parts]), np.concatenate([x.i for x in parts])
+    order = np.lexsort((i, h))
+    h, i = h[order], i[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (np.diff(h) != 0) | (np.diff(i) != 0)
+    return np.rec.fromarrays([h[new], i[new], np.ones(int(new.sum()))], names="h,i,w")
+
+
+def _splitters(slim: DataFrame, total: int, rows: int, n_shards: int, range_bytes: int):
+    """Splitters, and bytes and rows of each range between them (DataFrame columns r, b, n, on the driver as arrays)."""
+    ranges = max(1, min(max(LEAST_RANGES * n_shards, total // range_bytes), rows))
+    share = max(1.0, total / ranges)
+    splitters, salt = _quantiles(_sample(slim, F.lit(True), SAMPLES, share, 1), ranges), 1
+    while True:
+        find = _range_of(splitters)
+        got = slim.groupBy(find("__tf_h", "__tf_i").alias("r")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).orderBy("r").toArrow()
+        r, b, n = (got.column(k).to_numpy() for k in range(3))
+        full = np.flatnonzero((b > OVERFULL * share) & (n > 1))
+        if not len(full):
+            return find, r, b, n
+        salt += 1
+        keys = slim.sparkSession.createDataFrame(pd.DataFrame({"r": r[full]}), "r int")
+        marked = slim.withColumn("r", find("__tf_h", "__tf_i")).join(F.broadcast(keys), "r", "left_semi")
+        drawn = _sample(marked, F.lit(True), 4 * SAMPLES, share, salt)
+        place = np.searchsorted(r, _places(splitters, drawn.h, drawn.i))
+        grown = _join([splitters, *(_quantiles(drawn[place == k], int(np.ceil(b[k] / share))) for k in full)])
+        if len(grown) == len(splitters):  # what is left over is rows of one key
+            return find, r, b, n
+        splitters = grown
+
+
+def shard_documents(docs: DataFrame, n_shards: int = SHARDS, range_bytes: int = RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """docs with size, text_crc32, law, shard, slot and grown_shard added, under the law "bytes".
 
     The key of a row is (hash of its text, id), so equal texts lie side by side, and a group of copies is cut only
     where a shard is full. Splitters are quantiles of a sample of keys drawn in proportion to size; rows are dealt to
-    the ranges between them, and ranges that came out overfull get splitters of their own. Within a range, running
-    sums place each row exactly: a row goes to the shard in which its first byte falls when all rows are laid in key
-    order over n_shards equal stretches. So the bytes of two shards differ by one row's size at most. slot counts a
-    shard's rows from 0. Null ids come first; null text has size 1, as the empty text; repeated rows take slots of
-    their own. Columns named like the added ones are replaced. grown_shard is null under this law.
+    the ranges between them, and ranges that came out overfull get splitters of their own until none is, or what is
+    overfull is rows of one key. Within a range, running sums place each row exactly: a row goes to the shard in which
+    its first byte falls when all rows are laid in key order over n_shards equal stretches. So a shard's bytes differ
+    from its share by the size of the largest row at most, and those of two shards by twice that. slot counts a shard's
+    rows from 0. Null ids come first; null text has size 1, as the empty text; repeated rows take slots of their own.
+    Columns named like the added ones are replaced. grown_shard is null under this law. Without with_text the text is
+    left out of the result, and only keys and sizes are shuffled.
     """
     docs = docs.drop("size", "law", "shard", "slot", "grown_shard", "text_crc32")
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    keyed = docs.withColumns({"size": size, "__tf_h": F.xxhash64(text), "__tf_i": F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))})
+    keyed = docs.withColumns({"size": size, "text_crc32": F.crc32(text.cast("binary")), "__tf_h": F.xxhash64(text), "__tf_i": F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))})
+    names = docs.columns if with_text else [c for c in docs.columns if c != text_col]
+    if not with_text:
+        keyed = stored(keyed.drop(text_col))
     slim = keyed.select("__tf_h", "__tf_i", "size")
     total, rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    ranges = max(1, min(max_ranges, max(8 * n_shards, total // range_bytes), rows))
-    share = max(1.0, total / ranges)
-
-    def sample(where, per_range: float, salt: int) -> list:
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(salt), "__tf_h", "__tf_i"), 11) / float(1 << 53)).cast("double")
-        drawn = slim.where(where & (u < F.col("size") * F.lit(per_range / share))).collect()
-        # a row that was sure to be drawn stands for all its bytes, and any other for one step
-        return sorted((r[0], r[1], max(1.0, r[2] * per_range / share)) for r in drawn)
-
-    def quantiles(drawn: list, n: int) -> list[tuple[int, int]]:
-        if not drawn or n < 2:
-            return []
-        run = np.cumsum([d[2] for d in drawn])
-        at = np.searchsorted(run, run[-1] * np.arange(1, n) / n)
-        return sorted({drawn[min(k, len(drawn) - 1)][:2] for k in at})
-
-    splitters = quantiles(sample(F.lit(True), SAMPLES, 1), ranges)
-    for attempt in range(ROUNDS):
-        find = _range_of(splitters)
-        totals = {r[0]: (r[1], r[2]) for r in slim.groupBy(find("__tf_h", "__tf_i").alias("r")).agg(F.sum("size"), F.count("*")).collect()}
-        full = [r for r, (b, n) in totals.items() if b > OVERFULL * share and n > 1]
-        if not full or attempt == ROUNDS - 1:
-            break
-        drawn = sample(find("__tf_h", "__tf_i").isin(full), 4 * SAMPLES, 2 + attempt)
-        more: set[tuple[int, int]] = set()
-        for r in full:
-            low = splitters[r - 1] if r else (_LEAST, _LEAST)
-            high = splitters[r] if r < len(splitters) else None
-            inside = [d for d in drawn if d[:2] >= low and (high is None or d[:2] < high)]
-            more |= set(quantiles(inside, int(np.ceil(totals[r][0] / share))))
-        if more <= set(splitters):
-            break
-        splitters = sorted(set(splitters) | more)
-
-    starts, b, n = [], 0, 0
-    for r in sorted(totals):
-        starts.append((r, b, n))
-        b, n = b + totals[r][0], n + totals[r][1]
-    before = docs.sparkSession.createDataFrame(starts, "__tf_r int, __tf_b long, __tf_n long")
-    # runs of key ranges: as many tasks as ranges at most, each of one range or more
+    find, r, b, n = _splitters(slim, total, rows, n_shards, range_bytes)
+    before = docs.sparkSession.createDataFrame(pd.DataFrame({"__tf_r": r, "__tf_b": np.cumsum(b) - b, "__tf_n": np.cumsum(n) - n}), "__tf_r int, __tf_b long, __tf_n long")
     order = Window.partitionBy("__tf_r").orderBy("__tf_h", "__tf_i")
     placed = (
         keyed.withColumn("__tf_r", find("__tf_h", "__tf_i"))
-        .join(F.broadcast(before), "__tf_r")
-        .withColumn("__tf_at", F.col("__tf_b") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("__tf_row", F.col("__tf_n") + F.row_number().over(order) - 1)
+        .withColumn("__tf_at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        .withColumn("__tf_row", F.row_number().over(order) - 1)
+        .join(F.broadcast(before), "__tf_r")  # a row of 20 bytes for each range
+        .withColumn("__tf_at", F.col("__tf_at") + F.col("__tf_b"))
+        .withColumn("__tf_row", F.col("__tf_row") + F.col("__tf_n"))
         .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(F.col("__tf_at").cast("decimal(38,0)") * n_shards / F.lit(max(total, 1)))).cast("int"))
+        .select(*names, "size", "text_crc32", "shard", "__tf_row")
     )
-    first = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.min("__tf_row")).collect()}
+    placed = stored(placed)
+    first = {x[0]: x[1] for x in placed.groupBy("shard").agg(F.min("__tf_row")).collect()}  # one row for each shard
     base = F.element_at(F.create_map(*[x for k in range(n_shards) for x in (F.lit(k), F.lit(first.get(k, 0)).cast("long"))]), F.col("shard"))
     return placed.select(
-        *[c for c in docs.columns],
+        *names,
         "size",
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         (F.col("__tf_row") - base).cast("long").alias("slot"),
@@ -117,4 +147,4 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, range_bytes: int =
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shard_documents(docs, with_text=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
