@@ -12,15 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from tempofuse.llm.common import Texts, chunks, seeds, splitmix
+from tempofuse.llm.common import Texts, chunks, prefix_hash, span_hash, splitmix
 
 KINDS = ("email", "ip", "card", "phone")
 #: O, then beginning and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 BITS = 12
-#: Words around one with a digit, an at sign or a written-out one that the field labels; all others are outside.
-REACH = 3
-
+#: Features of a word.
+FEATURES = 4
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(rb"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -67,97 +66,104 @@ def base_spans(text: bytes, at_sign: bool = True, digit: bool = True) -> list[tu
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 65, 97, 48, 97
-_CODE = seeds(256, 23) | np.uint64(1)
-_STEP = np.uint64(0x5851F42D4C957F2D)
 
 
 def shapes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each word's shape: letters and digits by class, a run of letters once, of digits up to four times."""
-    out = np.zeros(len(start), dtype=np.uint64)
-    long = int((end - start).max(initial=0))
-    run, before = np.zeros(len(start), np.int64), np.zeros(len(start), np.uint8)
-    for k in range(min(long, 64)):  # a word's shape is settled by its first 64 bytes
-        live = np.flatnonzero(end - start > k)
-        c = _CLASS[buf[start[live] + k]]
-        same = c == before[live]
-        run[live] = np.where(same, run[live] + 1, 1)
-        before[live] = c
-        keep = ~same | ((c == 48) & (run[live] <= 4))
-        at = live[keep]
-        out[at] = out[at] * _STEP + _CODE[c[keep]]
-    return splitmix(out)
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    c, place = _CLASS[buf], np.arange(len(buf))
+    new = np.ones(len(buf), dtype=bool)
+    new[1:] = c[1:] != c[:-1]
+    new[start] = True
+    run = place - np.maximum.accumulate(np.where(new, place, 0))
+    kept = np.flatnonzero(new | ((c == 48) & (run < 4)))
+    prefix = prefix_hash(c[kept])
+    return span_hash(prefix, np.searchsorted(kept, start), np.searchsorted(kept, end))
+
+
+def _luhn_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """Whether each word has 12 to 19 digits that pass Luhn's test."""
+    out = np.zeros(len(start), dtype=bool)
+    for w in np.flatnonzero((digits >= 12) & (digits <= 19)).tolist():
+        out[w] = luhn(buf[start[w] : end[w]].tobytes().translate(None, _NOT_DIGIT))
+    return out
 
 
 def token_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Buckets of each word's own features, (words, 3): shape; number of digits with last byte; beginning with length and marks."""
+    """Buckets of each word's own features, (words, FEATURES): shape; number of digits, Luhn's test and last byte;
+    beginning with length and marks; whether it has digits and which marks."""
     digits = np.zeros(len(buf) + 1, dtype=np.int64)
     np.cumsum((buf >= 48) & (buf <= 57), out=digits[1:])
-    n = np.minimum(digits[end] - digits[start], 20).astype(np.uint64)
+    count = digits[end] - digits[start]
+    n = (np.minimum(count, 20) + 32 * _luhn_words(buf, start, end, count)).astype(np.uint64)
     first, last = _CLASS[buf[start]].astype(np.uint64), _CLASS[buf[end - 1]].astype(np.uint64)
     size = np.minimum(end - start, 24).astype(np.uint64)
+    marks = np.minimum(count, 1).astype(np.uint64)
     for k, c in enumerate(b"@=[("):
         run = np.zeros(len(buf) + 1, dtype=np.int64)
         np.cumsum(buf == c, out=run[1:])
-        size += (run[end] > run[start]).astype(np.uint64) << np.uint64(40 + k)
-    own = [shapes(buf, start, end), splitmix(n * np.uint64(256) + last + np.uint64(1 << 20)), splitmix(first * np.uint64(64) + size + np.uint64(1 << 21))]
+        has = (run[end] > run[start]).astype(np.uint64)
+        size += has << np.uint64(40 + k)
+        marks += has << np.uint64(1 + k)
+    own = [shapes(buf, start, end), splitmix(n * np.uint64(256) + last + np.uint64(1 << 20)), splitmix(first * np.uint64(64) + size + np.uint64(1 << 21)), splitmix(marks + np.uint64(1 << 22))]
     return np.stack([(h >> np.uint64(64 - BITS)).astype(np.int64) for h in own], axis=1)
 
 
-def windows(buf: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Whether the field labels each word: it, or one within REACH words in its text, has a digit or an at sign."""
-    mark = ((buf >= 48) & (buf <= 57)) | (buf == 64)
-    spelled = (buf[:-3] == 40) | (buf[:-3] == 91)
-    spelled &= ((buf[1:-2] | 32) == 97) & ((buf[2:-1] | 32) == 116) & ((buf[3:] == 41) | (buf[3:] == 93))
-    mark[: len(spelled)] |= spelled
-    run = np.zeros(len(buf) + 1, dtype=np.int64)
-    np.cumsum(mark, out=run[1:])
-    hit = np.flatnonzero(run[end] > run[start])
-    near = np.zeros(len(start), dtype=bool)
-    for d in range(-REACH, REACH + 1):
-        at = hit + d
-        ok = (at >= 0) & (at < len(start))
-        at = at[ok]
-        near[at[row[at] == row[hit[ok]]]] = True
-    return near
+def sentences(t: Texts, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Places of the words that begin a sentence: after another text, a line break, or a word that ends in a stop."""
+    new = np.ones(len(start), dtype=bool)
+    breaks = np.zeros(len(t.buf) + 1, dtype=np.int32)
+    np.cumsum(t.buf == 10, out=breaks[1:])
+    new[1:] = (row[1:] != row[:-1]) | (breaks[start[1:]] > breaks[end[:-1]]) | np.isin(t.buf[end[:-1] - 1], np.frombuffer(b".!?", np.uint8))
+    return np.flatnonzero(new)
 
 
 @dataclass
 class Field:
-    """emit: (3 offsets, 3 features, buckets, labels); move: (labels, labels)."""
+    """emit: (3 offsets, FEATURES, buckets, labels); move: (labels, labels)."""
 
     emit: np.ndarray
     move: np.ndarray
 
     def scores(self, feats: np.ndarray) -> np.ndarray:
-        """(sequences, steps, labels) of features (sequences, steps, 3); bucket -1 is no word."""
+        """(sequences, steps, labels) of features (sequences, steps, FEATURES); bucket -1 is no word."""
         padded = np.pad(feats, ((0, 0), (1, 1), (0, 0)), constant_values=-1)
         out = np.zeros((*feats.shape[:2], LABELS))
         for offset in range(3):
             near = padded[:, offset : offset + feats.shape[1]]
-            for f in range(3):
+            for f in range(FEATURES):
                 b = near[:, :, f]
                 out += np.where((b >= 0)[:, :, None], self.emit[offset, f][b], 0.0)
         return out
 
-    def decode(self, feats: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Labels of the best path of each sequence (Viterbi), over a whole batch at each step."""
-        s = self.scores(feats)
+    def word_scores(self, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(words, labels), as scores(), of words in a row; first is where sequences begin."""
+        before, own, after = (sum(self.emit[offset, f][feats[:, f]] for f in range(FEATURES)) for offset in range(3))
+        new = np.zeros(len(feats) + 1, dtype=bool)
+        new[first] = new[-1] = True
+        own[1:] += np.where(new[1:-1, None], 0, before[:-1])
+        own[:-1] += np.where(new[1:-1, None], 0, after[1:])
+        return own
+
+    def decode(self, s: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Labels of the best path of each sequence (Viterbi) of scores s (sequences, steps, labels), over a whole batch
+        at each step."""
         n, steps, _ = s.shape
-        best, back = s[:, 0] + _START, np.zeros((n, steps, LABELS), dtype=np.int8)
-        final = best.copy()
+        move = (self.move + _ALLOWED).astype(s.dtype)
+        own = np.ascontiguousarray(s.transpose(1, 2, 0))
+        best = np.empty((steps, LABELS, n), dtype=s.dtype)
+        best[0] = own[0] + _START.astype(s.dtype)[:, None]
         for t in range(1, steps):
-            through = best[:, :, None] + self.move + _ALLOWED
-            back[:, t] = through.argmax(1)
-            best = through.max(1) + s[:, t]
-            ends = size == t + 1
-            final[ends] = best[ends]
-        label = np.zeros((n, steps), dtype=np.int8)
-        now = final.argmax(1)
+            np.max(best[t - 1][:, None, :] + move[:, :, None], axis=0, out=best[t])
+            best[t] += own[t]
+        label, each = np.zeros((n, steps), dtype=np.int8), np.arange(n)
+        now = best[size - 1, :, each].argmax(1)
         for t in range(steps - 1, -1, -1):
             live = size > t
             label[live, t] = now[live]
             if t:
-                now = np.where(live, back[np.arange(n), t, now], now)
+                now = np.where(live, (best[t - 1] + move[:, now]).argmax(0), now)
         return label
 
 
@@ -168,8 +174,9 @@ for _k in range(len(KINDS)):  # an inside follows its beginning or itself
 _START = np.array([0.0] + [0.0, -1e9] * len(KINDS))
 
 
-def labelled_table(rows: int = 900, seed: int = 5) -> list[list[tuple[str, int]]]:
-    """The small labelled table: sentences as (word, label), drawn from templates by a fixed seed."""
+def labelled_table(rows: int = 500, seed: int = 5) -> list[list[tuple[str, int]]]:
+    """The small labelled table: sentences as (word, label), drawn from templates by a fixed seed. As many again are
+    sentences without personal data, of words with all kinds of signs about them."""
     r = random.Random(seed)
     syllables = "an ber co da el fi ga ho in jo ka lu mi no or pe qui ra so ti un vo we xa yo zu é ñ ü ç".split()
 
@@ -178,6 +185,10 @@ def labelled_table(rows: int = 900, seed: int = 5) -> list[list[tuple[str, int]]
         w = w.capitalize() if r.random() < 0.15 else w
         return w + (r.choice(".,;:") if r.random() < 0.12 else "")
 
+    def noise():
+        mark = r.choice("!#$%&*+-/:;<=>?^_|~()[]{}\"'.,") * r.choice([1, 1, 2, 3])
+        return r.choice([word() + mark, word().strip(".,;:") + mark, mark, mark + word(), word() + mark + word(), word().upper()])
+
     def d(n):
         return "".join(r.choices("0123456789", k=n))
 
@@ -200,14 +211,21 @@ def labelled_table(rows: int = 900, seed: int = 5) -> list[list[tuple[str, int]]
         return r.choice([[".".join(n)], [".".join(n) + ":" + d(4)], ["[.]".join(n)]])
 
     def card():
-        return r.choice([[d(16)], [d(4), d(4), d(4), d(4)], ["-".join(d(4) for _ in range(4))], [d(4) + "." + d(4) + "." + d(4) + "." + d(4)]])
+        n = d(15)
+        n += next(c for c in "0123456789" if luhn((n + c).encode()))
+        four = [n[k : k + 4] for k in range(0, 16, 4)]
+        return r.choice([[n], four, ["-".join(four)], [".".join(four)], ["/".join(four)]])
+
+    def no_card():
+        n = d(r.randint(13, 18))
+        return [n + next(c for c in "5678901234" if not luhn((n + c).encode()))]
 
     def clean():
         return r.choice(
             [
                 ["version", d(1) + "." + d(1)], ["Version", f"{d(1)}.{d(1)}."], [f"{d(1)}.{d(1)}.{d(1)}"], ["19" + d(2)], ["20" + d(2) + "."], [d(r.randint(1, 9))], [d(r.randint(1, 6)) + r.choice(".,%")], [d(1) + "," + d(3)], ["BY-NC", d(1) + ".0."],
                 [f"{d(2)}:{d(2)}"], [f"20{d(2)}-{d(2)}-{d(2)}"], [f"{d(2)}/{d(2)}/20{d(2)}"], ["§", d(2)], ["password=" + "".join(r.choices("0123456789abcdef", k=18))], ["token", "=", '"' + "".join(r.choices("0123456789abcdef", k=40)) + '"'],
-                ["AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))], ["@" + word()], ["#" + d(3)], ["(" + d(1) + ")"], [d(3) + "-" + d(4)], [d(2) + "-" + d(4)], [d(1) + "th"], ["$" + d(3)], [d(3) + "&&&"], [d(2) + "." + d(2)], ["@@" + d(2)], [d(r.randint(10, 24))], ["https://x.example/" + d(4)],
+                ["AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))], ["@" + word()], ["#" + d(3)], ["(" + d(1) + ")"], [d(3) + "-" + d(4)], [d(2) + "-" + d(4)], [d(1) + "th"], ["$" + d(3)], [d(3) + "&&&"], [d(2) + "." + d(2)], ["@@" + d(2)], no_card(), no_card(), [d(10)], [d(24)], ["https://x.example/" + d(4)],
             ]
         )
 
@@ -223,13 +241,18 @@ def labelled_table(rows: int = 900, seed: int = 5) -> list[list[tuple[str, int]]
             row += [(w, 0 if kind == 4 else 1 + 2 * kind + (k > 0)) for k, w in enumerate(words)]
             row += [(word(), 0) for _ in range(r.randint(1, 5))]
         table.append(row)
+    for _ in range(rows):
+        words = [noise() if r.random() < 0.4 else word() for _ in range(r.randint(2, 9))]
+        if r.random() < 0.3:
+            words += clean()
+        table.append([(w, 0) for w in words])
     return table
 
 
 def train(table: list[list[tuple[str, int]]], steps: int = 50, l2: float = 0.003) -> Field:
     """Maximum likelihood by forward-backward over the whole table at each step of Adam."""
     n, width = len(table), max(map(len, table))
-    feats, gold, size = np.full((n, width, 3), -1), np.zeros((n, width), np.int64), np.array([len(x) for x in table])
+    feats, gold, size = np.full((n, width, FEATURES), -1), np.zeros((n, width), np.int64), np.array([len(x) for x in table])
     for i, row in enumerate(table):
         words = [w.encode() for w, _ in row]
         ends = np.cumsum([len(w) + 1 for w in words])
@@ -237,7 +260,7 @@ def train(table: list[list[tuple[str, int]]], steps: int = 50, l2: float = 0.003
         feats[i, : len(row)] = token_features(np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8), starts, ends - 1)
         gold[i, : len(row)] = [k for _, k in row]
     live = np.arange(width) < size[:, None]
-    field = Field(np.zeros((3, 3, 1 << BITS, LABELS)), np.zeros((LABELS, LABELS)))
+    field = Field(np.zeros((3, FEATURES, 1 << BITS, LABELS)), np.zeros((LABELS, LABELS)))
     padded = np.pad(feats, ((0, 0), (1, 1), (0, 0)), constant_values=-1)
     one = np.eye(LABELS)[gold] * live[:, :, None]
     pairs = one[:, :-1].reshape(-1, LABELS).T @ one[:, 1:].reshape(-1, LABELS)
@@ -264,7 +287,7 @@ def train(table: list[list[tuple[str, int]]], steps: int = 50, l2: float = 0.003
         g_emit = l2 * n * field.emit / n
         for offset in range(3):
             near = padded[:, offset : offset + width]
-            for f in range(3):
+            for f in range(FEATURES):
                 b = near[:, :, f]
                 np.add.at(g_emit[offset, f], b[live & (b >= 0)], (p - one)[live & (b >= 0)] / n)
         for k, (w, g) in enumerate(((field.emit, g_emit), (field.move, (expect - pairs) / n + l2 * field.move))):
@@ -272,46 +295,44 @@ def train(table: list[list[tuple[str, int]]], steps: int = 50, l2: float = 0.003
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return field
+    return Field(field.emit.astype(np.float32), field.move)
 
 
 _EDGE = b".,;:!?()[]{}<>\"'"
-_AT = re.compile(rb"@|[(\[]at[)\]]", re.IGNORECASE)
-_DIGITS = {1: (4, 12), 2: (12, 19), 3: (7, 15)}
 
 
 def field_spans(t: Texts, field: Field) -> list[tuple[int, int, int, int]]:
-    """(row, start, end, kind) in bytes of the buffer, of the spans that the field finds; punctuation at their edges is left out."""
+    """(row, start, end, kind) in bytes of the buffer, of the spans that the field finds in the sentences of all texts;
+    punctuation at their edges is left out."""
     start, end, row = t.words()
-    near = np.flatnonzero(windows(t.buf, start, end, row)) if len(t.buf) > 3 else np.zeros(0, np.int64)
-    if not len(near):
+    if not len(start):
         return []
-    new = np.flatnonzero(np.diff(near, prepend=-9) > 1)
-    cut = np.unique(np.concatenate([new, np.flatnonzero(np.diff(row[near], prepend=-1))]))
-    size = np.diff(np.append(cut, len(near)))
-    feats = token_features(t.buf, start[near], end[near])
-    out = []
+    first = sentences(t, start, end, row)
+    size = np.diff(np.append(first, len(start)))
+    score = field.word_scores(token_features(t.buf, start, end), first)
+    label = np.zeros(len(start), dtype=np.int8)
     order = np.argsort(size, kind="stable")
-    for at in range(0, len(order), 2000):  # sequences of like length together
-        some = order[at : at + 2000]
-        width = int(size[some].max())
-        for k in range(0, len(some), step := max(1, 200_000 // width)):
-            part = some[k : k + step]
-            grid = np.minimum(cut[part][:, None] + np.arange(width), len(near) - 1)
-            live = np.arange(width) < size[part][:, None]
-            label = field.decode(np.where(live[:, :, None], feats[grid], -1), size[part])
-            for i, j in zip(*np.nonzero(label % 2 == 1), strict=True):
-                kind, to = (int(label[i, j]) - 1) // 2, j
-                while to + 1 < size[part[i]] and label[i, to + 1] == label[i, j] + 1:
-                    to += 1
-                a, b = int(start[near[cut[part[i]] + j]]), int(end[near[cut[part[i]] + to]])
-                while a < b and t.buf[a] in _EDGE and not (kind == 3 and t.buf[a] == 40):
-                    a += 1
-                while a < b and t.buf[b - 1] in _EDGE:
-                    b -= 1
-                digits = int(((t.buf[a:b] >= 48) & (t.buf[a:b] <= 57)).sum())
-                if a < b and (_AT.search(t.buf[a:b].tobytes()) if kind == 0 else _DIGITS[kind][0] <= digits <= _DIGITS[kind][1]):
-                    out.append((int(row[near[cut[part[i]]]]), a, b, kind))
+    at = 0
+    while at < len(order):  # sentences of like length together, so many that a batch has about as many words
+        width = int(size[order[min(at + 2000, len(order)) - 1]])
+        part = order[at : at + max(1, min(2000, 60_000 // width))]
+        width = int(size[part].max())
+        grid = np.minimum(first[part][:, None] + np.arange(width), len(start) - 1)
+        live = np.arange(width) < size[part][:, None]
+        label[grid[live]] = field.decode(score[grid], size[part])[live]
+        at += len(part)
+    out = []
+    for i in np.flatnonzero(label % 2 == 1).tolist():
+        kind, to = (int(label[i]) - 1) // 2, i
+        while to + 1 < len(label) and label[to + 1] == label[i] + 1:
+            to += 1
+        a, b = int(start[i]), int(end[to])
+        while a < b and t.buf[a] in _EDGE and not (kind == 3 and t.buf[a] == 40):
+            a += 1
+        while a < b and t.buf[b - 1] in _EDGE:
+            b -= 1
+        if a < b:
+            out.append((int(row[i]), a, b, kind))
     return out
 
 
