@@ -72,10 +72,9 @@ class Items:
     ids: list
     size: np.ndarray  # words
     prints: np.ndarray
-    table: list  # of each block: first place by value, and items
+    table: list  # of each block: which values occur, first place by value, and items by value
     hits: np.ndarray  # sorted shingles
-    hit_first: np.ndarray
-    hit_sizes: np.ndarray  # sizes of the items that have each
+    of_size: dict  # size in words -> places in hits of the shingles that items of this size have
     member: np.ndarray  # sorted (item, shingle) codes
     weight: np.ndarray
     shingles: np.ndarray  # shingles of each item
@@ -102,18 +101,17 @@ class Items:
         np.add.at(sums, of, signs(shingle))
         prints = fingerprint(sums)
         long = np.flatnonzero(size >= SHINGLE)
-        masks, table = _neighbours(NEAR), []
+        table = []
         for b in range(BLOCKS):
-            value = (prints[long, b][:, None] ^ masks).ravel()
+            value = prints[long, b].astype(np.int64)
             order = np.argsort(value, kind="stable")
-            table.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)), np.repeat(long, len(masks))[order]))
-        pair = np.unique(np.stack([shingle.view(np.int64), size[of]], axis=1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
-        key = pair[:, 0].copy().view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        hits, at = np.unique(key[order], return_index=True)
+            first = np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32)
+            table.append((np.diff(first) > 0, first, long[order]))
+        hits, which = np.unique(shingle, return_inverse=True)
+        of_size = {int(z): np.unique(which[size[of] == z]) for z in np.unique(size[of])} if len(of) else {}
         code = splitmix(of.astype(np.uint64)) ^ shingle
         member, weight = np.unique(code, return_counts=True)
-        return Items(list(ids), size, prints, table, hits, np.append(at, len(key)), pair[order, 1], member, weight, np.bincount(of, minlength=t.n), short)
+        return Items(list(ids), size, prints, table, hits, of_size, member, weight, np.bincount(of, minlength=t.n), short)
 
 
 def search(t: Texts, items: Items, least: float) -> list[tuple[int, int, float]]:
@@ -147,21 +145,24 @@ def _lookup(known: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _windows(found, items: Items, s: np.ndarray, row: np.ndarray, hit: np.ndarray, which: np.ndarray, least: float) -> None:
-    # a window that is similar enough to an item shares a shingle with it: every window of the item's size around a hit
-    times = items.hit_first[which + 1] - items.hit_first[which]
-    place = np.repeat(hit, times)
-    size = items.hit_sizes[np.concatenate([np.arange(a, b) for a, b in zip(items.hit_first[which], items.hit_first[which + 1], strict=True)])]
-    first = np.searchsorted(row, row[place])
-    stop = np.searchsorted(row, row[place], side="right")
-    low = np.maximum(first, place - (size - SHINGLE))
-    high = np.maximum(np.minimum(place, stop - size), first)
-    low = np.minimum(low, high)
-    n = high - low + 1
-    start = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    code = np.unique(start * (1 << 24) + np.repeat(np.minimum(size, stop - first), n))
-    start, size = code >> 24, code & ((1 << 24) - 1)
-    for at in range(0, len(start), 20_000):
-        _compare(found, items, s, row, start[at : at + 20_000], size[at : at + 20_000] - SHINGLE + 1, least)
+    # a window that is similar enough to an item shares a shingle with it: every window of the item's size around a hit,
+    # each once however many hits it has; one size at a time, so that memory follows the text alone
+    first, stop = np.searchsorted(row, row[hit]), np.searchsorted(row, row[hit], side="right")
+    for size, shingles in items.of_size.items():
+        mine = np.zeros(len(items.hits), dtype=bool)
+        mine[shingles] = True
+        at = np.flatnonzero(mine[which])
+        if not len(at):
+            continue
+        low = np.maximum(first[at], hit[at] - (size - SHINGLE))
+        high = np.maximum(np.minimum(hit[at], stop[at] - size), first[at])
+        cover = np.zeros(len(s) + 1, dtype=np.int32)
+        np.add.at(cover, np.minimum(low, high), 1)
+        np.add.at(cover, high + 1, -1)
+        start = np.flatnonzero(np.cumsum(cover) > 0)
+        words_ = np.minimum(size, np.searchsorted(row, row[start], side="right") - np.searchsorted(row, row[start]))
+        for k in range(0, len(start), 20_000):
+            _compare(found, items, s, row, start[k : k + 20_000], words_[k : k + 20_000] - SHINGLE + 1, least)
 
 
 def _compare(found, items: Items, s: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, least: float) -> None:
@@ -174,14 +175,17 @@ def _compare(found, items: Items, s: np.ndarray, row: np.ndarray, start: np.ndar
     np.cumsum(signs(s[used]), axis=0, out=run[1:])
     a = np.searchsorted(used, start)
     prints = fingerprint(run[a + count] - run[a])
-    pairs = []
-    for b, (first, listed) in enumerate(items.table):
-        value = prints[:, b].astype(np.int64)
-        n = first[value + 1] - first[value]
-        w = np.repeat(np.arange(len(start)), n)
-        i = listed[np.repeat(first[value], n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)]
-        near = _POP[prints[w] ^ items.prints[i]].sum(axis=1) <= RADIUS
-        pairs.append(w[near] * len(items.size) + i[near])
+    pairs, masks = [], _neighbours(NEAR)
+    for b, (occurs, first, listed) in enumerate(items.table):
+        for k in range(0, len(start), 2000):
+            near = prints[k : k + 2000, b][:, None] ^ masks  # every value within NEAR bits of the window's
+            w, m = np.nonzero(occurs[near])
+            value = near[w, m].astype(np.int64)
+            n = (first[value + 1] - first[value]).astype(np.int64)
+            w = np.repeat(w + k, n)
+            i = listed[np.repeat(first[value], n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)]
+            close = _POP[prints[w] ^ items.prints[i]].sum(axis=1) <= RADIUS
+            pairs.append(np.unique(w[close] * len(items.size) + i[close]))
     pair = np.unique(np.concatenate(pairs))
     w, i = pair // len(items.size), pair % len(items.size)
     for at in range(0, len(pair), 5000):  # exact weighted similarity of shingles
