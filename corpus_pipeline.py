@@ -25,7 +25,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by similarity of five-word shingles."""
+    """One document of each group that is linked by similarity of two-word shingles, as near_duplicates() links them."""
     return near_dedup.keep_one(docs)
 
 

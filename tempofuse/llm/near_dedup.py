@@ -505,7 +505,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     )
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = PERCENT, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates() keeps, one of each component; of rows that share id and text, one."""
     kept = near_duplicates(docs, words, percent, trees, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__tf_id"), F.col("text_hash").alias("__tf_h"))
     keyed = docs.withColumn("__tf_x", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
