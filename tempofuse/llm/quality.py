@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tempofuse.llm.common import IS_SPACE, Texts, chunks, prefix_hash, span_hash, splitmix
 
@@ -134,11 +135,32 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 60, l2: float = 1e-3)
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     z = (b + np.bincount(row, weights=w[bucket] * weight, minlength=n))[held]
-    y, slope, shift = labels[held], 1.0, 0.0
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -40, 40)))
-        slope, shift = slope - 0.05 * ((p - y) * z).mean(), shift - 0.05 * (p - y).mean()
-    return Model(w.astype(np.float32), b, max(slope, 0.05), shift)
+    return Model(w.astype(np.float32), b, *platt(z, labels[held]))
+
+
+def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift that make 1 / (1 + exp(-(slope z + shift))) likeliest, by Newton's method until it has converged.
+
+    Labels are drawn in a little from 0 and 1, as Platt does, so that the result is finite for rows that z parts.
+    """
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    x = np.stack([z, np.ones(len(z))], axis=1)
+
+    def loss(t):
+        return float(np.logaddexp(0, x @ t).sum() - target @ (x @ t))
+
+    theta = np.array([0.0, float(np.log(target.mean() / (1 - target.mean())))])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -40, 40)))
+        g = x.T @ (p - target)
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), g)
+        step = 1.0
+        while step > 1e-6 and loss(theta - step * move) > loss(theta):
+            step /= 2
+        theta = theta - step * move
+        if np.abs(g).max() < 1e-6 * len(z):
+            break
+    return float(theta[0]), float(theta[1])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, where=None, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.Array, np.ndarray]:
@@ -161,9 +183,6 @@ def score_quality(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, text_
     added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, p_quality double, kept boolean"
     names = [x.split()[0] for x in added.split(", ")]
     docs = docs.drop(*names)
-    schema = docs.schema.simpleString()
-    from pyspark.sql.types import StructType
-
     schema = StructType(docs.schema.fields + StructType.fromDDL(added).fields)
 
     def run(batches):

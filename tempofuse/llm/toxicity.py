@@ -64,7 +64,7 @@ def sentence_words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 class Model:
     weights: np.ndarray
     bias: float
-    #: A text without words scores this.
+    #: A text without words scores this: the share of label 1 among such training texts, drawn to the share of all.
     prior: float
 
     def sentence_scores(self, bucket: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 60, l2: float = 3e-5,
     y = np.asarray(labels, dtype=float)
     n = len(y)
     if n < 8 or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), -40.0, 0.0)
+        return Model(np.zeros(BUCKETS, np.float32), -40.0, float(y.mean()) if n else 0.0)
     parts, first = [], 0
     for batch in chunks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", 1 << 19):
         parts.append((batch.column(0), first))
@@ -130,14 +130,16 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 60, l2: float = 3e-5,
         w, b = w - move[:-1], b - move[-1]
     weights = np.zeros(BUCKETS, np.float32)
     weights[live] = w
-    return Model(weights, float(b), 0.0)
+    silent = np.ones(n, dtype=bool)
+    silent[row] = False
+    return Model(weights, float(b), float((y[silent].sum() + 20 * rate) / (silent.sum() + 20)))
 
 
 def score_toxicity(docs: DataFrame, model: Model, reject_at: float = REJECT_AT, text_col: str = "text") -> DataFrame:
     """docs with score (double), predicted (int) and offenders added; columns of these names are replaced.
 
     offenders holds start and end (bytes of the UTF-8 text) and score of each sentence that scores SENTENCE_AT or
-    more. Null and empty texts have no sentence and score 0. Rows are scored one by one, so repeated rows and null ids
+    more. Null and empty texts have no sentence and score the model's prior. Rows are scored one by one, so repeated rows and null ids
     score as any other.
     """
     names = ["score", "predicted", "offenders"]
