@@ -79,47 +79,138 @@ def nearest_event(triggers: DataFrame, events: DataFrame, by: str, at: str, span
     return near.withColumn("__e", best).where("__e is not null").select(by, *key, "__e.cost", "__e.t0", "__e.t1")
 
 
+def _candidates(df: DataFrame, above: Column, onset: Column, most: float, min_gap: float, by: str, t: str) -> DataFrame:
+    """The rows that can matter to a detector, with __chunk: rows of different chunks cannot influence each other.
+
+    A row is idle where the signal is at or below the onset level and no trigger was within most + min_gap before it:
+    an event ends at most `most` after its trigger, its successor's onset is not before an idle row between them, and
+    so the pause between them is long enough whatever came before. A chunk is a run of rows that are not idle with the
+    idle row before it, if it has a trigger. All this is windows; only chunks reach Python, each of a few events.
+    """
+    w = Window.partitionBy(by).orderBy(t)
+    last = F.last(F.when(above, F.col(t)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.withColumn("__above", F.coalesce(above, F.lit(False))).withColumn("__idle", onset & (last.isNull() | (F.col(t) - last > most + min_gap)))
+    rows = rows.withColumn("__next", F.lead("__idle").over(w)).where(~F.col("__idle") | ~F.coalesce("__next", F.lit(True)))
+    rows = rows.withColumn("__chunk", F.sum(F.col("__idle").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    return rows.withColumn("__any", F.max("__above").over(Window.partitionBy(by, "__chunk"))).where("__any").drop("__next", "__any", "__idle")
+
+
+def _events(times: np.ndarray, level: np.ndarray, above: np.ndarray, quiet: np.ndarray, onset: float, hold: float, most: float, min_gap: float) -> list[tuple[int, int, int]]:
+    """(onset, peak, end) as row numbers, of accepted events: see detect_events()."""
+    found, last_end, i, n = [], -np.inf, 0, len(times)
+    starts = np.flatnonzero(above)
+    begun = np.zeros(n, dtype=np.int64)  # where the quiet stretch that a row is in begins
+    fresh = quiet & ~np.concatenate([[False], quiet[:-1]])
+    np.maximum.accumulate(np.where(fresh, np.arange(n), 0), out=begun)
+    low = np.maximum.accumulate(np.where(level <= onset, np.arange(n), 0))  # the last row at or below the onset level
+    while (k := np.searchsorted(starts, i)) < len(starts):
+        i = int(starts[k])
+        stop = int(np.searchsorted(times, times[i] + most, side="left"))
+        stretch = np.maximum(begun[i:stop], i)
+        done = np.flatnonzero(quiet[i:stop] & (times[i:stop] - times[stretch] >= hold))
+        if len(done):
+            j = i + int(done[0])
+            end = int(stretch[done[0]])
+        else:
+            j = stop
+            end = int(stretch[-1]) if stop > i and quiet[stop - 1] else min(stop, n - 1)
+        peak = i + int(np.argmax(level[i : max(i + 1, end + 1)]))
+        back = int(low[min(i, peak)])
+        if times[back] - last_end >= min_gap:
+            found.append((back, peak, end))
+            last_end = times[end]
+        i = j + 1
+    return found
+
+
 def detect_events(df: DataFrame, trigger: float, onset: float, quiet: float, hold: float, most: float, min_gap: float, by: str = "session", t: str = "t", v: str = "v") -> DataFrame:
-    """session, event, t_onset, t_peak, t_end, peak: events by hysteresis, one session at a time.
+    """session, event, t_onset, t_peak, t_end, peak: events by hysteresis.
 
     An event opens where v passes trigger, and ends where v has stayed at or below quiet for `hold` (at the start of
-    that stretch), or after `most`. Its onset goes back while v is over onset; one that begins within min_gap of the
-    end of the last accepted event is passed over. What is accepted depends on what was before, so a session is read
-    in order; sessions run apart.
+    that stretch), or after `most`. Its onset is the last row at or below onset before it (else the first row); one
+    that begins within min_gap of the end of the last accepted event is passed over. What is accepted depends on what
+    was before, but not on what is beyond a long enough pause: sessions are cut there, so that neither a session nor
+    its idle rows go through one task.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(t, kind="stable")
         times, x = g[t].to_numpy(), g[v].to_numpy()
-        found, last_end, i = [], -np.inf, 0
-        above = np.flatnonzero(x > trigger)
-        while True:
-            k = np.searchsorted(above, i)
-            if k == len(above):
-                break
-            i = int(above[k])
-            stop = int(np.searchsorted(times, times[i] + most, side="left"))
-            calm = x[i:stop] <= quiet
-            end, j = min(stop, len(x) - 1), stop
-            begun = None
-            for p in np.flatnonzero(calm):
-                if begun is None or not calm[p - 1]:
-                    begun = p
-                if times[i + p] - times[i + begun] >= hold:
-                    end, j = i + begun, i + p
-                    break
-            else:
-                if len(calm) and calm[-1] and begun is not None:
-                    end = i + begun
-            peak = i + int(np.argmax(x[i : end + 1]))
-            back = min(i, peak)
-            while back > 0 and x[back - 1] > onset:
-                back -= 1
-            if times[back] - last_end >= min_gap:
-                found.append((times[back], times[peak], times[end], x[peak]))
-                last_end = times[end]
-            i = j + 1
-        out = pd.DataFrame(found, columns=["t_onset", "t_peak", "t_end", "peak"], dtype=float)
-        return out.assign(session=g[by].iloc[0], event=range(len(found)))[["session", "event", "t_onset", "t_peak", "t_end", "peak"]]
-
-    return df.select(by, t, v).groupBy(by).applyInPandas(run, f"session {dict(df.dtypes)[by]}, event long, t_onset double, t_peak double, t_end double, peak double")
+        rows = _events(times, x, g["__above"].to_numpy(), x <= quiet, onset, hold, most, min_gap)
+        out = pd.DataFrame([(times[a], times[p], times[e], x[p]) for a, p, e in rows], columns=["t_onset", "t_peak", "t_end", "peak"], dtype=float)
+        return out.assign(session=g[by].iloc[0])[["session", "t_onset", "t_peak", "t_end", "peak"]]
+
+    rows = _candidates(df.select(by, t, v), F.col(v) > trigger, F.col(v) <= onset, most, min_gap, by, t)
+    found = rows.groupBy(by, "__chunk").applyInPandas(run, f"session {dict(df.dtypes)[by]}, t_onset double, t_peak double, t_end double, peak double")
+    return _numbered(found, ["t_onset", "t_peak", "t_end", "peak"])
+
+
+def _numbered(found: DataFrame, columns: list[str]) -> DataFrame:
+    number = (F.row_number().over(Window.partitionBy("session").orderBy("t_onset", "t_peak")) - 1).cast("long")
+    return found.select("session", number.alias("event"), *columns)
+
+
+def still_end(rate: Column, force: Column | None, most_rate: float = 4.0, most_off: float = 3.0) -> Column:
+    """Whether the bar is held still at an event's end: a smoothed rate, and if given the smoothed distance of the
+    specific force from gravity, at or below their bounds."""
+    return rate <= most_rate if force is None else (rate <= most_rate) & (force <= most_off)
+
+
+def nearest_padded_median(x: np.ndarray, size: int) -> np.ndarray:
+    """Running medians of each column over `size` rows (odd), the edge rows repeated beyond the edges."""
+    half = size // 2
+    padded = np.pad(x, ((half, half), (0, 0)), mode="edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(padded, size, axis=0), axis=-1)
+
+
+def detect_swings(
+    imu: DataFrame, rate: float = 400.0, trigger_source: str = "gyro", trigger: float = 10.0, onset: float = 4.0, end_rate: float = 4.0, end_off: float | None = 3.0, hold: float = 0.1, most: float = 1.2, min_gap: float = 1.5, impact: float = 300.0,
+    by: str = "session", t: str = "t", tie: str = "seq", impact_axes: tuple[str, str, str] = ("hx", "hy", "hz"),
+) -> DataFrame:
+    """session, event, t_onset, t_peak, t_end, t_contact, peak: events of a bar that is swung, in inertial rows.
+
+    The trigger's signal, the rate and the distance of the specific force from gravity are means over 10, 10 and 20 ms;
+    events then are those of detect_events(), with the peak in the rate and an end that needs the bar held still.
+    t_contact is the first row of an event where the impact axes stand off their running median of 25 ms by more than
+    impact; null without one. Sessions of under ten rows have no events.
+    """
+    from tempofuse.operators.align import box_mean
+
+    w = over_time(by, t, tie)
+    gyro, accel = tuple(F.col(c) for c in ("gx", "gy", "gz")), tuple(F.col(c) for c in ("ax", "ay", "az"))
+    whole = Window.partitionBy(by)
+    rows = imu.withColumns({"__row": F.row_number().over(w) - 1, "__rows": F.count("*").over(whole), "__rate": F.sqrt(sum((g * g for g in gyro[1:]), gyro[0] * gyro[0])), "__sig": trigger_signal(trigger_source, gyro, accel), "__off": trigger_signal("accel_mag", gyro, accel)})
+    rows = rows.where(F.col("__rows") >= 10)
+    short, long = max(1, round(rate * 0.01)), max(1, round(rate * 0.02))
+    smooth = {"__rate": short, "__sig": short, "__off": long}
+    rows = rows.withColumns({c: box_mean(F.col(c), k, w, F.col("__row"), F.col("__rows")) for c, k in smooth.items()})
+    rows = rows.withColumn("__quiet", still_end(F.col("__rate"), F.col("__off") if end_off is not None else None, end_rate, end_off or 0.0))
+    size = max(3, round(rate * 0.025) | 1)
+    cut = _candidates(rows.select(by, t, "__rate", "__sig", "__quiet", *impact_axes), F.col("__sig") > trigger, F.col("__rate") <= onset, most, min_gap, by, t)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values(t, kind="stable")
+        times, level, high = g[t].to_numpy(), g["__rate"].to_numpy(), g[list(impact_axes)].to_numpy(dtype=float)
+        found = []
+        for a, p, e in _events(times, level, g["__above"].to_numpy(), g["__quiet"].to_numpy(), onset, hold, most, min_gap):
+            part = high[a : e + 1]
+            hit = np.flatnonzero(np.linalg.norm(part - nearest_padded_median(part, size), axis=1) > impact) if len(part) >= 3 else []
+            found.append((g[by].iloc[0], times[a], times[p], times[e], times[a + hit[0]] if len(hit) else None, level[p]))
+        return pd.DataFrame(found, columns=["session", "t_onset", "t_peak", "t_end", "t_contact", "peak"]).astype({"t_contact": float})
+
+    found = cut.groupBy(by, "__chunk").applyInPandas(run, f"session {dict(imu.dtypes)[by]}, t_onset double, t_peak double, t_end double, t_contact double, peak double")
+    return _numbered(found, ["t_onset", "t_peak", "t_end", "t_contact", "peak"])
+
+
+def events_in_view(events: DataFrame, sights: DataFrame, slack: float, triggers: DataFrame | None = None, by: str = "session", t: str = "t") -> DataFrame:
+    """The event of each session that a capture is saved for: of those that overlap the camera's span, give or take the
+    slack, the one nearest to the session's trigger (by, t), or without one that of the greatest peak (of equal ones
+    the first)."""
+    span = sights.groupBy(by).agg(F.min(t).alias("__a"), F.max(t).alias("__b"))
+    near = events.join(span, by).where((F.col("t_end") >= F.col("__a") - slack) & (F.col("t_onset") <= F.col("__b") + slack)).drop("__a", "__b")
+    far = F.lit(None).cast("double")
+    if triggers is not None:
+        near = near.join(triggers.select(by, F.col(t).alias("__t")), by, "left")
+        far = F.when(F.col("__t").between(F.col("t_onset"), F.col("t_end")), 0.0).otherwise(F.least(F.abs(F.col("__t") - F.col("t_onset")), F.abs(F.col("__t") - F.col("t_end"))))
+    order = Window.partitionBy(by).orderBy(far.asc_nulls_last(), F.col("peak").desc(), "t_onset")
+    return near.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*events.columns)

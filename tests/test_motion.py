@@ -84,7 +84,7 @@ def test_filter_finds_attitude_and_bias():
     q, b, deviation, used, refused = attitude.smooth_attitude(t, true_rate + bias + r.normal(0, 0.02, (n, 3)), down, axis, grip, up, attitude.turn(truth[0], np.array([0.02, 0.02, -0.02])), axis_spread=0.02)
     off = [2 * np.arccos(min(1, abs(x @ y))) for x, y in zip(q, truth, strict=True)]
     assert np.degrees(np.median(off)) < 1.0 and np.linalg.norm(b[-1] - bias) < 0.7 * np.linalg.norm(bias)
-    assert used > 4500 and refused < 10 and (deviation < np.radians(3)).all()
+    assert used > 4500 and refused < 10 and (deviation < 3).all()
 
 
 def test_point_sets_give_back_their_turn(spark):
