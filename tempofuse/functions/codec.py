@@ -74,3 +74,19 @@ def crc16(data: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(8)), mixed, lambda c, _: F.when(c.bitwiseAND(0x8000) != 0, F.shiftleft(c, 1).bitwiseXOR(0x1021)).otherwise(F.shiftleft(c, 1)).bitwiseAND(0xFFFF))
 
     return F.aggregate(index, F.lit(0xFFFF), step)
+
+
+def frame_kind(data: Column, size: int = 42, header: str = "A55A", least: int = 3, patience: int = 600) -> Column:
+    """Which frames a stream's first bytes hold: "v2" if there are `least` headers in a row exactly `size` bytes apart,
+    each of a whole frame; "v1" if there are not and at least `patience` bytes; else null, as it cannot be told yet."""
+    text, n = F.hex(data), F.octet_length(data)
+    places = F.when(n >= least * size, F.sequence(F.lit(0), F.greatest(n - least * size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    here = lambda i: F.substring(text, 2 * i + 1, F.lit(4)) == header
+    found = F.exists(places, lambda i: here(i) & here(i + size) & here(i + 2 * size)) if least == 3 else F.exists(places, lambda i: F.forall(F.sequence(F.lit(0), F.lit(least - 1)), lambda k: here(i + k * size)))
+    return F.when(found, "v2").when(n >= patience, "v1")
+
+
+def expanded_format(code: Column) -> Column:
+    """A struct code as an array of single letters: "2h3B" is h, h, B, B, B; byte order marks are passed over."""
+    counts, letters = F.regexp_extract_all(code, F.lit(r"([0-9]*)([A-Za-z])"), 1), F.regexp_extract_all(code, F.lit(r"([0-9]*)([A-Za-z])"), 2)
+    return F.flatten(F.zip_with(counts, letters, lambda n, c: F.array_repeat(c, F.when(n == "", F.lit("1")).otherwise(n).cast("int"))))

@@ -156,3 +156,8 @@ def body_rate(q: Quat, dq: Quat) -> Vec:
 
 def world_rate(q: Quat, dq: Quat) -> Vec:
     return tuple(2 * x for x in multiply(dq, conjugate(q))[1:])
+
+
+def lerped(p: Quat, q: Quat, x: Column) -> Quat:
+    """Component by component between two quaternions, made unit again."""
+    return unit(tuple(a + (b - a) * x for a, b in zip(p, q, strict=True)))

@@ -143,3 +143,28 @@ def merge_streams(*streams: DataFrame) -> DataFrame:
 def joint_grid(*streams: DataFrame, by: str = "session", t: str = "t") -> DataFrame:
     """The distinct times of all streams."""
     return merge_streams(*[s.select(by, t) for s in streams]).distinct()
+
+
+def parabola_rate(v: str, window, row: Column, rows: Column, reach: int = 3) -> Column:
+    """First derivative, per row, of the parabola through 2 * reach + 1 rows about each by least squares. The first and
+    last `reach` rows of a partition are on the parabola of the first and last such rows; null in shorter partitions."""
+    steps = range(-reach, reach + 1)
+    squares = sum(k * k for k in steps)
+    mean = squares / len(steps)
+    curve = sum((k * k - mean) ** 2 for k in steps)
+
+    def at(off: int) -> Column:
+        return F.lead(v, off).over(window) if off > 0 else (F.lag(v, -off).over(window) if off < 0 else F.col(v))
+
+    def rate(centre: int) -> Column:
+        """The slope here of the parabola about the row that is `centre` rows on."""
+        slope = sum((k * at(centre + k) for k in steps if k), F.lit(0.0)) / squares
+        if not centre:
+            return slope
+        bend = sum(((k * k - mean) * at(centre + k) for k in steps), F.lit(0.0)) / curve
+        return slope - 2 * centre * bend
+
+    out = F.when(rows < len(steps), None)
+    for k in range(reach):
+        out = out.when(row == k, rate(reach - k)).when(rows - 1 - row == k, rate(k - reach))
+    return out.otherwise(rate(0))

@@ -68,3 +68,54 @@ def patch_median(df: DataFrame, centers: DataFrame, half: int, by: str, u: str =
 
 def rows_newest(df: DataFrame, by: str, order: str, keep: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))).where(F.col("place") <= keep)
+
+
+def most_collinear_three(df: DataFrame, by: str = "frame", place: str = "marker", axes: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """frame, a, b, c, off: of each frame the three points (by place, in order) that lie nearest to a line. off is the
+    second singular value of the three about their mean, the third being none; of equal ones (to six digits) the first.
+
+    A frame has a handful of points, which are gathered in one array; its triples are formed within the row.
+    """
+    point = F.struct(place, *axes)
+    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(point)).alias("__p")).where(F.size("__p") >= 3)
+    n = F.size("__p") - 1
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.flatten(F.transform(F.sequence(i + 1, n - 1), lambda j: F.transform(F.sequence(j + 1, n), lambda k: F.struct(F.get("__p", i).alias("a"), F.get("__p", j).alias("b"), F.get("__p", k).alias("c")))))))
+
+    def spread(x: Column) -> Column:
+        u, v = ([x[e][c] - x["a"][c] for c in axes] for e in "bc")
+        d = [q - p for p, q in zip(u, v, strict=True)]
+        total = sum((e * e for e in (*u, *v, *d)), F.lit(0.0)) / 3
+        area = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+        minor = sum((e * e for e in area), F.lit(0.0)) / 3
+        return F.sqrt(F.greatest((total - F.sqrt(F.greatest(total * total - 4 * minor, F.lit(0.0)))) / 2, F.lit(0.0)))
+
+    best = F.array_min(F.transform(pairs, lambda x: F.struct(F.round(spread(x), 6).alias("off"), x["a"][place].alias("a"), x["b"][place].alias("b"), x["c"][place].alias("c"))))
+    return rows.select(by, best.alias("m")).select(by, "m.a", "m.b", "m.c", "m.off")
+
+
+def least_of(df: DataFrame, by: str, cost: str, tie: str, n: int = 3) -> DataFrame:
+    """The n rows of least cost of each group, with their place from 1."""
+    order = Window.partitionBy(by).orderBy(cost, tie)
+    return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def posed_frames(df: DataFrame, model: DataFrame, by: list[str], order: str, marker: str = "marker", axes: tuple[str, str, str] = ("x", "y", "z"), least: int = 3) -> DataFrame:
+    """Pose of each frame's points against a model of the bar: n, qw to qz, rms, and tx, ty, tz of the model's origin.
+
+    model has marker, place (the order of names) and mx, my, mz: a handful of rows, which is broadcast. Of four or more
+    known points all count, of three those; frames with fewer have none. Places are told from the anchor: the mean of
+    the points of the session's first frame that has enough. by is the session and the frame, order the frame.
+    """
+    from tempofuse.operators.attitude import point_set_rotation
+
+    met = df.join(F.broadcast(model), marker).withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where(F.col("__n") >= least)
+    first = met.groupBy(by[0], order).agg(*[F.avg(a).alias(f"a{a}") for a in axes])
+    anchor = first.groupBy(by[0]).agg(F.min_by(F.struct(*[f"a{a}" for a in axes]), order).alias("__a")).select(by[0], "__a.*")
+    told = met.join(anchor, by[0]).withColumns({a: F.col(a) - F.col(f"a{a}") for a in axes}).withColumn("__key", F.struct(*by))
+    turn = point_set_rotation(told, "__key", ("mx", "my", "mz"), axes, least)
+    middle = told.groupBy("__key").agg(*[F.avg(c).alias(f"c{c}") for c in (*axes, "mx", "my", "mz")])
+    from tempofuse.functions.vectors import rotate
+
+    out = turn.join(middle, "__key")
+    moved = rotate(tuple(F.col(c) for c in ("qw", "qx", "qy", "qz")), tuple(F.col(c) for c in ("cmx", "cmy", "cmz")))
+    return out.select("__key.*", "n", "qw", "qx", "qy", "qz", "rms", *[(F.col(f"c{a}") - m).alias(f"t{a}") for a, m in zip(axes, moved, strict=True)])

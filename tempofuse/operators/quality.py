@@ -45,6 +45,23 @@ def gap_flags(df: DataFrame, most_gap: float, by: str = "session", t: str = "t",
     return df.withColumn("after_gap", F.coalesce(F.col(t) - F.lag(t).over(over_time(by, t, tie)) > most_gap, F.lit(False)))
 
 
+def gap_guarded(df: DataFrame, most_gap: float, guard: float, by: str = "session", t: str = "t", tie: str = "seq") -> DataFrame:
+    """df with after_gap, and near_gap: whether a row is within guard of a longer gap between rows (or at its ends). A
+    gap's rows invalidate accelerations, and those near it invalidate speeds."""
+    w = over_time(by, t, tie)
+    rows = gap_flags(df, most_gap, by, t, tie)
+    rows = rows.withColumn("__opens", F.coalesce(F.lead("after_gap").over(w), F.lit(False)))
+    ended = F.last(F.when(F.col("after_gap"), F.col(t)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    opens = F.first(F.when(F.col("__opens"), F.col(t)), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = F.coalesce(F.col(t) - ended <= guard, F.lit(False)) | F.coalesce(opens - F.col(t) <= guard, F.lit(False))
+    return rows.withColumn("near_gap", near).drop("__opens")
+
+
+def ringing(t: Column, contact: Column, before: float = 0.005, after: float = 0.05) -> Column:
+    """Whether the impact of an event rings at a time; not without one."""
+    return F.coalesce(t.between(contact - before, contact + after), F.lit(False))
+
+
 def rigid_subset(present: dict[str, Column], places: dict[str, tuple[Column, Column, Column]], along: dict[str, float], least: float = 0.05, share: float = 0.2) -> dict[str, Column]:
     """For each marker of a wide frame, whether it is kept: the one largest set of markers whose distances fit those
     along the bar. Of several largest sets none is kept; a lone marker is."""

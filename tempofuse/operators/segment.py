@@ -33,10 +33,13 @@ def still(gyro: tuple[Column, ...], accel: tuple[Column, ...], most_rate: float
 
 
 def spikes(df: DataFrame, size: int, threshold: float, by: str = "session", t: str = "t", v: str = "v", tie: str = "seq") -> DataFrame:
-    """Rows that stand off the centred median of `size` rows (odd) by over threshold; rows without a whole window do not count."""
+    """Rows that stand off the centred median of `size` rows (odd) by over threshold; beyond a session's ends the edge
+    row stands for those that are missing."""
     w, half = over_time(by, t, tie), size // 2
-    rows = df.withColumn("__w", F.collect_list(v).over(w.rowsBetween(-half, half)))
-    return rows.where((F.size("__w") == size) & (F.abs(F.col(v) - F.array_sort("__w")[half]) > threshold)).drop("__w")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.withColumns({"__w": F.collect_list(v).over(w.rowsBetween(-half, half)), "__i": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy(by)), "__a": F.first(v).over(whole), "__b": F.last(v).over(whole)})
+    padded = F.concat(F.array_repeat("__a", F.greatest(half + 1 - F.col("__i"), F.lit(0)).cast("int")), "__w", F.array_repeat("__b", F.greatest(half + F.col("__i") - F.col("__n"), F.lit(0)).cast("int")))
+    return rows.where(F.abs(F.col(v) - F.array_sort(padded)[half]) > threshold).drop("__w", "__i", "__n", "__a", "__b")
 
 
 def merged_events(df: DataFrame, pad: float, by: str = "session", start: str = "t0", end: str = "t1") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +26,40 @@ def zscore(v: str, window):
     """Distance from the mean in population deviations; a constant counts as having a deviation of 1."""
     spread = F.stddev_pop(v).over(window)
     return (F.col(v) - F.avg(v).over(window)) / F.when(spread > 0, spread).otherwise(1.0)
+
+
+def full_lag(a: DataFrame, b: DataFrame, most_rows: int = 1 << 20, by: str = "session", t: str = "t", v: str = "v") -> DataFrame:
+    """session, offset, step, n: what to add to b's times so that it lines up with a, by full cross-correlation.
+
+    Both are read on a common grid of the smaller median step, in the span that both cover, less their means; of equal
+    sums the least lag counts. A session is a recording of seconds to hours, one group; one whose grid would have more
+    than most_rows points is refused, as its step is too fine for its span. Sessions without a common span have none.
+    """
+
+    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = (d.sort_values(t).drop_duplicates(t) for d in (x, y))
+        tx, ty = x[t].to_numpy(), y[t].to_numpy()
+        names = [by, "offset", "step", "n"]
+        if len(tx) < 2 or len(ty) < 2:
+            return pd.DataFrame(columns=names)
+        step, low, high = min(np.median(np.diff(tx)), np.median(np.diff(ty))), max(tx[0], ty[0]), min(tx[-1], ty[-1])
+        if high <= low:
+            return pd.DataFrame(columns=names)
+        if (high - low) / step > most_rows:
+            raise ValueError(f"session {key[0]}: {(high - low) / step:.0f} grid points")
+        grid = np.arange(low, high, step)
+        p, q = (np.interp(grid, u, d[v].to_numpy()) for u, d in ((tx, x), (ty, y)))
+        size = 1 << int(np.ceil(np.log2(2 * len(grid))))
+        sums = np.fft.irfft(np.fft.rfft(p - p.mean(), size) * np.conj(np.fft.rfft(q - q.mean(), size)), size)
+        lags = np.concatenate([np.arange(-len(grid) + 1, 0), np.arange(len(grid))])
+        sums = np.round(sums[lags], 9)
+        return pd.DataFrame([(key[0], float(lags[int(np.argmax(sums))] * step), float(step), len(grid))], columns=names)
+
+    kind = dict(a.dtypes)[by]
+    return a.select(by, t, v).groupBy(by).cogroup(b.select(by, t, v).groupBy(by)).applyInPandas(run, f"{by} {kind}, offset double, step double, n long")
+
+
+def relative_difference(a: Column, b: Column) -> Column:
+    """|a - b| / a; null where a is zero or either is not a number."""
+    off = F.try_divide(F.abs(a - b), a)
+    return F.when(~F.isnan(off) & (F.abs(off) < float("inf")), off)

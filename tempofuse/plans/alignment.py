@@ -170,8 +170,9 @@ def joint_grid(spark, d):
 
 
 @query(
-    f"""WITH {SAMPLES}, o AS (SELECT session, seq, t, v, row_number() OVER w AS i, count(*) OVER (PARTITION BY session) AS n, quantile_cont(v, 0.5) OVER (PARTITION BY session ORDER BY t, seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m FROM s WINDOW w AS (PARTITION BY session ORDER BY t, seq)),
- h AS (SELECT * FROM o WHERE i > 5 AND i <= n - 5 AND abs(v - m) > 100) SELECT session, min(seq) AS first_hit, count(*) AS hits FROM h GROUP BY session"""
+    f"""WITH {SAMPLES}, o AS (SELECT session, seq, v, row_number() OVER w AS i, count(*) OVER (PARTITION BY session) AS n FROM s WINDOW w AS (PARTITION BY session ORDER BY t, seq)),
+ m AS (SELECT a.session, a.seq, any_value(a.v) AS v, median(b.v) AS m FROM o a, (SELECT unnest(range(-5, 6)) AS k) k JOIN o b ON b.session = a.session AND b.i = greatest(1, least(a.n, a.i + k.k)) GROUP BY ALL)
+ SELECT session, min(seq) AS first_hit, count(*) AS hits FROM m WHERE abs(v - m) > 100 GROUP BY session"""
 )
 def impact_spike(spark, d):
     """First sample that stands off the median of eleven by over a threshold."""
@@ -180,18 +181,19 @@ def impact_spike(spark, d):
     return spikes(samples(spark, d), 11, 100.0).groupBy("session").agg(F.min("seq").alias("first_hit"), F.count("*").alias("hits"))
 
 
+_ROW7 = "(-3*a[{0}+1] - 2*a[{0}+2] - a[{0}+3] + a[{0}+5] + 2*a[{0}+6] + 3*a[{0}+7]) / 28"
+_BEND7 = "(5*a[{0}+1] - 3*a[{0}+3] - 4*a[{0}+4] - 3*a[{0}+5] + 5*a[{0}+7]) / 84"
+
+
 @query(
-    f"""WITH {SAMPLES}, o AS (SELECT session, seq, count(*) OVER (PARTITION BY session) AS n, row_number() OVER w AS i, (-3*lag(v,3) OVER w - 2*lag(v,2) OVER w - lag(v,1) OVER w + lead(v,1) OVER w + 2*lead(v,2) OVER w + 3*lead(v,3) OVER w) / 28 AS slope FROM s WINDOW w AS (PARTITION BY session ORDER BY t, seq))
- SELECT session, seq, round(slope, 5) AS slope FROM o WHERE i > 3 AND i <= n - 3"""
+    f"""WITH {SAMPLES}, o AS (SELECT session, seq, v, row_number() OVER w AS i, count(*) OVER (PARTITION BY session) AS n FROM s WINDOW w AS (PARTITION BY session ORDER BY t, seq)), l AS (SELECT session, list(v ORDER BY i) AS a FROM o GROUP BY session)
+ SELECT session, seq, round(CASE WHEN i <= 3 THEN {_ROW7.format("0")} + 2 * (i - 4) * {_BEND7.format("0")} WHEN i > n - 3 THEN {_ROW7.format("n-7")} + 2 * (i - n + 3) * {_BEND7.format("n-7")} ELSE {_ROW7.format("i-4")} END, 5) + 0 AS slope FROM o JOIN l USING (session) WHERE n >= 7"""
 )
 def savgol_deriv(spark, d):
-    """First derivative of the local parabola over seven samples."""
+    """First derivative of the local parabola over seven samples; at the ends, of the first and last such parabola."""
     w = A.over_time()
-    total = None
-    for k in range(1, 4):
-        term = k * (F.lead("v", k).over(w) - F.lag("v", k).over(w))
-        total = term if total is None else total + term
-    return samples(spark, d).select("session", "seq", F.round(total / 28, 5).alias("slope")).where("slope is not null")
+    s = samples(spark, d).withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("session"))})
+    return s.select("session", "seq", (F.round(A.parabola_rate("v", w, F.col("i"), F.col("n")), 5) + 0.0).alias("slope")).where("slope is not null")
 
 
 @query(

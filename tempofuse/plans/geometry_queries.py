@@ -140,8 +140,8 @@ _PERMUTED = ", ".join(f"({n}, {a}, {b}, {c})" for n, (a, b, c) in enumerate([(1,
 
 @query(
     f"""WITH {FRAMES}, a AS (SELECT frame, marker AS place, x * 100 AS u, y AS v FROM f WHERE marker <= 3), b AS (SELECT frame, marker AS place, x * 90 - 3 AS u, y + 0.3e0 AS v FROM f WHERE marker <= 3), p(n, a1, a2, a3) AS (VALUES {_PERMUTED}),
- k AS (SELECT p.n, x.* FROM p, (SELECT UNNEST([1, 2, 3]) AS l) x), m AS (SELECT k.n, k.l, CASE k.l WHEN 1 THEN a1 WHEN 2 THEN a2 ELSE a3 END AS r FROM k JOIN p ON p.n = k.n), fr AS (SELECT DISTINCT frame FROM a),
- c AS (SELECT fr.frame, m.n, m.l, m.r, abs(a.v - b.v) AS off FROM fr CROSS JOIN m JOIN a ON a.frame = fr.frame AND a.place = m.l JOIN b ON b.frame = fr.frame AND b.place = m.r WHERE abs(a.v - b.v) <= 2 AND a.u - b.u > 0),
+ m AS (SELECT n, 1 AS l, a1 AS r FROM p UNION ALL SELECT n, 2, a2 FROM p UNION ALL SELECT n, 3, a3 FROM p),
+ o AS (SELECT a.frame, a.place AS l, b.place AS r, abs(a.v - b.v) AS off FROM a JOIN b ON b.frame = a.frame WHERE abs(a.v - b.v) <= 2 AND a.u - b.u > 0), c AS (SELECT o.frame, m.n, o.l, o.r, o.off FROM o JOIN m ON m.l = o.l AND m.r = o.r),
  t AS (SELECT x.frame, x.n, count(*) AS turned FROM c x JOIN c y ON x.frame = y.frame AND x.n = y.n AND x.l < y.l AND x.r > y.r GROUP BY ALL),
  g AS (SELECT c.frame, c.n, count(*) AS pairs, coalesce(any_value(t.turned), 0) AS turned, sum(off) AS off FROM c LEFT JOIN t ON t.frame = c.frame AND t.n = c.n GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY pairs DESC, turned, round(off, 6), n) AS k FROM g)
  SELECT c.frame, c.l AS left_place, c.r AS right_place FROM c JOIN w ON w.frame = c.frame AND w.n = c.n AND w.k = 1"""
