@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempofuse.functions.notes import MPH
+from tempofuse.functions.vectors import angle_to_horizontal
+from tempofuse.operators.align import asof, interpolated, parabola_rate
+from tempofuse.operators.segment import overlapping
 
 
 def swing_measures(samples: DataFrame, events: DataFrame, early: float = 0.0025, about: float = 0.02, near_peak: float = 0.08) -> DataFrame:
@@ -91,3 +94,58 @@ def plane_tilt(path: DataFrame, by: tuple[str, ...] = ("session", "event"), axes
         return pd.Series(np.degrees(np.arccos(np.clip(np.abs(normal @ up_), 0, 1))))
 
     return sums.withColumn("tilt_deg", F.when(F.col("n") >= least, angle(F.struct(*moments)))).select(*by, "tilt_deg")
+
+
+def turning_measures(fused: DataFrame, events: DataFrame, rate: float = 400.0, before: float = 0.005, sweet: float = 0.686, early: float = 0.0025) -> DataFrame:
+    """One row an event: the greatest angular acceleration before contact, the tilt of the sweet spot's path, and the
+    angles of the bar and of its motion at contact.
+
+    fused: session, event, seq, t, the axis u*, place k*, velocity v* and world rate w* of the fused samples, with
+    bar_elevation, elevation and supported. events: session, event, t_onset, t_contact. The angular acceleration is the
+    slope of local parabolas of 15 ms; the path is that from onset to contact; angles are null without support.
+    """
+    w, whole = Window.partitionBy("session", "event").orderBy("t", "seq"), Window.partitionBy("session", "event")
+    rows = fused.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(whole)})
+    reach = max(5, round(0.015 * rate) | 1) // 2
+    slope = [parabola_rate(c, w, F.col("__i"), F.col("__n"), reach) * rate for c in ("wx", "wy", "wz")]
+    rows = rows.withColumn("__turn", F.sqrt(sum((c * c for c in slope[1:]), slope[0] * slope[0]))).join(events.select("session", "event", "t_onset", "t_contact"), ["session", "event"])
+    at = F.coalesce(F.max(F.when(F.col("t") <= F.col("t_contact") - early + 1e-9, F.col("t"))).over(whole), F.min("t").over(whole))
+    rows = rows.withColumn("__at", at)
+    here = (F.col("t") == F.col("__at")) & F.col("supported")
+    found = rows.groupBy("session", "event").agg(
+        F.max(F.when(F.col("t").between(F.col("t_onset"), F.col("t_contact") - before), F.col("__turn"))).alias("peak_turn_accel"), F.max(F.when(here, F.col("bar_elevation"))).alias("bar_angle_deg"), F.max(F.when(here, F.col("elevation"))).alias("path_angle_deg")
+    )
+    path = rows.where(F.col("t").between(F.col("t_onset"), F.col("t_contact"))).select("session", "event", *[(F.col(f"k{a}") + sweet * F.col(f"u{a}")).alias(a) for a in "xyz"])
+    return found.join(plane_tilt(path), ["session", "event"], "left")
+
+
+def camera_angles(lines: DataFrame, events: DataFrame, up: tuple[float, float, float], sweet: float = 0.686, within: float = 0.02) -> DataFrame:
+    """session, event, bar_angle_deg, path_angle_deg from the camera alone: the axis of the sight nearest to contact (and
+    within `within`), and the direction of the sweet spot's motion, as the slope over the sights that near."""
+    n = float(np.linalg.norm(up))
+    up_ = tuple(F.lit(c / n) for c in up)
+    spot = {f"__{a}": F.col(f"k_{a}") + sweet * F.col(f"u_{a}") for a in "xyz"}
+    spans = events.select("session", "event", "t_contact", (F.col("t_contact") - within).alias("__c"), (F.col("t_contact") + within).alias("__d"))
+    near = overlapping(lines.where("u_x is not null").withColumns({"__p": F.col("t"), "__q": F.col("t"), **spot}), spans, "session", ("__p", "__q"), ("__c", "__d"), 1.0)
+    nearest = F.min_by(F.struct("u_x", "u_y", "u_z"), F.struct(F.abs(F.col("t") - F.col("t_contact")), "t"))
+    g = near.groupBy("session", "event").agg(nearest.alias("u"), *[F.regr_slope(f"__{a}", "t").alias(f"v_{a}") for a in "xyz"])
+    return g.select("session", "event", angle_to_horizontal(tuple(F.col(f"u.u_{a}") for a in "xyz"), up_).alias("bar_angle_deg"), angle_to_horizontal(tuple(F.col(f"v_{a}") for a in "xyz"), up_).alias("path_angle_deg"))
+
+
+def guided_replay(samples: DataFrame, sights: DataFrame, most_gap: float, reach: float, by: str = "session", t: str = "t", tie: str = "seq", place: str = "x", accel: str = "a") -> DataFrame:
+    """samples with guided, velocity, supported, bridge and estimated: a replay that follows the camera where it sees, and
+    the inertial estimate elsewhere.
+
+    The difference of a sight (session, t, place) from the samples' place is read at each sight and carried in between
+    on straight lines, so that samples run through the sights. The velocity at a sight is the slope over sights within
+    `reach`. Samples in a bracket of sights no longer than most_gap are supported; the others are bridged from the
+    accelerations by bridged().
+    """
+    near = f"over (partition by `{by}` order by `{t}` range between {reach}D preceding and {reach}D following)"
+    moving = sights.withColumn("__slope", F.expr(f"try_divide(covar_pop(`{place}`, `{t}`) {near}, var_pop(`{t}`) {near})"))
+    own = asof(moving, samples, by, t, (place,)).withColumn("__off", F.col(place) - interpolated(place, t))
+    met = asof(samples, own.select(by, t, F.col("__off").alias("off"), F.coalesce("__slope", F.lit(0.0)).alias("slope")), by, t, ("off", "slope"))
+    span = F.col(f"next_{t}") - F.col(f"prev_{t}")
+    met = met.withColumns({"guided": F.col(place) + F.coalesce(interpolated("off", t), F.lit(0.0)), "velocity": F.coalesce(interpolated("slope", t), F.lit(0.0)), "supported": F.coalesce(span <= most_gap, F.lit(False))})
+    met = met.select(*samples.columns, "guided", "velocity", "supported")
+    return bridged(met, by, t, "guided", "velocity", accel, "supported", tie)

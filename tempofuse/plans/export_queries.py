@@ -100,14 +100,14 @@ _FILLED = f"""WITH {POINTS}, g AS (SELECT frame, count(*) AS n, avg(s) AS ms, av
  m AS (SELECT h.*, b.marker, b.marker * 0.1e0 AS ps FROM h, (SELECT unnest([1, 2, 3]) AS marker) b), a AS (SELECT m.frame, m.marker, coalesce(f.x, mx - ms*vx/w + ps*vx/w) AS x, coalesce(f.y, my - ms*vy/w + ps*vy/w) AS y, coalesce(f.z, mz - ms*vz/w + ps*vz/w) AS z, CASE WHEN f.x IS NOT NULL THEN 'camera' WHEN m.n >= 3 THEN 'imu_fill' ELSE 'unsupported' END AS src FROM m LEFT JOIN u f ON f.frame = m.frame AND f.marker = m.marker)"""
 
 
-@query(_FILLED + " SELECT frame, frame / 1000e0 AS t_s, " + ", ".join(f"max(round({c}, 5) + 0) FILTER (marker = {m}) AS m{m}_{c}" if c != "src" else f"max(src) FILTER (marker = {m}) AS m{m}_src" for m in (1, 2, 3) for c in ("x", "y", "z", "src")) + " FROM a GROUP BY frame")
+@query(_FILLED + " SELECT frame, frame / 1000e0 AS t_s, " + ", ".join(f"max(round({c} * 1.03170001e0, 5) + 0) FILTER (marker = {m}) AS m{m}_{c}" if c != "src" else f"max(src) FILTER (marker = {m}) AS m{m}_src" for m in (1, 2, 3) for c in ("x", "y", "z", "src")) + " FROM a GROUP BY frame")
 def marker_table(spark, d):
     """Each frame's bands side by side: as seen, or where the frame's bar has them, with their source."""
     f = _points(spark, d)
     bands = F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(m * 0.1).alias("s")) for m in (1, 2, 3)]))
     lines = G.bar_line(f).where("n_markers >= 2").withColumn("b", bands).select("frame", "n_markers", "b.*", *[f"{k}_{a}" for k in "uk" for a in "xyz"])
     met = lines.join(f.select("frame", "marker", *[F.col(a).alias(f"seen_{a}") for a in "xyz"]), ["frame", "marker"], "left")
-    filled = met.select("frame", (F.col("frame") / 1000.0).alias("t_s"), "marker", *[(F.coalesce(f"seen_{a}", F.col(f"k_{a}") + F.col("s") * F.col(f"u_{a}")) + 0.0).alias(a) for a in "xyz"], sinks.marker_source(F.col("seen_x").isNotNull(), F.col("n_markers") >= 3).alias("source"))
+    filled = met.select("frame", (F.col("frame") / 1000.0).alias("t_s"), "marker", *[(F.coalesce(f"seen_{a}", F.col(f"k_{a}") + F.col("s") * F.col(f"u_{a}")) * 1.03170001 + 0.0).alias(a) for a in "xyz"], sinks.marker_source(F.col("seen_x").isNotNull(), F.col("n_markers") >= 3).alias("source"))
     return sinks.marker_export(filled, [1, 2, 3], ("frame", "t_s"), "marker")
 
 
@@ -197,11 +197,11 @@ def depth_samples(spark, d):
 @query(
     f"""WITH {POINTS}, t AS (SELECT a.frame, a.marker AS a, b.marker AS b, c.marker AS c, b.x-a.x AS ux, b.y-a.y AS uy, b.z-a.z AS uz, c.x-a.x AS vx, c.y-a.y AS vy, c.z-a.z AS vz FROM u a JOIN u b ON a.frame = b.frame AND a.marker < b.marker JOIN u c ON b.frame = c.frame AND b.marker < c.marker),
  m AS (SELECT *, (ux*ux+uy*uy+uz*uz + vx*vx+vy*vy+vz*vz + (vx-ux)*(vx-ux)+(vy-uy)*(vy-uy)+(vz-uz)*(vz-uz)) / 3 AS tr, ((uy*vz-uz*vy)*(uy*vz-uz*vy) + (uz*vx-ux*vz)*(uz*vx-ux*vz) + (ux*vy-uy*vx)*(ux*vy-uy*vx)) / 3 AS mi FROM t),
- o AS (SELECT frame, a, b, c, round(sqrt(greatest((tr - sqrt(greatest(tr*tr - 4*mi, 0))) / 2, 0)), 6) AS off FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY off, a, b, c) AS k FROM o) SELECT frame, round(off, 4) AS off FROM k WHERE k = 1"""
+ o AS (SELECT frame, a, b, c, round(sqrt(greatest((tr - sqrt(greatest(tr*tr - 4*mi, 0))) / 2, 0)), 6) AS off FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY off, a, b, c) AS k FROM o) SELECT frame, off FROM k WHERE k = 1"""
 )
 def collinear_three(spark, d):
     """How far the straightest three points of a frame are from a line."""
-    return G.most_collinear_three(_points(spark, d)).select("frame", F.round("off", 4).alias("off"))
+    return G.most_collinear_three(_points(spark, d)).select("frame", "off")
 
 
 @query("SELECT p_partkey, repeat('h', p_size % 9) || repeat('B', (p_partkey % 5)::INT) || 'H' AS letters, (p_size % 9 + p_partkey % 5 + 1)::INT AS n FROM part")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempofuse.session import shared_dir
 from tempofuse.sources.tables import EPOCH_US
 
 
@@ -20,9 +20,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tempofuse-")
-    return f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/flow-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
