@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tempofuse.functions.codec import FrameFormat, decode_frame, encode_frame
 from tempofuse.plans.base import SAMPLES, query
 from tempofuse.sources.tables import samples
-from tempofuse.streaming import flows, rings
+from tempofuse.streaming import flows, live, rings
 
 
 @query()
@@ -46,7 +48,10 @@ def stream_sessions(spark, d):
 
 @query("SELECT user_id AS session, event_id AS seq, value AS signal FROM events")
 def stream_without_duplicates(spark, d):
-    return flows.drained(flows.without_duplicates(flows.event_stream(spark, d)).select("session", "seq", "signal"))
+    """Every row comes twice, the second ten minutes of event time later; one of each stays."""
+    rows = flows.event_stream(spark, d)
+    again = flows.event_stream(spark, d).withColumn("ts", F.expr("ts + interval 10 minutes"))
+    return flows.drained(flows.without_duplicates(rows.unionByName(again)).select("session", "seq", "signal"))
 
 
 @query(
@@ -55,3 +60,60 @@ def stream_without_duplicates(spark, d):
 def stream_interval_join(spark, d):
     left = flows.event_stream(spark, d).where(F.col("marker") == "view")
     return flows.drained(flows.interval_join(left, flows.event_stream(spark, d).where(F.col("marker") == "click")))
+
+
+@query(f"WITH {SAMPLES}, o AS (SELECT session, seq, t_us % 8589934592 // 2 AS c FROM s), l AS (SELECT *, CASE WHEN c - lag(c) OVER w < -2147483648 THEN 1 ELSE 0 END AS lap FROM o WINDOW w AS (PARTITION BY session ORDER BY seq)) SELECT session, seq, (c + 4294967296 * sum(lap) OVER (PARTITION BY session ORDER BY seq))::BIGINT AS unwrapped FROM l")
+def stream_clock(spark, d):
+    """The device clock of a stream, made to go on."""
+    rows = flows.event_stream(spark, d).select("session", "seq", F.floor((F.unix_micros("ts") % (1 << 33)) / 2).alias("counter"))
+    return flows.drained(live.unwrapped_clock(rows))
+
+
+@query(f"WITH {SAMPLES}, k AS (SELECT session, seq, t_us, row_number() OVER (PARTITION BY session ORDER BY seq) - 1 AS number, count(*) OVER (PARTITION BY session) AS n FROM s) SELECT session, number, t_us % 4294967296 AS tx_us, CASE WHEN number = 0 THEN 3 ELSE 0 END::BIGINT AS skipped FROM k WHERE number < n - 1")
+def stream_frames(spark, d):
+    """Frames found in a stream of bytes that begins with some that are none; the last waits for what follows."""
+    rows = flows.event_stream(spark, d)
+    zero = {n: F.lit(0.0) for n in FrameFormat().signed} | {n: F.lit(0) for n in FrameFormat().unsigned[:-1]}
+    frame = encode_frame(F.unix_micros("ts"), zero, FrameFormat())
+    lead = flows.event_stream(spark, d).where("signal >= 0").select("session", F.lit(-1).cast("long").alias("seq"), F.unhex(F.lit("0102FF")).alias("data")).dropDuplicates(["session"])
+    sent = rows.select("session", "seq", frame.alias("data")).unionByName(lead)
+    found = live.parsed_frames(sent)
+    got = decode_frame(F.col("frame"), FrameFormat())
+    return flows.drained(found).select("session", "number", got["tx_us"].alias("tx_us"), "skipped")
+
+
+@query()
+def stream_events(spark, d):
+    """Events as they end; held against the batch detector in the tests."""
+    return flows.drained(live.live_events(flows.event_stream(spark, d), 60.0, 30.0, 30.0, 6.0, 48.0, 24.0))
+
+
+@query("SELECT a.user_id AS session, a.event_id AS window_id, b.event_id AS seq FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 12 HOUR AND a.ts + INTERVAL 6 HOUR WHERE a.value > 150")
+def stream_window_rows(spark, d):
+    """Rows of a stream in the windows about its triggers, which are another stream."""
+    rows = flows.event_stream(spark, d)
+    windows = flows.event_stream(spark, d).where("signal > 150").select("session", F.col("seq").alias("window_id"), "ts", F.expr("ts - interval 12 hours").alias("w0"), F.expr("ts + interval 6 hours").alias("w1"))
+    return flows.drained(live.rows_in_windows(rows, windows))
+
+
+@query(
+    f"""WITH {SAMPLES}, g AS (SELECT session, floor(t / 48)::BIGINT AS k, min(t) AS s0, max(t) AS s1 FROM s GROUP BY ALL), c AS (SELECT *, k < max(k) OVER (PARTITION BY session) AS closed FROM g), w AS (SELECT session, seq AS window_id, t - 12 AS w0, t + 12 AS w1 FROM s WHERE v > 150)
+ SELECT w.session, w.window_id, count(c.k) AS n_segments, coalesce(bool_and(c.closed) AND max(c.s1) >= any_value(w.w1), false) AS ready FROM w LEFT JOIN c ON c.session = w.session AND c.s1 >= w.w0 AND c.s0 <= w.w1 GROUP BY ALL"""
+)
+def ready_windows(spark, d):
+    """Windows whose recorded segments are all closed."""
+    s = samples(spark, d)
+    parts = s.groupBy("session", F.floor(F.col("t") / 48).alias("k")).agg(F.min("t").alias("s0"), F.max("t").alias("s1"))
+    segments = parts.withColumn("closed", F.col("k") < F.max("k").over(Window.partitionBy("session"))).drop("k")
+    windows = s.where("v > 150").select("session", F.col("seq").alias("window_id"), (F.col("t") - 12).alias("w0"), (F.col("t") + 12).alias("w1"))
+    return live.ready_windows(windows, segments, 24.0).select("session", "window_id", "n_segments", "ready")
+
+
+@query(f"WITH {SAMPLES}, n AS (SELECT session, seq, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM s) SELECT session, count(*) FILTER (seq % 7 <> 0) AS n_lines, sum(seq) FILTER (seq % 7 <> 0)::BIGINT AS total FROM n WHERE back > 1 GROUP BY session")
+def tailed_rows(spark, d):
+    """Whole rows of each session's growing file: not its last, and not those with a field too many."""
+    line = F.concat(F.col("seq").cast("string"), F.when(F.col("seq") % 7 == 0, ",1,2").otherwise(",1"))
+    text = samples(spark, d).groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    lines = live.complete_lines(F.col("text"), 2)
+    number = lambda x: F.split(x, ",")[0].cast("long")
+    return text.select("session", F.size(lines).cast("long").alias("n_lines"), F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + number(x)).alias("total"))

@@ -166,3 +166,16 @@ def ring_windows(df: DataFrame, before: float, after: float, threshold: float, m
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
     return df.select("session", "seq", "t", "signal").groupBy("session").applyInPandasWithState(live, OUTPUT, STATE, "append", timeout)
+
+
+def configured_rings(df: DataFrame, event, source: str = "gyro", rate: float = 400.0, silence_ms: int = 500) -> DataFrame:
+    """Windows about the triggers of an inertial stream (session, seq, t, gx..gz, ax..az), with times and threshold from
+    the settings of events: pre-roll before, the longest event and its hold after. The live trigger watches the raw
+    signal, as a mean would come late."""
+    from pyspark.sql import functions as F
+
+    from tempofuse.operators.segment import trigger_signal
+
+    gyro, accel = tuple(F.col(c) for c in ("gx", "gy", "gz")), tuple(F.col(c) for c in ("ax", "ay", "az"))
+    rows = df.select("session", "seq", "t", trigger_signal(source, gyro, accel).alias("signal"))
+    return ring_windows(rows, event.pre_roll, event.most + event.hold, event.trigger, 4.0 / rate, silence_ms=silence_ms if df.isStreaming else 0)
