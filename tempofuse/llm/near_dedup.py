@@ -515,3 +515,17 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+#: Exact sets, all pairs that share a shingle, and what the links reach. Equal sets are one class, as in the operator.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(a) < 2 THEN a ELSE list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) END)) AS g FROM w),
+k AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN min(doc_id) OVER (PARTITION BY g) ELSE doc_id END AS class FROM s),
+e AS (SELECT s.doc_id AS class, len(s.g) AS n, unnest(s.g) AS g FROM s JOIN k ON k.doc_id = s.doc_id AND k.class = k.doc_id),
+l AS (SELECT a.class AS a, b.class AS b FROM e a JOIN e b ON a.g = b.g AND a.class < b.class AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT DISTINCT class AS node, class AS root FROM k UNION SELECT d.b, c.root FROM c JOIN d ON d.a = c.node WHERE c.root < d.b),
+r AS (SELECT node, min(root) AS root FROM c GROUP BY node)
+SELECT k.doc_id, k.n AS n_shingles, r.root AS component_id, k.doc_id = r.root AS kept FROM k JOIN r ON r.node = k.class
+"""

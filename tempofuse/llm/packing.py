@@ -20,6 +20,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs; a longer table is packed in as many groups, whose emptiest bins meet in later rounds.
 GROUP_PIECES = 10_000
+#: Tasks of a round at most; a task takes group after group.
+MOST_TASKS = 20_000
 #: Words whose ids a worker remembers, and as many parts of words; ids that it keeps for them before it starts anew.
 MEMO_SLOTS = 1 << 19
 MEMO_IDS = 6_000_000
@@ -321,7 +323,8 @@ def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int =
         n = left.count()
         groups = max(1, -(-n // group_pieces))
         dealt = left.withColumn("__tf_g", F.pmod(F.xxhash64(F.lit(number), *parts.columns), F.lit(groups)).cast("long"))
-        packed = stored(dealt.groupBy("__tf_g").applyInPandas(_pack_group(capacity, number, groups == 1), schema))
+        # a group is small and takes seconds, so that groups are not put together in a task by their size
+        packed = stored(dealt.repartition(min(groups, MOST_TASKS), "__tf_g").groupBy("__tf_g").applyInPandas(_pack_group(capacity, number, groups == 1), schema))
         done = packed.where(~F.col("__tf_open")).select(columns)
         out = done if out is None else out.unionByName(done)
         if groups == 1:

@@ -187,7 +187,7 @@ def labelled_table(rows: int = 500, seed: int = 5) -> list[list[tuple[str, int]]
 
     def noise():
         mark = r.choice("!#$%&*+-/:;<=>?^_|~()[]{}\"'.,") * r.choice([1, 1, 2, 3])
-        return r.choice([word() + mark, word().strip(".,;:") + mark, mark, mark + word(), word() + mark + word(), word().upper()])
+        return r.choice([word() + mark, word().strip(".,;:") + mark, mark, mark + word(), word() + mark + word(), word().upper(), d(r.randint(1, 9)) + mark, no_card()[0] + mark])
 
     def d(n):
         return "".join(r.choices("0123456789", k=n))
@@ -379,3 +379,20 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_pii(docs, train(labelled_table())).drop("text")
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The counts of the fixed patterns alone, which SQL can express."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    silent = Field(np.zeros((3, FEATURES, 1 << BITS, LABELS), np.float32), np.zeros((LABELS, LABELS)))
+    return find_pii(docs, silent).select("doc_id", *[f"n_{k}" for k in KINDS])
+
+
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+ list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS card, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM t)
+SELECT doc_id, n_email, len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS DOUBLE), 0) > 255)) = 0)) AS n_ip,
+ len(list_filter(card, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN x[i]::INT WHEN x[i]::INT < 5 THEN 2 * x[i]::INT ELSE 2 * x[i]::INT - 9 END)) % 10 = 0)) AS n_card,
+ len(list_filter(phone, lambda x: x BETWEEN 9 AND 15)) AS n_phone FROM m
+"""

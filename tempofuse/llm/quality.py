@@ -201,3 +201,25 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(*labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", TRAIN_ROWS))
     return score_quality(docs, model).drop("text")
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The base columns of op9_quality alone, which SQL can express."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return score_quality(docs, Model(np.zeros(FEATURES, np.float32), 0.0, 0.0, 40.0)).select("doc_id", *BASE, "base_failed")
+
+
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+b AS (SELECT doc_id, t, a, len(a) AS n FROM w),
+x AS (SELECT doc_id, i, array_to_string(a[i : i + 7], ' ') AS win FROM b, unnest(range(1, greatest(n - 6, 1))) u(i) WHERE n >= 8),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM x),
+z AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM y, unnest(range(0, 8)) v(j) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM b)
+SELECT b.doc_id, b.n AS n_words, coalesce(list_sum(list_transform(b.a, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(b.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+ len(l.ls) - len(list_distinct(l.ls)) AS n_dup_lines, coalesce(z.n, 0) AS n_repeat_words, (b.n < 20 OR 100 * coalesce(z.n, 0) > 30 * b.n) AS base_failed
+FROM b JOIN l USING (doc_id) LEFT JOIN z USING (doc_id)
+"""

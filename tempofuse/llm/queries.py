@@ -17,7 +17,13 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_quality": quality.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    # the parts of operators 2 and 9 that SQL can express
+    "pii_base_counts": pii.base_query,
+    "quality_base_counts": quality.base_query,
 }
 SQL = {
+    "op1_near_dedup": near_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "pii_base_counts": pii.BASE_SQL,
+    "quality_base_counts": quality.BASE_SQL,
 }

@@ -370,3 +370,95 @@ def test_article_without_the_rest():
     <article><h1>Title &amp; more</h1><p>First para<br>goes  on <b>bold<p>Of.</p><form><input>Mail</form><section class="comments"><p>Nice post</p></section></article><aside>Side</aside><footer>&copy; x</footer><script>var t="</p>";</script>"""
     assert html_text.extract(page) == "Title & more\nFirst para goes on bold\nOf."
     assert html_text.extract("") == "" and html_text.extract("<nav>only</nav>") == ""
+
+
+def test_personal_data_places_are_code_points(spark):
+    import hashlib
+
+    text = "é ü a.b@c.de € +49 (30) 1234-567 ö 1.2.3.4, 4111 1111 1111 1111"
+    row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.train(pii.labelled_table(60), steps=5)).first()
+    spans = sorted([("email", "a.b@c.de"), ("phone", "+49 (30) 1234-567"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111")], key=lambda s: text.index(s[1]))
+    want = ",".join(f"{k}:{text.index(t)}:{text.index(t) + len(t)}" for k, t in spans)
+    assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
+
+
+def test_viterbi_finds_the_best_path():
+    from itertools import product
+
+    r = np.random.default_rng(8)
+    field = pii.Field(np.zeros((3, pii.FEATURES, 2, pii.LABELS)), r.normal(size=(pii.LABELS, pii.LABELS)))
+    s, size = r.normal(size=(3, 4, pii.LABELS)), np.array([4, 2, 3])
+    got = field.decode(s, size)
+    for i, n in enumerate(size):
+        def score(path, i=i):
+            return pii._START[path[0]] + sum(s[i, t, k] for t, k in enumerate(path)) + sum((field.move + pii._ALLOWED)[a, b] for a, b in zip(path[:-1], path[1:], strict=True))
+
+        assert tuple(got[i, :n]) == max(product(range(pii.LABELS), repeat=int(n)), key=score)
+
+
+def test_field_adds_little_that_is_not_personal_data():
+    docs = ["plain words, some *** marks &&& and numbers 12 or 2019. " * 20, "UPPER!! CASE!! 12!! WORDS", "version 1.2.3 of the 4th, see https://x.example/1234"]
+    field = pii.train(pii.labelled_table())
+    assert pii.field_spans(Texts(pa.array(docs)), field) == []
+    found = pii.field_spans(Texts(pa.array(["write to anna.meier (at) mail.example.com or call 555-123-4567 today"])), field)
+    assert {k for *_, k in found} == {0, 3}
+
+
+def test_calibrated_probabilities_match_shares():
+    r = np.random.default_rng(2)
+    z = r.normal(0, 3, 20_000)
+    y = (r.random(20_000) < 1 / (1 + np.exp(-(0.7 * z - 0.4)))).astype(float)
+    slope, shift = quality.platt(z, y)
+    assert slope == pytest.approx(0.7, abs=0.03) and shift == pytest.approx(-0.4, abs=0.06)
+    assert quality.platt(np.array([-1.0, -1, 1, 1]), np.array([0.0, 0, 1, 1]))[0] > 0
+
+
+def test_an_empty_text_scores_its_share():
+    model = toxicity.fit(pa.array(["", "you fool", "nice day", "good work"] * 10), [0, 1, 0, 0] * 10, steps=20)
+    assert 0 < model.score(Texts(pa.array([None, ""])))[0][0] < 0.25
+
+
+def test_lines_count_rows_as_documents(spark):
+    import duckdb
+
+    line = "A line of more than twenty characters."
+    rows = [(1, line), (1, line), (1, line + "\nx"), (2, "y")]
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert got == sorted((a, d, c) for a, b, c, d in con.execute(line_dedup.LINE_SQL.format(docs="documents")).fetchall())
+
+
+def test_shards_follow_the_law_row_by_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    hot = docs.unionByName(spark.range(150).select((F.col("id") + 1000).alias("doc_id"), F.lit("the same text in a third of all rows").alias("text")))
+    rows = sharding.shard_documents(hot, 5, range_bytes=2048, with_text=False).toPandas()
+    assert len(rows) == 350 and "text" not in rows
+    text = {r.doc_id: r.text or "" for r in hot.collect()}
+    total, before = rows["size"].sum(), 0
+    ordered = rows.sort_values(["shard", "slot"])
+    hashes = [r.text_crc32 for r in ordered.itertuples()]
+    assert sum(a != b for a, b in zip(hashes[:-1], hashes[1:])) == len(set(hashes)) - 1  # equal texts side by side
+    for r in ordered.itertuples():
+        assert r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r.shard == min(4, before * 5 // total)
+        before += r.size
+
+
+def test_base_counts_have_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for module, names in ((pii, [f"n_{k}" for k in pii.KINDS]), (quality, [*quality.BASE, "base_failed"])):
+        want = con.execute(f"select doc_id, {', '.join(names)} from ({module.BASE_SQL}) order by doc_id").fetchall()
+        assert [tuple(r) for r in module.base_query(spark, SF).orderBy("doc_id").collect()] == want
+
+
+def test_components_have_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(f"select doc_id, n_shingles, component_id, kept from ({near_dedup.SQL}) order by doc_id").fetchall()
+    assert [tuple(r) for r in near_dedup.query(spark, SF).select("doc_id", "n_shingles", "component_id", "kept").orderBy("doc_id").collect()] == want
