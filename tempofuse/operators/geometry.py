@@ -39,19 +39,27 @@ def assigned_pairs(left: DataFrame, right: DataFrame, by: str, most_off: float,
     """One-to-one pairs of up to `places` unnamed points a side in each frame: the most pairs, then the fewest that are
     out of order from side to side, then the least row difference, then the first in order of place.
 
-    left and right have by, place (1 to places), u and v. A pair needs v within most_off and a positive disparity. The
-    pairs of a frame, at most places squared, meet the fixed table of permutations on (left, right), and each
-    permutation is one group.
+    left and right have by, place (1 to places), u and v; of points of one place the first in order of u and v counts. A
+    pair needs v within most_off and a positive disparity. A frame becomes one row of all its points, and the few
+    permutations are expressions over it: one shuffle, and no pairs as rows.
     """
-    order = [(n, k, j) for n, p in enumerate(permutations(range(1, places + 1))) for k, j in enumerate(p, 1)]
-    table = F.broadcast(left.sparkSession.createDataFrame(order, "number int, left_place int, right_place int"))
-    a = left.where(F.col("place") <= places).select(by, F.col("place").alias("left_place"), F.col("u").alias("ul"), F.col("v").alias("vl"))
-    b = right.where(F.col("place") <= places).select(by, F.col("place").alias("right_place"), F.col("u").alias("ur"), F.col("v").alias("vr"))
-    pairs = a.join(b, by).where((F.abs(F.col("vl") - F.col("vr")) <= most_off) & (F.col("ul") > F.col("ur")))
-    tried = pairs.join(table, ["left_place", "right_place"]).groupBy(by, "number").agg(F.count("*").alias("n"), F.round(F.sum(F.abs(F.col("vl") - F.col("vr"))), 6).alias("off"), F.array_sort(F.collect_list(F.struct("left_place", "right_place"))).alias("to"))
-    turned = F.aggregate("to", F.lit(0), lambda total, x: total + F.size(F.filter("to", lambda y: (y["left_place"] > x["left_place"]) & (y["right_place"] < x["right_place"]))))
-    best = tried.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("less"), turned.alias("turned"), "off", "number", "to")).alias("best"))
-    return best.select(by, F.inline("best.to"))
+    sides = left.select(by, F.lit("l").alias("side"), "place", "u", "v").unionByName(right.select(by, F.lit("r").alias("side"), "place", "u", "v"))
+    point = lambda side, k: F.min(F.when((F.col("side") == side) & (F.col("place") == k), F.struct("u", "v"))).alias(f"{side}{k}")
+    wide = sides.groupBy(by).agg(*[point(side, k) for side in "lr" for k in range(1, places + 1)])
+    offs = {}
+    for k in range(1, places + 1):
+        for j in range(1, places + 1):
+            l, r = F.col(f"l{k}"), F.col(f"r{j}")
+            offs[k, j] = F.when((F.abs(l["v"] - r["v"]) <= most_off) & (l["u"] > r["u"]), F.abs(l["v"] - r["v"]))
+    wide = wide.select(by, *[c.alias(f"o{k}{j}") for (k, j), c in offs.items()])
+    tries = []
+    for number, p in enumerate(permutations(range(1, places + 1))):
+        pair = [F.when(F.col(f"o{k}{j}").isNotNull(), F.struct(F.lit(k).alias("left_place"), F.lit(j).alias("right_place"))) for k, j in enumerate(p, 1)]
+        n = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in pair), F.lit(0))
+        off = sum((F.coalesce(F.col(f"o{k}{j}"), F.lit(0.0)) for k, j in enumerate(p, 1)), F.lit(0.0))
+        turned = sum((F.when(pair[x].isNotNull() & pair[y].isNotNull(), 1).otherwise(0) for x in range(places) for y in range(x + 1, places) if p[x] > p[y]), F.lit(0))
+        tries.append(F.struct((-n).alias("less"), turned.alias("turned"), F.round(off, 6).alias("off"), F.lit(number).alias("number"), F.array_compact(F.array(*pair)).alias("to")))
+    return wide.select(by, F.array_min(F.array(*tries)).alias("best")).select(by, F.inline("best.to"))
 
 
 def replay_source(supported: Column) -> Column:

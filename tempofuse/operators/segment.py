@@ -85,14 +85,19 @@ def nearest_event(triggers: DataFrame, events: DataFrame, by: str, at: str, span
 def _candidates(df: DataFrame, above: Column, onset: Column, most: float, min_gap: float, by: str, t: str) -> DataFrame:
     """The rows that can matter to a detector, with __chunk: rows of different chunks cannot influence each other.
 
-    A row is idle where the signal is at or below the onset level and no trigger was within most + min_gap before it:
-    an event ends at most `most` after its trigger, its successor's onset is not before an idle row between them, and
-    so the pause between them is long enough whatever came before. A chunk is a run of rows that are not idle with the
-    idle row before it, if it has a trigger. All this is windows; only chunks reach Python, each of a few events.
+    An event ends at the latest at the first row that is `most` or more after its trigger. A row is idle where the signal
+    is at or below the onset level and that row, for the last trigger before, is min_gap or more ago: the onset of an
+    event to come is not before an idle row, so that the pause between the two is long enough whatever came before. A
+    chunk is a run of rows that are not idle with the idle row before it, if it has a trigger. All this is windows; only
+    chunks reach Python, each of a few events.
     """
     w = Window.partitionBy(by).orderBy(t)
-    last = F.last(F.when(above, F.col(t)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumn("__above", F.coalesce(above, F.lit(False))).withColumn("__idle", onset & (last.isNull() | (F.col(t) - last > most + min_gap)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("__above", F.coalesce(above, F.lit(False)))
+    rows = rows.withColumn("__last", F.last(F.when(F.col("__above"), F.col(t)), ignorenulls=True).over(so_far)).withColumn("__past", F.coalesce(F.col(t) - F.col("__last") >= most, F.lit(False)))
+    rows = rows.withColumn("__first", F.col("__past") & ~F.coalesce(F.lag("__past").over(w), F.lit(False)))
+    ended = F.last(F.when(F.col("__first"), F.col(t)), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("__idle", onset & (F.col("__last").isNull() | (F.col("__past") & (F.col(t) - ended >= min_gap)))).drop("__last", "__past", "__first")
     rows = rows.withColumn("__next", F.lead("__idle").over(w)).where(~F.col("__idle") | ~F.coalesce("__next", F.lit(True)))
     rows = rows.withColumn("__chunk", F.sum(F.col("__idle").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     return rows.withColumn("__any", F.max("__above").over(Window.partitionBy(by, "__chunk"))).where("__any").drop("__next", "__any", "__idle")

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 def best_lag(a: DataFrame, b: DataFrame, most_steps: int, least: int, by: str = "session", grid: str = "g") -> DataFrame:
     """session, lag_steps, correlation: the shift of b's grid against a's of greatest Pearson correlation.
 
-    a has x and b has y at whole grid steps; each x meets the 2 * most_steps + 1 values that are that near, by an
-    equi-join on session and step. Lags of fewer than `least` pairs or of constant values do not count, and of equal
-    correlations (to six places) the least lag wins.
+    a has x and b has y at whole grid steps. Rows are dealt to blocks of most_steps, a's to the two about its own too, so
+    that each row is shuffled three times at most, however many lags there are; a block's rows then meet in its task, and
+    sums leave it. Lags of fewer than `least` pairs or of constant values do not count, and of equal correlations (to six
+    places) the least lag wins.
     """
-    shifts = F.explode(F.sequence(F.lit(-most_steps), F.lit(most_steps)))
-    shifted = a.withColumn("k", shifts).withColumn("__g", F.col(grid) + F.col("k")).select(by, "k", "__g", "x")
-    pairs = shifted.join(b.select(by, F.col(grid).alias("__g"), "y"), [by, "__g"])
+    width = max(most_steps, 1)
+    block = F.floor(F.col(grid) / width)
+    left = a.select(by, F.col(grid).alias("__ga"), "x", F.explode(F.array(block - 1, block, block + 1)).alias("__b"))
+    right = b.select(by, F.col(grid).alias("__gb"), "y", block.alias("__b"))
+    pairs = left.join(right, [by, "__b"]).withColumn("k", F.col("__gb") - F.col("__ga")).where(F.abs("k") <= most_steps)
     scored = pairs.groupBy(by, "k").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("r")).where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
     return scored.groupBy(by).agg(F.max(F.struct("r", (-F.col("k")).alias("k"))).alias("best")).select(by, (-F.col("best.k")).cast("int").alias("lag_steps"), F.col("best.r").alias("correlation"))
 

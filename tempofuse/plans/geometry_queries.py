@@ -139,7 +139,7 @@ _PERMUTED = ", ".join(f"({n}, {a}, {b}, {c})" for n, (a, b, c) in enumerate([(1,
 
 
 @query(
-    f"""WITH {FRAMES}, a AS (SELECT frame, marker AS place, x * 100 AS u, y AS v FROM f WHERE marker <= 3), b AS (SELECT frame, marker AS place, x * 90 - 3 AS u, y + 0.3e0 AS v FROM f WHERE marker <= 3), p(n, a1, a2, a3) AS (VALUES {_PERMUTED}),
+    f"""WITH {FRAMES}, a AS (SELECT frame, marker AS place, x * 100 AS u, y AS v FROM f WHERE marker <= 3 QUALIFY row_number() OVER (PARTITION BY frame, marker ORDER BY x, y) = 1), b AS (SELECT frame, marker AS place, x * 90 - 3 AS u, y + 0.3e0 AS v FROM f WHERE marker <= 3 QUALIFY row_number() OVER (PARTITION BY frame, marker ORDER BY x, y) = 1), p(n, a1, a2, a3) AS (VALUES {_PERMUTED}),
  m AS (SELECT n, 1 AS l, a1 AS r FROM p UNION ALL SELECT n, 2, a2 FROM p UNION ALL SELECT n, 3, a3 FROM p),
  o AS (SELECT a.frame, a.place AS l, b.place AS r, abs(a.v - b.v) AS off FROM a JOIN b ON b.frame = a.frame WHERE abs(a.v - b.v) <= 2 AND a.u - b.u > 0), c AS (SELECT o.frame, m.n, o.l, o.r, o.off FROM o JOIN m ON m.l = o.l AND m.r = o.r),
  t AS (SELECT x.frame, x.n, count(*) AS turned FROM c x JOIN c y ON x.frame = y.frame AND x.n = y.n AND x.l < y.l AND x.r > y.r GROUP BY ALL),
@@ -201,7 +201,17 @@ def frame_encode(spark, d):
     return _sensor(spark, d).select("session", "seq", F.octet_length("frame").alias("n_bytes"), F.hex(F.substring("frame", 1, 4)).alias("clock"), F.hex(F.substring("frame", 5, 2)).alias("ax"))
 
 
-@query()
+_SCALES = {"a": "0.009576806641e0", "g": "0.002130528872e0", "h": "0.4788403320e0"}
+_SIGNED = [("ax", 0.5), ("ay", 0.4), ("az", 0.3), ("gx", 0.1), ("gy", 0.05), ("gz", -0.1), ("hx", 9.0), ("hy", -8.0), ("hz", 7.0)]
+_WORDS = " || ".join(f"lpad(hex(({_CODE.format(k=10 * k, f=f'({f!r}::DOUBLE)', s=_SCALES[n[0]])} + 65536) % 65536), 4, '0')" for k, (n, f) in enumerate(_SIGNED))
+_TABLE = "t0(b, c, k) AS (SELECT b, (b << 8)::INT, 0 FROM (SELECT unnest(range(256)) AS b) UNION ALL SELECT b, CASE WHEN c & 32768 <> 0 THEN xor((c << 1) & 65535, 4129) ELSE (c << 1) & 65535 END, k + 1 FROM t0 WHERE k < 8), crc AS (SELECT b, c FROM t0 WHERE k = 8)"
+
+
+@query(
+    f"""WITH RECURSIVE {SAMPLES}, {_TABLE}, h AS (SELECT session, seq, lpad(hex(t_us % 4294967296), 8, '0') || {_WORDS} || lpad(hex(least(65535, seq % 70000)), 4, '0') || '0001' || 'FFFF' || '0FFF' AS h FROM s),
+ r(session, seq, h, c, i) AS (SELECT session, seq, h, 65535, 0 FROM h UNION ALL SELECT r.session, r.seq, r.h, xor((r.c << 8) & 65535, crc.c), r.i + 1 FROM r JOIN crc ON crc.b = xor(r.c >> 8, ('0x' || substr(r.h, 2 * r.i + 1, 2))::INT) WHERE r.i < 30)
+ SELECT session, seq, c AS crc FROM r WHERE i = 30"""
+)
 def frame_crc(spark, d):
     """Check sums of the frames; held against a plain loop in the tests."""
     return _sensor(spark, d).select("session", "seq", crc16(F.col("frame")).alias("crc"))

@@ -41,11 +41,21 @@ def velocity_track(spark, d):
     return curves.tracked(s, 5.0, 2.0, most_gap=24.0)
 
 
-@query()
+_HALF = "sqrt(wx*wx + wy*wy + wz*wz) * dt / 2"
+_SINC = f"CASE WHEN {_HALF} * 2 > 1e-9 THEN sin({_HALF}) / ({_HALF} * 2) ELSE 0.5e0 END * dt"
+
+
+@query(
+    f"""WITH RECURSIVE {SAMPLES}, o AS (SELECT session, seq, row_number() OVER w AS i, (lag(v) OVER w + v) / 200 AS m, t - lag(t) OVER w AS dt FROM s WINDOW w AS (PARTITION BY session ORDER BY t, seq)), a AS (SELECT session, seq, i, m AS wx, m * 0.5e0 AS wy, -m AS wz, dt FROM o),
+ e AS (SELECT session, seq, i, cos({_HALF}) AS c, wx * {_SINC} AS x, wy * {_SINC} AS y, wz * {_SINC} AS z FROM a),
+ r(session, seq, i, qw, qx, qy, qz) AS (SELECT session, seq, i, 1e0, 0e0, 0e0, 0e0 FROM e WHERE i = 1 UNION ALL SELECT e.session, e.seq, e.i, qw*c - qx*x - qy*y - qz*z, qw*x + qx*c + qy*z - qz*y, qw*y - qx*z + qy*c + qz*x, qw*z + qx*y - qy*x + qz*c FROM r JOIN e ON e.session = r.session AND e.i = r.i + 1)
+ SELECT session, seq, round(qw, 6) + 0 AS qw, round(qx, 6) + 0 AS qx, round(qy, 6) + 0 AS qy, round(qz, 6) + 0 AS qz FROM r"""
+)
 def rate_integration(spark, d):
     """Orientation by integrating rates in order; held against closed forms in the tests."""
     v = F.col("v") / 100
-    return attitude.integrated(samples(spark, d).withColumns({"wx": v, "wy": v * 0.5, "wz": -v}), "session", "t", ("wx", "wy", "wz"), "seq")
+    q = attitude.integrated(samples(spark, d).withColumns({"wx": v, "wy": v * 0.5, "wz": -v}), "session", "t", ("wx", "wy", "wz"), "seq")
+    return q.select("session", "seq", *[(F.round(c, 6) + 0.0).alias(c) for c in ("qw", "qx", "qy", "qz")])
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempofuse.functions.codec import FrameFormat, decode_frame, encode_frame
 from tempofuse.plans.base import SAMPLES, query
+from tempofuse.plans.quality_queries import EVENTS_SQL
 from tempofuse.sources.tables import samples
 from tempofuse.streaming import flows, live, rings
 
@@ -82,9 +83,9 @@ def stream_frames(spark, d):
     return flows.drained(found).select("session", "number", got["tx_us"].alias("tx_us"), "skipped")
 
 
-@query()
+@query(EVENTS_SQL + " SELECT session, t_onset, t_peak, t_end, peak FROM f WHERE over")
 def stream_events(spark, d):
-    """Events as they end; held against the batch detector in the tests."""
+    """Events as they end."""
     return flows.drained(live.live_events(flows.event_stream(spark, d), 60.0, 30.0, 30.0, 6.0, 48.0, 24.0))
 
 
