@@ -191,7 +191,8 @@ def detect_swings(
     rows = rows.where(F.col("__rows") >= 10)
     short, long = max(1, round(rate * 0.01)), max(1, round(rate * 0.02))
     smooth = {"__rate": short, "__sig": short, "__off": long}
-    rows = rows.withColumns({c: box_mean(F.col(c), k, w, F.col("__row"), F.col("__rows")) for c, k in smooth.items()})
+    # rounded, so that means that are equal but for the order of their sums are equal, and the first of them is the peak
+    rows = rows.withColumns({c: F.round(box_mean(F.col(c), k, w, F.col("__row"), F.col("__rows")), 9) for c, k in smooth.items()})
     rows = rows.withColumn("__quiet", still_end(F.col("__rate"), F.col("__off") if end_off is not None else None, end_rate, end_off or 0.0))
     size = max(3, round(rate * 0.025) | 1)
     cut = _candidates(rows.select(by, t, "__rate", "__sig", "__quiet", *impact_axes), F.col("__sig") > trigger, F.col("__rate") <= onset, most, min_gap, by, t)

@@ -9,6 +9,7 @@ from tempofuse.operators import fusion, motion
 from tempofuse.operators.geometry import bar_line
 from tempofuse.operators.labels import label_bands
 from tempofuse.plans.base import SAMPLES, query
+from tempofuse.plans.quality_queries import events_sql
 from tempofuse.session import stored
 from tempofuse.sources.tables import samples, swing_streams
 
@@ -21,10 +22,23 @@ def _chain(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return events, fusion.fused_events(imu, markers, events, UP), markers
 
 
+# the turning rates of the derived streams, their mean over four rows (mirrored at the ends), and the detector on it
+_BAR = f"""{SAMPLES}, b AS (SELECT session, v, marker, row_number() OVER w - 1 AS k, CASE WHEN marker IN ('view', 'click') THEN 0e0 WHEN marker = 'error' THEN -least(v, 100e0) / 4 ELSE least(v, 100e0) / 4 END AS goal FROM s WINDOW w AS (PARTITION BY session ORDER BY seq)),
+ d AS (SELECT session, k, goal, coalesce(lag(goal) OVER (PARTITION BY session ORDER BY k), 0) AS start FROM b), x AS (SELECT session, k * 16 + j AS r, abs(start + (goal - start) * (1 - cos(j * (3.141592653589793e0 / 16))) / 2) AS rate, count(*) OVER (PARTITION BY session) AS n FROM d, (SELECT unnest(range(16)) AS j) j),
+ y AS (SELECT x.session, x.r, x.n, sum(z.rate) / 4 AS v FROM x, (SELECT unnest([-2, -1, 0, 1]) AS f) f JOIN x z ON z.session = x.session AND z.r = CASE WHEN x.r + f.f < 0 THEN -1 - x.r - f.f WHEN x.r + f.f >= x.n THEN 2 * x.n - 1 - x.r - f.f ELSE x.r + f.f END GROUP BY ALL),
+ o AS (SELECT session, r * 0.0025e0 AS t, round(v, 9) AS v, r + 1 AS i, n, lag(round(v, 9)) OVER (PARTITION BY session ORDER BY r) AS p FROM y)"""
+
+
+#: What swing_events() gives, for the tests: on larger tables it is too slow.
+SWING_EVENTS_SQL = (
+    events_sql(_BAR, 10, 4, 4, 0.1, 1.2, 1.5) + " SELECT session, row_number() OVER (PARTITION BY session ORDER BY t_onset, t_peak) - 1 AS event, t_onset, t_peak, t_end, NULL::DOUBLE AS t_contact, round(peak, 5) AS peak FROM f"
+)
+
+
 @query()
 def swing_events(spark, d):
-    """Events of each session's bar, by the full detector; held against a plain loop in the tests."""
-    return fusion.find_swings(swing_streams(spark, d)[0])
+    """Events of each session's bar, by the full detector; held against SQL on the smallest tables in the tests."""
+    return fusion.find_swings(swing_streams(spark, d)[0]).withColumn("peak", F.round("peak", 5))
 
 
 @query()

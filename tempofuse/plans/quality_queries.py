@@ -286,17 +286,25 @@ def ranked_samples(spark, d):
 
 
 # the detector step by step: from the first trigger after row `at`, to its end and on; an event that is too near to the
-# one before is passed over. Q has, of each row, where its quiet stretch begins and the last row at or below the onset.
-EVENTS_SQL = f"""WITH RECURSIVE {SAMPLES}, o AS (SELECT session, t, v, row_number() OVER w AS i, count(*) OVER (PARTITION BY session) AS n, lag(v) OVER w AS p FROM s WINDOW w AS (PARTITION BY session ORDER BY t)),
- q AS (SELECT *, v <= 30 AS quiet, max(CASE WHEN v <= 30 AND coalesce(p > 30, true) THEN i END) OVER u AS begun, coalesce(max(CASE WHEN v <= 30 THEN i END) OVER u, 1) AS low, first_value(CASE WHEN v > 60 THEN i END IGNORE NULLS) OVER (PARTITION BY session ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM o WINDOW u AS (PARTITION BY session ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- g AS (SELECT a.session, a.i, a.n, a.low, any_value(a.t) AS t, min(b.i) FILTER (b.t < a.t + 48 AND b.quiet AND b.t - c.t >= 6) AS held, min(b.i) FILTER (b.t >= a.t + 48) AS late, arg_min(greatest(b.begun, a.i), b.i) FILTER (b.t < a.t + 48 AND b.quiet AND b.t - c.t >= 6) AS rest, max(b.i) FILTER (b.t < a.t + 48) AS last
-  FROM q a JOIN q b ON b.session = a.session AND b.i >= a.i LEFT JOIN q c ON c.session = b.session AND c.i = greatest(b.begun, a.i) WHERE a.v > 60 GROUP BY a.session, a.i, a.n, a.low),
+# one before is passed over. q has, of each row, where its quiet stretch begins and the last row at or below the onset.
+# It reads o (session, t, v, i: the row's number, n: their number, p: the value before).
+_DETECTOR = """q AS (SELECT *, v <= {quiet} AS quiet, max(CASE WHEN v <= {quiet} AND coalesce(p > {quiet}, true) THEN i END) OVER u AS begun, coalesce(max(CASE WHEN v <= {onset} THEN i END) OVER u, 1) AS low, first_value(CASE WHEN v > {trigger} THEN i END IGNORE NULLS) OVER (PARTITION BY session ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM o WINDOW u AS (PARTITION BY session ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ g AS (SELECT a.session, a.i, a.n, a.low, any_value(a.t) AS t, min(b.i) FILTER (b.t < a.t + {most} AND b.quiet AND b.t - c.t >= {hold}) AS held, min(b.i) FILTER (b.t >= a.t + {most}) AS late, arg_min(greatest(b.begun, a.i), b.i) FILTER (b.t < a.t + {most} AND b.quiet AND b.t - c.t >= {hold}) AS rest, max(b.i) FILTER (b.t < a.t + {most}) AS last
+  FROM q a JOIN q b ON b.session = a.session AND b.i >= a.i LEFT JOIN q c ON c.session = b.session AND c.i = greatest(b.begun, a.i) WHERE a.v > {trigger} GROUP BY a.session, a.i, a.n, a.low),
  h AS (SELECT g.session, g.i, coalesce(g.held, g.late, g.n + 1) + 1 AS after, CASE WHEN g.held IS NOT NULL THEN g.rest WHEN l.quiet THEN greatest(l.begun, g.i) ELSE least(coalesce(g.late, g.n + 1), g.n) END AS e, g.held IS NOT NULL OR g.late IS NOT NULL AS over FROM g JOIN q l ON l.session = g.session AND l.i = g.last),
  k AS (SELECT h.session, h.i, h.after, h.e, h.over, arg_max(x.i, (x.v, -x.i)) AS peak FROM h JOIN q x ON x.session = h.session AND x.i BETWEEN h.i AND h.e GROUP BY ALL),
  m AS (SELECT k.*, least(a.low, 1000000000) AS back FROM k JOIN q a ON a.session = k.session AND a.i = k.i),
  r(session, i, last_end, good) AS (SELECT session, next, -1e18::DOUBLE, false FROM q WHERE i = 1 AND next IS NOT NULL
-  UNION ALL SELECT r.session, z.next, CASE WHEN b.t - r.last_end >= 24 THEN e.t ELSE r.last_end END, true FROM r JOIN m ON m.session = r.session AND m.i = r.i JOIN q b ON b.session = m.session AND b.i = m.back JOIN q e ON e.session = m.session AND e.i = m.e LEFT JOIN q z ON z.session = m.session AND z.i = m.after WHERE r.i IS NOT NULL),
- f AS (SELECT r.session, b.t AS t_onset, p.t AS t_peak, e.t AS t_end, p.v AS peak, m.over FROM r JOIN m ON m.session = r.session AND m.i = r.i JOIN q b ON b.session = m.session AND b.i = m.back JOIN q p ON p.session = m.session AND p.i = m.peak JOIN q e ON e.session = m.session AND e.i = m.e WHERE b.t - r.last_end >= 24)"""
+  UNION ALL SELECT r.session, z.next, CASE WHEN b.t - r.last_end >= {gap} THEN e.t ELSE r.last_end END, true FROM r JOIN m ON m.session = r.session AND m.i = r.i JOIN q b ON b.session = m.session AND b.i = m.back JOIN q e ON e.session = m.session AND e.i = m.e LEFT JOIN q z ON z.session = m.session AND z.i = m.after WHERE r.i IS NOT NULL),
+ f AS (SELECT r.session, b.t AS t_onset, p.t AS t_peak, e.t AS t_end, p.v AS peak, m.over FROM r JOIN m ON m.session = r.session AND m.i = r.i JOIN q b ON b.session = m.session AND b.i = m.back JOIN q p ON p.session = m.session AND p.i = m.peak JOIN q e ON e.session = m.session AND e.i = m.e WHERE b.t - r.last_end >= {gap})"""
+
+
+def events_sql(o: str, trigger: float, onset: float, quiet: float, hold: float, most: float, gap: float) -> str:
+    """SQL of detected events over the tables in o; the last is named o."""
+    return f"WITH RECURSIVE {o}, " + _DETECTOR.format(trigger=trigger, onset=onset, quiet=quiet, hold=hold, most=most, gap=gap)
+
+
+EVENTS_SQL = events_sql(f"{SAMPLES}, o AS (SELECT session, t, v, row_number() OVER w AS i, count(*) OVER (PARTITION BY session) AS n, lag(v) OVER w AS p FROM s WINDOW w AS (PARTITION BY session ORDER BY t))", 60, 30, 30, 6, 48, 24)
 
 
 @query(EVENTS_SQL + " SELECT session, row_number() OVER (PARTITION BY session ORDER BY t_onset, t_peak) - 1 AS event, t_onset, t_peak, t_end, peak FROM f")

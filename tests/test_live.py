@@ -248,3 +248,16 @@ def test_fused_events_of_known_motion(spark):
     good = met[met.supported]
     angle = np.degrees(np.abs(np.arctan2(good.uy, good.ux) - good.angle + np.pi) % (2 * np.pi) - np.pi)
     assert np.median(np.abs(angle)) < 2 and np.abs(good.rate_true.abs() - good.rate).median() < 0.1 and fused.offset.abs().max() < 0.005
+
+
+def test_swing_events_have_their_sql(spark):
+    import duckdb
+
+    from tempofuse.plans.fusion_queries import SWING_EVENTS_SQL, swing_events
+
+    con = duckdb.connect()
+    con.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
+    columns = "session, event, round(t_onset, 6), round(t_peak, 6), round(t_end, 6), peak"
+    want = con.execute(f"select {columns} from ({SWING_EVENTS_SQL}) order by 1, 2").fetchall()
+    got = swing_events(spark, "/root/testdata/sf0.001").selectExpr(*columns.split(", ", 2)[:2], "round(t_onset, 6)", "round(t_peak, 6)", "round(t_end, 6)", "peak").orderBy("session", "event").collect()
+    assert len(want) > 10 and [tuple(r) for r in got] == want
