@@ -34,4 +34,6 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    """Queries without SQL run to their end; what they hold is compared in the tests of their operators."""
+    got = QUERIES[name](spark, SF).toPandas()
+    assert len(got) and got.columns.is_unique

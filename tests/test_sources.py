@@ -87,10 +87,13 @@ def test_exports(spark, tmp_path):
     sinks.write_table(df, str(tmp_path / "t"))
     sinks.write_table(df.withColumn("session", F.lit("u")), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
-    e = sinks.fused_export(df.withColumns({"t_onset": F.lit(0.25), "qw": F.lit(0.12345678), "speed_valid": F.lit(True)})).first()
-    assert (e.t_s, e.qw, e.speed_valid) == (0.75, 0.123457, 1)
-    m = sinks.marker_export(spark.createDataFrame([(True, True), (False, True), (False, False)], "seen boolean, supported boolean"))
+    pose = {c: F.lit(1.0) for c in ("qx", "qy", "qz", "axis_x", "axis_y", "axis_z", "att_std_deg", "sweet_speed")} | {f"knob_{a}": F.lit(0.1) for a in "xyz"}
+    e = sinks.fused_export(df.withColumns(pose | {"t_onset": F.lit(0.25), "t_end": F.lit(0.5), "qw": F.lit(0.12345678), "speed_valid": F.lit(True)}), 0.8, 0.5)
+    assert len(e.columns) == 22 and (e.first().t_s, e.first().qw, e.first().speed_valid, e.first().in_swing, e.first().tip_x, e.first().sweet_z) == (0.75, 0.123457, 1, 0, 0.9, 0.6)
+    m = spark.createDataFrame([(True, True), (False, True), (False, False)], "seen boolean, supported boolean").select(sinks.marker_source(F.col("seen"), F.col("supported")).alias("source"))
     assert [r.source for r in m.collect()] == ["camera", "imu_fill", "unsupported"]
+    wide = spark.createDataFrame([("s", 1, 0.5, "a", 1.0000049, 2.0, 3.0, "camera"), ("s", 1, 0.5, "b", 4.0, 5.0, 6.0, "imu_fill")], "session string, frame_id long, t_s double, marker_id string, x double, y double, z double, source string")
+    assert tuple(sinks.marker_export(wide, ["a", "b"]).first()) == ("s", 1, 0.5, 1.0, 2.0, 3.0, "camera", 4.0, 5.0, 6.0, "imu_fill")
 
 
 def test_checked_frames(spark):
