@@ -131,6 +131,28 @@ def _events(times: np.ndarray, level: np.ndarray, above: np.ndarray, quiet: np.n
     return found
 
 
+def _each_chunk(rows: DataFrame, by: str, t: str, find, ddl: str) -> DataFrame:
+    """The rows that find(chunk) gives of each chunk, in order of t. Chunks are many and small: a task reads them one after
+    the other from sorted rows, and holds one batch and the chunk that it ends in."""
+
+    def run(batches):
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            keys = rows[[by, "__chunk"]]
+            new = np.flatnonzero((keys[by].to_numpy()[1:] != keys[by].to_numpy()[:-1]) | (keys["__chunk"].to_numpy()[1:] != keys["__chunk"].to_numpy()[:-1])) + 1
+            cuts = [0, *new.tolist()]
+            found = [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in find({c: v[a:b] for c, v in columns.items()})] if (columns := {c: rows[c].to_numpy() for c in rows}) else []
+            rest = rows.iloc[cuts[-1] :]
+            yield pd.DataFrame(found, columns=names).astype(kinds)
+        if rest is not None and len(rest):
+            yield pd.DataFrame(list(find({c: rest[c].to_numpy() for c in rest})), columns=names).astype(kinds)
+
+    names = [c.split()[0] for c in ddl.split(", ")]
+    kinds = {c.split()[0]: "float64" for c in ddl.split(", ") if c.split()[1] == "double"}
+    return rows.repartition(by, "__chunk").sortWithinPartitions(by, "__chunk", t).mapInPandas(run, ddl)
+
+
 def detect_events(df: DataFrame, trigger: float, onset: float, quiet: float, hold: float, most: float, min_gap: float, by: str = "session", t: str = "t", v: str = "v") -> DataFrame:
     """session, event, t_onset, t_peak, t_end, peak: events by hysteresis.
 
@@ -141,15 +163,12 @@ def detect_events(df: DataFrame, trigger: float, onset: float, quiet: float, hol
     its idle rows go through one task.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(t, kind="stable")
-        times, x = g[t].to_numpy(), g[v].to_numpy()
-        rows = _events(times, x, g["__above"].to_numpy(), x <= quiet, onset, hold, most, min_gap)
-        out = pd.DataFrame([(times[a], times[p], times[e], x[p]) for a, p, e in rows], columns=["t_onset", "t_peak", "t_end", "peak"], dtype=float)
-        return out.assign(session=g[by].iloc[0])[["session", "t_onset", "t_peak", "t_end", "peak"]]
+    def find(c: dict) -> list[tuple]:
+        times, x = c[t], c[v]
+        return [(c[by][0], times[a], times[p], times[e], x[p]) for a, p, e in _events(times, x, c["__above"], x <= quiet, onset, hold, most, min_gap)]
 
     rows = _candidates(df.select(by, t, v), F.col(v) > trigger, F.col(v) <= onset, most, min_gap, by, t)
-    found = rows.groupBy(by, "__chunk").applyInPandas(run, f"session {dict(df.dtypes)[by]}, t_onset double, t_peak double, t_end double, peak double")
+    found = _each_chunk(rows, by, t, find, f"session {dict(df.dtypes)[by]}, t_onset double, t_peak double, t_end double, peak double")
     return _numbered(found, ["t_onset", "t_peak", "t_end", "peak"])
 
 
@@ -197,17 +216,16 @@ def detect_swings(
     size = max(3, round(rate * 0.025) | 1)
     cut = _candidates(rows.select(by, t, "__rate", "__sig", "__quiet", *impact_axes), F.col("__sig") > trigger, F.col("__rate") <= onset, most, min_gap, by, t)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(t, kind="stable")
-        times, level, high = g[t].to_numpy(), g["__rate"].to_numpy(), g[list(impact_axes)].to_numpy(dtype=float)
-        found = []
-        for a, p, e in _events(times, level, g["__above"].to_numpy(), g["__quiet"].to_numpy(), onset, hold, most, min_gap):
+    def find(c: dict) -> list[tuple]:
+        times, level, out = c[t], c["__rate"], []
+        high = np.stack([c[x] for x in impact_axes], axis=1).astype(float)
+        for a, p, e in _events(times, level, c["__above"], c["__quiet"], onset, hold, most, min_gap):
             part = high[a : e + 1]
             hit = np.flatnonzero(np.linalg.norm(part - nearest_padded_median(part, size), axis=1) > impact) if len(part) >= 3 else []
-            found.append((g[by].iloc[0], times[a], times[p], times[e], times[a + hit[0]] if len(hit) else None, level[p]))
-        return pd.DataFrame(found, columns=["session", "t_onset", "t_peak", "t_end", "t_contact", "peak"]).astype({"t_contact": float})
+            out.append((c[by][0], times[a], times[p], times[e], times[a + hit[0]] if len(hit) else None, level[p]))
+        return out
 
-    found = cut.groupBy(by, "__chunk").applyInPandas(run, f"session {dict(imu.dtypes)[by]}, t_onset double, t_peak double, t_end double, t_contact double, peak double")
+    found = _each_chunk(cut, by, t, find, f"session {dict(imu.dtypes)[by]}, t_onset double, t_peak double, t_end double, t_contact double, peak double")
     return _numbered(found, ["t_onset", "t_peak", "t_end", "t_contact", "peak"])
 
 
