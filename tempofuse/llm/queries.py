@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tempofuse.llm import decontam, html_text, line_dedup, near_dedup, packing, pii, quality, resample, sharding, suffix_dedup, toxicity
+from tempofuse.llm import byte_bpe, decontam, html_text, line_dedup, near_dedup, packing, pii, quality, resample, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_resample": resample.query,
+    "op12_byte_bpe": byte_bpe.query,
     # the parts of operators 2 and 9 that SQL can express
     "pii_base_counts": pii.base_query,
     "quality_base_counts": quality.base_query,
