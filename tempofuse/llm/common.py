@@ -62,10 +62,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
+def prefix_hash(buf: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
     """Running polynomial sums; span_hash() reads the hash of any span from them."""
     out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODE[buf] * powers(len(buf))[0][: len(buf)], out=out[1:])
+    np.cumsum(code[buf] * powers(len(buf))[0][: len(buf)], out=out[1:])
     return out
 
 
@@ -93,18 +93,23 @@ class Texts:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, end and row of each maximal run of bytes other than separators; no run crosses rows."""
-        inside = np.zeros(len(self.buf) + 1, dtype=bool)
-        inside[:-1] = ~IS_SPACE[self.buf]
-        before = np.zeros(len(self.buf) + 1, dtype=bool)
-        before[1:] = inside[:-1]
-        cut = self.off[:-1][self.off[:-1] < len(self.buf)]
-        starts = inside & ~before
-        starts[cut] |= inside[cut]
-        ends = before & ~inside
-        cut = self.off[1:][self.off[1:] > 0]
-        ends[cut] |= before[cut]
-        start, end = np.flatnonzero(starts), np.flatnonzero(ends)
-        return start, end, np.searchsorted(self.off, start, side="right") - 1
+        return word_spans(self.buf, self.off, IS_SPACE)
+
+
+def word_spans(buf: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and row of each maximal run of bytes other than separators, in rows that begin at off."""
+    inside = np.zeros(len(buf) + 1, dtype=bool)
+    inside[:-1] = ~separators[buf]
+    before = np.zeros(len(buf) + 1, dtype=bool)
+    before[1:] = inside[:-1]
+    cut = off[:-1][off[:-1] < len(buf)]
+    starts = inside & ~before
+    starts[cut] |= inside[cut]
+    ends = before & ~inside
+    cut = off[1:][off[1:] > 0]
+    ends[cut] |= before[cut]
+    start, end = np.flatnonzero(starts), np.flatnonzero(ends)
+    return start, end, np.searchsorted(off, start, side="right") - 1
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tempofuse.llm import byte_bpe, decontam, html_text, line_dedup, near_dedup, packing, pii, quality, resample, sharding, suffix_dedup, toxicity
+from tempofuse.llm import byte_bpe, collocations, decontam, html_text, line_dedup, near_dedup, packing, pii, quality, resample, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_resample": resample.query,
     "op12_byte_bpe": byte_bpe.query,
+    "op13_collocations": collocations.query,
     # the parts of operators 2 and 9 that SQL can express
     "pii_base_counts": pii.base_query,
     "quality_base_counts": quality.base_query,
@@ -27,6 +28,7 @@ SQL = {
     "op1_near_dedup": near_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op11_resample": resample.SQL,
+    "op13_collocations": collocations.SQL,
     "pii_base_counts": pii.BASE_SQL,
     "quality_base_counts": quality.BASE_SQL,
 }
