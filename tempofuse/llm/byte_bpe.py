@@ -26,15 +26,16 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Code points of a text that are encoded at once, about; longer texts are cut where no part of the pattern goes across.
 LONG_TEXT = 1 << 20
 #: Runs between spaces that a worker remembers, each of at most so many characters, before it starts anew.
-MEMO_UNITS, MEMO_CHARS = 1 << 19, 64
+MEMO_UNITS, MEMO_CHARS = 1 << 18, 64
 CUT, WHITE_BEFORE_SPACE = re.compile(r"\S(?= )"), re.compile(r" (?<=\s\s)")
 
 # Characters that became letters and numbers after Unicode 16, by which the rank files' library splits.
 NEWER_LETTERS = (
-    "՘֋֌࢏౜೜₏₝-₟꟎꟏꟒꟔꟝꟢꟱꭬꭭\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee"
-    "\U00011b0a\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
-    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
-    "\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959"
+    "\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    "\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    "\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
 NEWER_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
 
@@ -87,8 +88,30 @@ def serialise(tokens: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, identity)
 
 
-class ByteBpe:
-    """Encoder and decoder of one vocabulary. Ids are ranks, little-endian uint32 in bytes."""
+class Decoder:
+    """The inverse mapping of one vocabulary: the bytes of every id in a row, and where each id's begin."""
+
+    def __init__(self, path: str | None = None):
+        import public_tokenizers
+
+        ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
+        tokens = sorted(ranks, key=ranks.__getitem__)
+        self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.size[[ranks[t] for t in tokens]] = [len(t) for t in tokens]
+        self.first = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of all ids in a row; ids beyond the vocabulary are an error."""
+        at = np.frombuffer(ids, dtype="<u4").astype(np.int64)
+        if len(at) and (at.max() >= len(self.size) or not self.size[at].all()):
+            raise ValueError("an id that the vocabulary does not have")
+        n = self.size[at]
+        return self.bytes[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()
+
+
+class Encoder:
+    """Encoder of one vocabulary. Ids are ranks, little-endian uint32 in bytes."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         import public_tokenizers
@@ -104,12 +127,6 @@ class ByteBpe:
         self.rank = np.array([0, *(ranks[t] for t in tokens)], dtype="<u4")  # by piece
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(tokens))
         self.to = {b: c for b, c in enumerate(byte_characters())}
-        # the inverse: the bytes of every id in a row, and where each id's begin
-        top = int(self.rank.max()) + 1
-        size = np.zeros(top + 1, dtype=np.int64)
-        size[self.rank[1:].astype(np.int64)] = [len(t) for t in tokens]
-        self.size, self.first = size, np.cumsum(size) - size
-        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         # as the pattern of the rank files, on Unicode 16
         source = pattern or public_tokenizers.PATTERN
         older = source.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{NEWER_LETTERS}{NEWER_NUMBERS}])").replace(r"\p{L}+", rf"(?:(?![{NEWER_LETTERS}])\p{{L}})+").replace(r"\p{N}+", rf"(?:(?![{NEWER_NUMBERS}])\p{{N}})+")
@@ -170,14 +187,6 @@ class ByteBpe:
         """Ids of a whole text of any length."""
         return b"".join([self.encode_all([block])[0] for block in self.blocks(text)])
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes of all ids in a row; ids beyond the vocabulary are an error."""
-        at = np.frombuffer(ids, dtype="<u4").astype(np.int64)
-        if len(at) and (at.max() >= len(self.size) or not self.size[at].all()):
-            raise ValueError("an id that the vocabulary does not have")
-        n = self.size[at]
-        return self.bytes[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()
-
 
 def _is_text(token: bytes) -> bool:
     try:
@@ -187,14 +196,14 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-_loaded: dict[tuple[str | None, str | None], ByteBpe] = {}
+_loaded: dict[tuple, Encoder | Decoder] = {}
 
 
-def tokenizer(path: str | None = None, pattern: str | None = None) -> ByteBpe:
-    """The encoder of this worker for a rank file; made once."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBpe(path, pattern)
-    return _loaded[path, pattern]
+def _once(kind: type, *args):
+    """The encoder or decoder of this worker; made once."""
+    if (kind, *args) not in _loaded:
+        _loaded[kind, *args] = kind(*args)
+    return _loaded[kind, *args]
 
 
 # --- over tables -----------------------------------------------------------------------------------------------
@@ -210,7 +219,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
     schema = StructType(docs.schema.fields + StructType.fromDDL("ids binary, n_tokens long").fields)
 
     def run(batches):
-        bpe = tokenizer(path, pattern)
+        bpe = _once(Encoder, path, pattern)
         for batch in chunks(batches, text_col):
             texts = pc.fill_null(batch.column(batch.schema.names.index(text_col)), "").to_pylist()
             ids = bpe.encode_all(texts) if len(texts) > 1 else [bpe.encode(texts[0])]
@@ -226,7 +235,7 @@ def decode_ids(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -
     schema = StructType(rows.schema.fields + StructType.fromDDL("decoded binary").fields)
 
     def run(batches):
-        bpe = tokenizer(path)
+        bpe = _once(Decoder, path)
         for batch in chunks(batches, ids_col, 4 << 20):
             texts = [bpe.decode(x or b"") for x in batch.column(batch.schema.names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
@@ -239,11 +248,13 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     schema = StructType([docs.schema[id_col]] + StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields)
 
     def run(batches):
-        for batch in batches:
-            digests = [[hashlib.sha256(x).hexdigest() for x in batch.column(k).to_pylist()] for k in (2, 3)]
+        bpe = _once(Decoder, path)
+        for batch in chunks(batches, "ids", 4 << 20):
+            ids = batch.column(2).to_pylist()
+            digests = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, digests)], names=schema.names)
 
-    return decode_ids(encode_texts(docs.select(id_col, text_col), path, pattern, text_col), path).select(id_col, "n_tokens", "ids", "decoded").mapInArrow(run, schema)
+    return encode_texts(docs.select(id_col, text_col), path, pattern, text_col).select(id_col, "n_tokens", "ids").mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
