@@ -40,8 +40,10 @@ IS_SEPARATOR[list(b" \t")] = True
 
 #: The relation: `word` are a block's different words, `code` the word of each occurrence, `gap` its place less that of
 #: the one before (1 only within a piece), `begins` whether a frequent phrase of the length reached begins there.
-RELATION = "word array<long>, code array<int>, gap array<int>, begins array<boolean>"
-_WORD = pa.struct([("h", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+RELATION = "word array<long>, code array<int>, gap array<tinyint>, begins array<boolean>"
+_WORD = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+#: Blocks that a row group of a stored relation holds, so that no reader decodes many at once.
+GROUP_ROWS = {"parquet.block.row.count.limit": 8}
 
 
 def _one_row(*columns) -> list[pa.Array]:
@@ -66,8 +68,8 @@ def _blocks(t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def occurrences(docs: DataFrame, salt: int = 0, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The relation of words, and `words`: each block's different words with language and count. Every row of docs is
-    a text; null texts have no words, and null languages are NO_LANG."""
+    """The relation of words, and `words`: language, text and count of each of a block's different words. Every row of
+    docs is a text; null texts have no words, and null languages are NO_LANG."""
     byte_code, lang_code = seeds(256, 1000 + salt) | np.uint64(1), seeds(256, 2000 + salt) | np.uint64(1)
 
     def run(batches):
@@ -81,24 +83,24 @@ def occurrences(docs: DataFrame, salt: int = 0, text_col: str = "text", lang_col
                 if not len(start):
                     continue
                 breaks = np.cumsum(IS_BREAK[low])[start]
-                gap = np.full(len(start), 2, dtype=np.int32)
+                gap = np.full(len(start), 2, dtype=np.int8)
                 gap[1:] -= (breaks[1:] == breaks[:-1]) & (row[1:] == row[:-1])
                 h = splitmix(span_hash(prefix_hash(low, byte_code), start, end) ^ lang_hash[row])
                 word, first, code = np.unique(h, return_index=True, return_inverse=True)
                 data = low.tobytes()
                 text = pa.array([data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.binary()).cast(pa.string())
-                word = pa.array(word.view(np.int64))
-                of = pa.StructArray.from_arrays([word, names.take(pa.array(row[first])), text, pa.array(np.bincount(code))], fields=list(_WORD))
-                yield pa.RecordBatch.from_arrays(_one_row(of, word, code.astype(np.int32), gap, np.ones(len(code), dtype=bool)), names=["words", "word", "code", "gap", "begins"])
+                of = pa.StructArray.from_arrays([names.take(pa.array(row[first])), text, pa.array(np.bincount(code))], fields=list(_WORD))
+                yield pa.RecordBatch.from_arrays(_one_row(of, word.view(np.int64), code.astype(np.int32), gap, np.ones(len(code), dtype=bool)), names=["words", "word", "code", "gap", "begins"])
 
-    schema = "words array<struct<h:long,lang:string,word:string,n:long>>, " + RELATION
+    schema = "words array<struct<lang:string,word:string,n:long>>, " + RELATION
     texts = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     return texts.mapInArrow(run, schema).withColumn("id", F.monotonically_increasing_id())
 
 
 def vocabulary(relation: DataFrame) -> DataFrame:
     """h, lang, word and n of each word of the corpus."""
-    return relation.select(F.explode("words").alias("w")).select("w.*").groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
+    each = relation.select(F.explode(F.arrays_zip("word", "words")).alias("x")).select(F.col("x.word").alias("h"), "x.words.*")
+    return each.groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
 
 
 # --- merging, counting, semi-joining ---------------------------------------------------------------------------
@@ -196,7 +198,7 @@ def semi_join(relation: DataFrame, groups: DataFrame, k: int, limit: int = BROAD
                 stays[at + j] = True
             used, code = np.unique(row["code"][stays], return_inverse=True)
             gap = np.diff(np.cumsum(row["gap"], dtype=np.int64)[stays], prepend=0)
-            columns = _one_row(row["word"][used], code.astype(np.int32), np.minimum(gap, 2).astype(np.int32), begins[stays])
+            columns = _one_row(row["word"][used], code.astype(np.int32), np.minimum(gap, 2).astype(np.int8), begins[stays])
             yield pa.RecordBatch.from_arrays([pa.array([row["id"]]), *columns], names=["id", "word", "code", "gap", "begins"])
 
     return relation.mapInArrow(run, "id long, " + RELATION)
@@ -205,7 +207,7 @@ def semi_join(relation: DataFrame, groups: DataFrame, k: int, limit: int = BROAD
 def mine(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, text_col: str = "text", lang_col: str = "lang", limit: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame]:
     """The vocabulary (h, lang, word, n), and words (hashes) and n of each frequent phrase of 1 to longest words."""
     for salt in range(SALTS):
-        relation = stored(occurrences(docs, salt, text_col, lang_col))
+        relation = stored(occurrences(docs, salt, text_col, lang_col), GROUP_ROWS)
         known = stored(vocabulary(relation))
         if known.groupBy("h").count().where("count > 1").isEmpty():
             break
@@ -214,7 +216,7 @@ def mine(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, te
     groups = known.where(F.col("n") >= min_count).select(F.col("h").alias("w1"), "n")
     out = groups.select(F.array("w1").alias("words"), "n")
     for k in range(2, longest + 1):
-        relation = stored(semi_join(relation, groups, k - 1, limit))
+        relation = stored(semi_join(relation, groups, k - 1, limit), GROUP_ROWS)
         groups = stored(count_groups(relation, k, min_count))
         out = out.unionByName(groups.select(F.array(*[f"w{j + 1}" for j in range(k)]).alias("words"), "n"))
     return known, stored(out)

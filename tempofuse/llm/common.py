@@ -141,14 +141,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, options: dict | None = None) -> DataFrame:
     """df, written to the shared folder and read again: it cuts the lineage, and a lost executor costs nothing.
 
-    An empty result has a schema too, as it is given to the reader.
+    An empty result has a schema too, as it is given to the reader. Options are those of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tempofuse-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
