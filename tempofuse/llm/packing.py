@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -18,7 +19,7 @@ from tempofuse.llm.common import IS_SPACE, LOWER, Texts, chunks, prefix_hash, sp
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces that one task packs; a longer table is packed in as many groups, whose emptiest bins meet in later rounds.
+#: Pieces that one task packs; a longer table is packed in as many groups, whose underfull bins meet in later rounds.
 GROUP_PIECES = 10_000
 #: Tasks of a round at most; a task takes group after group.
 MOST_TASKS = 20_000
@@ -199,13 +200,28 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 # --- packing ---------------------------------------------------------------------------------------------------
 
 
-def next_fit(length: np.ndarray, capacity: int) -> np.ndarray:
-    """A first placement: the bin of each piece, in the order given; a piece that does not fit begins the next bin."""
-    home, k, fill = np.zeros(len(length), dtype=np.int64), 0, 0
-    for i, size in enumerate(length.tolist()):
-        if fill + size > capacity:
-            k, fill = k + 1, 0
-        home[i], fill = k, fill + size
+def best_fit(length: np.ndarray, capacity: int) -> np.ndarray:
+    """A first placement: the bin of each piece. The longest goes first, each into the fullest bin that has room for it.
+
+    Bins are kept by their room; the bits of one number tell which rooms there are.
+    """
+    home = np.zeros(len(length), dtype=np.int64)
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    rooms = bins = 0
+    for i in np.argsort(-np.asarray(length), kind="stable").tolist():
+        size = int(length[i])
+        fits = rooms >> size
+        if fits:
+            room = size + (fits & -fits).bit_length() - 1
+            k = by_room[room].pop()
+            if not by_room[room]:
+                rooms ^= 1 << room
+        else:
+            room, k, bins = capacity, bins, bins + 1
+        home[i] = k
+        if not by_room[room - size]:
+            rooms |= 1 << (room - size)
+        by_room[room - size].append(k)
     return home
 
 
@@ -223,7 +239,9 @@ def local_search(home: np.ndarray, length: np.ndarray, capacity: int) -> np.ndar
         inside[k].add(i)
     least = -(-int(fill.sum()) // capacity)
     live = int((fill > 0).sum())
-    some: np.ndarray = np.zeros(0, dtype=np.int64)  # pieces of bins that were underfull when last looked at
+    # pieces of bins that were underfull when last looked at: all that can be given back now, and more, as no step leaves
+    # a bin underfull that was full
+    some: np.ndarray = np.zeros(0, dtype=np.int64)
 
     def step(a: int) -> int:
         """The step of bin a that raises the squares most: the bin that it fills, or -1."""
@@ -289,23 +307,21 @@ def local_search(home: np.ndarray, length: np.ndarray, capacity: int) -> np.ndar
     return np.unique(home, return_inverse=True)[1]
 
 
-def _pack_group(capacity: int, number: int, last: bool):
+def _pack_group(capacity: int, first: bool):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ids_crc32", "doc_id", "piece", "length"], kind="stable").reset_index(drop=True)
         length = group["length"].to_numpy()
-        home = local_search(next_fit(length, capacity), length, capacity)
+        if first:
+            begin = best_fit(length, capacity)
+            ids = (int(group["__tf_g"].iloc[0]) << 28) + np.arange(int(begin.max()) + 1)
+        else:
+            ids, begin = np.unique(group["sequence_id"].to_numpy(), return_inverse=True)
+        home = local_search(begin, length, capacity)
         fills = np.bincount(home, weights=length).astype(np.int64)
-        spare = len(fills) + 1 - -(-int(fills.sum()) // capacity)
-        emptiest = np.zeros(len(fills), dtype=bool)
-        if not last:
-            emptiest[np.argsort(fills, kind="stable")[: 2 + 4 * spare]] = True
-            emptiest &= fills < capacity
-        base = (number << 56) + (int(group["__tf_g"].iloc[0]) << 28)
         order = np.argsort(home, kind="stable")
-        run = np.cumsum(length[order]) - length[order]
         offset = np.zeros(len(group), np.int64)
-        offset[order] = run - np.repeat(np.cumsum(fills) - fills, np.bincount(home))
-        return group.drop(columns="__tf_g").assign(sequence_id=base + home, offset=offset, __tf_open=emptiest[home])
+        offset[order] = np.cumsum(length[order]) - length[order] - np.repeat(np.cumsum(fills) - fills, np.bincount(home))
+        return group.drop(columns="__tf_g").assign(sequence_id=ids[home], offset=offset, __tf_fill=fills[home])
 
     return pack
 
@@ -313,23 +329,30 @@ def _pack_group(capacity: int, number: int, last: bool):
 def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """parts (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Groups are dealt by a hash of the piece, so that each has a fair mixture of lengths; every group packs by itself
-    and gives up its emptiest bins, whose pieces are packed again in the next round, until one group is left.
+    Groups are dealt by a hash of the piece, so that each has a fair mixture of lengths, and packed by best fit and local
+    search. Then all bins that are not full are dealt to groups anew, and searched on, as long as a round empties a bin
+    and there are more bins than their pieces need; no bin is left out of it.
     """
-    schema = StructType(parts.schema.fields + StructType.fromDDL("sequence_id long, offset long, __tf_open boolean").fields)
+    schema = StructType(parts.schema.fields + StructType.fromDDL("sequence_id long, offset long, __tf_fill long").fields)
     columns = [*parts.columns, "sequence_id", "offset"]
-    left, out, number = parts, None, 0
-    while True:
-        n = left.count()
-        groups = max(1, -(-n // group_pieces))
-        dealt = left.withColumn("__tf_g", F.pmod(F.xxhash64(F.lit(number), *parts.columns), F.lit(groups)).cast("long"))
+
+    def packed(rows: DataFrame, by: list[str], groups: int, number: int) -> DataFrame:
+        dealt = rows.withColumn("__tf_g", F.pmod(F.xxhash64(F.lit(number), *by), F.lit(groups)).cast("long"))
         # a group is small and takes seconds, so that groups are not put together in a task by their size
-        packed = stored(dealt.repartition(min(groups, MOST_TASKS), "__tf_g").groupBy("__tf_g").applyInPandas(_pack_group(capacity, number, groups == 1), schema))
-        done = packed.where(~F.col("__tf_open")).select(columns)
-        out = done if out is None else out.unionByName(done)
-        if groups == 1:
-            return out
-        left, number = packed.where("__tf_open").select(parts.columns), number + 1
+        return stored(dealt.repartition(min(groups, MOST_TASKS), "__tf_g").groupBy("__tf_g").applyInPandas(_pack_group(capacity, number == 0), schema))
+
+    groups, number, before = max(1, -(-parts.count() // group_pieces)), 0, None
+    left, done = packed(parts, parts.columns, groups, 0), []
+    while True:
+        done.append(left.where(F.col("__tf_fill") >= capacity))
+        left = left.where(F.col("__tf_fill") < capacity)
+        n, tokens, bins = left.agg(F.count("*"), F.sum("length"), F.count_if(F.col("offset") == 0)).first()
+        if groups == 1 or bins <= -(-(tokens or 0) // capacity) or (before is not None and bins + full >= before):
+            break
+        before, groups, number = bins, -(-n // group_pieces), number + 1
+        left = packed(left.drop("offset", "__tf_fill"), ["sequence_id"], groups, number)
+        full = left.where(F.col("__tf_fill") >= capacity).agg(F.count_if(F.col("offset") == 0)).first()[0]
+    return reduce(DataFrame.unionByName, [x.select(columns) for x in [*done, left]])
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

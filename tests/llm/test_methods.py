@@ -250,12 +250,50 @@ def test_local_search_beats_best_fit():
     r = np.random.default_rng(4)
     for _ in range(40):
         length = r.integers(15, 60, 40)
-        home = packing.local_search(packing.next_fit(length, 100), length, 100)
+        home = packing.local_search(packing.best_fit(length, 100), length, 100)
         assert np.bincount(home, weights=length).max() <= 100 and sorted(set(home)) == list(range(max(home) + 1))
         wins += len(set(home)) < best_fit(length.tolist(), 100)
     assert wins > 0
 
 
+LENGTHS = {
+    "uniform": lambda r, n: r.integers(1, 4097, n),
+    "exponential": lambda r, n: np.minimum(r.exponential(600, n).astype(int) + 1, 4096),
+    "thirds": lambda r, n: r.integers(1300, 1430, n),
+    "bimodal": lambda r, n: np.where(r.random(n) < 0.5, r.integers(1, 200, n), r.integers(2000, 3500, n)),
+    "halves": lambda r, n: r.integers(1900, 2200, n),
+    "tenths": lambda r, n: r.integers(300, 500, n),
+    "equal": lambda r, n: np.full(n, 1366),
+}
+
+
+@pytest.mark.parametrize("name", LENGTHS)
+def test_search_packs_as_tightly_as_best_fit(name):
+    length = LENGTHS[name](np.random.default_rng(5), 3000)
+    first = packing.best_fit(length, 4096)
+    assert len(set(first)) == best_fit(length.tolist(), 4096) and np.bincount(first, weights=length).max() <= 4096
+    home = packing.local_search(first, length, 4096)
+    assert np.bincount(home, weights=length).max() <= 4096 and len(set(home)) <= len(set(first))
+
+
+@pytest.mark.parametrize("name", ["uniform", "exponential", "thirds", "tenths"])
+def test_groups_pack_as_tightly_as_one(spark, name):
+    """Rounds over all underfull bins make up for the groups: within two in a hundred of best fit over all pieces."""
+    length = LENGTHS[name](np.random.default_rng(6), 2000)
+    parts = spark.createDataFrame([(i, 0, 0, int(x), i) for i, x in enumerate(length)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack_pieces(parts, 4096, group_pieces=250).toPandas()
+    assert sorted(rows.doc_id) == list(range(2000)) and rows.groupby("sequence_id")["length"].sum().max() <= 4096
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"] == g["length"].cumsum() - g["length"]).all()
+    assert rows.sequence_id.nunique() <= 1.02 * best_fit(length.tolist(), 4096)
+
+
+def test_packing_is_as_tight_as_best_fit_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = packing.pack_documents(docs).select("length", "sequence_id").toPandas()
+    assert rows.sequence_id.nunique() <= best_fit(rows["length"].tolist(), 4096)
+
+
 def test_packing_is_within_one_percent_of_the_bound(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rows = packing.pack_documents(docs).select("length", "sequence_id").toPandas()
