@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tempofuse.operators.align import unwrapped
 from tempofuse.operators.quality import clock_line
+from tempofuse.sources.bytestreams import CheckedFrames, SyncFrames, find_frames
 
 GRAVITY = 9.80665
 #: Header of an inertial CSV. (Fixed values of the file format.)
@@ -111,30 +111,7 @@ def resync_frames(chunks: DataFrame, by: str = "session", order: str = "seq", da
     A frame ends with the sync word, and so does the next one, if there is one; else the reader moves on by a byte. The
     bytes left at the end of a chunk go on with the next. skipped is the number of bytes passed over just before.
     """
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        buffer, out, at, skipped = b"".join(bytes(x) for x in group.sort_values(order)[data]), [], 0, 0
-        while at + size <= len(buffer):
-            ends = buffer[at + size - len(sync) : at + size] == sync
-            following = buffer[at + 2 * size - len(sync) : at + 2 * size] if at + 2 * size <= len(buffer) else sync
-            if ends and following == sync:
-                out.append((key[0], len(out), buffer[at : at + size], skipped))
-                skipped, at = 0, at + size
-            else:
-                at, skipped = at + 1, skipped + 1
-        return pd.DataFrame(out, columns=[by, "number", "frame", "skipped"])
-
-    return chunks.groupBy(by).applyInPandas(run, f"{by} {dict(chunks.dtypes)[by]}, number long, frame binary, skipped long")
-
-
-def crc16_bytes(data: bytes) -> int:
-    """The check sum of functions.codec.crc16, of bytes in a kernel."""
-    crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = ((crc << 1) ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
-    return crc
+    return find_frames(chunks, SyncFrames(size, sync), by, order, data)
 
 
 def checked_frames(chunks: DataFrame, by: str = "session", order: str = "seq", data: str = "data", header: bytes = b"\xa5\x5a", size: int = 42) -> DataFrame:
@@ -143,16 +120,5 @@ def checked_frames(chunks: DataFrame, by: str = "session", order: str = "seq", d
     Where the header or the sum is wrong the reader moves on by a byte. Payloads are handed on as they are: their layout
     is the sensor's own.
     """
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        buffer, out, at, skipped = b"".join(bytes(x) for x in group.sort_values(order)[data]), [], 0, 0
-        while at + size <= len(buffer):
-            frame = buffer[at : at + size]
-            if frame.startswith(header) and crc16_bytes(frame[:-2]) == int.from_bytes(frame[-2:], "big"):
-                out.append((key[0], len(out), frame[len(header) : -2], skipped))
-                skipped, at = 0, at + size
-            else:
-                at, skipped = at + 1, skipped + 1
-        return pd.DataFrame(out, columns=[by, "number", "payload", "skipped"])
-
-    return chunks.groupBy(by).applyInPandas(run, f"{by} {dict(chunks.dtypes)[by]}, number long, payload binary, skipped long")
+    found = find_frames(chunks, CheckedFrames(size, header), by, order, data)
+    return found.select(by, "number", F.substring("frame", len(header) + 1, size - len(header) - 2).alias("payload"), "skipped")

@@ -24,6 +24,13 @@ def shared_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/flow-{uuid.uuid4().hex}"
 
 
+def as_stream(df: DataFrame) -> DataFrame:
+    """A table, written to the shared folder and read as a stream of its files."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now; its output as a table."""
     spark, path = stream.sparkSession, shared_path(stream.sparkSession)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tempofuse.operators.segment import _events, overlapping
+from tempofuse.sources.bytestreams import CheckedFrames, walk
 
 
 def _rows(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -59,6 +60,34 @@ def parsed_frames(stream: DataFrame, size: int = 30, sync: bytes = b"\x0f\xff",
     return stream.select("session", "seq", data).groupBy("session").applyInPandasWithState(run, "session long, number long, frame binary, skipped long", "rest binary, number long, skipped long", "append", GroupStateTimeout.NoTimeout)
 
 
+def parsed_checked_frames(stream: DataFrame, framing: CheckedFrames | None = None, clock: tuple[int, int] = (0, 4), data: str = "data") -> DataFrame:
+    """session, number, payload, skipped: frames with a header and a check sum in each session's stream of bytes.
+
+    clock is the place of the device clock in the payload: a frame whose clock is not ahead of the last one kept is
+    dropped, as it was repeated or comes late. The bytes that may still begin a frame wait for more: the state is these
+    (under a frame's length), the last clock kept, the frames found so far and the bytes passed over since the last.
+    """
+    framing = framing or CheckedFrames()
+    size, head = framing.size, len(framing.header)
+
+    def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, last, number, before = state.get if state.exists else (b"", None, 0, 0)
+        buffer = bytes(rest) + b"".join(bytes(x) for x in _rows(groups)[data] if x is not None)
+        end, out = 0, []
+        for at in walk(framing.starts(np.frombuffer(buffer, dtype=np.uint8), len(buffer)), size):
+            payload, skipped = buffer[at + head : at + size - 2], before + at - end
+            tick = int.from_bytes(payload[clock[0] : clock[0] + clock[1]], "big")
+            if last is None or 0 < (tick - last) % (1 << 8 * clock[1]) < 1 << (8 * clock[1] - 1):
+                out.append((key[0], number, payload, skipped))
+                last = tick
+            number, before, end = number + 1, 0, at + size
+        done = max(end, len(buffer) - size + 1, 0)
+        state.update((buffer[done:], last, number, before + done - end))
+        yield pd.DataFrame(out, columns=["session", "number", "payload", "skipped"])
+
+    return stream.select("session", "seq", data).groupBy("session").applyInPandasWithState(run, "session long, number long, payload binary, skipped long", "rest binary, last long, number long, before long", "append", GroupStateTimeout.NoTimeout)
+
+
 def live_events(stream: DataFrame, trigger: float, onset: float, quiet: float, hold: float, most: float, min_gap: float) -> DataFrame:
     """session, t_onset, t_peak, t_end, peak: the events of operators.segment.detect_events(), each as soon as it is
     over, of a stream of session, seq, t and signal.

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempofuse.sources import files, sinks
+from tempofuse.sources.bytestreams import crc16_rows
 
 HEADER = [n for n, _ in files.IMU_COLUMNS]
 
@@ -98,10 +99,10 @@ def test_exports(spark, tmp_path):
 
 def test_checked_frames(spark):
     def frame(k):
-        body = b"\xa5\x5a" + bytes([k]) * 38
-        return body + files.crc16_bytes(body).to_bytes(2, "big")
+        body = bytes([k]) * 38  # the sum is of what is between the header and itself
+        return b"\xa5\x5a" + body + int(crc16_rows(np.frombuffer(body, np.uint8)[None])[0]).to_bytes(2, "big")
 
-    assert files.crc16_bytes(b"123456789") == 0x29B1
+    assert crc16_rows(np.frombuffer(b"123456789", np.uint8)[None])[0] == 0x29B1
     broken = bytearray(frame(2))
     broken[10] ^= 1
     data = b"??" + frame(0) + frame(1) + bytes(broken) + frame(3) + frame(4)[:20]
