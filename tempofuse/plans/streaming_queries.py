@@ -9,7 +9,7 @@ from tempofuse.functions.codec import FrameFormat, decode_frame, encode_frame
 from tempofuse.plans.base import SAMPLES, query
 from tempofuse.plans.quality_queries import EVENTS_SQL
 from tempofuse.sources.tables import samples
-from tempofuse.streaming import flows, live, rings
+from tempofuse.streaming import capture, flows, live, rings
 
 
 @query()
@@ -118,3 +118,40 @@ def tailed_rows(spark, d):
     lines = live.complete_lines(F.col("text"), 2)
     number = lambda x: F.split(x, ",")[0].cast("long")
     return text.select("session", F.size(lines).cast("long").alias("n_lines"), F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + number(x)).alias("total"))
+
+
+# The device's clock in seconds is the events' in hours, so that windows of hours are windows of seconds.
+_TRIGGERS = f"""{SAMPLES}, w AS (SELECT session, seq AS window_id, t - 12 AS w0, t + 6 AS w1 FROM s WHERE v > 150), c AS (SELECT session, seq, t FROM s WHERE marker = 'click'), m AS (SELECT session, max(t) AS newest FROM c GROUP BY session),
+ mark AS (SELECT max(x) AS x FROM (SELECT max(w1) AS x FROM w UNION ALL SELECT max(t) FROM c))"""
+
+
+@query(
+    f"""WITH {_TRIGGERS} SELECT w.session, w.window_id, coalesce(any_value(m.newest) >= any_value(w.w1), false) AS complete, count(c.seq) AS n_frames, coalesce(sum(c.seq), 0)::BIGINT AS total FROM w LEFT JOIN m ON m.session = w.session LEFT JOIN c ON c.session = w.session AND c.t BETWEEN w.w0 - 0.3e0 AND w.w1 + 0.3e0, mark
+ WHERE m.newest >= w.w1 OR w.w1 + 1.5e0 <= mark.x - 5 GROUP BY w.session, w.window_id"""
+)
+def stream_camera_windows(spark, d):
+    """Windows of one stream with the frames of another, as soon as the camera is past them or has been silent."""
+    rows = flows.event_stream(spark, d)
+    clock = lambda t: F.timestamp_micros(F.round(t * 1e6).cast("long"))
+    windows = rows.where("signal > 150").select("session", F.col("seq").alias("window_id"), (F.col("t") - 12).alias("w0"), (F.col("t") + 6).alias("w1"), clock(F.col("t") + 6).alias("ts"))
+    camera = flows.event_stream(spark, d).where("marker = 'click'").select("session", "seq", "t", clock(F.col("t")).alias("ts"))
+    with capture.rocks_state(spark):
+        out = flows.drained(capture.camera_windows(windows, camera, keep=1e9))
+    return out.select("session", "window_id", "complete", F.size("frames").cast("long").alias("n_frames"), F.aggregate("frames", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(
+    EVENTS_SQL
+    + """, seg AS (SELECT session, floor(t / 48)::BIGINT AS k, min(t) AS s0, max(t) AS s1 FROM s GROUP BY ALL), parts AS (SELECT *, k < max(k) OVER (PARTITION BY session) AS closed FROM seg), win AS (SELECT session, t_peak - 12 AS w0, t_peak + 12 AS w1 FROM f WHERE over)
+ SELECT w.session, round(w0, 6) AS w0, round(w1, 6) AS w1, count(*) AS n_segments FROM win w JOIN parts c ON c.session = w.session AND c.s1 >= w.w0 AND c.s0 <= w.w1 GROUP BY w.session, w.w0, w.w1 HAVING bool_and(c.closed) AND max(c.s1) >= w.w1"""
+)
+def stream_captures(spark, d):
+    """Windows about events as they end, kept, sealed and queued once their recorded segments are closed."""
+    s = samples(spark, d)
+    parts = s.groupBy("session", F.floor(F.col("t") / 48).alias("k")).agg(F.min("t").alias("s0"), F.max("t").alias("s1"))
+    segments = parts.withColumn("closed", F.col("k") < F.max("k").over(Window.partitionBy("session"))).drop("k")
+    events = live.live_events(flows.event_stream(spark, d), 60.0, 30.0, 30.0, 6.0, 48.0, 24.0)
+    windows = events.select("session", F.round(F.col("t_peak") * 3.6e9).cast("long").alias("window_id"), (F.col("t_peak") - 12).alias("w0"), (F.col("t_peak") + 12).alias("w1"))
+    held = capture.Captures(spark, flows.shared_path(spark))
+    held.run(windows, lambda: segments, 24.0)
+    return held.read("queue").select("session", F.round("w0", 6).alias("w0"), F.round("w1", 6).alias("w1"), "n_segments")
