@@ -6,6 +6,7 @@ numpy operations over the buffer and not Python loops over words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -170,5 +171,14 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
+def release() -> None:
+    """Give memory back at the end of a task. Idle workers keep what they hold, and tasks take turns among them, so that
+    what each keeps counts as often as there are workers."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

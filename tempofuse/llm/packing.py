@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tempofuse.llm.common import IS_SPACE, LOWER, Texts, chunks, prefix_hash, span_hash, stored
+from tempofuse.llm.common import IS_SPACE, LOWER, Texts, chunks, prefix_hash, release, span_hash, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -193,6 +193,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                         data.append(part)
             more = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(data, pa.binary())] if with_ids else [])
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *more], names=schema.names)
+        _loaded.clear()
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
