@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Start of the streams' clock, in microseconds.
@@ -68,3 +68,27 @@ def swing_streams(spark: SparkSession, sf_dir: str, upsample: int = 16) -> tuple
     bands = F.explode(F.array(*[F.struct(F.lit(m).alias("marker_id"), F.lit(s_).alias("s")) for m, s_ in (("pink_1", 0.2), ("pink_2", 0.4), ("pink_3", 0.7))]))
     seen = truth.where("seq % 3 = 0").withColumn("b", bands).select("session", (F.col("seq") / 3).cast("long").alias("frame_id"), "t", "b.marker_id", "b.s", (F.col("b.s") * c + 0.1).alias("x"), (F.col("b.s") * n + 0.2).alias("y"), F.lit(2.5).alias("z"))
     return imu, seen, truth
+
+
+def rough_streams(spark: SparkSession, sf_dir: str, upsample: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """swing_streams() as devices would give them: rows and sights are missing, values jitter, and clocks differ.
+
+    All of it is drawn by hashes of the table's own keys, so that it is the same in every run: inertial rows are lost in
+    runs of 25 (one in 97), camera frames in runs of 40 (one in 20), single bands by 15 in 100; rates jitter by 0.02
+    rad/s, accelerations by 0.3 m/s² and places by 3 mm at most; the camera's clock is up to 20 ms ahead of or behind
+    the inertial one. Points come without names. truth has the session's clock difference as `shift`.
+    """
+    imu, seen, truth = swing_streams(spark, sf_dir, upsample)
+
+    def drawn(n: int, salt: int, *keys) -> Column:
+        return F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(n))
+
+    def jitter(c: str, size: float, salt: int, *keys) -> Column:
+        return (F.col(c) + (drawn(2001, salt, *keys) - 1000) / 1000.0 * size).alias(c)
+
+    shift = (drawn(41, 1, "session") - 20) / 1000.0
+    kept = imu.where(drawn(97, 2, "session", F.floor(F.col("seq") / 25)) != 0)
+    rough = kept.select("session", "seq", "t", *[jitter(c, 0.02, 10 + k, "session", "seq") for k, c in enumerate(("gx", "gy", "gz"))], *[jitter(c, 0.3, 20 + k, "session", "seq") for k, c in enumerate(("ax", "ay", "az"))])
+    sights = seen.where((drawn(20, 3, "session", F.floor(F.col("frame_id") / 40)) != 0) & (drawn(100, 4, "session", "frame_id", "marker_id") >= 15))
+    points = sights.select("session", "frame_id", (F.col("t") + shift).alias("t"), *[jitter(c, 0.003, 30 + k, "session", "frame_id", "marker_id") for k, c in enumerate(("x", "y", "z"))])
+    return rough, points, truth.withColumn("shift", shift)
