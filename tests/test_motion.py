@@ -29,6 +29,36 @@ def test_spline_equals_the_dense_solution(penalty):
     assert np.allclose(fit, line) and np.allclose(slope, 3)
 
 
+@pytest.mark.parametrize("n", [3, 4, 5, 60])
+def test_freedom_is_the_dense_trace(n):
+    r = np.random.default_rng(n)
+    t = np.cumsum(r.uniform(0.1, 1, n))
+    penalties = np.array([1e-6, 1e-2, 1.0, 300.0])
+    dense = [n - np.trace(np.linalg.inv(np.eye(n) + p * natural_spline_system(t))) for p in penalties]
+    assert np.allclose(curves._Spline(t, penalties).freedom_left(), dense, rtol=1e-9, atol=1e-12)
+
+
+def test_penalty_is_that_of_the_dense_score():
+    r = np.random.default_rng(7)
+    t = np.cumsum(r.uniform(0.01, 0.03, 80))
+    y = np.sin(6 * t) + r.normal(0, 0.1, 80)
+    tries = np.logspace(-9, 0, 25)
+    scores = []
+    for p in tries:
+        smoother = np.linalg.inv(np.eye(80) + p * natural_spline_system(t))
+        scores.append(80 * ((y - smoother @ y) ** 2).sum() / (80 - np.trace(smoother)) ** 2)
+    assert curves.best_penalty(t, y, tries) == tries[np.argmin(scores)]
+
+
+def test_columns_share_a_spline():
+    r = np.random.default_rng(9)
+    t, y = np.cumsum(r.uniform(0.1, 1, 30)), r.normal(size=(30, 3))
+    fit, slope = curves.smoothing_spline(t, y, 0.2)
+    for k in range(3):
+        one, rate = curves.smoothing_spline(t, y[:, k], 0.2)
+        assert np.allclose(fit[:, k], one) and np.allclose(slope[:, k], rate)
+
+
 def test_track_equals_least_squares():
     r = np.random.default_rng(2)
     n, spread, jolt = 25, 0.1, 2.0
