@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +129,77 @@ def posed_frames(df: DataFrame, model: DataFrame, by: list[str], order: str, mar
     out = turn.join(middle, "__key")
     moved = rotate(tuple(F.col(c) for c in ("qw", "qx", "qy", "qz")), tuple(F.col(c) for c in ("cmx", "cmy", "cmz")))
     return out.select("__key.*", "n", "qw", "qx", "qy", "qz", "rms", *[(F.col(f"c{a}") - m).alias(f"t{a}") for a, m in zip(axes, moved, strict=True)])
+
+
+#: Points a side that assigned_sets() takes: its states are the sets of points of one side.
+MOST_PLACES = 8
+
+
+def assigned_sets(left: DataFrame, right: DataFrame, by: str, most_off: float, places: int = MOST_PLACES) -> DataFrame:
+    """assigned_pairs() for up to MOST_PLACES points a side: by, left_place, right_place.
+
+    The best pairing has the most pairs, then the fewest that are out of order of place, then the least sum of row
+    differences (each to six digits), then the first list of right places in order of left place, none last. Left points
+    are taken in order; what counts of the pairs so far is the set of right points they took, so that the best of each
+    set is all that is kept: 2^places states a frame, not places! pairings. Frames are worked on a batch at a time.
+    """
+    if places > MOST_PLACES:
+        raise ValueError(f"more than {MOST_PLACES} places")
+    point = lambda side, k: F.min(F.when((F.col("side") == side) & (F.col("place") == k), F.struct("u", "v"))).alias(f"{side}{k}")
+    sides = left.select(by, F.lit("l").alias("side"), "place", "u", "v").unionByName(right.select(by, F.lit("r").alias("side"), "place", "u", "v"))
+    wide = sides.groupBy(by).agg(*[point(side, k) for side in "lr" for k in range(1, places + 1)])
+    off = []
+    for k in range(1, places + 1):
+        for j in range(1, places + 1):
+            l, r = F.col(f"l{k}"), F.col(f"r{j}")
+            gap = F.abs(l["v"] - r["v"])
+            off.append(F.when((gap <= most_off) & (l["u"] > r["u"]), F.round(gap * 1e6).cast("long")).otherwise(-1))
+    kind = dict(left.dtypes)[by]
+
+    def run(batches):
+        for batch in batches:
+            off = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(places * places)], axis=1).reshape(-1, places, places)
+            lists = best_pairing(off)
+            frame, k = np.nonzero(lists)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(frame)), pa.array(k + 1, pa.int32()), pa.array(lists[frame, k], pa.int32())], names=[by, "left_place", "right_place"])
+
+    return wide.select(by, *[c.alias(f"o{k}") for k, c in enumerate(off)]).mapInArrow(run, f"`{by}` {kind}, left_place int, right_place int")
+
+
+def best_pairing(off: np.ndarray) -> np.ndarray:
+    """The right place (from 1, 0 for none) of each left place, by off (frames, left, right), whole and -1 for no pair."""
+    frames, n, _ = off.shape
+    pair, turned = 1 << 50, 1 << 44  # a pair outweighs all inversions, and one of these all differences
+    sets = np.arange(1 << n)
+    cost = np.full((frames, 1 << n), 1 << 60, dtype=np.int64)
+    cost[:, 0] = 0
+    order = np.zeros((frames, 1 << n), dtype=np.int64)  # the right places so far, as digits; 9 for none
+    for i in range(n):
+        next_cost, next_order = cost.copy(), order * 10 + 9
+        for j in range(n):
+            before = sets[sets & (1 << j) == 0]
+            after = before | (1 << j)
+            above = np.array([bin(s >> (j + 1)).count("1") for s in before])
+            c = np.where(off[:, i, j, None] >= 0, cost[:, before] + off[:, i, j, None] + above * turned - pair, 1 << 60)
+            d = order[:, before] * 10 + j + 1
+            better = (c < next_cost[:, after]) | ((c == next_cost[:, after]) & (d < next_order[:, after]) & (c < 1 << 59))
+            next_cost[:, after] = np.where(better, c, next_cost[:, after])
+            next_order[:, after] = np.where(better, d, next_order[:, after])
+        cost, order = next_cost, next_order
+    least = cost.min(axis=1, keepdims=True)
+    digits = np.where(cost == least, order, np.iinfo(np.int64).max).min(axis=1)
+    lists = digits[:, None] // 10 ** np.arange(n - 1, -1, -1) % 10
+    return np.where(lists == 9, 0, lists)
+
+
+def predicted(df: DataFrame, by: tuple[str, ...] = ("session", "marker"), order: tuple[str, ...] = ("seq",), u: str = "u", v: str = "v") -> DataFrame:
+    """df with lost, pred_u and pred_v: where a marker should be by its last sights, at a velocity that is their difference.
+
+    Each row is a frame, with nulls where the marker was not seen. A marker is lost by a frame without it: the next
+    frame has no prediction, and the one after a first sight expects it where it was. lost tells that a row's marker was
+    not seen in the frame before.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    seen = lambda k: F.lag(F.col(u).isNotNull() & F.col(v).isNotNull(), k, False).over(w)
+    ahead = lambda c: F.when(seen(1), F.lag(c, 1).over(w) + F.when(seen(2), F.lag(c, 1).over(w) - F.lag(c, 2).over(w)).otherwise(0))
+    return df.withColumns({"lost": ~seen(1), "pred_u": ahead(u), "pred_v": ahead(v)})

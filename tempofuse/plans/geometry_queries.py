@@ -154,6 +154,39 @@ def stereo_assign(spark, d):
     return G.assigned_pairs(l, r, "frame", 2.0)
 
 
+_STEP = """s{i} AS (SELECT frame, mask, pairs, turned, off, codes FROM (
+  SELECT frame, mask, pairs, turned, off, codes * 10 + 9 AS codes FROM s{h} UNION ALL
+  SELECT s.frame, s.mask | (1 << (o.r - 1)), s.pairs + 1, s.turned + bit_count(s.mask >> o.r), s.off + o.off, s.codes * 10 + o.r FROM s{h} s JOIN o ON o.frame = s.frame AND o.l = {i} AND s.mask & (1 << (o.r - 1)) = 0)
+  QUALIFY row_number() OVER (PARTITION BY frame, mask ORDER BY pairs DESC, turned, off, codes) = 1)"""
+
+
+@query(
+    f"""WITH {FRAMES}, a AS (SELECT frame, marker AS place, x * 100 AS u, y AS v FROM f QUALIFY row_number() OVER (PARTITION BY frame, marker ORDER BY x, y) = 1), b AS (SELECT frame, marker AS place, x * 90 - 3 AS u, y + 0.3e0 AS v FROM f QUALIFY row_number() OVER (PARTITION BY frame, marker ORDER BY x, y) = 1),
+ o AS (SELECT a.frame, a.place AS l, b.place AS r, round(abs(a.v - b.v) * 1e6)::BIGINT AS off FROM a JOIN b ON b.frame = a.frame WHERE abs(a.v - b.v) <= 2 AND a.u > b.u),
+ s0 AS (SELECT DISTINCT frame, 0 AS mask, 0 AS pairs, 0 AS turned, 0::BIGINT AS off, 0::BIGINT AS codes FROM f), """
+    + ", ".join(_STEP.format(i=i, h=i - 1) for i in range(1, 8))
+    + """, best AS (SELECT frame, codes FROM s7 QUALIFY row_number() OVER (PARTITION BY frame ORDER BY pairs DESC, turned, off, codes) = 1)
+ SELECT frame, l AS left_place, ((codes // (10 ** (7 - l))::BIGINT) % 10)::INT AS right_place FROM best, (SELECT unnest(range(1, 8))::INT AS l) WHERE (codes // (10 ** (7 - l))::BIGINT) % 10 <> 9"""
+)
+def stereo_assign_sets(spark, d):
+    """Unnamed points of a frame paired one to one, up to seven a side, by the best of each set of taken points."""
+    f = frames(spark, d)
+    l = f.select("frame", F.col("marker").alias("place"), (F.col("x") * 100).alias("u"), F.col("y").alias("v"))
+    r = f.select("frame", F.col("marker").alias("place"), (F.col("x") * 90 - 3).alias("u"), (F.col("y") + 0.3).alias("v"))
+    return G.assigned_sets(l, r, "frame", 2.0, 7)
+
+
+@query(
+    f"""WITH {SAMPLES}, m AS (SELECT session, seq % 3 AS marker, seq, CASE WHEN marker <> 'error' THEN v END AS u, CASE WHEN marker <> 'error' THEN t END AS v FROM s), k AS (SELECT *, lag(u) OVER w AS u1, lag(u, 2) OVER w AS u2, lag(v) OVER w AS v1, lag(v, 2) OVER w AS v2 FROM m WINDOW w AS (PARTITION BY session, marker ORDER BY seq))
+ SELECT session, marker, seq, u1 IS NULL AS lost, round(u1 + coalesce(u1 - u2, 0), 5) AS pred_u, round(v1 + coalesce(v1 - v2, 0), 5) AS pred_v FROM k"""
+)
+def marker_prediction(spark, d):
+    """Where each of three markers should be, by its last sights; lost ones start anew."""
+    seen = F.col("marker") != "error"
+    s = samples(spark, d).withColumns({"u": F.when(seen, F.col("v")), "v": F.when(seen, F.col("t")), "marker": F.col("seq") % 3})
+    return G.predicted(s).select("session", "marker", "seq", "lost", F.round("pred_u", 5).alias("pred_u"), F.round("pred_v", 5).alias("pred_v"))
+
+
 _LINE = f"""WITH {FRAMES}, g AS (SELECT frame, count(*) AS n_markers, avg(s) AS ms, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, regr_slope(x, s) AS vx, regr_slope(y, s) AS vy, regr_slope(z, s) AS vz FROM f GROUP BY frame),
  h AS (SELECT *, CASE WHEN sqrt(vx*vx+vy*vy+vz*vz) >= 1e-6 THEN sqrt(vx*vx+vy*vy+vz*vz) END AS n FROM g), b AS (SELECT frame, vx/n AS ux, vy/n AS uy, vz/n AS uz, mx - ms*vx/n AS kx, my - ms*vy/n AS ky, mz - ms*vz/n AS kz, n_markers FROM h)"""
 
