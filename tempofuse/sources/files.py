@@ -105,6 +105,17 @@ def batch_samples(messages: DataFrame, column: str = "value") -> DataFrame:
     return parsed.select(*[c for c in messages.columns if c != column], F.inline("__m.samples"))
 
 
+def mapped_samples(samples: DataFrame, by: str = "session", order: str = "seq", least: int = 11) -> DataFrame:
+    """batch_samples() with t: the device clock, made to go on in the order of rows and mapped on the host's by the line of
+    each session, lifted as clock_line() does; the host's own time where a session has fewer rows than `least`."""
+    w = Window.partitionBy(by)
+    s = unwrapped(samples, "tx_us", by, (order,)).withColumns({"__n": F.count("*").over(w), "__start": F.min("ts_ns_host").over(w)})
+    s = s.withColumns({"__device": F.col("unwrapped") / 1e6, "__host": (F.col("ts_ns_host") - F.col("__start")) / 1e9})
+    s = s.withColumn("__since", F.col("__device") - F.min("__device").over(w)).join(clock_line(s, "__device", "__host", by), by, "left")
+    on_line = F.col("__start") / 1e9 + F.col("intercept") + F.col("slope") * F.col("__since") + F.col("lift")
+    return s.withColumn("t", F.when(F.col("__n") >= least, on_line).otherwise(F.col("ts_ns_host") / 1e9)).select(*samples.columns, "t")
+
+
 def resync_frames(chunks: DataFrame, by: str = "session", order: str = "seq", data: str = "data", size: int = 30, sync: bytes = b"\x0f\xff") -> DataFrame:
     """Frames of fixed size found in each session's chunks of bytes: session, number, frame, skipped.
 
