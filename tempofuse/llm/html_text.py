@@ -36,7 +36,7 @@ _SILENT = frozenset("script style noscript template head title button select opt
 _FURNITURE = frozenset("nav footer aside form menu header".split())
 _OWN = frozenset(("header",))
 _MAIN = frozenset(("article", "main"))
-#: Class, id or role names, whole, of parts that are not the article, wherever they are.
+#: Class, id or role names, whole, of parts that are not the article.
 _NEVER = frozenset(
     (
         "ad ads ad-slot ad-container ad-wrapper adsbygoogle advert adverts advertisement advertising banner-ad sponsored sponsor promo promotion "
@@ -46,6 +46,9 @@ _NEVER = frozenset(
         "share-buttons sharing social social-share share-links related-posts related-articles related-links footer site-footer page-footer contentinfo complementary search-form login"
     ).split()
 )
+#: Of these, names that parts of an article have too: a story's promotion, a restaurant's menu, a picture's caption. In an
+#: article they are evidence only.
+_OFTEN_OWN = frozenset("promo promotion menu overlay social sharing toolbar consent respond".split())
 #: Words within such names that are evidence only.
 _DOUBTED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|comments?|cookies?|discussion|footer|header|login|masthead|menu|nav|newsletter|popup|promo\w*|recommended|related|replies|search|share|sidebar|social|sponsor\w*|teaser|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
 _PARAGRAPH_ENDS = _BLOCK - {"body", "html", "head"}
@@ -130,9 +133,10 @@ class _Reader(HTMLParser):
         elif said and tag not in ("html", "body", "main", "article", "h1"):
             names = " ".join(said.get(k) or "" for k in ("class", "id", "role")).lower()
             if names.strip():
-                if not _NEVER.isdisjoint(names.split()):
+                found = _NEVER.intersection(names.split())
+                if found - _OFTEN_OWN or (found and not main):
                     factor = NEVER
-                elif _DOUBTED.search(names):
+                elif found or _DOUBTED.search(names):
                     factor = min(factor, DOUBT)
         if tag in _BLOCK and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd"):
             self.parents.append(part)

@@ -28,6 +28,9 @@ PAGES = {
     "a list of references in an article stays": (f"<article><p>{P}</p><ul><li><a href=x>ref one</a></li><li><a href=y>ref two</a></li></ul></article>" + FOOT, [P, "ref one", "ref two"]),
     "hidden parts go": (f"<article><p>{P}</p><p hidden>h</p><div style='display: none'>n</div></article>", [P]),
     "plain text": ("just text", ["just text"]),
+    "a promotion, a menu and captions of the story stay": (NAV + f"<article><h1>T</h1><p>{P}</p><div class=promotion><p>Her promotion. {P}</p></div><figure class=overlay><figcaption>A picture of the hall</figcaption></figure><div class=menu><p>Soup of the day. {P}</p></div><p class=social>Social work. {P}</p><p>{P}</p></article>" + FOOT, ["T", P, f"Her promotion. {P}", "A picture of the hall", f"Soup of the day. {P}", f"Social work. {P}", P]),
+    "the same names outside an article go": (f"<div class=menu>Soup {P}</div><div class=promotion>Buy {P}</div><article><h1>T</h1><p>{P}</p><p>{P}</p></article><div class=social>Share {P}</div>", ["T", P, P]),
+    "sidebars, notices and comments go inside an article too": (f"<article><h1>T</h1><p>{P}</p><div class=sidebar><p>{P}</p></div><section class=notice><p>{P}</p></section><div id=comments><p>{P}</p></div><p>{P}</p></article>", ["T", P, P]),
     "an advert between paragraphs goes": (f"<article><p>{P}</p><div class='ad'>Buy {P}</div><p>{P}</p></article>", [P, P]),
 }
 
