@@ -36,7 +36,8 @@ def full_lag(a: DataFrame, b: DataFrame, most_rows: int = 1 << 20, by: str = "se
 
     Both are read on a common grid of the smaller median step, in the span that both cover, less their means; of equal
     sums the least lag counts. A session is a recording of seconds to hours, one group; one whose grid would have more
-    than most_rows points is refused, as its step is too fine for its span. Sessions without a common span have none.
+    than most_rows points, as its step is too fine for its span, has a null offset and the number of points that it
+    would take, and the other sessions go on. Sessions without a common span have no row.
     """
 
     def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -49,7 +50,7 @@ def full_lag(a: DataFrame, b: DataFrame, most_rows: int = 1 << 20, by: str = "se
         if high <= low:
             return pd.DataFrame(columns=names)
         if (high - low) / step > most_rows:
-            raise ValueError(f"session {key[0]}: {(high - low) / step:.0f} grid points")
+            return pd.DataFrame([(key[0], None, float(step), int((high - low) / step))], columns=names)
         grid = np.arange(low, high, step)
         p, q = (np.interp(grid, u, d[v].to_numpy()) for u, d in ((tx, x), (ty, y)))
         size = 1 << int(np.ceil(np.log2(2 * len(grid))))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempofuse.functions import vectors as V
-from tempofuse.operators import geometry
-from tempofuse.plans.base import FRAMES, SAMPLES, VECTORS, query
+from tempofuse.operators import curves, geometry
+from tempofuse.plans import motion_queries  # noqa: F401
+from tempofuse.plans.base import FRAMES, SAMPLES, SQL, VECTORS, query
 from tempofuse.sources import files, sinks
 from tempofuse.sources.catalogue import Catalogue
 from tempofuse.sources.tables import frames, samples, vectors
@@ -125,6 +126,16 @@ def written_documents(spark, d):
     return spark.read.schema(rows.schema).json(path).select("session", "seq", "marker", F.round("v", 4).alias("v"))
 
 
+@query("SELECT m.session, m.seq, e.value AS v, m.value AS cam_v FROM (" + SQL["monotone_cubic"] + ") m JOIN events e ON e.event_id = m.seq")
+def joined_export(spark, d):
+    """Inertial rows with the camera's curve at their times, written as CSV and read again."""
+    s = samples(spark, d)
+    both = curves.joined_streams(s.where("marker = 'view'").select("session", "seq", "t", "v"), s.where("marker = 'click'").select("session", "t", "v"), ("v",))
+    path, rows = shared_path(spark), both.select("session", "seq", "v", F.round("cam_v", 5).alias("cam_v"))
+    sinks.write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
 @query(f"WITH {VECTORS} SELECT vec_id, 0e0 AS own, round(-e2 * e4 + e1 * e5, 6) + 0 AS x, round(e2 * e3 - e0 * e5, 6) + 0 AS y, round(-e1 * e3 + e0 * e4, 6) + 0 AS z FROM e")
 def skew_products(spark, d):
     """The skew matrix of one vector times another: their cross product; times itself nothing."""
