@@ -60,7 +60,8 @@ def full_lag(a: DataFrame, b: DataFrame, most_rows: int = 1 << 20, by: str = "se
         return pd.DataFrame([(key[0], float(lags[int(np.argmax(sums))] * step), float(step), len(grid))], columns=names)
 
     kind = dict(a.dtypes)[by]
-    return a.select(by, t, v).groupBy(by).cogroup(b.select(by, t, v).groupBy(by)).applyInPandas(run, f"{by} {kind}, offset double, step double, n long")
+    own = [F.col(c).alias(c) for c in (by, t, v)]  # names of their own, as both sides may come from one table
+    return a.select(by, t, v).groupBy(by).cogroup(b.select(*own).groupBy(by)).applyInPandas(run, f"{by} {kind}, offset double, step double, n long")
 
 
 def relative_difference(a: Column, b: Column) -> Column:

@@ -12,23 +12,39 @@ from tempofuse.sources.tables import samples
 from tempofuse.streaming import capture, flows, live, rings
 
 
-@query()
+# a window is triggered by a row above 60 whose row before is not, a day after the session's first, after the window before
+_RINGS = f"""WITH RECURSIVE {SAMPLES}, o AS (SELECT session, t, v, t - lag(t) OVER w AS step, lag(v) OVER w AS v0, t - first_value(t) OVER w AS age FROM s WINDOW w AS (PARTITION BY session ORDER BY seq)),
+ c AS (SELECT session, t FROM o WHERE v > 60 AND v0 <= 60 AND age >= 24), r(session, t) AS (SELECT session, min(t) FROM c GROUP BY session UNION ALL SELECT r.session, (SELECT min(c.t) FROM c WHERE c.session = r.session AND c.t > r.t + 24) AS n FROM r WHERE n IS NOT NULL)
+ SELECT r.session, round(r.t, 6) AS trigger_t, round(min(o.t), 6) AS t_first, round(max(o.t), 6) AS t_last, count(*) FILTER (WHERE o.t < r.t) AS n_before, count(*) FILTER (WHERE o.t >= r.t) AS n_after, count(*) FILTER (WHERE o.t > r.t AND o.step > 12) AS n_gaps, max(o.v) AS peak, true AS complete
+ FROM r JOIN o ON o.session = r.session AND o.t BETWEEN r.t - 24 AND r.t + 24 WHERE EXISTS (SELECT 1 FROM o x WHERE x.session = r.session AND x.t > r.t + 24) GROUP BY r.session, r.t"""
+
+
+def _rounded(windows):
+    return windows.withColumns({c: F.round(c, 6) for c in ("trigger_t", "t_first", "t_last")})
+
+
+@query(_RINGS)
 def stream_ring_windows(spark, d):
-    """Triggered windows, by a stateful operator; equal to the batch in the tests."""
-    out = rings.ring_windows(flows.event_stream(spark, d), 24.0, 24.0, 60.0, 12.0, 1e9)
-    return flows.drained(out)
+    """Triggered windows, by a stateful operator."""
+    return _rounded(flows.drained(rings.ring_windows(flows.event_stream(spark, d), 24.0, 24.0, 60.0, 12.0, 1e9)))
 
 
-@query()
+@query(_RINGS)
 def batch_ring_windows(spark, d):
     """The same machine over a batch."""
-    return rings.ring_windows(samples(spark, d).withColumnRenamed("v", "signal"), 24.0, 24.0, 60.0, 12.0, 1e9)
+    return _rounded(rings.ring_windows(samples(spark, d).withColumnRenamed("v", "signal"), 24.0, 24.0, 60.0, 12.0, 1e9))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SAMPLES}, o AS (SELECT *, CASE WHEN t - lag(t) OVER w > 48 THEN 1 ELSE 0 END AS cut FROM s WINDOW w AS (PARTITION BY session ORDER BY seq)), g AS (SELECT *, sum(cut) OVER (PARTITION BY session ORDER BY seq) AS island FROM o),
+ i AS (SELECT session, island, t, v, row_number() OVER w - 1 AS pos, lag(v) OVER w AS v0, count(*) OVER (PARTITION BY session, island) AS n FROM g WINDOW w AS (PARTITION BY session, island ORDER BY seq)), c AS (SELECT * FROM i WHERE v > 60 AND v0 <= 60 AND pos >= 3),
+ r(session, island, pos) AS (SELECT session, island, min(pos) FROM c GROUP BY ALL UNION ALL SELECT r.session, r.island, (SELECT min(c.pos) FROM c WHERE c.session = r.session AND c.island = r.island AND c.pos > r.pos + 3) AS p FROM r WHERE p IS NOT NULL)
+ SELECT r.session, round(any_value(i.t) FILTER (WHERE i.pos = r.pos), 6) AS trigger_t, round(min(i.t), 6) AS t_first, round(max(i.t), 6) AS t_last, 3 AS n_before, 4 AS n_after, r.island::BIGINT AS n_gaps, max(i.v) AS peak, true AS complete
+ FROM r JOIN i ON i.session = r.session AND i.island = r.island AND i.pos BETWEEN r.pos - 3 AND r.pos + 3 WHERE i.n > r.pos + 3 GROUP BY r.session, r.island, r.pos"""
+)
 def stream_count_windows(spark, d):
-    """Windows of so many rows about a trigger; held against the state machine in the tests."""
-    return flows.drained(rings.ring_windows(flows.event_stream(spark, d), 3, 4, 60.0, 48.0, rows=True))
+    """Windows of so many rows about a trigger, in runs of rows without a gap."""
+    return _rounded(flows.drained(rings.ring_windows(flows.event_stream(spark, d), 3, 4, 60.0, 48.0, rows=True)))
 
 
 _CLOSED = "(SELECT max(epoch_us(ts)) - 3600000000 AS mark FROM events)"
