@@ -28,17 +28,41 @@ def monotone_cubic(spark, d):
     return curves.monotone_interpolated(s.where("marker = 'view'").select("session", "seq", "t"), right).select("session", "seq", F.round("value", 5).alias("value"))
 
 
-@query()
+# the band of a spline's second derivatives is taken apart going up and solved going down, one knot of all sessions at a time
+_SPLINE = f"""WITH RECURSIVE {SAMPLES}, u AS (SELECT * FROM (SELECT session, t, min(seq) AS seq, arg_min(v, seq) AS v FROM s GROUP BY session, t) QUALIFY count(*) OVER (PARTITION BY session) >= 6), o AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY session) AS n, lead(t) OVER w - t AS h, lead(t, 2) OVER w - lead(t) OVER w AS h1, v AS y0, lead(v) OVER w AS y1, lead(v, 2) OVER w AS y2 FROM u WINDOW w AS (PARTITION BY session ORDER BY t)),
+ q AS (SELECT *, 1 / h AS q0, -1 / h - 1 / h1 AS q1, 1 / h1 AS q2 FROM o WHERE k <= n - 2), b AS (SELECT session, k, n, q0, q1, q2, (h + h1) / 3 + 50 * (q0*q0 + q1*q1 + q2*q2) AS d0, h1 / 6 + 50 * (q1 * lead(q0) OVER w + q2 * lead(q1) OVER w) AS e0, 50 * q2 * lead(q0, 2) OVER w AS f0, q0*y0 + q1*y1 + q2*y2 AS r FROM q WINDOW w AS (PARTITION BY session ORDER BY k)),
+ up(session, k, d, e, f, x, d1, f1, x1) AS (SELECT session, k, d0, e0, f0, r, 1e0, 0e0, 0e0 FROM b WHERE k = 1 UNION ALL
+  SELECT b.session, b.k, b.d0 - up.e * up.e / up.d - up.f1 * up.f1 / up.d1, b.e0 - up.e * up.f / up.d, b.f0, b.r - up.e / up.d * up.x - up.f1 / up.d1 * up.x1, up.d, up.f, up.x FROM up JOIN b ON b.session = up.session AND b.k = up.k + 1),
+ down(session, k, g, g1) AS (SELECT up.session, up.k, x / d, 0e0 FROM up JOIN (SELECT session, max(k) AS k FROM b GROUP BY session) m ON m.session = up.session AND m.k = up.k UNION ALL SELECT up.session, up.k, up.x / up.d - up.e / up.d * down.g - coalesce(up.f, 0) / up.d * down.g1, down.g FROM down JOIN up ON up.session = down.session AND up.k = down.k - 1),
+ g AS (SELECT o.session, o.seq, o.k, o.n, o.h, o.v - 50 * (coalesce(a.q0 * x.g, 0) + coalesce(b1.q1 * y.g, 0) + coalesce(c.q2 * z.g, 0)) AS fit, coalesce(y.g, 0) AS bend FROM o LEFT JOIN b a ON a.session = o.session AND a.k = o.k LEFT JOIN down x ON x.session = o.session AND x.k = o.k LEFT JOIN b b1 ON b1.session = o.session AND b1.k = o.k - 1 LEFT JOIN down y ON y.session = o.session AND y.k = o.k - 1 LEFT JOIN b c ON c.session = o.session AND c.k = o.k - 2 LEFT JOIN down z ON z.session = o.session AND z.k = o.k - 2)
+ SELECT session, seq, round(fit, 4) + 0 AS value, round(CASE WHEN k < n THEN (lead(fit) OVER w - fit) / h - h * (2 * bend + lead(bend) OVER w) / 6 ELSE (fit - lag(fit) OVER w) / lag(h) OVER w + lag(h) OVER w * (lag(bend) OVER w + 2 * bend) / 6 END, 4) + 0 AS slope FROM g WINDOW w AS (PARTITION BY session ORDER BY k)"""
+
+
+@query(_SPLINE)
 def smoothing_spline(spark, d):
-    """Spline of each session; held against a dense solution in the tests."""
-    return curves.smoothed(samples(spark, d), 50.0)
+    """Spline of each session, of one penalty."""
+    return curves.smoothed(samples(spark, d), 50.0).withColumns({c: F.round(c, 4) + 0.0 for c in ("value", "slope")})
 
 
-@query()
+# one row of all islands at a time: forwards the prediction (p, w with covariance a, b, c) and what a sight makes of it, backwards the smoothing
+_TRACK = f"""WITH RECURSIVE {SAMPLES}, o AS (SELECT session, seq, t, CASE WHEN marker <> 'error' THEN v END AS v, CASE WHEN t - lag(t) OVER w > 24 THEN 1 ELSE 0 END AS cut FROM s WINDOW w AS (PARTITION BY session ORDER BY t, seq)), i AS (SELECT *, sum(cut) OVER (PARTITION BY session ORDER BY t, seq)::BIGINT AS island FROM o),
+ k AS (SELECT *, row_number() OVER w AS k, coalesce(t - lag(t) OVER w, 0) AS h, count(v) OVER (PARTITION BY session, island) AS known, first_value(v IGNORE NULLS) OVER (PARTITION BY session, island ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v0 FROM i WINDOW w AS (PARTITION BY session, island ORDER BY t, seq)), z AS (SELECT * FROM k WHERE known >= 3),
+ fwd(session, island, k, p, w, a, b, c, x, y, pa, pb, pc, refused) AS (
+  SELECT session, island, 0::BIGINT, 0e0, 0e0, 0e0, 0e0, 0e0, v0, 0e0, 25e0, 0e0, 2e0, 0 FROM z WHERE k = 1 UNION ALL
+  SELECT session, island, k, p, w, a, b, c, CASE WHEN used THEN p + a / (a + 25) * (v - p) ELSE p END, CASE WHEN used THEN w + b / (a + 25) * (v - p) ELSE w END, CASE WHEN used THEN a - a * a / (a + 25) ELSE a END, CASE WHEN used THEN b - a * b / (a + 25) ELSE b END, CASE WHEN used THEN c - b * b / (a + 25) ELSE c END, refused + (v IS NOT NULL AND NOT used)::INT
+  FROM (SELECT *, coalesce((v - p) * (v - p) / (a + 25) < 50, false) AS used FROM (SELECT z.session, z.island, z.k, z.v, x + h * y AS p, y AS w, pa + 2 * h * pb + h * h * pc + h * h * h * h AS a, pb + h * pc + 2 * h * h * h AS b, pc + 4 * h * h AS c, refused FROM fwd JOIN z ON z.session = fwd.session AND z.island = fwd.island AND z.k = fwd.k + 1))),
+ bwd(session, island, k, x, y) AS (SELECT session, island, k, x, y FROM fwd QUALIFY row_number() OVER (PARTITION BY session, island ORDER BY k DESC) = 1 UNION ALL
+  SELECT session, island, k, x0 + ((u * c - pb * b) * (x - p) + (pb * a - u * b) * (y - w)) / (a * c - b * b), y0 + ((g * c - pc * b) * (x - p) + (pc * a - g * b) * (y - w)) / (a * c - b * b)
+  FROM (SELECT f.session, f.island, f.k, f.x AS x0, f.y AS y0, f.pa + z.h * f.pb AS u, f.pb + z.h * f.pc AS g, f.pb, f.pc, n.a, n.b, n.c, n.p, n.w, bwd.x, bwd.y FROM bwd JOIN fwd n ON n.session = bwd.session AND n.island = bwd.island AND n.k = bwd.k JOIN z ON z.session = n.session AND z.island = n.island AND z.k = n.k JOIN fwd f ON f.session = n.session AND f.island = n.island AND f.k = n.k - 1 AND f.k > 0)),
+ m AS (SELECT session, island, max(refused) AS n_refused FROM fwd GROUP BY ALL)
+ SELECT k.session, k.seq, k.island, round(bwd.x, 3) + 0 AS place, round(bwd.y, 3) + 0 AS speed, coalesce(m.n_refused, 0)::BIGINT AS n_refused FROM k LEFT JOIN bwd USING (session, island, k) LEFT JOIN m ON m.session = k.session AND m.island = k.island"""
+
+
+@query(_TRACK)
 def velocity_track(spark, d):
-    """Filtered and smoothed place and speed of each island; held against a dense solution in the tests."""
+    """Filtered and smoothed place and speed of each island."""
     s = samples(spark, d).withColumn("v", F.when(F.col("marker") != "error", F.col("v")))
-    return curves.tracked(s, 5.0, 2.0, most_gap=24.0)
+    return curves.tracked(s, 5.0, 2.0, most_gap=24.0).withColumns({c: F.round(c, 3) + 0.0 for c in ("place", "speed")})
 
 
 _HALF = "sqrt(wx*wx + wy*wy + wz*wz) * dt / 2"
