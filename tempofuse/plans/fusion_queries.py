@@ -79,10 +79,25 @@ def band_labels(spark, d):
     return named.select("session", "frame_id", "marker_id")
 
 
-@query()
+_BOTH = "ASOF LEFT JOIN {0} p ON p.session = l.session AND l.t >= p.t ASOF LEFT JOIN {0} n ON n.session = l.session AND l.t <= n.t"
+_HELD = "CASE WHEN p.t IS NULL THEN n.{0} WHEN n.t IS NULL THEN p.{0} WHEN n.t > p.t THEN p.{0} + (n.{0} - p.{0}) * (l.t - p.t) / (n.t - p.t) ELSE p.{0} END"
+_ROWS = "OVER (PARTITION BY session ORDER BY t, seq)"
+_GUIDED = f"""WITH {SAMPLES}, own AS (SELECT session, seq, t, v / 10 AS x, v / 1000 AS a FROM s WHERE marker <> 'view'), ot AS (SELECT session, t, min(x) AS x FROM own GROUP BY ALL),
+ sight AS (SELECT session, t, v / 10 AS x, var_pop(t) OVER w AS vt, covar_pop(v / 10, t) OVER w AS ct FROM s WHERE marker = 'view' WINDOW w AS (PARTITION BY session ORDER BY t RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+ off AS (SELECT l.session, l.t, l.x - {_HELD.format("x")} AS off, coalesce(CASE WHEN l.vt <> 0 THEN l.ct / l.vt END, 0) AS slope FROM sight l {_BOTH.format("ot")}), ft AS (SELECT session, t, min(struct_pack(off := off, slope := slope)) AS b FROM off GROUP BY ALL), fs AS (SELECT session, t, b.off AS off, b.slope AS slope FROM ft),
+ g AS (SELECT l.*, l.x + coalesce({_HELD.format("off")}, 0) AS guided, coalesce({_HELD.format("slope")}, 0) AS velocity, coalesce(n.t - p.t <= 24, false) AS supported FROM own l {_BOTH.format("fs")}),
+ d AS (SELECT *, coalesce(t - lag(t) {_ROWS}, 0) AS dt, coalesce((a + lag(a) {_ROWS}) / 2, 0) AS ma FROM g), e AS (SELECT *, sum(ma * dt) {_ROWS[:-1]} ROWS UNBOUNDED PRECEDING) AS dv FROM d), f AS (SELECT *, sum(coalesce((dv + lag_dv) / 2 * dt, 0)) {_ROWS[:-1]} ROWS UNBOUNDED PRECEDING) AS dx FROM (SELECT *, lag(dv) {_ROWS} AS lag_dv FROM e)),
+ k AS (SELECT *, last_value(CASE WHEN supported THEN struct_pack(t := t, x := guided, v := velocity, dv := dv, dx := dx) END IGNORE NULLS) {_ROWS[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, first_value(CASE WHEN supported THEN struct_pack(t := t, x := guided, v := velocity, dv := dv, dx := dx) END IGNORE NULLS) {_ROWS[:-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM f),
+ r AS (SELECT *, p.x + (p.v - p.dv) * (t - p.t) + dx - p.dx AS ahead, q.x + (q.v - q.dv) * (t - q.t) + dx - q.dx AS back, q.t - p.t AS span, CASE WHEN q.t > p.t THEN (t - p.t) / (q.t - p.t) ELSE t - p.t END AS u, q.x - (p.x + (p.v - p.dv) * (q.t - p.t) + q.dx - p.dx) AS miss, (q.v - (p.v - p.dv + q.dv)) * (q.t - p.t) AS slip FROM k)
+ SELECT session, seq, round(guided, 4) + 0 AS guided, round(velocity, 4) + 0 AS velocity, supported, round(CASE WHEN supported THEN guided WHEN p IS NULL THEN back WHEN q IS NULL THEN ahead ELSE ahead + miss * u * u * (3 - 2 * u) + slip * u * u * (u - 1) END, 4) + 0 AS bridge,
+ round(CASE WHEN supported THEN velocity WHEN p IS NULL THEN q.v - q.dv + dv WHEN q IS NULL THEN p.v - p.dv + dv ELSE p.v - p.dv + dv + (miss * 6 * u * (1 - u) + slip * u * (3 * u - 2)) / CASE WHEN span > 0 THEN span ELSE 1 END END, 4) + 0 AS bridge_velocity, NOT supported AS estimated FROM r"""
+
+
+@query(_GUIDED)
 def guided_replay(spark, d):
-    """A replay that follows one kind of event where it is dense, and the estimate elsewhere; tested against closed forms."""
+    """A replay that follows one kind of event where it is dense, and the estimate elsewhere."""
     s = samples(spark, d)
     own = s.where("marker <> 'view'").select("session", "seq", "t", (F.col("v") / 10).alias("x"), (F.col("v") / 1000).alias("a"))
     sights = s.where("marker = 'view'").select("session", "t", (F.col("v") / 10).alias("x"))
-    return motion.guided_replay(own, sights, 24.0, 12.0)
+    out = motion.guided_replay(own, sights, 24.0, 12.0)
+    return out.select("session", "seq", *[(F.round(c, 4) + 0.0).alias(c) for c in ("guided", "velocity")], "supported", *[(F.round(c, 4) + 0.0).alias(c) for c in ("bridge", "bridge_velocity")], "estimated")
