@@ -52,8 +52,8 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows(docs, name):
     rows = OPERATORS[name](docs).collect()
-    want = {"keep_one": 7, "packing": None}.get(name, len(ROWS))
-    assert want is None or len(rows) == want
+    # packing cuts the long text, of 30,001 tokens with its end, into eight pieces
+    assert len(rows) == {"keep_one": 7, "packing": len(ROWS) + 7}.get(name, len(ROWS))
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -89,6 +89,26 @@ def test_empty_document_is_the_end_id(docs):
     assert [(r.piece, r.start, r.length) for r in rows] == [(0, 0, 1)] * 2
 
 
+def test_packing_of_odd_rows_is_whole(docs):
+    rows = packing.pack_documents(docs).toPandas()
+    long = rows[rows.doc_id == 5].sort_values("piece")
+    assert long.piece.tolist() == list(range(8)) and long.start.tolist() == [4096 * k for k in range(8)] and long["length"].tolist() == [4096] * 7 + [30_001 - 7 * 4096]
+    assert rows.doc_id.isna().sum() == 1 and (rows.doc_id == 6).sum() == 2
+    assert rows.sequence_id.nunique() == -(-rows["length"].sum() // 4096)
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert g["length"].sum() <= 4096 and (g["offset"] == g["length"].cumsum() - g["length"]).all()
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    """A node that a third of all edges have, and a chain as long as it takes many rounds to fold."""
+    from tempofuse.llm.components import connected_components
+
+    star = spark.range(1, 5_000).selectExpr("5000 as a", "id as b")
+    chain = spark.range(10_000, 10_300).selectExpr("id as a", "id + 1 as b")
+    got = {r.node: r.root for r in connected_components(star.unionByName(chain).unionByName(chain.selectExpr("b as a", "b as b"))).collect()}
+    assert got == {k: 1 for k in range(2, 5_001)} | {k: 10_000 for k in range(10_001, 10_301)}
+
+
 def test_empty_line_of_a_null_text(docs):
     row = line_dedup.dedup_lines(docs).where("doc_id = 2").first()
     assert (row.text, row.n_lines, row.n_dropped) == ("", 1, 0)
