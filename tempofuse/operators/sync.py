@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson's correlation, as an aggregate; NaN where either side is constant, which F.corr() stops at."""
+    pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+    x_, y_ = F.when(pair, F.col(x)), F.when(pair, F.col(y))
+    return F.when(F.count_if(pair) > 0, F.coalesce(F.try_divide(F.covar_pop(x_, y_), F.stddev_pop(x_) * F.stddev_pop(y_)), F.lit(float("nan"))))
+
+
 def best_lag(a: DataFrame, b: DataFrame, most_steps: int, least: int, by: str = "session", grid: str = "g") -> DataFrame:
     """session, lag_steps, correlation: the shift of b's grid against a's of greatest Pearson correlation.
 
@@ -21,7 +28,7 @@ def best_lag(a: DataFrame, b: DataFrame, most_steps: int, least: int, by: str =
     left = a.select(by, F.col(grid).alias("__ga"), "x", F.explode(F.array(block - 1, block, block + 1)).alias("__b"))
     right = b.select(by, F.col(grid).alias("__gb"), "y", block.alias("__b"))
     pairs = left.join(right, [by, "__b"]).withColumn("k", F.col("__gb") - F.col("__ga")).where(F.abs("k") <= most_steps)
-    scored = pairs.groupBy(by, "k").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("r")).where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
+    scored = pairs.groupBy(by, "k").agg(F.count("*").alias("n"), F.round(pearson("x", "y"), 6).alias("r")).where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
     return scored.groupBy(by).agg(F.max(F.struct("r", (-F.col("k")).alias("k"))).alias("best")).select(by, (-F.col("best.k")).cast("int").alias("lag_steps"), F.col("best.r").alias("correlation"))
 
 
