@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempofuse.operators import align as A
 from tempofuse.operators import quality as Q
 from tempofuse.operators import segment as S
-from tempofuse.operators.sync import zscore
+from tempofuse.operators.sync import pearson, zscore
 from tempofuse.plans.base import FRAMES, SAMPLES, query
 from tempofuse.sources.tables import frames, samples, table
 
@@ -174,7 +174,7 @@ def compare_streams(spark, d):
     a = s.where("marker = 'view'").groupBy("session", "g").agg(F.avg("v").alias("x"))
     b = s.where("marker = 'click'").groupBy("session", "g").agg(F.avg("v").alias("y"))
     e = F.col("x") - F.col("y")
-    out = a.join(b, ["session", "g"]).groupBy("session").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rms"), F.corr("x", "y").alias("r"), F.max("x").alias("peak_x"), F.avg(F.abs(e) / F.nullif(F.col("x"), F.lit(0.0))).alias("mean_share"))
+    out = a.join(b, ["session", "g"]).groupBy("session").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rms"), pearson("x", "y").alias("r"), F.max("x").alias("peak_x"), F.avg(F.abs(e) / F.nullif(F.col("x"), F.lit(0.0))).alias("mean_share"))
     return out.select("session", "n", *[F.when(F.col("n") >= 5, F.round(c, 5)).alias(c) for c in ("rms", "r", "peak_x", "mean_share")])
 
 

@@ -19,3 +19,9 @@ def test_a_constant_stream_has_no_lag_and_stops_no_other(spark):
     a = spark.createDataFrame([(s, g, 5.0 if s == 1 else float(g * g)) for s in (1, 2) for g in range(6)], "session long, g long, x double")
     b = spark.createDataFrame([(s, g + 1, float(g * g)) for s in (1, 2) for g in range(6)], "session long, g long, y double")
     assert [tuple(r) for r in sync.best_lag(a, b, 2, 3).collect()] == [(2, 1, 1.0)]
+
+
+def test_streams_of_which_one_is_constant_are_compared(spark, tmp_path):
+    rows = [(s, 100 * s + 2 * g + k, 12.0 * g + 1 + k, m, 7.0 if m == "view" and s == 1 else g + k) for s in (1, 2) for g in range(6) for k, m in enumerate(("view", "click"))]
+    got = {r.session: r for r in QUERIES["compare_streams"](spark, written_events(spark, tmp_path, rows)).collect()}
+    assert got[1].n == got[2].n == 6 and math.isnan(got[1].r) and got[2].r == 1.0
