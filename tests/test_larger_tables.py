@@ -3,7 +3,12 @@
 import math
 from datetime import datetime, timedelta
 
-from tempofuse.operators import sync
+import numpy as np
+import pandas as pd
+import pytest
+
+from tempofuse.operators import labels, sync
+from tempofuse.operators.groups import in_batches
 from tempofuse.plans import QUERIES
 
 
@@ -25,3 +30,35 @@ def test_streams_of_which_one_is_constant_are_compared(spark, tmp_path):
     rows = [(s, 100 * s + 2 * g + k, 12.0 * g + 1 + k, m, 7.0 if m == "view" and s == 1 else g + k) for s in (1, 2) for g in range(6) for k, m in enumerate(("view", "click"))]
     got = {r.session: r for r in QUERIES["compare_streams"](spark, written_events(spark, tmp_path, rows)).collect()}
     assert got[1].n == got[2].n == 6 and math.isnan(got[1].r) and got[2].r == 1.0
+
+
+@pytest.mark.parametrize("rows", [1, 50, 100_000])
+def test_batches_hold_whole_groups_in_order(spark, rows):
+    df = spark.range(1000).selectExpr("if(id < 400, null, id * id % 37) as session", "-id as t").repartition(3)
+
+    def run(g, bounds):
+        begin = np.repeat(bounds[:-1], np.diff(bounds))
+        return pd.DataFrame({"t": g["t"], "place": np.arange(len(g)) - begin, "calls": np.arange(len(g)) == 0})
+
+    got = in_batches(df, ("session",), ("t",), run, "t long, place long, calls boolean", rows).toPandas()
+    want = df.toPandas().sort_values("t")
+    want["place"] = want.groupby("session", dropna=False).cumcount()
+    assert got.sort_values("t")["place"].tolist() == want["place"].tolist()
+    assert (got["calls"].sum() <= 4) if rows == 100_000 else True
+
+
+def test_bars_of_many_frames_at_once_are_those_of_one():
+    r = np.random.default_rng(4)
+    along, up = np.array([0.2, 0.4, 0.7]), np.array([-1.0, 0.0, 0.0])
+    points, lead = np.full((400, 6, 3), np.nan), np.full((400, 3, 3), np.nan)
+    for k in range(400):
+        way = r.normal(size=3)
+        bar = r.normal(size=3) + along[:, None] * way / np.linalg.norm(way)
+        n = r.integers(2, 7)
+        points[k, :n] = np.concatenate([bar + r.normal(0, 0.01, (3, 3)), r.normal(0, 0.4, (3, 3)) + bar[0]])[r.permutation(6)[:n]]
+        lead[k, r.random(3) < 0.6] = bar[0]
+    got, found = labels.fit_bars(points, along, lead, up, 0.05, 0.25)
+    for k in range(400):
+        want = labels.fit_bar(points[k][~np.isnan(points[k, :, 0])], along, lead[k], up, 0.05, 0.25)
+        assert got[k].tolist() == (want or [-1, -1, -1]) and found[k] == (want is not None)
+    assert 100 < found.sum() < 400
