@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tempofuse.operators import labels, sync
+from tempofuse.operators import curves, labels, sync
 from tempofuse.operators.groups import in_batches
 from tempofuse.plans import QUERIES
 
@@ -62,3 +62,17 @@ def test_bars_of_many_frames_at_once_are_those_of_one():
         want = labels.fit_bar(points[k][~np.isnan(points[k, :, 0])], along, lead[k], up, 0.05, 0.25)
         assert got[k].tolist() == (want or [-1, -1, -1]) and found[k] == (want is not None)
     assert 100 < found.sum() < 400
+
+
+def test_tracks_of_many_bodies_at_once_are_those_of_one():
+    r = np.random.default_rng(8)
+    bounds = np.append(0, np.cumsum([1, 30, 7, 2, 60, 7]))
+    t = np.cumsum(r.choice([0.0, 0.01, 0.1, 5.0], bounds[-1]))
+    fix = np.where(r.random(bounds[-1]) < 0.3, np.nan, r.normal(0, 3, bounds[-1]))
+    fix[bounds[:-1]] = 1.0
+    fix[[20, 70]] = 500.0
+    place, speed, refused = curves.velocity_tracks(t, fix, bounds, 0.5, 2.0, 50.0)
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        want = curves.velocity_track(t[a:b], fix[a:b], 0.5, 2.0, 50.0)
+        assert np.allclose(place[a:b], want[0], atol=1e-6) and np.allclose(speed[a:b], want[1], atol=1e-6) and refused[k] == want[2]
+    assert refused.sum() >= 2
