@@ -91,11 +91,18 @@ def stream_checked_frames(spark, d):
     return found.select("session", "number", _tick("payload").alias("tick"), crc16(F.col("payload")).cast("int").alias("crc"), "skipped")
 
 
-@query(
-    f"""WITH {SAMPLES}, k AS (SELECT session, seq, t_us, seq % 9 = 0 AND lead(seq) OVER w IS NOT NULL AS lost, sum(CASE WHEN seq % 9 = 0 THEN 35 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS passed FROM s WINDOW w AS (PARTITION BY session ORDER BY seq)),
- g AS (SELECT *, coalesce(passed, 0) + 3 AS p FROM k WHERE NOT lost)
- SELECT session, row_number() OVER w - 1 AS number, t_us % 4294967296 AS tx_us, (p - coalesce(lag(p) OVER w, 0))::BIGINT AS skipped FROM g WINDOW w AS (PARTITION BY session ORDER BY seq)"""
-)
+# What the reader takes: e are the places of the sync word, which a clock may hold by chance too; c the places where a frame
+# can begin, as the word ends it and the next frame, if all of it is there; r goes from each to the first one after its end.
+_PLAIN_SQL = f"""WITH RECURSIVE {SAMPLES}, k AS (SELECT session, seq, lpad(hex((t_us % 4294967296)::BIGINT), 8, '0') || repeat('0', 48) || '0FFF' || CASE WHEN seq % 9 = 0 THEN '0102030405' ELSE '' END AS h FROM s),
+ b AS (SELECT *, 3 + sum(length(h) // 2) OVER (PARTITION BY session ORDER BY seq)::BIGINT - length(h) // 2 AS p FROM k), a AS (SELECT session, '0102FF' || string_agg(h, '' ORDER BY seq) AS h, 3 + sum(length(h) // 2)::BIGINT AS n FROM k GROUP BY session),
+ w AS (SELECT session, p + j AS e FROM b, (SELECT unnest([0, 1, 2, 28]) AS j) WHERE substr(h, (2 * j + 1)::BIGINT, 4) = '0FFF'),
+ c AS (SELECT w.session, w.e - 28 AS p FROM w JOIN a USING (session) LEFT JOIN w x ON x.session = w.session AND x.e = w.e + 30 WHERE w.e >= 28 AND (x.e IS NOT NULL OR w.e + 32 > a.n)),
+ d AS (SELECT c.session, c.p, n.p AS after FROM c ASOF LEFT JOIN c n ON n.session = c.session AND n.p >= c.p + 30),
+ r(session, number, p, after, skipped) AS (SELECT session, 0::BIGINT, min(p), arg_min(after, p), min(p) FROM d GROUP BY session UNION ALL SELECT d.session, r.number + 1, d.p, d.after, d.p - r.p - 30 FROM r JOIN d ON d.session = r.session AND d.p = r.after)
+ SELECT r.session, number, ('0x' || substr(a.h, 2 * r.p + 1, 8))::BIGINT AS tx_us, skipped::BIGINT AS skipped FROM r JOIN a USING (session)"""
+
+
+@query(_PLAIN_SQL)
 def long_frames(spark, d):
     """Plain frames of each session's bytes, found by blocks; other bytes stand at the start and after every ninth by seq,
     which the frame after it does not vouch for then."""

@@ -9,7 +9,7 @@ import pytest
 
 from tempofuse.operators import curves, labels, sync
 from tempofuse.operators.groups import in_batches
-from tempofuse.plans import QUERIES
+from tempofuse.plans import QUERIES, SQL
 
 
 def written_events(spark, path, rows):
@@ -76,3 +76,19 @@ def test_tracks_of_many_bodies_at_once_are_those_of_one():
         want = curves.velocity_track(t[a:b], fix[a:b], 0.5, 2.0, 50.0)
         assert np.allclose(place[a:b], want[0], atol=1e-6) and np.allclose(speed[a:b], want[1], atol=1e-6) and refused[k] == want[2]
     assert refused.sum() >= 2
+
+
+def test_a_clock_that_holds_the_sync_word_ends_a_frame_for_the_sql_too(spark, tmp_path):
+    import duckdb
+
+    def hours(us):  # from the epoch, so that the clock's low 32 bits are these
+        return ((us - 1704067200000000) % (1 << 32)) / 3.6e9
+
+    last = {1: 0x0FFF1234, 2: 0x120FFF34, 3: 0x12340FFF, 4: 0x12345678}
+    rows = [(s, q, hours(x), "view", 1) for s, x in last.items() for q, x in ((90 * s + 8, 5000 + s), (90 * s + 9, 6000 + s), (90 * s + 10, x))]
+    path = written_events(spark, tmp_path, rows)
+    got = sorted(tuple(r) for r in QUERIES["long_frames"](spark, path).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    assert sorted(c.execute(SQL["long_frames"]).fetchall()) == got
+    assert got == [(1, 0, 5001, 3), (1, 1, 0, 7), (2, 0, 5002, 3), (2, 1, 0, 8), (3, 0, 5003, 3), (3, 1, 0, 9), (4, 0, 5004, 3), (4, 1, 0x12345678, 35)]
