@@ -63,15 +63,26 @@ def encode_frame(tx_us: Column, channels: dict[str, Column], layout: FrameFormat
     return F.unhex(F.concat(*parts))
 
 
+def _crc_step(c: int) -> int:
+    for _ in range(8):
+        c = ((c << 1) ^ 0x1021 if c & 0x8000 else c << 1) & 0xFFFF
+    return c
+
+
+#: The check sum's step for each byte.
+_CRC_STEPS = [_crc_step(b << 8) for b in range(256)]
+
+
 def crc16(data: Column) -> Column:
     """CRC-16 with polynomial 0x1021 and start 0xFFFF, of a binary column."""
     length = F.octet_length(data)
     index = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>"))
 
+    table = F.array(*[F.lit(c) for c in _CRC_STEPS])
+
     def step(crc: Column, k: Column) -> Column:
         byte = F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 10).cast("int")
-        mixed = crc.bitwiseXOR(F.shiftleft(byte, 8))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), mixed, lambda c, _: F.when(c.bitwiseAND(0x8000) != 0, F.shiftleft(c, 1).bitwiseXOR(0x1021)).otherwise(F.shiftleft(c, 1)).bitwiseAND(0xFFFF))
+        return F.shiftleft(crc.bitwiseAND(0xFF), 8).bitwiseXOR(F.get(table, F.shiftright(crc, 8).bitwiseXOR(byte)))
 
     return F.aggregate(index, F.lit(0xFFFF), step)
 

@@ -56,7 +56,7 @@ def _sent(rows):
     body = F.unhex(F.concat(F.lpad(F.hex(tick), 8, "0"), F.rpad(F.hex("seq"), 68, "0")))
     crc = (crc16(body) + F.when(F.col("seq") % 11 == 0, 1).otherwise(0)) % 65536
     frame = F.concat(F.lit("A55A"), F.hex(body), F.lpad(F.hex(crc.cast("long")), 4, "0"))
-    text = F.concat(F.when(F.col("seq") % 7 == 0, "0102A5").otherwise(""), frame, F.when(F.col("seq") % 5 == 0, frame).otherwise(""))
+    text = F.concat(F.when(F.col("seq") % 7 == 0, "0102A5").otherwise(""), F.repeat(frame, F.when(F.col("seq") % 5 == 0, 2).otherwise(1)))
     return rows.select("session", "seq", F.unhex(text).alias("data"))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempofuse.operators import scans
+from tempofuse.operators.groups import in_batches
 from tempofuse.session import stored
 
 #: Bytes of a block.
@@ -144,39 +145,47 @@ def find_frames(chunks: DataFrame, framing: Framing, by: str = "session", order:
     kind = dict(chunks.dtypes)[by]
     blocks = _blocks(chunks, by, order, data, framing, block, rows)
 
-    def read(batches) -> Iterator[tuple]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                bytes_ = np.frombuffer(b"".join(row["parts"]), dtype=np.uint8)
-                n = min(block, row["rest"])
-                yield row, bytes_, n, framing.starts(bytes_, row["rest"], n)
+    def read(batch) -> Iterator[tuple]:
+        for row in batch.to_pylist():
+            bytes_ = np.frombuffer(b"".join(row["parts"]), dtype=np.uint8)
+            yield row, bytes_, min(block, row["rest"])
 
     def summaries(batches):
-        for row, _, n, starts in read(batches):
-            found = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in summary(starts, framing.size, n)]
-            yield pa.RecordBatch.from_arrays([pa.array([row[by]]), pa.array([row["block"]]), *found], names=[by, "block", "frames", "leave", "passed"])
+        for batch in batches:
+            told = [summary(framing.starts(bytes_, row["rest"], n), framing.size, n) for row, bytes_, n in read(batch)]
+            found = [pa.array([x[k].tolist() for x in told], pa.list_(pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("block"), *found], names=[by, "block", "frames", "leave", "passed"])
 
-    def entries(group: pd.DataFrame) -> pd.DataFrame:
+    def entries(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        begins = set(bounds.tolist())
         enter = number = skipped = 0
         out = []
-        for k, frames, leave, passed in group.sort_values("block")[["block", "frames", "leave", "passed"]].itertuples(index=False):
-            out.append((group[by].iloc[0], k, enter, number, skipped))
+        for k, (frames, leave, passed) in enumerate(zip(g["frames"], g["leave"], g["passed"], strict=True)):
+            if k in begins:
+                enter = number = skipped = 0
+            out.append((enter, number, skipped))
             skipped = passed[enter] if frames[enter] else skipped + passed[enter]
             number, enter = number + frames[enter], leave[enter]
-        return pd.DataFrame(out, columns=[by, "block", "enter", "number", "before"])
+        return g[[by, "block"]].assign(**dict(zip(("enter", "number", "before"), np.array(out, dtype=np.int64).T, strict=True)))
 
     def frames(batches):
-        for row, bytes_, _, starts in read(batches):
-            at = walk(starts, framing.size, row["enter"])
-            if not at:
-                continue
-            skipped = np.diff(at, prepend=row["enter"]) - np.append(0, np.full(len(at) - 1, framing.size))
-            skipped[0] += row["before"]
-            cut = [bytes_[a : a + framing.size].tobytes() for a in at]
-            yield pa.RecordBatch.from_arrays([pa.array([row[by]] * len(at)), pa.array(row["number"] + np.arange(len(at))), pa.array(cut, pa.binary()), pa.array(skipped)], names=[by, "number", "frame", "skipped"])
+        for batch in batches:
+            sessions, numbers, cut, passed = [], [], [], []
+            for row, bytes_, n in read(batch):
+                at = walk(framing.starts(bytes_, row["rest"], n), framing.size, row["enter"])
+                if not at:
+                    continue
+                skipped = np.diff(at, prepend=row["enter"]) - np.append(0, np.full(len(at) - 1, framing.size))
+                skipped[0] += row["before"]
+                sessions += [row[by]] * len(at)
+                numbers.append(row["number"] + np.arange(len(at)))
+                cut += [bytes_[a : a + framing.size].tobytes() for a in at]
+                passed.append(skipped)
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(sessions, batch.schema.field(by).type), pa.array(np.concatenate(numbers)), pa.array(cut, pa.binary()), pa.array(np.concatenate(passed))], names=[by, "number", "frame", "skipped"])
 
     told = blocks.mapInArrow(summaries, f"`{by}` {kind}, block long, frames array<long>, leave array<long>, passed array<long>")
-    begin = told.groupBy(by).applyInPandas(entries, f"`{by}` {kind}, block long, enter long, number long, before long")
+    begin = in_batches(told, (by,), ("block",), entries, f"`{by}` {kind}, block long, enter long, number long, before long", rows=10_000)
     return blocks.join(begin, [by, "block"]).mapInArrow(frames, f"`{by}` {kind}, number long, frame binary, skipped long")
 
 
