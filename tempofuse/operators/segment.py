@@ -100,7 +100,8 @@ def _candidates(df: DataFrame, above: Column, onset: Column, most: float, min_ga
     rows = rows.withColumn("__idle", onset & (F.col("__last").isNull() | (F.col("__past") & (F.col(t) - ended >= min_gap)))).drop("__last", "__past", "__first")
     rows = rows.withColumn("__next", F.lead("__idle").over(w)).where(~F.col("__idle") | ~F.coalesce("__next", F.lit(True)))
     rows = rows.withColumn("__chunk", F.sum(F.col("__idle").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return rows.withColumn("__any", F.max("__above").over(Window.partitionBy(by, "__chunk"))).where("__any").drop("__next", "__any", "__idle")
+    whole = Window.partitionBy(by, "__chunk").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn("__any", F.max("__above").over(whole)).where("__any").drop("__next", "__any", "__idle")
 
 
 def _events(times: np.ndarray, level: np.ndarray, above: np.ndarray, quiet: np.ndarray, onset: float, hold: float, most: float, min_gap: float) -> list[tuple[int, int, int]]:
@@ -133,7 +134,8 @@ def _events(times: np.ndarray, level: np.ndarray, above: np.ndarray, quiet: np.n
 
 def _each_chunk(rows: DataFrame, by: str, t: str, find, ddl: str) -> DataFrame:
     """The rows that find(chunk) gives of each chunk, in order of t. Chunks are many and small: a task reads them one after
-    the other from sorted rows, and holds one batch and the chunk that it ends in."""
+    the other from sorted rows, and holds one batch and the chunk that it ends in. The windows that cut the chunks have
+    dealt the rows by session and left them in this order, so that they are not shuffled again."""
 
     def run(batches):
         rest: pd.DataFrame | None = None
@@ -150,7 +152,7 @@ def _each_chunk(rows: DataFrame, by: str, t: str, find, ddl: str) -> DataFrame:
 
     names = [c.split()[0] for c in ddl.split(", ")]
     kinds = {c.split()[0]: "float64" for c in ddl.split(", ") if c.split()[1] == "double"}
-    return rows.repartition(by, "__chunk").sortWithinPartitions(by, "__chunk", t).mapInPandas(run, ddl)
+    return rows.sortWithinPartitions(by, "__chunk", t).mapInPandas(run, ddl)
 
 
 def detect_events(df: DataFrame, trigger: float, onset: float, quiet: float, hold: float, most: float, min_gap: float, by: str = "session", t: str = "t", v: str = "v") -> DataFrame:

@@ -52,7 +52,8 @@ def swing_streams(spark: SparkSession, sf_dir: str, upsample: int = 16) -> tuple
     Returns imu (session, seq, t, gx..gz, ax..az), markers (session, frame_id, t, marker_id, s, x, y, z) and truth
     (session, seq, t, angle, rate).
     """
-    s = samples(spark, sf_dir).select("session", "seq", "v", "marker")
+    # dealt by number, as few bytes of events become many rows: what is dealt by size alone ends in one task
+    s = samples(spark, sf_dir).select("session", "seq", "v", "marker").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session")
     w = Window.partitionBy("session").orderBy("seq")
     goal = F.when(F.col("marker").isin("view", "click"), 0.0).when(F.col("marker") == "error", -1.0).otherwise(1.0) * F.least(F.col("v"), F.lit(100.0)) / 4
     steps = s.withColumns({"goal": goal, "k": F.row_number().over(w) - 1}).withColumn("from", F.coalesce(F.lag("goal").over(w), F.lit(0.0)))

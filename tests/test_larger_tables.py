@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tempofuse.operators import curves, labels, sync
+from tempofuse.operators import curves, fusion, labels, segment, sync
 from tempofuse.operators.groups import in_batches
 from tempofuse.plans import QUERIES, SQL
+from tempofuse.sources.tables import swing_streams
 
 
 def written_events(spark, path, rows):
@@ -92,3 +93,13 @@ def test_a_clock_that_holds_the_sync_word_ends_a_frame_for_the_sql_too(spark, tm
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
     assert sorted(c.execute(SQL["long_frames"]).fetchall()) == got
     assert got == [(1, 0, 5001, 3), (1, 1, 0, 7), (2, 0, 5002, 3), (2, 1, 0, 8), (3, 0, 5003, 3), (3, 1, 0, 9), (4, 0, 5004, 3), (4, 1, 0x12345678, 35)]
+
+
+def test_candidate_rows_are_dealt_once(spark):
+    imu = swing_streams(spark, "/root/testdata/sf0.001")[0]
+    text = fusion.find_swings(imu)._jdf.queryExecution().executedPlan().toString()
+    # the table's events by session, and the few events that were found
+    assert text.count("Exchange hashpartitioning") == 2
+    assert imu.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = segment.detect_events(imu.select("session", "t", "gz"), 5.0, 2.0, 2.0, 0.1, 1.2, 0.1, v="gz").count()
+    assert rows > 0
