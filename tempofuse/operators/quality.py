@@ -20,6 +20,16 @@ def clock_line(df: DataFrame, device: str, host: str, by: str = "session", low:
     return rest
 
 
+def on_clock_line(df: DataFrame, device: str, host: str, by: str = "session", low: float = 0.05) -> DataFrame:
+    """df with slope, intercept and lift of its session's clock_line(), by windows over the session: rows are read and
+    dealt once, not once for each step. Rows without a host time do not count; null where none has one."""
+    w = Window.partitionBy(by)
+    known = F.col(host).isNotNull()
+    df = df.withColumns({"__x": F.when(known, F.col(device)) - F.min(F.when(known, F.col(device))).over(w), "__y": F.col(host) - F.min(host).over(w)})
+    df = df.withColumns({"slope": F.regr_slope("__y", "__x").over(w), "intercept": F.regr_intercept("__y", "__x").over(w)})
+    return df.withColumn("lift", F.percentile(F.col("__y") - (F.col("intercept") + F.col("slope") * F.col("__x")), low).over(w)).drop("__x", "__y")
+
+
 def optical_support(samples: DataFrame, camera: DataFrame, most_gap: float, guard: float, by: str = "session", t: str = "t") -> DataFrame:
     """samples with supported: inside a bracket of camera times no longer than most_gap, and not within guard of a longer gap.
 

@@ -22,9 +22,9 @@ def _numbered(spark, d):
 
 
 def _written(rows, names):
-    """rows as CSV files with a header, one folder for each session; their path."""
+    """rows as CSV files with a header, each of many sessions, which a column names; their path."""
     path = shared_path(rows.sparkSession)
-    rows.select("session", *names).repartition("session").write.partitionBy("session").option("header", True).csv(path)
+    sinks.write_csv(rows.select(F.concat(F.lit("session="), F.col("session").cast("string")).alias("session_name"), *names), path)
     return path
 
 

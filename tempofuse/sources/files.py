@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tempofuse.operators.align import unwrapped
-from tempofuse.operators.quality import clock_line
+from tempofuse.operators.quality import clock_line, on_clock_line
 from tempofuse.sources.bytestreams import CheckedFrames, SyncFrames, find_frames
 
 GRAVITY = 9.80665
@@ -29,15 +29,18 @@ def _session(path: Column) -> Column:
 
 
 def read_imu_csv(spark: SparkSession, path: str) -> DataFrame:
-    """imu_samples of all files under path (one session a folder): session, seq, tx_us, t, gx..gz, ax..az, hx..hz,
-    impact_flag, has_host_clock.
+    """imu_samples of all files under path: session, seq, tx_us, t, gx..gz, ax..az, hx..hz, impact_flag, has_host_clock.
+
+    A session is a folder; of many small ones, whose folders would cost more than their rows, files may hold several,
+    named by a column session_name.
 
     Columns are found by name; missing optional ones read as 0 or null. Where every row of a session has a positive
     host time, t is the device clock mapped on it; else it is the device's own measured time. Rows of one session are
     numbered in order of t, ties in order of the device clock.
     """
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path).withColumn("session", _session(F.input_file_name()))
+    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     have = set(raw.columns)
+    raw = raw.withColumn("session", F.col("session_name") if "session_name" in have else _session(F.input_file_name()))
     missing = [n for n, _ in IMU_COLUMNS if n not in have and n not in OPTIONAL]
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
@@ -45,10 +48,9 @@ def read_imu_csv(spark: SparkSession, path: str) -> DataFrame:
     trusted = F.bool_and(F.coalesce(F.col("ts_ns_host") > 0, F.lit(False))).over(Window.partitionBy("session"))
     typed = unwrapped(typed.withColumn("has_host_clock", trusted), "tx_time_stamp", order=("imu_meas_time", "tx_time_stamp"))
     start = F.min("ts_ns_host").over(Window.partitionBy("session"))
-    clock = typed.withColumns({"device": F.col("unwrapped") / 1e6, "host": (F.col("ts_ns_host") - start) / 1e9, "start_ns": start})
-    line = clock_line(clock.where("has_host_clock"), "device", "host")
+    clock = typed.withColumns({"device": F.col("unwrapped") / 1e6, "host": F.when(F.col("has_host_clock"), (F.col("ts_ns_host") - start) / 1e9), "start_ns": start})
     first = F.min("device").over(Window.partitionBy("session"))
-    mapped = clock.withColumn("since", F.col("device") - first).join(line, "session", "left")
+    mapped = on_clock_line(clock.withColumn("since", F.col("device") - first), "device", "host")
     t = F.when(F.col("has_host_clock"), F.col("start_ns") / 1e9 + F.col("intercept") + F.col("slope") * F.col("since") + F.col("lift")).otherwise(F.col("imu_meas_time"))
     zero = lambda n: F.coalesce(F.col(n), F.lit(0.0))
     out = mapped.withColumn("t", t)
