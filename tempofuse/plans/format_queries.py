@@ -104,10 +104,11 @@ def segment_rows(spark, d):
 
 @query(f"WITH {SAMPLES} SELECT session, seq, marker, v FROM s")
 def written_tables(spark, d):
-    """Rows as Parquet by session; half of the sessions are written twice, which replaces only them."""
+    """Rows as Parquet by session; half of the sessions are written after the others, and one of them twice, which
+    replaces only them."""
     path, rows = shared_path(spark), samples(spark, d).select("session", "seq", "marker", "v")
-    sinks.write_table(rows.where("session % 2 = 1").unionByName(rows.where("session % 2 = 0").limit(1)), path)
-    sinks.write_table(rows.where("session % 2 = 0"), path)
+    sinks.write_sessions(rows.where("session % 2 = 1").unionByName(rows.where("session % 2 = 0").limit(1)), path)
+    sinks.write_sessions(rows.where("session % 2 = 0"), path)
     return spark.read.schema(rows.schema).parquet(path).select("session", "seq", "marker", "v")
 
 

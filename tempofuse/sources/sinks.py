@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempofuse.session import stored
+
 
 def finite(c: Column, digits: int) -> Column:
     """c for export: NaN and infinities as null, rounded half to even."""
@@ -135,6 +138,28 @@ def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("session",), mo
     df.repartition(*[F.col(c) for c in by]).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def write_sessions(df: DataFrame, path: str, by: str = "session", folders: int = 64) -> None:
+    """Parquet of many sessions, dealt to a number of folders (part=0 and so on) that does not grow with theirs. Sessions
+    that were written before are replaced, and only they: what else their folders hold is written again with them.
+    """
+    part = F.pmod(F.xxhash64(by), F.lit(folders)).cast("int")
+    rows = df.withColumn("part", part)
+    try:
+        held = df.sparkSession.read.schema(rows.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None  # nothing was written yet
+    if held is not None:
+        rows = stored(rows)
+        parts = [r[0] for r in rows.select("part").distinct().collect()]  # `folders` numbers at most
+        others = held.where(F.col("part").isin(parts)).withColumnRenamed(by, "__by")
+        new = rows.select(by).distinct()
+        kept = others.join(new, others["__by"].eqNullSafe(new[by]), "left_anti").withColumnRenamed("__by", by)
+        rows = rows.unionByName(stored(kept))  # read before its folders are written over
+    rows.repartition(folders, "part").sortWithinPartitions("part", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempofuse.operators import quality
 from tempofuse.plans import QUERIES, format_queries
-from tempofuse.sources import files
+from tempofuse.sources import files, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +38,24 @@ def test_rows_on_their_clock_line_have_its_figures(spark):
     assert len(got) == 36 and set(want) == {1, 2}
     for r in got:
         assert (r.slope, r.intercept, r.lift) == ((None,) * 3 if r.session == 3 else pytest.approx(want[r.session]))
+
+
+def test_rewritten_sessions_replace_only_themselves(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.range(1000).selectExpr("if(id < 10, null, id % 100) as session", "id as seq", "'a' as marker")
+    again = spark.range(30).selectExpr("if(id < 5, null, id % 10) as session", "id as seq", "'b' as marker")
+    sinks.write_sessions(first, path, folders=4)
+    sinks.write_sessions(again, path, folders=4)
+    sinks.write_sessions(spark.createDataFrame([(500, 1, "c")], "session long, seq long, marker string"), path, folders=4)
+    got = spark.read.parquet(path)
+    assert len(list(local(path).glob("part=*"))) == 4
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    kept = first.where("session >= 10").unionByName(again).collect() + [(500, 1, "c")]
+    assert sorted((tuple(r) for r in got.select("session", "seq", "marker").collect()), key=key) == sorted(map(tuple, kept), key=key)
+
+
+def test_written_tables_have_no_folder_for_each_session(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(format_queries, "shared_path", lambda _: path)
+    assert QUERIES["written_tables"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert {p.name.split("=")[0] for p in Path(path).glob("*=*")} == {"part"} and len(list(Path(path).glob("*=*"))) <= 64
