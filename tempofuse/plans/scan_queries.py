@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tempofuse.functions.codec import FrameFormat, crc16, decode_frame, encode_frame
+from tempofuse.functions.codec import FrameFormat, decode_frame, encode_frame
 from tempofuse.operators import scans
 from tempofuse.plans import alignment  # noqa: F401
 from tempofuse.plans.base import SAMPLES, SQL, query
@@ -54,7 +55,7 @@ def _sent(rows):
     place = F.col("k") - F.when(F.col("seq") % 13 == 0, 3).otherwise(0)
     tick = F.pmod(_CLOCK + place * 2500, F.lit(1 << 32))
     body = F.unhex(F.concat(F.lpad(F.hex(tick), 8, "0"), F.rpad(F.hex("seq"), 68, "0")))
-    crc = (crc16(body) + F.when(F.col("seq") % 11 == 0, 1).otherwise(0)) % 65536
+    crc = (bytestreams.crc16_batches(body) + F.when(F.col("seq") % 11 == 0, 1).otherwise(0)) % 65536
     frame = F.concat(F.lit("A55A"), F.hex(body), F.lpad(F.hex(crc.cast("long")), 4, "0"))
     text = F.concat(F.when(F.col("seq") % 7 == 0, "0102A5").otherwise(""), F.repeat(frame, F.when(F.col("seq") % 5 == 0, 2).otherwise(1)))
     return rows.select("session", "seq", F.unhex(text).alias("data"))
@@ -86,9 +87,9 @@ def checked_stream(spark, d):
 @query(_SENT_SQL)
 def stream_checked_frames(spark, d):
     """The same, as they come; sums made again from the payloads."""
-    rows = scans.running(samples(spark, d).select("session", "seq", F.lit(1).alias("one")), "one", "k", order=("seq",), rows=ROWS).withColumn("k", F.col("k") - 1)
+    rows = samples(spark, d).select("session", "seq", (F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1).alias("k"))
     found = flows.drained(live.parsed_checked_frames(flows.as_stream(_sent(rows))))
-    return found.select("session", "number", _tick("payload").alias("tick"), crc16(F.col("payload")).cast("int").alias("crc"), "skipped")
+    return found.select("session", "number", _tick("payload").alias("tick"), bytestreams.crc16_batches(F.col("payload")).alias("crc"), "skipped")
 
 
 # What the reader takes: e are the places of the sync word, which a clock may hold by chance too; c the places where a frame

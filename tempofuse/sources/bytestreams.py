@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempofuse.operators import scans
@@ -45,6 +45,19 @@ def crc16_rows(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def crc16_batches(data: Column) -> Column:
+    """functions.codec.crc16() of many rows: Arrow batches, in which rows of one length take each step together."""
+
+    @F.pandas_udf("int")
+    def sums(values: pd.Series) -> pd.Series:
+        sizes, out = values.map(len, na_action="ignore"), pd.Series(None, index=values.index, dtype="Int32")
+        for n, same in values.groupby(sizes):
+            out[same.index] = crc16_rows(np.frombuffer(b"".join(same), dtype=np.uint8).reshape(len(same), int(n))).astype(np.int32)
+        return out
+
+    return sums(data)
+
+
 @dataclass(frozen=True)
 class SyncFrames:
     """Frames of fixed size that end with a sync word. The next frame must end with it too, if all of it is there."""

@@ -5,9 +5,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tempofuse.operators import quality
+from tempofuse.functions.codec import crc16
+from tempofuse.operators import quality, scans
 from tempofuse.plans import QUERIES, format_queries
-from tempofuse.sources import files, sinks
+from tempofuse.sources import bytestreams, files, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +60,18 @@ def test_written_tables_have_no_folder_for_each_session(spark, monkeypatch, tmp_
     monkeypatch.setattr(format_queries, "shared_path", lambda _: path)
     assert QUERIES["written_tables"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert {p.name.split("=")[0] for p in Path(path).glob("*=*")} == {"part"} and len(list(Path(path).glob("*=*"))) <= 64
+
+
+def test_sums_of_batches_are_those_of_the_expression(spark):
+    data = [b"123456789", b"", None, b"\x00" * 38, bytes(range(38)), b"1"] * 3
+    df = spark.createDataFrame([(bytearray(x) if x is not None else None,) for x in data], "data binary")
+    got = df.select(bytestreams.crc16_batches(F.col("data")).alias("a"), F.when(F.col("data").isNotNull(), crc16(F.col("data"))).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[0].a == 0x29B1 and got[2].a is None
+
+
+def test_a_stream_of_checked_frames_is_not_cut_to_chunks(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("chunks of few rows grow with the table")
+
+    monkeypatch.setattr(scans, "running", refused)
+    assert QUERIES["stream_checked_frames"](spark, SF).count() > 0
