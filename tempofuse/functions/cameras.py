@@ -106,6 +106,21 @@ def direction_quaternion(place: Vec, least: float = 1e-6) -> tuple[Column, Colum
     return tuple(F.when(d < least, s).when(flat, f).otherwise(t) for s, f, t in zip(still, level, turned, strict=True))
 
 
+def with_direction(df: DataFrame, axes: tuple[str, str, str] = ("x", "y", "z"), names: tuple[str, str, str, str] = ("qw", "qx", "qy", "qz"), least: float = 1e-6) -> DataFrame:
+    """df with distance, and direction_quaternion() of its places. Each step is a column: in one expression a step is
+    written out, and worked, as often as the later ones use it."""
+    x, y, z = (F.col(f"__way_{a}") for a in "xyz")
+    df = df.withColumn("distance", norm(tuple(F.col(a) for a in axes)))
+    df = df.withColumns({f"__way_{a}": F.col(c) / F.when(F.col("distance") > 0, F.col("distance")).otherwise(1.0) for a, c in zip("xyz", axes, strict=True)})
+    df = df.withColumns({"__size": F.sqrt(y * y + x * x), "__cos": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z))})  # the axis is z across the way
+    df = df.withColumn("__half", F.acos("__cos") / 2).withColumn("__part", F.sin("__half") / F.when(F.col("__size") < 1e-6, 1.0).otherwise(F.col("__size")))
+    still, flat, up = F.col("distance") < least, F.col("__size") < 1e-6, F.col("__cos") > 0
+    turned = (F.cos("__half"), -y * F.col("__part"), x * F.col("__part"), 0.0 * F.col("__part"))
+    level = (F.when(up, 1.0).otherwise(0.0), F.when(up, 0.0).otherwise(1.0), F.lit(0.0), F.lit(0.0))
+    found = {n: F.when(still, float(k == 0)).when(flat, f).otherwise(t) for k, (n, f, t) in enumerate(zip(names, level, turned, strict=True))}
+    return df.withColumns(found).drop(*[f"__way_{a}" for a in "xyz"], "__size", "__cos", "__half", "__part")
+
+
 def display_axes(up: tuple[float, float, float]) -> list[tuple[float, float, float]]:
     """Rows of the matrix that takes camera places to the display's: z is up, x the camera's right made level."""
     n = math.sqrt(sum(c * c for c in up))

@@ -135,10 +135,9 @@ def camera_offsets(spark, d):
     """Places told from a common origin by each camera's own, their distances, and the turns of z to their directions."""
     offsets = spark.createDataFrame([(1, 0.5, 1.0, 0.1), (2, -0.25, 2.0, 0.2)], "camera_id int, dx double, dy double, dz double")
     p = C.without_offset(frames(spark, d).withColumn("camera_id", F.col("marker") % 3), offsets)
-    place = tuple(F.col(a) for a in "xyz")
-    q = C.direction_quaternion(place)
-    far = p.where(F.sqrt(place[0] * place[0] + place[1] * place[1]) / V.norm(place) > 1e-3)
-    return far.select("frame", "marker", *[(F.round(a, 6) + 0.0).alias(a) for a in "xyz"], F.round(V.norm(place), 6).alias("distance"), *[(F.round(c, 6) + 0.0).alias(n) for n, c in zip(("qw", "qx", "qy"), q[:3], strict=True)])
+    told = C.with_direction(p)
+    far = told.where(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / F.col("distance") > 1e-3)
+    return far.select("frame", "marker", *[(F.round(a, 6) + 0.0).alias(a) for a in "xyz"], F.round("distance", 6).alias("distance"), *[(F.round(n, 6) + 0.0).alias(n) for n in ("qw", "qx", "qy")])
 
 
 @query(f"WITH {VECTORS} SELECT vec_id, (sqrt(e0*e0 + e1*e1 + e2*e2) * 12 <= 4 AND abs(sqrt(e3*e3 + e4*e4 + e5*e5) * 40 - 9.80665e0) <= 3) AS held FROM e")

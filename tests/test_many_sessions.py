@@ -2,11 +2,13 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tempofuse.functions import cameras
 from tempofuse.functions.codec import crc16
-from tempofuse.operators import quality, scans
+from tempofuse.operators import geometry, quality, scans
 from tempofuse.plans import QUERIES, format_queries
 from tempofuse.sources import bytestreams, files, sinks
 
@@ -75,3 +77,30 @@ def test_a_stream_of_checked_frames_is_not_cut_to_chunks(spark, monkeypatch):
 
     monkeypatch.setattr(scans, "running", refused)
     assert QUERIES["stream_checked_frames"](spark, SF).count() > 0
+
+
+def test_directions_by_steps_are_those_of_one_expression(spark):
+    places = [(0.0, 0.0, 0.0), (0.0, 0.0, 2.0), (0.0, 0.0, -2.0), (1e-9, 0.0, 0.0), (1.0, -2.0, 3.0), (-4.0, 0.5, -1.0), (1e-9, 0.0, 1.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(places, "x double, y double, z double")
+    names = ("qw", "qx", "qy", "qz")
+    got = cameras.with_direction(df).columns
+    assert got == ["x", "y", "z", "distance", *names]
+    want = cameras.direction_quaternion(tuple(F.col(a) for a in "xyz"))
+    both = cameras.with_direction(df).select(*names, *[c.alias(f"want_{n}") for n, c in zip(names, want, strict=True)]).collect()
+    for r in both:
+        assert all((r[n] is None and r[f"want_{n}"] is None) or r[n] == pytest.approx(r[f"want_{n}"], abs=1e-12) for n in names)
+
+
+def test_a_frame_costs_the_points_that_it_has(monkeypatch):
+    r, sizes, real = np.random.default_rng(3), [], geometry._best_of_sets
+    monkeypatch.setattr(geometry, "_best_of_sets", lambda off: sizes.append(off.shape[1:]) or real(off))
+    small = np.where(r.random((200, 3, 3)) < 0.6, r.integers(0, 5, (200, 3, 3)), -1)
+    small[:, [0, 1, 2], [0, 1, 2]] = 1
+    off = np.full((200, 7, 7), -1)
+    off[np.ix_(range(200), [0, 2, 5], [1, 3, 6])] = small
+    got = geometry.best_pairing(off)
+    assert set(sizes) == {(3, 3)}
+    want = np.zeros((200, 7), dtype=int)
+    want[:, [0, 2, 5]] = np.array([0, 2, 4, 7])[geometry.best_pairing(small)]
+    assert got.tolist() == want.tolist() and (got > 0).any()
+    assert geometry.best_pairing(np.full((2, 3, 3), -1)).tolist() == [[0] * 3] * 2
