@@ -167,27 +167,49 @@ def assigned_sets(left: DataFrame, right: DataFrame, by: str, most_off: float, p
 
 
 def best_pairing(off: np.ndarray) -> np.ndarray:
-    """The right place (from 1, 0 for none) of each left place, by off (frames, left, right), whole and -1 for no pair."""
-    frames, n, _ = off.shape
-    pair, turned = 1 << 50, 1 << 44  # a pair outweighs all inversions, and one of these all differences
-    sets = np.arange(1 << n)
-    cost = np.full((frames, 1 << n), 1 << 60, dtype=np.int64)
-    cost[:, 0] = 0
-    order = np.zeros((frames, 1 << n), dtype=np.int64)  # the right places so far, as digits; 9 for none
+    """The right place (from 1, 0 for none) of each left place, by off (frames, left, right), whole and -1 for no pair.
+
+    Points without any pair are left out first, so that a frame costs as much as the points that it has. Frames of one
+    size are worked together, a few at a time, as all their sets then fit a processor's cache.
+    """
+    may = off >= 0
+    rows, columns = may.any(axis=2), may.any(axis=1)
+    n_rows, n_columns = rows.sum(axis=1), columns.sum(axis=1)
+    left, right = np.argsort(~rows, axis=1, kind="stable"), np.argsort(~columns, axis=1, kind="stable")
+    out = np.zeros(off.shape[:2], dtype=np.int64)
+    for l, r in np.unique(np.stack([n_rows, n_columns], axis=1), axis=0).tolist():
+        if not l:
+            continue
+        same = np.flatnonzero((n_rows == l) & (n_columns == r))
+        for k in range(0, len(same), 1 << max(16 - r, 6)):
+            at = same[k : k + (1 << max(16 - r, 6))]
+            a, b = left[at, :l], right[at, :r]
+            lists = _best_of_sets(off[at[:, None, None], a[:, :, None], b[:, None, :]])
+            out[at[:, None], a] = np.where(lists > 0, np.take_along_axis(b, np.maximum(lists - 1, 0), axis=1) + 1, 0)
+    return out
+
+
+def _best_of_sets(off: np.ndarray) -> np.ndarray:
+    frames, n, m = off.shape
+    pair, turned, never = 1 << 50, 1 << 44, 1 << 60  # a pair outweighs all inversions, and one of these all differences
+    add = np.where(off >= 0, off - pair, never).transpose(1, 2, 0)
+    cost = np.full((1 << m, frames), never, dtype=np.int64)
+    cost[0] = 0
+    order = np.zeros((1 << m, frames), dtype=np.int64)  # the right places so far, as digits; 9 for none
     for i in range(n):
-        next_cost, next_order = cost.copy(), order * 10 + 9
-        for j in range(n):
-            before = sets[sets & (1 << j) == 0]
-            after = before | (1 << j)
-            above = np.array([bin(s >> (j + 1)).count("1") for s in before])
-            c = np.where(off[:, i, j, None] >= 0, cost[:, before] + off[:, i, j, None] + above * turned - pair, 1 << 60)
-            d = order[:, before] * 10 + j + 1
-            better = (c < next_cost[:, after]) | ((c == next_cost[:, after]) & (d < next_order[:, after]) & (c < 1 << 59))
-            next_cost[:, after] = np.where(better, c, next_cost[:, after])
-            next_order[:, after] = np.where(better, d, next_order[:, after])
+        order *= 10
+        next_cost, next_order = cost.copy(), order + 9
+        for j in range(m):
+            # sets without j and the same with it, by what they have above j and below
+            shape = (1 << (m - 1 - j), 2, 1 << j, frames)
+            above = np.array([bin(s).count("1") * turned for s in range(shape[0])])[:, None, None]
+            c, d = cost.reshape(shape)[:, 0] + (add[i, j] + above), order.reshape(shape)[:, 0] + (j + 1)
+            to_cost, to_order = next_cost.reshape(shape)[:, 1], next_order.reshape(shape)[:, 1]
+            better = (c < to_cost) | ((c == to_cost) & (d < to_order) & (c < never >> 1))
+            np.copyto(to_cost, c, where=better)
+            np.copyto(to_order, d, where=better)
         cost, order = next_cost, next_order
-    least = cost.min(axis=1, keepdims=True)
-    digits = np.where(cost == least, order, np.iinfo(np.int64).max).min(axis=1)
+    digits = np.where(cost == cost.min(axis=0), order, np.iinfo(np.int64).max).min(axis=0)
     lists = digits[:, None] // 10 ** np.arange(n - 1, -1, -1) % 10
     return np.where(lists == 9, 0, lists)
 
