@@ -89,10 +89,12 @@ def crc16(data: Column) -> Column:
 
 def frame_kind(data: Column, size: int = 42, header: str = "A55A", least: int = 3, patience: int = 600) -> Column:
     """Which frames a stream's first bytes hold: "v2" if there are `least` headers in a row exactly `size` bytes apart,
-    each of a whole frame; "v1" if there are not and at least `patience` bytes; else null, as it cannot be told yet."""
-    text, n = F.hex(data), F.octet_length(data)
+    each of a whole frame; "v1" if there are not and at least `patience` bytes; else null, as it cannot be told yet.
+
+    data is worked anew at each place, so it should be a column; whole streams are for sources.bytestreams.stream_kinds()."""
+    n, word = F.octet_length(data), bytes.fromhex(header)
     places = F.when(n >= least * size, F.sequence(F.lit(0), F.greatest(n - least * size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    here = lambda i: F.substring(text, 2 * i + 1, F.lit(4)) == header
+    here = lambda i: F.substring(data, i + 1, F.lit(len(word))) == F.lit(word)
     found = F.exists(places, lambda i: here(i) & here(i + size) & here(i + 2 * size)) if least == 3 else F.exists(places, lambda i: F.forall(F.sequence(F.lit(0), F.lit(least - 1)), lambda k: here(i + k * size)))
     return F.when(found, "v2").when(n >= patience, "v1")
 

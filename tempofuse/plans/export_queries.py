@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tempofuse.functions import cameras as C
 from tempofuse.functions import vectors as V
-from tempofuse.functions.codec import expanded_format, frame_kind
+from tempofuse.functions.codec import expanded_format
 from tempofuse.operators import align as A
 from tempofuse.operators import geometry as G
 from tempofuse.operators import quality as Q
@@ -15,6 +15,7 @@ from tempofuse.operators import sync
 from tempofuse.operators.labels import learnt_spacing
 from tempofuse.plans.base import FRAMES, SAMPLES, VECTORS, query
 from tempofuse.sources import sinks
+from tempofuse.sources.bytestreams import stream_kinds as stream_kinds_of
 from tempofuse.sources.tables import frames, poses, samples, table, vectors
 
 POSES = (
@@ -217,8 +218,7 @@ def struct_letters(spark, d):
 def stream_kinds(spark, d):
     """What each session's stream of bytes holds, told from its bytes."""
     piece = F.when(F.col("session") % 2 == 0, F.concat(F.lit("A55A"), F.rpad(F.hex("seq"), 80, "0"))).otherwise(F.rpad(F.hex("seq"), 60, "7"))
-    whole = samples(spark, d).groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", piece.alias("h")))), lambda x: x["h"]), "").alias("h"))
-    return whole.select("session", frame_kind(F.unhex("h")).alias("kind"))
+    return stream_kinds_of(samples(spark, d).select("session", "seq", F.unhex(piece).alias("data")))
 
 
 _N1, _N2 = "sqrt(e0*e0 + e1*e1 + e2*e2 + e3*e3)", "sqrt(e4*e4 + e5*e5 + e6*e6 + e7*e7)"

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempofuse.operators import scans
@@ -202,6 +202,59 @@ def find_frames(chunks: DataFrame, framing: Framing, by: str = "session", order:
     return blocks.join(begin, [by, "block"]).mapInArrow(frames, f"`{by}` {kind}, number long, frame binary, skipped long")
 
 
+def stream_kinds(chunks: DataFrame, by: str = "session", order: str = "seq", data: str = "data", size: int = 42, header: bytes = b"\xa5\x5a", least: int = 3, patience: int = 600) -> DataFrame:
+    """by and kind, which is functions.codec.frame_kind() of each session's bytes: "v2" where `least` whole frames of
+    `size` bytes that begin with the header follow each other, else "v1" of at least `patience` bytes, else null.
+
+    Rows go by in order; of a session that is not whole yet a task keeps its last bytes (under `least` frames), their
+    number so far and what was found, so that memory does not grow with a stream.
+    """
+    kind, look = dict(chunks.dtypes)[by], least * size
+    marked = chunks.select(by, F.col(data).alias("__data"), F.row_number().over(Window.partitionBy(by).orderBy(order)).alias("__row"))
+
+    def run(batches):
+        name, tail, n, found, told = None, b"", 0, False, None  # of the session that is not whole yet
+
+        def rows(names, sizes, hits):
+            kinds = np.where(hits, "v2", np.where(np.asarray(sizes) >= patience, "v1", None)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(names, told), pa.array(kinds, pa.string())], names=[by, "kind"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            values, names = [x or b"" for x in batch.column("__data").to_pylist()], batch.column(by)
+            begins = np.flatnonzero(batch.column("__row").to_numpy() == 1)
+            if told is not None and (not len(begins) or begins[0]):  # the first rows go on with it
+                begins = np.append(0, begins)
+            elif told is not None:
+                yield rows([name], [n], [found])
+                tail, n, found = b"", 0, False
+            told = names.type
+            ends = np.cumsum([len(x) for x in values])
+            bounds = np.append(np.append(0, ends)[begins], ends[-1]) + len(tail)
+            fresh = np.diff(bounds)
+            bounds[0] = 0
+            a = np.frombuffer(tail + b"".join(values), dtype=np.uint8)
+            places = np.arange(max(len(a) - look + 1, 0))
+            here = np.ones(len(places), dtype=bool)
+            for k in range(least):
+                for j, byte in enumerate(header):
+                    here &= a[places + (k * size + j)] == byte
+            at = np.flatnonzero(here)
+            of = np.searchsorted(bounds, at, side="right") - 1
+            hits = np.zeros(len(fresh), dtype=bool)
+            hits[of[at + look <= bounds[of + 1]]] = True
+            fresh[0] += n
+            hits[0] |= found
+            yield rows(names.take(pa.array(begins[:-1])), fresh[:-1], hits[:-1])
+            name, n, found = names[int(begins[-1])].as_py(), int(fresh[-1]), bool(hits[-1])
+            tail = a[max(int(bounds[-2]), len(a) - look + 1) :].tobytes()
+        if told is not None:
+            yield rows([name], [n], [found])
+
+    return marked.mapInArrow(run, f"`{by}` {kind}, kind string")
+
+
 def newer_frames(frames: DataFrame, clock, by: str = "session", order: str = "number", bits: int = 32, rows: int = scans.CHUNK_ROWS) -> DataFrame:
     """The frames whose device clock (a column that starts over) is ahead of all before it: repeated frames and those
     that come late are dropped. A step of up to half the clock's range either way is taken as it is."""

@@ -104,3 +104,22 @@ def test_a_frame_costs_the_points_that_it_has(monkeypatch):
     want[:, [0, 2, 5]] = np.array([0, 2, 4, 7])[geometry.best_pairing(small)]
     assert got.tolist() == want.tolist() and (got > 0).any()
     assert geometry.best_pairing(np.full((2, 3, 3), -1)).tolist() == [[0] * 3] * 2
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_kinds_of_streams_are_those_of_whole_bytes(spark, rows):
+    frame, r = b"\xa5\x5a" + b"\0" * 40, np.random.default_rng(6)
+    whole = {0: frame * 3, 1: frame * 2 + frame[:41], 2: b"\1" * 599, 3: b"\1" * 600, 4: b"\1" * 777 + frame * 3 + b"\2", 5: b"", 6: frame * 2 + b"\0" + frame * 2 + b"\0" * 600, None: frame[:-1] * 20}
+    whole |= {7: frame[:20], 8: frame[20:] + frame * 2}  # frames do not go on from one session to the next
+    pieces = []
+    for s, x in whole.items():
+        cuts = np.sort(r.integers(0, len(x) + 1, 12))
+        pieces += [(s, k, bytearray(x[a:b]) if k != 3 or a < b else None) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(x)], strict=True))]
+    chunks = spark.createDataFrame(pieces, "session long, seq long, data binary").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = {x.session: x.kind for x in bytestreams.stream_kinds(chunks).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {0: "v2", 1: None, 2: None, 3: "v1", 4: "v2", 5: None, 6: "v1", None: "v1", 7: None, 8: None}
