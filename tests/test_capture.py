@@ -121,3 +121,44 @@ def test_a_window_is_queued_when_its_segment_closes(spark, tmp_path, triggered):
     more.coalesce(1).write.mode("append").parquet(f"{tmp_path}/w/part=100")
     held.run(triggered, lambda: spark.createDataFrame(now[0]), 20.0)
     assert rows_of(held.read("queue")) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+
+
+def test_a_session_costs_one_read_and_one_write(monkeypatch):
+    calls = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    run = capture.CameraWindows(0.3, 1.5, 1e9)
+    run.init(Handle())
+    nothing = float("nan")
+    windows = [(float(k), float(k), k + 2.0, nothing, nothing) for k in range(50)]
+    frames = [(nothing, nothing, nothing, float(k), k / 2) for k in range(60)]
+    rows = pd.DataFrame(windows + frames, columns=["window_id", "w0", "w1", "seq", "t"])
+    out = pd.concat(list(run.handleInputRows((1,), iter([rows]), Timers())))
+    # the clock is at 29.5 s: windows that end later wait, each with a timer, and the others were never stored
+    assert out["window_id"].tolist() == list(range(28)) and out["complete"].all()
+    assert out["frames"].iloc[3] == [6, 7, 8, 9, 10]
+    assert calls[0] == "get" and calls[-1] == "update" and len(calls) == 2 + 22
