@@ -10,17 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bar_line(df: DataFrame, by: str | list[str] = "frame", s: str = "s", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+def bar_line(df: DataFrame, by: str | list[str] = "frame", s: str = "s", axes: tuple[str, ...] = ("x", "y", "z"), also: dict[str, Column] | None = None) -> DataFrame:
     """Per frame the bar through its markers: unit axis u_*, end k_* (where s is 0), n_markers. The axes are fitted each
     by least squares over s, whose mean is s_mean; the end is the mean of the markers moved back along the axis. Null with fewer than two
-    places on the bar, or where the fit has no direction."""
+    places on the bar, or where the fit has no direction. also has more aggregates of a frame, by name."""
+    also = also or {}
     keys = [by] if isinstance(by, str) else by
-    fit = df.groupBy(*keys).agg(F.count("*").alias("n_markers"), F.avg(s).alias("__s"), *[F.avg(a).alias(f"__m{a}") for a in axes], *[F.regr_slope(a, s).alias(f"__v{a}") for a in axes])
+    fit = df.groupBy(*keys).agg(F.count("*").alias("n_markers"), F.avg(s).alias("__s"), *[F.avg(a).alias(f"__m{a}") for a in axes], *[F.regr_slope(a, s).alias(f"__v{a}") for a in axes], *[c.alias(n) for n, c in also.items()])
     size = F.sqrt(sum((F.col(f"__v{a}") * F.col(f"__v{a}") for a in axes[1:]), F.col(f"__v{axes[0]}") * F.col(f"__v{axes[0]}")))
     fit = fit.withColumn("__size", size).withColumn("__size", F.when(F.col("__size") >= 1e-6, F.col("__size")))
     out = {f"u_{a}": F.col(f"__v{a}") / F.col("__size") for a in axes}
     out |= {f"k_{a}": F.col(f"__m{a}") - F.col("__s") * F.col(f"__v{a}") / F.col("__size") for a in axes}
-    return fit.withColumns(out).select(*keys, *out, "n_markers", F.col("__s").alias("s_mean"))
+    return fit.withColumns(out).select(*keys, *out, "n_markers", F.col("__s").alias("s_mean"), *also)
 
 
 def end_from_markers(df: DataFrame, lines: DataFrame, by: str = "frame", s: str = "s", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

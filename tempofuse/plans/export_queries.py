@@ -104,10 +104,12 @@ _FILLED = f"""WITH {POINTS}, g AS (SELECT frame, count(*) AS n, avg(s) AS ms, av
 @query(_FILLED + " SELECT frame, frame / 1000e0 AS t_s, " + ", ".join(f"max(round({c} * 1.03170001e0, 5) + 0) FILTER (marker = {m}) AS m{m}_{c}" if c != "src" else f"max(src) FILTER (marker = {m}) AS m{m}_src" for m in (1, 2, 3) for c in ("x", "y", "z", "src")) + " FROM a GROUP BY frame")
 def marker_table(spark, d):
     """Each frame's bands side by side: as seen, or where the frame's bar has them, with their source."""
-    f = _points(spark, d)
-    bands = F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(m * 0.1).alias("s")) for m in (1, 2, 3)]))
-    lines = G.bar_line(f).where("n_markers >= 2").withColumn("b", bands).select("frame", "n_markers", "b.*", *[f"{k}_{a}" for k in "uk" for a in "xyz"])
-    met = lines.join(f.select("frame", "marker", *[F.col(a).alias(f"seen_{a}") for a in "xyz"]), ["frame", "marker"], "left")
+    # rows are dealt by frame once, and a frame's seen bands go with its line, so that no join sorts all rows again
+    dealt = frames(spark, d).repartition("frame").groupBy("frame", "marker").agg(F.min(F.struct("x", "y", "z", "s")).alias("p")).select("frame", "marker", "p.*")
+    seen = {f"seen_{a}{m}": F.max(F.when(F.col("marker") == m, F.col(a))) for m in (1, 2, 3) for a in "xyz"}
+    lines = G.bar_line(dealt, also=seen).where("n_markers >= 2")
+    bands = F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(m * 0.1).alias("s"), *[F.col(f"seen_{a}{m}").alias(f"seen_{a}") for a in "xyz"]) for m in (1, 2, 3)]))
+    met = lines.withColumn("b", bands).select("frame", "n_markers", "b.*", *[f"{k}_{a}" for k in "uk" for a in "xyz"])
     filled = met.select("frame", (F.col("frame") / 1000.0).alias("t_s"), "marker", *[(F.coalesce(f"seen_{a}", F.col(f"k_{a}") + F.col("s") * F.col(f"u_{a}")) * 1.03170001 + 0.0).alias(a) for a in "xyz"], sinks.marker_source(F.col("seen_x").isNotNull(), F.col("n_markers") >= 3).alias("source"))
     return sinks.marker_export(filled, [1, 2, 3], ("frame", "t_s"), "marker")
 

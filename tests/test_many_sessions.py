@@ -123,3 +123,8 @@ def test_kinds_of_streams_are_those_of_whole_bytes(spark, rows):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {0: "v2", 1: None, 2: None, 3: "v1", 4: "v2", 5: None, 6: "v1", None: "v1", 7: None, 8: None}
+
+
+def test_marker_tables_deal_rows_once(spark):
+    text = QUERIES["marker_table"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
