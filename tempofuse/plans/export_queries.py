@@ -18,6 +18,9 @@ from tempofuse.sources import sinks
 from tempofuse.sources.bytestreams import stream_kinds as stream_kinds_of
 from tempofuse.sources.tables import frames, poses, samples, table, vectors
 
+#: Rows of a task of marker_table(), about: tasks grow in number with the table, not in memory.
+TASK_ROWS = 200_000
+
 POSES = (
     SAMPLES + ", p AS (SELECT session, seq, t, v, marker, cos(t / 2) AS qw, sin(t / 2) * 0.6e0 AS qx, sin(t / 2) * 0.8e0 AS qy, 0e0 AS qz, v / 100 AS knob_x, t / 1000 AS knob_y, 2.5e0 AS knob_z, cos(t) AS axis_x, sin(t) AS axis_y, 0e0 AS axis_z,"
     " v / 7 AS sweet_speed, v / 50 AS att_std_deg, marker <> 'click' AS speed_valid, min(t) OVER k + (max(t) OVER k - min(t) OVER k) / 4 AS t_onset, min(t) OVER k + (max(t) OVER k - min(t) OVER k) * 0.75e0 AS t_end FROM s WINDOW k AS (PARTITION BY session))"
@@ -105,7 +108,9 @@ _FILLED = f"""WITH {POINTS}, g AS (SELECT frame, count(*) AS n, avg(s) AS ms, av
 def marker_table(spark, d):
     """Each frame's bands side by side: as seen, or where the frame's bar has them, with their source."""
     # rows are dealt by frame once, and a frame's seen bands go with its line, so that no join sorts all rows again
-    dealt = frames(spark, d).repartition("frame").groupBy("frame", "marker").agg(F.min(F.struct("x", "y", "z", "s")).alias("p")).select("frame", "marker", "p.*")
+    f = frames(spark, d)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-f.count() // TASK_ROWS))
+    dealt = f.repartition(parts, "frame").groupBy("frame", "marker").agg(F.min(F.struct("x", "y", "z", "s")).alias("p")).select("frame", "marker", "p.*")
     seen = {f"seen_{a}{m}": F.max(F.when(F.col("marker") == m, F.col(a))) for m in (1, 2, 3) for a in "xyz"}
     lines = G.bar_line(dealt, also=seen).where("n_markers >= 2")
     bands = F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(m * 0.1).alias("s"), *[F.col(f"seen_{a}{m}").alias(f"seen_{a}") for a in "xyz"]) for m in (1, 2, 3)]))
