@@ -185,6 +185,21 @@ def test_suffix_arrays_equal_counting(docs, length, gram, kinds):
         assert got[d].n_removed == gone.sum() and got[d].n_spans == (np.diff(gone.astype(int), prepend=0) == 1).sum()
 
 
+@pytest.mark.parametrize("size", [399, 400])
+def test_a_passage_goes_from_400_bytes_on_however_many_words_it_has(spark, size):
+    r = random.Random(5)
+    text = lambda k: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(k))
+    passage = (text(70)[: size - 1] + "z").encode()
+    assert len(passage.split()) > 50 and len(passage) == size
+    ends = [(text(30) + "1", "2" + text(30)), (text(20) + "3", "4" + text(20))]
+    rows = [(d, a + passage.decode() + b) for d, (a, b) in enumerate(ends)]
+    got = {x.doc_id: x for x in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, (a, b) in enumerate(ends):
+        gone = size == 400
+        assert bytes(got[d].kept).decode() == (a + b if gone else rows[d][1])
+        assert (got[d].n_removed, got[d].n_spans, got[d].repeats) == ((400, 1, True) if gone else (0, 0, False))
+
+
 def test_suffix_array_is_sorted_and_prefixes_are_right():
     buf = np.frombuffer(b"banana bandana banana ban", dtype=np.uint8)
     rank = suffix_dedup.refine(buf, 32)[32]
@@ -196,6 +211,21 @@ def test_suffix_array_is_sorted_and_prefixes_are_right():
         assert common[k] == next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
 
 
+def test_common_prefixes_are_searched_anew_after_a_byte_that_differs():
+    r = random.Random(8)
+    for _ in range(30):
+        text = bytearray(r.choices(b"abcd", k=120))
+        runs = []
+        for k in range(r.randint(2, 4)):  # copies that differ in single rare bytes, at the same places
+            copy = bytearray(text)
+            for at, byte in ((20, 48), (65, 65)):
+                copy[at] = byte + k
+            runs.append(bytes(copy))
+        count = Counter(x[i : i + 16] for x in runs for i in range(len(x) - 15))
+        for x, same in zip(runs, suffix_dedup.repeated_starts(runs, 16), strict=True):
+            assert same.tolist() == [count[x[i : i + 16]] > 1 for i in range(len(x) - 15)]
+
+
 def test_tokens_are_those_of_the_whole_text(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()] + ["it's we'll 'S 12 34abc!!?", "a<|endoftext|>b. <|ENDOFTEXT|> x", "İ ΑΣ. é. 5. 3.5, (x). a.. ...", "á ́b", "a\x1cb\x85c", ""]
     ids, off = packing.token_ids(Texts(pa.array(texts)))
