@@ -11,7 +11,7 @@ from tempofuse.operators.labels import label_bands
 from tempofuse.plans.base import SAMPLES, query
 from tempofuse.plans.quality_queries import events_sql
 from tempofuse.session import stored
-from tempofuse.sources.tables import samples, swing_streams
+from tempofuse.sources.tables import samples, stream_parts, swing_streams
 
 UP = (0.0, -1.0, 0.0)
 
@@ -19,7 +19,7 @@ UP = (0.0, -1.0, 0.0)
 def _chain(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     imu, markers, _ = swing_streams(spark, d)
     events = stored(fusion.find_swings(imu))
-    return events, fusion.fused_events(imu, markers, events, UP), markers
+    return events, fusion.fused_events(imu, markers, events, UP, parts=stream_parts(spark, d)), markers
 
 
 # the turning rates of the derived streams, their mean over four rows (mirrored at the ends), and the detector on it
