@@ -3,11 +3,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+import test_replay as R
 
-from tempofuse.operators import fusion
+from tempofuse.operators import fusion, measures, motion
 from tempofuse.operators.geometry import bar_line
+from tempofuse.plans import chain_queries as C
 from tempofuse.plans import fusion_queries
 from tempofuse.session import stored
+from tempofuse.sources import sinks
 from tempofuse.sources.tables import stream_parts, swing_streams
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +70,38 @@ def test_events_go_when_their_window_is_past(streams):
 def test_parts_follow_the_number_of_events(spark, monkeypatch):
     monkeypatch.setattr("tempofuse.sources.tables.STREAM_ROWS", 100)
     assert stream_parts(spark, SF) > 8 and f", {stream_parts(spark, SF)})" in plan(swing_streams(spark, SF)[0])
+
+
+# --- replays -----------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def chain(spark):
+    """The chain step by step, as DataFrames."""
+    return C.processed(spark, SF)
+
+
+def test_replays_leave_the_pass_that_fuses(spark, large_joins):
+    found = plan(C.processed_replay(spark, SF))
+    assert found.count("Exchange") == found.count("REPARTITION_BY_NUM") == 3 and "Join" not in found
+
+
+def test_replays_are_those_of_the_dataframes(spark, chain):
+    want = sinks.replay_export(C.replay_of(*chain).where("knob_x is not null").drop("event"))
+    same(C.processed_replay(spark, SF).toPandas(), want.toPandas(), ("session", "seq"))
+
+
+@pytest.mark.parametrize("case", ["gap", "no accelerations", "at samples", "one sight", "no sight", "opposite", "doubled"])
+def test_poses_of_one_event_are_those_of_the_dataframes(spark, case):
+    k, v, a = R.curve(R.T)
+    tc = R.T[[3, 10, 11, 30, 100, 120, 121]] if case == "at samples" else R.TC[:1] if case == "one sight" else R.TC + 9 if case == "no sight" else np.sort(np.append(R.TC, R.TC[4])) if case == "doubled" else R.TC
+    a = np.where((R.T > 0.4)[:, None] & (case == "no accelerations"), np.nan, a)
+    seen, axis = R.curve(tc)[0] + np.where(tc > 0.5, 0.2, 0.0)[:, None] * [1, 0, 0], R.about_z(tc + np.where(tc > 0.5, np.pi, 0.3) * (case == "opposite"))
+    seen[4:5] -= 0.01
+    u = R.about_z(R.T)
+    want = motion.camera_guided(*R.frames(spark, R.T, tc, k, v, u, a, seen, axis)).toPandas().sort_values("seq")
+    got = measures.guided_poses(R.T, k, v, u, a, tc, seen, axis)
+    for n, x in zip(("rk", "rv", "ru"), got[:3], strict=True):
+        assert np.allclose(x, want[[f"{n}{c}" for c in "xyz"]].to_numpy(float), atol=1e-9, equal_nan=True), n
+    assert (got[3] == want.estimated).all() and (got[5] == want.replay_accel).all()
+    assert np.allclose(got[4], want.camera_distance.to_numpy(float), atol=1e-12, equal_nan=True)
