@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import test_replay as R
+from pyspark.sql import functions as F
 
 from tempofuse.operators import fusion, measures, motion
 from tempofuse.operators.geometry import bar_line
@@ -105,3 +106,18 @@ def test_poses_of_one_event_are_those_of_the_dataframes(spark, case):
         assert np.allclose(x, want[[f"{n}{c}" for c in "xyz"]].to_numpy(float), atol=1e-9, equal_nan=True), n
     assert (got[3] == want.estimated).all() and (got[5] == want.replay_accel).all()
     assert np.allclose(got[4], want.camera_distance.to_numpy(float), atol=1e-12, equal_nan=True)
+
+
+# --- exports and measures ------------------------------------------------------------------------------------------
+
+
+def test_samples_leave_the_pass_that_fuses(spark, chain, large_joins):
+    df = C.processed_samples(spark, SF)
+    assert plan(df).count("Exchange") == plan(df).count("REPARTITION_BY_NUM") == 3 and "Join" not in plan(df)
+    _, _, events, fused = chain
+    rows = fused.where("status = 'ok'").join(C.on_camera_time(events, fused).drop("session", "event"), "piece")
+    names = {f"knob_{a}": F.col(f"k{a}") for a in "xyz"} | {f"axis_{a}": F.col(f"u{a}") for a in "xyz"} | {"sweet_speed": F.col("speed"), "speed_valid": F.col("supported")}
+    want, got = (x.toPandas().sort_values(["session", "event", "seq"]).reset_index(drop=True) for x in (sinks.fused_export(rows.withColumns(names), C.LENGTH, C.SWEET), df))
+    assert list(got) == list(want) and len(got) == len(want)
+    for c in want:
+        assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1.1e-3 if c == "att_std_deg" else 1.1e-4 if "speed" in c else 1.1e-5, equal_nan=True), c
