@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempofuse.operators import fusion, motion
+from tempofuse.operators import fusion, measures, motion
 from tempofuse.operators.geometry import bar_line
 from tempofuse.operators.labels import label_bands
 from tempofuse.plans.base import SAMPLES, query
@@ -16,12 +16,6 @@ from tempofuse.sources.tables import samples, stream_parts, swing_streams
 UP = (0.0, -1.0, 0.0)
 
 
-def _chain(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    imu, markers, _ = swing_streams(spark, d)
-    events = stored(fusion.find_swings(imu))
-    return events, fusion.fused_events(imu, markers, events, UP, parts=stream_parts(spark, d)), markers
-
-
 # the turning rates of the derived streams, their mean over four rows (mirrored at the ends), and the detector on it
 _BAR = f"""{SAMPLES}, b AS (SELECT session, v, marker, row_number() OVER w - 1 AS k, CASE WHEN marker IN ('view', 'click') THEN 0e0 WHEN marker = 'error' THEN -least(v, 100e0) / 4 ELSE least(v, 100e0) / 4 END AS goal FROM s WINDOW w AS (PARTITION BY session ORDER BY seq)),
  d AS (SELECT session, k, goal, coalesce(lag(goal) OVER (PARTITION BY session ORDER BY k), 0) AS start FROM b), x AS (SELECT session, k * 16 + j AS r, abs(start + (goal - start) * (1 - cos(j * (3.141592653589793e0 / 16))) / 2) AS rate, count(*) OVER (PARTITION BY session) AS n FROM d, (SELECT unnest(range(16)) AS j) j),
@@ -44,22 +38,16 @@ def swing_events(spark, d):
 @query()
 def fused_events(spark, d):
     """Fused samples of every event; held against the known motion in the tests."""
-    return _chain(spark, d)[1]
+    imu, markers, _ = swing_streams(spark, d)
+    return fusion.fused_events(imu, markers, stored(fusion.find_swings(imu)), UP, parts=stream_parts(spark, d))
 
 
 @query()
 def fused_measures(spark, d):
     """Measures of every fused event, with those of turning and of the camera alone."""
-    events, fused, markers = _chain(spark, d)
-    ok = stored(fused.where("status = 'ok'"))
-    offset = ok.groupBy("session", "event").agg(F.first("offset").alias("o"))
-    moved = events.join(offset, ["session", "event"]).select("session", "event", *[(F.col(c) + F.col("o")).alias(c) for c in ("t_onset", "t_peak", "t_end", "t_contact")])
-    plain = motion.swing_measures(ok.select("session", "event", "t", "speed", "hand_speed", "elevation", "rate", F.col("supported").alias("valid")), moved)
-    known = moved.withColumn("t_contact", F.coalesce("t_contact", "t_peak"))
-    turning = motion.turning_measures(ok, known).drop("path_angle_deg")
-    lines = bar_line(markers, ["session", "frame_id", "t"])
-    camera = motion.camera_angles(lines, known, UP).withColumnsRenamed({"bar_angle_deg": "camera_bar_angle_deg", "path_angle_deg": "camera_path_angle_deg"})
-    return plain.join(turning, ["session", "event"], "left").join(camera, ["session", "event"], "left")
+    schema = f"session long, event long, {measures.MEASURES}, {measures.TURNING}, {measures.CAMERA}"
+    imu, markers, _ = swing_streams(spark, d)
+    return fusion.each_event(imu, markers, stored(fusion.find_swings(imu)), UP, measures.all_measures, schema, parts=stream_parts(spark, d))
 
 
 @query()

@@ -121,3 +121,36 @@ def test_samples_leave_the_pass_that_fuses(spark, chain, large_joins):
     assert list(got) == list(want) and len(got) == len(want)
     for c in want:
         assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1.1e-3 if c == "att_std_deg" else 1.1e-4 if "speed" in c else 1.1e-5, equal_nan=True), c
+
+
+def old_measures(spark, imu, markers, events, fused):
+    """fused_measures() from windows and joins over the fused samples."""
+    ok = stored(fused.where("status = 'ok'"))
+    offset = ok.groupBy("session", "event").agg(F.first("offset").alias("o"))
+    moved = events.join(offset, ["session", "event"]).select("session", "event", *[(F.col(c) + F.col("o")).alias(c) for c in measures.SAMPLE_TIMES])
+    plain = motion.swing_measures(ok.select("session", "event", "t", "speed", "hand_speed", "elevation", "rate", F.col("supported").alias("valid")), moved)
+    known = moved.withColumn("t_contact", F.coalesce("t_contact", "t_peak"))
+    turning = motion.turning_measures(ok, known).drop("path_angle_deg")
+    camera = motion.camera_angles(bar_line(markers, ["session", "frame_id", "t"]), known, UP).withColumnsRenamed({"bar_angle_deg": "camera_bar_angle_deg", "path_angle_deg": "camera_path_angle_deg"})
+    return plain.join(turning, ["session", "event"], "left").join(camera, ["session", "event"], "left")
+
+
+def test_measures_leave_the_pass_that_fuses(spark, streams, large_joins):
+    found = plan(fusion_queries.fused_measures(spark, SF))
+    assert found.count("Exchange") == found.count("REPARTITION_BY_NUM") == 3 and "Join" not in found
+    imu, markers, events = streams
+    sensed = events.withColumn("t_contact", F.when(F.col("event") % 2 == 0, F.col("t_peak") + 0.01))  # some are felt, some not
+    markers = markers.where("session != 1 or frame_id % 5 != 0")  # and some have little support
+    for e in (events, sensed):
+        want = old_measures(spark, imu, markers, e, fusion.fused_events(imu, markers, e, UP))
+        schema = f"session long, event long, {measures.MEASURES}, {measures.TURNING}, {measures.CAMERA}"
+        got = fusion.each_event(imu, markers, e, UP, measures.all_measures, schema)
+        same(got.toPandas(), want.toPandas(), ("session", "event"))
+
+
+def test_measures_of_an_event_without_support_or_length():
+    t = np.arange(3) / 400
+    at = dict.fromkeys(measures.SAMPLE_TIMES, 0.001) | {"t_contact": np.nan}
+    out = measures.swing_measures(t, *np.ones((4, 3)), np.zeros(3, bool), at)
+    assert out == (None, None, None, None, 0.0, None, 0.001, False, False, False, 0.0)
+    assert np.isnan(measures.parabola_rates(np.ones((6, 3)), 3)).all() and np.allclose(measures.parabola_rates(np.arange(8.0)[:, None] ** 2, 3)[:, 0], 2 * np.arange(8))
