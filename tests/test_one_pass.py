@@ -154,3 +154,25 @@ def test_measures_of_an_event_without_support_or_length():
     out = measures.swing_measures(t, *np.ones((4, 3)), np.zeros(3, bool), at)
     assert out == (None, None, None, None, 0.0, None, 0.001, False, False, False, 0.0)
     assert np.isnan(measures.parabola_rates(np.ones((6, 3)), 3)).all() and np.allclose(measures.parabola_rates(np.arange(8.0)[:, None] ** 2, 3)[:, 0], 2 * np.arange(8))
+
+
+def test_states_and_measures_leave_the_pass_that_fuses(spark, chain, large_joins):
+    df = C.processed_events(spark, SF)
+    found = plan(df)
+    # three of streams and windows by session, and two of a row for each event
+    assert found.count("REPARTITION_BY_NUM") == 3 and found.count("Exchange") == 5 and found.count("ENSURE_REQUIREMENTS") == 2
+    _, _, events, fused = chain
+    ok = fused.where("status = 'ok'")
+    want = motion.swing_measures(ok.select("session", "event", "t", "speed", "hand_speed", "elevation", "rate", F.col("supported").alias("valid")), C.on_camera_time(events, fused))
+    state = fused.groupBy("session", "event").agg(F.first("status").alias("status"), F.count("seq").alias("n_samples"), F.count_if("supported").alias("n_supported"), F.first("n_used").alias("n_used"), F.first("n_refused").alias("n_refused"), F.first("offset").alias("offset"))
+    want = events.select("session", "event", "t_onset", "t_end").join(state, ["session", "event"], "left").join(want, ["session", "event"], "left").withColumn("status", F.coalesce("status", F.lit("no_samples")))
+    same(df.toPandas(), want.toPandas(), ("session", "event"))
+
+
+def test_events_that_are_not_fused_keep_their_state(spark, streams):
+    """One event with few sights, and one without inertial rows, which has no state here."""
+    imu, markers, events = (x.where("session = 0") for x in streams)
+    far = events.unionByName(events.limit(1).selectExpr("session", "99 as event", "t_onset + 1000 as t_onset", "t_peak", "t_end + 1000 as t_end", "t_contact", "peak"))
+    then = lambda fused, _: measures.states_and_measures(fused)
+    got = fusion.each_event(imu, markers.where("frame_id < 3"), far, UP, then, f"session long, event long, {measures.STATE}, {measures.MEASURES}").toPandas().set_index("event")
+    assert got.status[0] == "too_few_camera" and got.n_samples[0] == got.n_supported[0] == 0 and np.isnan(got.n_used[0]) and 99 not in got.index
